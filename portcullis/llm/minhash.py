@@ -24,12 +24,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import blocks as B
-from .components import components
 from .decontamination import bitmap
 from .lineage import cut
+from .linking import link
 
 COORDINATES, MATCHES = 64, 38
-STAR_ROUNDS = 2
 _BITS = 1 << 26
 _SALT = B.mix(np.arange(1, COORDINATES + 1, dtype=np.uint64))
 
@@ -138,28 +137,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     prefix = cut(lists.where(keep > 0).select("id", F.explode(F.slice("l", F.lit(1), keep)).alias("p")).select("id", "p.pair"))
     wanted = prefix.select("id").distinct()
     sets = cut(_sets(slim, size, wanted).dropDuplicates(["id", "shingles"]))
-    labels: DataFrame | None = None
-    for turn in range(STAR_ROUNDS + 1):
-        own = prefix.withColumn("c", F.col("id")) if labels is None else prefix.join(labels, "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component")
-        spread = own.groupBy("pair").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.min(F.struct(F.xxhash64("c", F.lit(turn)) if turn else F.lit(0).cast("long"), F.col("id"), F.col("c"))).alias("m")).where("lo < hi")
-        if turn < STAR_ROUNDS:
-            centres = spread.select("pair", F.col("m.id").alias("o"), F.col("m.c").alias("oc"))
-        else:  # whatever still lies in several components
-            live = own.join(spread.select("pair"), "pair")
-            centres = live.select("pair", F.col("id").alias("o"), F.col("c").alias("oc"))
-            own = live
-        pairs = own.join(centres, "pair").where("c <> oc" if turn < STAR_ROUNDS else "c < oc").select(F.least("id", "o").alias("a"), F.greatest("id", "o").alias("b")).distinct()
-        links = cut(_confirmed(pairs, sigs, sets, part, whole))
-        if labels is not None:
-            joined = links.join(labels.withColumnRenamed("id", "a"), "a", "left").withColumnRenamed("component", "ca").join(labels.withColumnRenamed("id", "b"), "b", "left").withColumnRenamed("component", "cb")
-            links = joined.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
-        met = components(links).select(F.col("node"), F.col("component").alias("to"))
-        if labels is None:
-            labels = met.select(F.col("node").alias("id"), F.col("to").alias("component"))
-        else:  # components that met others, and nodes that had none
-            old = labels.join(met, labels["component"] == met["node"], "left").select("id", F.coalesce("to", "component").alias("component"))
-            new = met.join(labels.select(F.col("id").alias("node")), "node", "left_anti").select(F.col("node").alias("id"), F.col("to").alias("component"))
-            labels = cut(old.union(new))
+    labels = link(prefix, lambda pairs: _confirmed(pairs, sigs, sets, part, whole))
     members = base.select("id", "n", "s1", "s2").join(classes, ["s1", "s2", "n"], "left")
     found = members.join(labels.withColumnRenamed("id", "node"), F.col("rep") == F.col("node"), "left")
     own = F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.coalesce("component", "rep")).otherwise(F.col("id"))
