@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, langid, lines, media, minhash, packing, sharding, substrings
+from . import decontamination, langid, lines, media, minhash, ngrams, packing, sharding, substrings
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -46,6 +46,10 @@ def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngrams.score(_table(spark, sf_dir, "documents").select("doc_id", "text"), langid.held_out(folds=10))
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     body = F.coalesce(F.col("text"), F.lit(""))
     rows = _table(spark, sf_dir, "documents").select("doc_id", (F.octet_length(body) + F.lit(1)).cast("long").alias("size"), F.crc32(body.cast("binary")).alias("text_crc32"))
@@ -70,6 +74,6 @@ def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_decontamination, op2_minhash, op3_packing, op5_media, op7_sharding, op8_lines, op9_langid, op10_substrings)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_decontamination, op2_minhash, op3_packing, op5_media, op6_ngrams, op7_sharding, op8_lines, op9_langid, op10_substrings)}
 
 ORACLE_SQL: dict[str, str] = {}
