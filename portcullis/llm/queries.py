@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, langid, lines, media, minhash, ngrams, packing, sharding, substrings
+from . import decontamination, html, langid, lines, media, minhash, ngrams, packing, sharding, substrings
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,6 +37,11 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
+def op4_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = html.main_text(_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return found.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
 def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = media.load(media.store(_table(spark, sf_dir, "documents")))
     size = F.octet_length("pixels").cast("long")
@@ -74,6 +79,6 @@ def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_decontamination, op2_minhash, op3_packing, op5_media, op6_ngrams, op7_sharding, op8_lines, op9_langid, op10_substrings)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_decontamination, op2_minhash, op3_packing, op4_html, op5_media, op6_ngrams, op7_sharding, op8_lines, op9_langid, op10_substrings)}
 
 ORACLE_SQL: dict[str, str] = {}
