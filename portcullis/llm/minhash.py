@@ -3,19 +3,20 @@
 1. Each text becomes its set of word shingles, two 64-bit sums that identify the set, and a signature of
    ``COORDINATES`` minima. Documents of equal sets are one class from here on.
 2. Classes are posted under each coordinate-value pair; pairs that only one class has are skipped.
-3. Two classes above the match threshold (``MATCHES`` of the coordinates) must meet in the first
-   ``COORDINATES - MATCHES + 1`` pairs of both when pairs are taken rarest first, so only these prefixes are merged:
+3. Two classes above the match threshold (``matches`` of the coordinates) must meet in the first
+   ``COORDINATES - matches + 1`` pairs of both when pairs are taken rarest first, so only these prefixes are merged:
    a passage that thousands of documents share fills few coordinates and stays out of the prefixes.
 4. Lists are merged by collision with one centre a list, for two rounds; what a round links is contracted, and a last
    round merges all that still lies in different components. So lists of n copies cost about n pairs, not n * n.
    Pairs with enough equal coordinates are confirmed on the whole sets, and only confirmed links join components.
 
-MATCHES lies five standard deviations below what a pair at the threshold has on average: about one such pair in
-two million is missed, and a pair above it less often.
+The match threshold lies five standard deviations below what a pair at the similarity threshold has on average: a few
+such pairs in a million are missed, and pairs above it less often.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,11 +29,16 @@ from .decontamination import bitmap
 from .lineage import cut
 from .linking import link
 
-COORDINATES, MATCHES = 64, 38
+COORDINATES = 64
 _BITS = 1 << 26
 _SALT = B.mix(np.arange(1, COORDINATES + 1, dtype=np.uint64))
 
 
+def match_threshold(part: int, whole: int) -> int:
+    t = part / whole
+    return max(1, math.floor(COORDINATES * t - 5 * math.sqrt(COORDINATES * t * (1 - t))))
+
+
 def shingle_sets(block: B.Block, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Distinct shingle hashes of each row, sorted within the row, and how many there are.
 
@@ -112,7 +118,7 @@ def _sets(docs: DataFrame, size: int, wanted: DataFrame) -> DataFrame:
 def _confirmed(pairs: DataFrame, sigs: DataFrame, sets: DataFrame, part: int, whole: int) -> DataFrame:
     """The pairs (a, b) with enough equal coordinates whose sets satisfy whole * intersection >= part * union."""
     both = lambda rows, t, c: rows.join(t.select(F.col("id").alias("a"), F.col(c).alias("ca")), "a").join(t.select(F.col("id").alias("b"), F.col(c).alias("cb")), "b")
-    like = both(pairs, sigs, "sig").where(F.size(F.array_intersect("ca", "cb")) >= MATCHES).select("a", "b")
+    like = both(pairs, sigs, "sig").where(F.size(F.array_intersect("ca", "cb")) >= match_threshold(part, whole)).select("a", "b")
     met = both(like, sets, "shingles").withColumn("i", F.size(F.array_intersect("ca", "cb")))
     return met.where(F.lit(whole) * F.col("i") >= F.lit(part) * (F.size("ca") + F.size("cb") - F.col("i"))).select("a", "b")
 
@@ -122,7 +128,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
 
     Links join texts with whole * |intersection| >= part * |union| of their shingle sets; keys are integers. Rows
     without words and rows with a null key link with nothing (their component is their own key). Rows that repeat a
-    key are one node. An empty table gives no rows. Thresholds under about 0.8 need other MATCHES.
+    key are one node. An empty table gives no rows.
     """
     slim = docs.select(F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text"))
     base = cut(_sketch(slim, size))
@@ -133,7 +139,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     posted = sigs.select("id", F.explode("sig").alias("pair"))
     shared = posted.groupBy("pair").agg(F.count("*").alias("df")).where("df > 1")
     lists = posted.join(shared, "pair").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("df", "pair"))).alias("l"))
-    keep = F.size("l") - F.lit(MATCHES) + 1  # the pairs that nothing else has come first in the prefix
+    keep = F.size("l") - F.lit(match_threshold(part, whole)) + 1  # the pairs that nothing else has come first in the prefix
     prefix = cut(lists.where(keep > 0).select("id", F.explode(F.slice("l", F.lit(1), keep)).alias("p")).select("id", "p.pair"))
     wanted = prefix.select("id").distinct()
     sets = cut(_sets(slim, size, wanted).dropDuplicates(["id", "shingles"]))
