@@ -15,8 +15,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text turned into arrays at once; a longer document is one block but is hashed chunk by chunk.
-BLOCK = 1 << 21
-CHUNK = 1 << 21
+BLOCK = 1 << 20
+CHUNK = (1 << 20) - 1
 
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 

@@ -24,6 +24,18 @@ def cut(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows to an Arrow batch: texts of some kilobytes make batches of some megabytes.
+BATCH_ROWS = 2000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Let the session hand Python at most BATCH_ROWS rows at once, which bounds the workers' memory."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(name))
+    if not 0 < now <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def input_bytes(df: DataFrame) -> int:
     """Catalyst's estimate of the bytes that df reads; it only sizes the number of partitions."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))

@@ -12,7 +12,7 @@ from . import blocks as B
 
 ROWS = 2
 _PAGE = 1 << 19
-_FLUSH = 1 << 22
+_FLUSH = 1 << 20
 _MERGERS = 32
 _SALTS = B.mix(np.arange(101, 101 + ROWS, dtype=np.uint64))
 

@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import blocks as B
+from .lineage import small_batches
 from .sketches import count_min, repeated
 
 WINDOW, GRAM = 35, 20
@@ -95,6 +96,7 @@ def dedup_substrings(docs: DataFrame, key: str = "doc_id", text: str = "text", w
     """
     if window - gram + 1 > 62:
         raise ValueError("a run of windows must fit a mask of 62 bits")
+    small_batches(docs.sparkSession)
     body = docs.select(F.col(f"`{key}`").alias("id"), F.xxhash64(F.col(f"`{text}`")).alias("th"), F.col(f"`{text}`").alias("body"))
     hits = repeated_spans(body, ["id", "th"], "body", window, gram).withColumnRenamed("k0", "hid").withColumnRenamed("k1", "hth")
     joined = body.join(hits, F.col("id").eqNullSafe(F.col("hid")) & (F.col("th") == F.col("hth")), "left").select("id", "body", "hits")
