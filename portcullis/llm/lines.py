@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import blocks as B
-from .lineage import cut
+from .lineage import cut, small_batches
 from .linking import link
 from .sketches import count_min, repeated
 
@@ -154,6 +154,24 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, part: int, whole: int) -> Dat
     return both.mapInArrow(run, "a long, b long")
 
 
+def _tokens(texts: DataFrame) -> DataFrame:
+    """(id, token): the distinct shingles of each line."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block in B.blocks(batch.column("body")):
+                hashes, n = shingles(block.data, block.offsets[:-1], block.offsets[1:])
+                row = np.repeat(np.arange(block.rows), n)
+                order = np.lexsort((hashes, row))
+                hashes, row = hashes[order], row[order]
+                first = np.ones(len(hashes), bool)
+                first[1:] = (hashes[1:] != hashes[:-1]) | (row[1:] != row[:-1])
+                ids = batch.column("id").slice(block.first, block.rows).take(pa.array(row[first]))
+                yield pa.RecordBatch.from_arrays([ids, pa.array(B.signed(hashes[first]))], names=["id", "token"])
+
+    return texts.mapInArrow(run, "id long, token long")
+
+
 def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", part: int = PART, whole: int = WHOLE) -> DataFrame:
     """docs with the text's near-copied lines removed; added columns: n_lines and n_dropped.
 
@@ -161,11 +179,12 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", part:
     text are treated alike. A null text stays null (no lines); blank lines stay. Columns named n_lines or n_dropped are
     replaced, all others kept; an empty table stays empty.
     """
+    small_batches(docs.sparkSession)
     slim = docs.select(F.col(f"`{key}`").alias("id"), F.xxhash64(F.col(f"`{text}`")).alias("th"), F.col(f"`{text}`").alias("text"))
     read = cut(_read(slim))
     lists = cut(_posted(read))
     texts = cut(_texts(slim, lists.select("id").distinct()))
-    labels = link(lists, lambda pairs: _confirmed(pairs, texts, part, whole))
+    labels = link(lists, lambda pairs: _confirmed(pairs, texts, part, whole), lambda ids: _tokens(texts.join(ids, "id", "left_semi")), part, whole)
     place = F.struct("id", "th", "number")
     classes = read.groupBy("line").agg(F.min(place).alias("first"), F.count("*").alias("n"))
     known = classes.join(labels.withColumnRenamed("id", "node"), F.col("line") == F.col("node"), "left").withColumn("c", F.coalesce("component", "line"))

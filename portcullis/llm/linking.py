@@ -4,35 +4,69 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
 from .lineage import cut
 
 STAR_ROUNDS = 2
+#: Lists of at most so many ids, and tokens that at most so many ids hold, are merged pair by pair.
+SMALL = 64
 
 
-def link(lists: DataFrame, confirm: Callable[[DataFrame], DataFrame], star_rounds: int = STAR_ROUNDS) -> DataFrame:
+def _reach(part: int, whole: int, common: Column, n: Column, other: Column) -> Column:
+    """Whether sets of n and ``other`` tokens with at most ``common`` in common can reach the similarity part / whole."""
+    return F.lit(whole) * common >= F.lit(part) * (n + other - common)
+
+
+def _cross(rows: DataFrame, on: str, more: Column | None = None) -> DataFrame:
+    """Pairs (a, b) of ids of different components that meet under ``on``."""
+    x, y = (rows.select(on, *[F.col(c).alias(f"{c}_{s}") for c in rows.columns if c != on]) for s in ("x", "y"))
+    met = x.join(y, on).where((F.col("c_x") < F.col("c_y")) & (more if more is not None else F.lit(True)))
+    return met.select(F.least("id_x", "id_y").alias("a"), F.greatest("id_x", "id_y").alias("b"))
+
+
+def _rest(own: DataFrame, spread: DataFrame, tokens: Callable[[DataFrame], DataFrame], part: int, whole: int) -> DataFrame:
+    """All pairs that may still be linked between components.
+
+    Small lists are merged pair by pair. In a long list a pair that shares a token which few ids hold meets under that
+    token. Any other pair has at most its common tokens in common, and is offered only if these can reach the
+    similarity; ids that could not reach it with any size in their list are left out before the lists are merged.
+    """
+    live = own.join(spread.select("pair", "size"), "pair")
+    small = _cross(live.where(F.col("size") <= SMALL).select("pair", "id", "c"), "pair")
+    long = live.where(F.col("size") > SMALL).select("pair", "id", "c")
+    held = cut(tokens(long.select("id").distinct()))
+    df = held.groupBy("token").agg(F.count("*").alias("df"))
+    counted = held.join(df, "token")
+    sizes = counted.groupBy("id").agg(F.count("*").alias("n"), F.count_if(F.col("df") > SMALL).alias("common"))
+    rare = counted.where((F.col("df") > 1) & (F.col("df") <= SMALL)).select("token", "id").join(long.select("id", "c").distinct(), "id")
+    least = long.join(sizes.select("id", "n"), "id").groupBy("pair").agg(F.min("n").alias("least"))
+    able = long.join(sizes, "id").join(least, "pair").where(_reach(part, whole, F.col("common"), F.col("n"), F.greatest(F.col("least").cast("double"), F.col("n") * F.lit(part / whole))))
+    bound = _reach(part, whole, F.least("common_x", "common_y"), F.col("n_x"), F.col("n_y"))
+    return small.union(_cross(rare, "token")).union(_cross(able.select("pair", "id", "c", "n", "common"), "pair", bound)).distinct()
+
+
+def link(lists: DataFrame, confirm: Callable[[DataFrame], DataFrame], tokens: Callable[[DataFrame], DataFrame], part: int, whole: int, star_rounds: int = STAR_ROUNDS) -> DataFrame:
     """(id, component) of all ids that a confirmed link joins to another; the component is its least id.
 
-    ``lists`` has the columns pair (the list) and id. In a star round each list offers its ids one centre (the first
-    time the least id, then one by hash), ``confirm`` keeps the true links among the offered pairs (a, b), and what
-    they join is contracted. The last round offers all pairs of a list whose ids still lie in different components,
-    so a list of n alike ids costs about n pairs, and no link between components goes untried.
+    ``lists`` has the columns pair (the list) and id; ``tokens`` gives (id, token), the sets behind the ids, and
+    ``confirm`` keeps the true links among offered pairs (a, b). In a star round each list offers its ids one centre
+    (the first time the least id, then one by hash), and what is joined is contracted, so a list of n alike ids costs
+    about n pairs. The last round offers what may still be linked between components; no such pair goes untried.
     """
     labels: DataFrame | None = None
     for turn in range(star_rounds + 1):
         own = lists.withColumn("c", F.col("id")) if labels is None else lists.join(labels, "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component")
         first = F.xxhash64("id", F.lit(turn)) if turn else F.col("id")
-        spread = own.groupBy("pair").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.min(F.struct(first.alias("h"), F.col("id"), F.col("c"))).alias("m")).where("lo < hi")
+        spread = own.groupBy("pair").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("size"), F.min(F.struct(first.alias("h"), F.col("id"), F.col("c"))).alias("m")).where("lo < hi")
         if turn < star_rounds:
             centres = spread.select("pair", F.col("m.id").alias("o"), F.col("m.c").alias("oc"))
-            met = own.join(centres, "pair").where("c <> oc")
+            offered = own.join(centres, "pair").where("c <> oc").select(F.least("id", "o").alias("a"), F.greatest("id", "o").alias("b")).distinct()
         else:
-            live = own.join(spread.select("pair"), "pair", "left_semi")
-            met = live.join(live.select("pair", F.col("id").alias("o"), F.col("c").alias("oc")), "pair").where("c < oc")
-        links = cut(confirm(met.select(F.least("id", "o").alias("a"), F.greatest("id", "o").alias("b")).distinct()))
+            offered = _rest(own, spread, tokens, part, whole)
+        links = cut(confirm(offered))
         if labels is None:
             labels = components(links).select(F.col("node").alias("id"), "component")
             continue

@@ -6,9 +6,9 @@
 3. Two classes above the match threshold (``matches`` of the coordinates) must meet in the first
    ``COORDINATES - matches + 1`` pairs of both when pairs are taken rarest first, so only these prefixes are merged:
    a passage that thousands of documents share fills few coordinates and stays out of the prefixes.
-4. Lists are merged by collision with one centre a list, for two rounds; what a round links is contracted, and a last
-   round merges all that still lies in different components. So lists of n copies cost about n pairs, not n * n.
-   Pairs with enough equal coordinates are confirmed on the whole sets, and only confirmed links join components.
+4. Lists are merged by collision with one centre a list, for two rounds, and what a round links is contracted; a last
+   round offers the pairs that may still be linked between components (see linking), so lists of n copies cost about n
+   pairs, not n * n. Pairs with enough equal coordinates are confirmed on the whole sets, and only confirmed links join.
 
 The match threshold lies five standard deviations below what a pair at the similarity threshold has on average: a few
 such pairs in a million are missed, and pairs above it less often.
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from . import blocks as B
 from .decontamination import bitmap
-from .lineage import cut
+from .lineage import cut, small_batches
 from .linking import link
 
 COORDINATES = 64
@@ -130,6 +130,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     without words and rows with a null key link with nothing (their component is their own key). Rows that repeat a
     key are one node. An empty table gives no rows.
     """
+    small_batches(docs.sparkSession)
     slim = docs.select(F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text"))
     base = cut(_sketch(slim, size))
     real = base.where("n > 0 and id is not null")
@@ -143,7 +144,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     prefix = cut(lists.where(keep > 0).select("id", F.explode(F.slice("l", F.lit(1), keep)).alias("p")).select("id", "p.pair"))
     wanted = prefix.select("id").distinct()
     sets = cut(_sets(slim, size, wanted).dropDuplicates(["id", "shingles"]))
-    labels = link(prefix, lambda pairs: _confirmed(pairs, sigs, sets, part, whole))
+    tokens = lambda ids: sets.join(ids, "id", "left_semi").select("id", F.explode("shingles").alias("token"))
+    labels = link(prefix, lambda pairs: _confirmed(pairs, sigs, sets, part, whole), tokens, part, whole)
     members = base.select("id", "n", "s1", "s2").join(classes, ["s1", "s2", "n"], "left")
     found = members.join(labels.withColumnRenamed("id", "node"), F.col("rep") == F.col("node"), "left")
     own = F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.coalesce("component", "rep")).otherwise(F.col("id"))
