@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from . import fixtures as fx
 from .functions import numeric, text
-from .operators import access, analytics, equivalence, outcome, quality, trials
+from .operators import access, analytics, datagen, equivalence, outcome, quality, trials
+from .plans import lineage
+from .streaming import live
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -506,3 +508,55 @@ _registered("shared_databases", f"WITH {fx.GRANTS} SELECT db_id FROM grants WHER
 _registered("rbac_vs_baseline", f"WITH {_USAGE}, s AS (SELECT model, dataset, CAST(SUM(tokens_in) AS BIGINT) AS t FROM usage GROUP BY 1, 2) SELECT a.model, a.t AS rbac, b.t AS baseline, a.t - b.t AS more FROM s a JOIN s b ON a.model = b.model WHERE a.dataset = 'en' AND b.dataset = 'de'")(
     lambda spark, d: _usage(spark, d).groupBy("model").agg(F.sum(F.when(F.col("dataset") == "en", F.col("tokens_in"))).alias("rbac"), F.sum(F.when(F.col("dataset") == "de", F.col("tokens_in"))).alias("baseline")).dropna().withColumn("more", F.col("rbac") - F.col("baseline"))
 )
+
+# ---- dataset generation, lineage, streams
+
+_registered("gold_label", f"WITH {fx.CASES} SELECT source_index, gold_allowed AS gold FROM cases")(
+    lambda spark, d: fx.cases(spark, d).select("source_index", datagen.gold_label(F.when(F.col("source_index") % 2 == 0, F.when(F.col("gold_allowed"), "allowed").otherwise("denied")), F.when(F.col("source_index") % 3 != 0, F.col("gold_allowed")).otherwise(F.when(F.col("source_index") % 2 != 0, F.col("gold_allowed")))).alias("gold"))
+)
+_registered("question_key", "SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN CONCAT('id', CAST(o_orderkey AS VARCHAR(20))) WHEN o_orderkey % 3 = 1 THEN o_orderpriority ELSE CONCAT('question_', CAST(o_orderkey AS VARCHAR(20))) END AS k FROM orders")(
+    lambda spark, d: fx.table(spark, d, "orders").select("o_orderkey", datagen.question_key(F.when(F.col("o_orderkey") % 3 == 0, F.concat(F.lit(" id"), F.col("o_orderkey").cast("string"))), F.when(F.col("o_orderkey") % 3 == 1, F.concat(F.col("o_orderpriority"), F.lit(" "))).otherwise(" "), F.col("o_orderkey")).alias("k"))
+)
+_registered(
+    "deterministic_roles",
+    f"""WITH {fx.CATALOG}, t AS (SELECT table_name, column_name, DENSE_RANK() OVER (ORDER BY table_name) AS tr, ROW_NUMBER() OVER (PARTITION BY table_name ORDER BY column_name) AS cr FROM catalog), n AS (SELECT COUNT(DISTINCT table_name) AS n FROM catalog)
+ SELECT 'ReadOnly' AS role, table_name, column_name FROM t, n WHERE tr <= GREATEST(1, n // 2) AND cr <= 5 UNION ALL SELECT 'Editor', table_name, column_name FROM t UNION ALL SELECT DISTINCT 'SystemManager', table_name, '*' FROM t""",
+)(lambda spark, d: datagen.deterministic_roles(fx.catalog(spark, d), []))
+_registered("combined_splits", "SELECT 'train' AS source, COUNT(*) AS n FROM orders WHERE o_orderkey % 4 <> 0 UNION ALL SELECT 'dev', COUNT(*) FROM orders WHERE o_orderkey % 4 = 0")(
+    lambda spark, d: fx.table(spark, d, "orders").where("o_orderkey % 4 <> 0").withColumn("source", F.lit("train")).unionByName(fx.table(spark, d, "orders").where("o_orderkey % 4 = 0").withColumn("source", F.lit("dev"))).groupBy("source").agg(F.count("*").cast("long").alias("n"))
+)
+# Statements over a small schema with their verdicts under one policy, and their difficulty.
+SCHEMA = {"t": ["id", "x", "secret"], "u": ["id", "y"]}
+POLICY = '{"t": ["id", "x"], "u": ["id", "y"]}'
+GOLDEN = (
+    ("SELECT x FROM t WHERE secret > 1", "BLOCK", "easy"),
+    ("SELECT * FROM t", "BLOCK", "easy"),
+    ("SELECT x FROM t UNION SELECT y FROM u", "PASS", "hard"),
+    ("SELECT a.x FROM t a JOIN u b USING(id)", "PASS", "easy"),
+    ("WITH c AS (SELECT secret FROM t) SELECT * FROM c", "BLOCK", "unknown"),
+    ("SELECT secret FROM other.t", "PASS", "easy"),
+    ("SELECT x, COUNT(*), MAX(id) FROM t WHERE x > 1 AND id < 9 GROUP BY x, id ORDER BY x LIMIT 3", "PASS", "extra"),
+    ("SELECT x FROM t ORDER BY x LIMIT 1", "PASS", "medium"),
+)
+
+
+def _golden(spark: SparkSession, d: str) -> DataFrame:
+    sql = F.element_at(F.array(*[F.lit(g[0]) for g in GOLDEN]), (F.col("o_orderkey") % len(GOLDEN) + 1).cast("int"))
+    return fx.table(spark, d, "orders").select("o_orderkey", sql.alias("sql"), F.lit(POLICY).alias("policy"))
+
+
+def _constants(k: int, name: str) -> str:
+    return f"SELECT o_orderkey, CASE o_orderkey % {len(GOLDEN)} " + " ".join(f"WHEN {i} THEN '{g[k]}'" for i, g in enumerate(GOLDEN)) + f" END AS {name} FROM orders"
+
+
+_registered("policy_check", _constants(1, "status"))(lambda spark, d: lineage.policy_check(_golden(spark, d), SCHEMA).select("o_orderkey", "status"))
+_registered("difficulty", _constants(2, "difficulty"))(lambda spark, d: lineage.with_difficulty(_golden(spark, d)).select("o_orderkey", "difficulty"))
+_registered("sql_resources")(lambda spark, d: lineage.count_by(_golden(spark, d).join(lineage.resources(_golden(spark, d), SCHEMA), "sql"), "op", "table_name", "column_name"))
+_registered("sql_permissions")(lambda spark, d: lineage.count_by(_golden(spark, d).join(lineage.required_permissions(_golden(spark, d), SCHEMA), "sql"), "kind", "table_name", "column_name"))
+_registered("sql_columns")(lambda spark, d: lineage.count_by(_golden(spark, d).join(lineage.query_columns(_golden(spark, d), SCHEMA), "sql"), "table_name", "columns"))
+_registered("column_exposure")(lambda spark, d: lineage.count_by(lineage.exposure(_golden(spark, d), SCHEMA, {"t": ["id", "x"], "u": ["id", "y"]}), "exposure"))
+_registered(
+    "windowed_outcomes",
+    f"""WITH cases AS (SELECT ts, user_id % 3 <> 0 AS gold_allowed, event_id % 5 = 0 AS refusal, CASE WHEN event_id % 5 = 0 THEN 'NOT_APPLICABLE' WHEN event_id % 7 = 0 THEN 'BLOCK' ELSE 'PASS' END AS access_status,
+ CASE event_type WHEN 'view' THEN TRUE WHEN 'click' THEN FALSE ELSE NULL END AS execution_correct FROM events), {_CLASS} SELECT strftime(date_trunc('day', ts), '%Y-%m-%d %H:%M') AS start, classification, COUNT(*) AS n FROM classified GROUP BY 1, 2""",
+)(lambda spark, d: live.windowed_outcomes(live.as_cases(fx.table(spark, d, "events"))))
