@@ -32,7 +32,9 @@ def count_min(rows: DataFrame, keys: Callable[[pa.RecordBatch], Iterator[np.ndar
         kept: list[np.ndarray] = []
 
         def flush() -> Iterator[pa.RecordBatch]:
-            own = np.concatenate(kept) if kept else np.zeros(0, np.uint64)
+            if not sum(map(len, kept)):
+                return
+            own = np.concatenate(kept)
             kept.clear()
             for row in range(ROWS):
                 cell, n = np.unique(_cells(own, row, cells), return_counts=True)

@@ -75,7 +75,7 @@ def repeated_spans(docs: DataFrame, key: list[str], text: str, window: int, gram
                 found = B.words(block)
                 _, _, content, heads, _ = _chosen(found, held.value, window, gram)
                 row = found.row_of()[heads]
-                own = batch.slice(block.first, block.rows).take(pa.array(row))
+                own = batch.drop_columns(["text"]).slice(block.first, block.rows).take(pa.array(row))
                 yield pa.RecordBatch.from_arrays([*[own.column(f"k{i}") for i in range(len(key))], pa.array((heads - found.bounds[row]).astype(np.int32)), pa.array(B.signed(content))], names=[*[f"k{i}" for i in range(len(key))], "start", "run"])
 
     slim = docs.select(*[F.col(f"`{k}`").alias(f"k{i}") for i, k in enumerate(key)], F.col(f"`{text}`").alias("text"))
