@@ -87,7 +87,7 @@ def _read(docs: DataFrame) -> DataFrame:
                     one.sort()
                     flat = bands(*shingles(block.data, found.starts[one], found.ends[one])).ravel()
                     counts[one] = BANDS
-                own = batch.slice(block.first, block.rows).take(pa.array(found.row_of()))
+                own = batch.drop_columns(["text"]).slice(block.first, block.rows).take(pa.array(found.row_of()))
                 yield pa.RecordBatch.from_arrays(
                     [own.column("id"), own.column("th"), pa.array(number.astype(np.int32)), pa.array(B.signed(found.hashes)), B.lists(B.signed(flat), counts, pa.int64())], names=["id", "th", "number", "line", "bands"]
                 )
