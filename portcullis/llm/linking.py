@@ -37,6 +37,8 @@ def _rest(own: DataFrame, spread: DataFrame, tokens: Callable[[DataFrame], DataF
     live = own.join(spread.select("pair", "size"), "pair")
     small = _cross(live.where(F.col("size") <= SMALL).select("pair", "id", "c"), "pair")
     long = live.where(F.col("size") > SMALL).select("pair", "id", "c")
+    if long.isEmpty():
+        return small.distinct()
     held = cut(tokens(long.select("id").distinct()))
     df = held.groupBy("token").agg(F.count("*").alias("df"))
     counted = held.join(df, "token")
@@ -67,6 +69,8 @@ def link(lists: DataFrame, confirm: Callable[[DataFrame], DataFrame], tokens: Ca
         else:
             offered = _rest(own, spread, tokens, part, whole)
         links = cut(confirm(offered))
+        if links.isEmpty():
+            continue
         if labels is None:
             labels = components(links).select(F.col("node").alias("id"), "component")
             continue
@@ -76,4 +80,4 @@ def link(lists: DataFrame, confirm: Callable[[DataFrame], DataFrame], tokens: Ca
         old = labels.join(merged, labels["component"] == merged["node"], "left").select("id", F.coalesce("to", "component").alias("component"))
         new = merged.join(labels.select(F.col("id").alias("node")), "node", "left_anti").select(F.col("node").alias("id"), F.col("to").alias("component"))
         labels = cut(old.union(new))
-    return labels
+    return lists.select("id", F.col("id").alias("component")).limit(0) if labels is None else labels
