@@ -17,7 +17,7 @@ def as_cases(events: DataFrame) -> DataFrame:
     """Events read as answers, with their time."""
     k = F.col("event_id")
     return events.select(
-        "ts", (F.col("user_id") % 3 != 0).alias("gold_allowed"), (k % 5 == 0).alias("refusal"), F.when(k % 5 == 0, "NOT_APPLICABLE").when(k % 7 == 0, "BLOCK").otherwise("PASS").alias("access_status"),
+        F.col("ts").cast("timestamp").alias("ts"), (F.col("user_id") % 3 != 0).alias("gold_allowed"), (k % 5 == 0).alias("refusal"), F.when(k % 5 == 0, "NOT_APPLICABLE").when(k % 7 == 0, "BLOCK").otherwise("PASS").alias("access_status"),
         F.when(F.col("event_type") == "view", True).when(F.col("event_type") == "click", False).alias("execution_correct"),
     )
 
