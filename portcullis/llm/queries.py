@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, html, langid, lines, media, minhash, ngrams, packing, sharding, substrings
+from . import decontamination, html, langid, lines, media, minhash, ngrams, oracles, packing, sharding, substrings
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -81,4 +81,4 @@ def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_decontamination, op2_minhash, op3_packing, op4_html, op5_media, op6_ngrams, op7_sharding, op8_lines, op9_langid, op10_substrings)}
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op1_decontamination": oracles.CONTAMINATION, "op2_minhash": oracles.NEAR_DUPLICATES, "op10_substrings": oracles.SUBSTRINGS}
