@@ -70,7 +70,8 @@ def bands(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
         filled = np.take_along_axis(bins, np.where(nearest >= 2 * _BINS, 0, nearest) % _BINS, 1)
         bins = np.where(empty, filled + (nearest - np.arange(_BINS)).astype(np.uint32) * np.uint32(0x9E3779B1), bins)
     wide = B.mix(bins.astype(np.uint64) + (np.arange(_BINS, dtype=np.uint64) << np.uint64(32)))
-    return B.mix(np.bitwise_xor.reduce(wide.reshape(len(bins), BANDS, ROWS), 2) + np.arange(1, BANDS + 1, dtype=np.uint64))
+    # the bins of a band lie far apart: a short line fills neighbouring bins from one shingle
+    return B.mix(np.bitwise_xor.reduce(wide.reshape(len(bins), ROWS, BANDS), 1) + np.arange(1, BANDS + 1, dtype=np.uint64))
 
 
 def _read(docs: DataFrame) -> DataFrame:
@@ -141,12 +142,14 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, part: int, whole: int) -> Dat
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            texts = [x for pair in zip(batch.column("ta").to_pylist(), batch.column("tb").to_pylist(), strict=True) for x in pair]
+            ends = np.cumsum([len(x) for x in texts], dtype=np.int64)
+            hashes, n = shingles(np.frombuffer(b"".join(texts), np.uint8), np.concatenate([[0], ends[:-1]]).astype(np.int64), ends)
+            edge = np.concatenate([[0], np.cumsum(n)]).tolist()
             keep = []
-            for a, b in zip(batch.column("ta").to_pylist(), batch.column("tb").to_pylist(), strict=True):
-                data = np.frombuffer(a + b, np.uint8)
-                hashes, n = shingles(data, np.array([0, len(a)]), np.array([len(a), len(data)]))
-                x, y = np.unique(hashes[: n[0]]), np.unique(hashes[n[0] :])
-                common = len(np.intersect1d(x, y, assume_unique=True))
+            for i in range(0, len(texts), 2):
+                x, y = np.unique(hashes[edge[i] : edge[i + 1]]), np.unique(hashes[edge[i + 1] : edge[i + 2]])
+                common = len(np.intersect1d(x, y, assume_unique=True)) if whole * min(len(x), len(y)) >= part * max(len(x), len(y)) else 0
                 keep.append(whole * common >= part * (len(x) + len(y) - common))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
