@@ -94,7 +94,7 @@ def test_filter_never_underestimates():
     for level in range(1, int(q.max()) + 1):
         for place in ngrams._places(hashes[q >= level], level, 1, size):
             bits[place] = True
-    f = ngrams.Filter(np.packbits(bits, bitorder="little")[None], 1, 10, 10)
+    f = ngrams.Filter(np.packbits(bits, bitorder="little")[None], 1, 10, 10, {1: int(q.max()), 2: 0})
     levels = f.levels(hashes, 1)
     assert (levels >= q).all() and (levels == q).mean() > 0.98
     assert (f.levels(r.integers(0, 1 << 63, 5000, dtype=np.uint64), 1) == 0).mean() > 0.98
