@@ -42,5 +42,9 @@ def input_bytes(df: DataFrame) -> int:
 
 
 def parts(df: DataFrame, each: int) -> int:
-    """Partitions of about ``each`` bytes of input, and at least the session's number of shuffle partitions."""
-    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(1 << 20, input_bytes(df) // each))
+    """Partitions of about ``each`` bytes of input, and at least the session's number of shuffle partitions.
+
+    Tables that are not files have no estimate (Catalyst then says exabytes) and get the session's number.
+    """
+    size = input_bytes(df)
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(1 << 20, size // each) if size < 1 << 55 else 1)
