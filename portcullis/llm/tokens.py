@@ -19,7 +19,7 @@ from . import blocks as B
 
 KEPT = 1 << 20
 _LETTER, _DIGIT, _SPACE, _OTHER, _HARD = 1, 2, 3, 4, 9
-_LIMIT = 0x250
+_LIMIT, _LAST = 0x250, 0x280  # characters of these lead bytes reach to U+027F; from _LIMIT on they are hard
 #: Texts that the array split leaves to the library: contractions and special tokens.
 _ODD = re.compile(rb"'(?:[stmd]|re|ve|ll)|<\|")
 
@@ -27,16 +27,17 @@ _ODD = re.compile(rb"'(?:[stmd]|re|ve|ll)|<\|")
 def _classes() -> tuple[np.ndarray, np.ndarray]:
     import regex
 
-    one = np.full(_LIMIT, _OTHER, np.uint8)
+    one = np.full(_LAST, _OTHER, np.uint8)
     for kind, pattern in ((_LETTER, r"\p{L}"), (_DIGIT, r"\p{N}"), (_SPACE, r"\s")):
         for c in range(_LIMIT):
             if regex.match(pattern, chr(c)):
                 one[c] = kind
     one[[c for c in range(32) if c not in (9, 10, 11, 12, 13)]] = _HARD
     one[[0x85, 0xA0]] = _HARD
+    one[_LIMIT:] = _HARD
     first = np.full(256, _HARD, np.uint8)
     first[:128] = one[:128]
-    first[0x80:0xCA] = 0  # later bytes, and leads of two up to U+024F, come from the character
+    first[0x80:0xCA] = 0  # later bytes, and leads of two up to U+027F, come from the character
     return first, one
 
 

@@ -31,6 +31,18 @@ def test_packing(docs, rows):
     assert max(filled.values()) <= 1024
 
 
+def test_tokens_of_letters_at_the_end_of_the_array_split():
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    from portcullis.llm import tokens
+
+    texts = ["a\u024f b", "plain words", "\u0250", "x \u027f y", "Az\u0259rbaycan dili", "\u0280", "\u00e9t\u00e9 \u0252\u0261", "last"]
+    t = Tokenizer.from_file(queries.vocabulary())
+    ((_, flat, counts),) = tokens.encoded(queries.vocabulary(), pa.array(texts))
+    assert [x.tolist() for x in np.split(flat, np.cumsum(counts)[:-1])] == [t.encode(x, add_special_tokens=False).ids for x in texts]
+
+
 def test_plan_uses_each_remainder_once():
     r = np.random.default_rng(1)
     for histogram in (r.integers(0, 50, 1024), np.bincount([500] * 7, minlength=1024), np.zeros(1024, int), np.bincount([1] * 5000 + [1023] * 3, minlength=1024)):
