@@ -34,6 +34,8 @@ BLOCKS = frozenset(
     "details summary center hgroup menu dialog".split()
 )
 _CLOSES_P = BLOCKS - {"html", "body", "button", "label", "caption", "td", "th", "tr", "thead", "tbody", "tfoot", "legend", "dt", "dd", "li"} | {"hr"}
+#: What may stand in a head; any other start tag, and text, closes an open one.
+_IN_HEAD = frozenset("head title meta link base basefont bgsound style script noscript noframes template object".split())
 #: What a start tag closes, and where the search for it ends.
 _IMPLIED = {
     "li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}),
@@ -68,7 +70,7 @@ class Page:
         root = self._node(-1, "#root", "", 0)
         stack: list[tuple[str, int]] = [("#root", root)]  # open elements, each with its block
         run: list[str] = []
-        linked, links, hidden, at = 0, 0, 0, 0
+        linked, links, hidden, heads, at = 0, 0, 0, 0, 0
 
         def flush() -> None:
             nonlocal linked
@@ -81,16 +83,19 @@ class Page:
                 linked = 0
 
         def pop() -> None:
-            nonlocal links, hidden
+            nonlocal links, hidden, heads
             tag, _ = stack[-1]
             if tag in BLOCKS:
                 flush()
             links -= tag == "a"
             hidden -= tag in HIDDEN
+            heads -= tag == "head"
             stack.pop()
 
         def data(text: str) -> None:
             nonlocal linked
+            if heads and stack[-1][0] == "head" and not text.isspace():
+                pop()
             if text and not hidden:
                 text = entities.unescape(text) if "&" in text else text
                 run.append(text)
@@ -122,6 +127,11 @@ class Page:
                 while depth and len(stack) > depth:
                     pop()
                 continue
+            if heads and tag not in _IN_HEAD:
+                depth = next(i for i, (name, _) in enumerate(stack) if name == "head")
+                if tag == "body" or not any(name in ("noscript", "template", "object") for name, _ in stack[depth:]):
+                    while len(stack) > depth:
+                        pop()
             if tag == "br" or tag == "hr":
                 run.append(" ")
             if tag in _CLOSES_P:
@@ -160,6 +170,7 @@ class Page:
                 block = self._node(block, tag, group, label)
             links += tag == "a"
             hidden += tag in HIDDEN
+            heads += tag == "head"
             stack.append((tag, block))
         flush()
 

@@ -190,6 +190,15 @@ def test_main_text(spark):
     assert got[7] == got[1]
 
 
+@pytest.mark.parametrize("old, new", [("</head>", ""), ("</head><body>", ""), ("</head>", "<noscript><link rel=x></noscript>"), ("</head>", "<head><noscript>"), ("<html><head>", "<HEAD>")])
+def test_main_text_of_pages_that_leave_out_the_end_of_head(old, new):
+    page = "<html><head><meta charset=utf-8><title>T</title><style>p {}</style></head><body><nav><a href=/>Home</a></nav><article><h1>A head line</h1><p>One two three, and a good deal more text here.</p></article></body></html>"
+    blocks = html.trained().blocks
+    assert blocks(page.replace(old, new)) == blocks(page) == ["A head line", "One two three, and a good deal more text here."]
+    words = [t for t in html.Page("<head><title>T</title> Loose text <p>and more").text if t]
+    assert words == ["Loose text", "and more"]
+
+
 def test_main_text_of_tables(spark, sf_dir):
     import html as entities
     import re
