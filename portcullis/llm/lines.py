@@ -1,7 +1,7 @@
 """Fuzzy line dedup: one line is kept of each component of near-copies.
 
 A line is what lies between line feeds, without ASCII white space around it; blank lines are left alone. Lines of
-equal text are one class. Each class has the set of its ``SHINGLE``-byte shingles (a shorter line is one shingle) and a
+equal text are one class. Each class has the set of its shingles of ``SHINGLE`` characters (a shorter line is one shingle) and a
 signature of BANDS * ROWS bins, each the least hash of the shingles that fall in it (empty bins take the next full one's).
 Classes that agree in a whole band are candidates, their Jaccard similarity is taken exactly on the texts, and
 confirmed links go through the distributed union-find. With 20 bands of 6 a pair at 0.8 is a candidate with a chance
@@ -51,9 +51,15 @@ def lines_of(block: B.Block) -> tuple[B.Words, np.ndarray]:
 def shingles(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Shingle hashes of the spans on end (not distinct), and how many each span has."""
     sums, down = B.prefix(data.astype(np.uint64) + np.uint64(1))
-    n = np.maximum(1, ends - starts - SHINGLE + 1)
-    at = np.repeat(starts, n) + B.ragged(n)
-    stop = np.minimum(at + SHINGLE, np.repeat(ends, n))
+    first = data & 0xC0 != 0x80  # of a character
+    place = np.append(np.flatnonzero(first), len(data))
+    before = np.concatenate([[0], np.cumsum(first)])
+    lo, hi = before[starts], before[ends]
+    n = np.maximum(1, hi - lo - SHINGLE + 1)
+    char = np.repeat(lo, n) + B.ragged(n)
+    at = place[char]
+    at[np.cumsum(n) - n] = starts
+    stop = np.minimum(place[np.minimum(char + SHINGLE, len(place) - 1)], np.repeat(ends, n))
     return B.mix((sums[stop] - sums[at]) * down[at] + (stop - at).astype(np.uint64)), n
 
 
