@@ -1,11 +1,14 @@
 """Fuzzy line dedup: one line is kept of each component of near-copies.
 
 A line is what lies between line feeds, without ASCII white space around it; blank lines are left alone. Lines of
-equal text are one class. Each class has the set of its shingles of ``SHINGLE`` characters (a shorter line is one shingle) and a
-signature of BANDS * ROWS bins, each the least hash of the shingles that fall in it (empty bins take the next full one's).
-Classes that agree in a whole band are candidates, their Jaccard similarity is taken exactly on the texts, and
-confirmed links go through the distributed union-find. With 20 bands of 6 a pair at 0.8 is a candidate with a chance
-of 0.998, one at 0.9 practically always. Band values that a count-min sketch of fixed size shows once are not posted.
+equal text are one class. Each class has the set of its shingles of ``SHINGLE`` characters (a shorter line is one
+shingle). One of more than SHORT shingles has a signature of BANDS * ROWS bins, each the least hash of the shingles
+that fall in it; an empty bin takes a full one's, which it seeks in an order of its own, so that bins stay nearly
+independent in short lines too. Classes that agree in a whole band are candidates; with 20 bands of 6 a pair at 0.8
+is one with a chance of about 0.998, one at 0.9 practically always. A class of at most SHORT shingles meets every
+similar one: pairs of its rarest shingles are its keys (a prefix filter, without loss), and those of all lines that
+could be similar to such a one. Of candidates the Jaccard similarity is taken exactly on the texts, and confirmed
+links go through the distributed union-find. Keys that a count-min sketch of fixed size shows once are not posted.
 """
 
 from __future__ import annotations
@@ -14,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,6 +29,9 @@ from .sketches import count_min, repeated
 SHINGLE, BANDS, ROWS = 5, 20, 6
 PART, WHOLE = 80, 100
 CELLS = 1 << 27
+#: Lines of at most so many distinct shingles meet all similar ones, by prefixes.
+SHORT = 24
+CELLS_RANK = 1 << 16
 _BINS = BANDS * ROWS
 _NONE = np.uint32(0xFFFFFFFF)
 _SPACE = ~B.SPACED
@@ -63,60 +70,147 @@ def shingles(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np
     return B.mix((sums[stop] - sums[at]) * down[at] + (stop - at).astype(np.uint64)), n
 
 
-def bands(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """Band values of each span, hashed with the band's number: one permutation, binned, empty bins filled from the right."""
+def _turns() -> np.ndarray:
+    """For each bin, all bins in an order of its own: an empty bin takes the first full one of them."""
+    keys = B.mix(np.arange(_BINS * _BINS, dtype=np.uint64) + np.uint64(0x74)).reshape(_BINS, _BINS)
+    return np.argsort(keys, 1, kind="stable")
+
+
+_TURNS = _turns()
+
+
+def binned(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The least hash of each span's shingles in each bin; ``_NONE`` in empty bins."""
     owner = np.repeat(np.arange(len(counts)) * _BINS, counts)
     bins = np.full(len(counts) * _BINS, _NONE, np.uint32)
     np.minimum.at(bins, owner + (hashes >> np.uint64(32)).astype(np.int64) * _BINS // (1 << 32), (hashes & np.uint64(0xFFFFFFFF)).astype(np.uint32))
-    bins = bins.reshape(-1, _BINS)
-    empty = bins == _NONE
-    if empty.any():
-        place = np.where(empty, 2 * _BINS, np.arange(_BINS))
-        nearest = np.minimum.accumulate(np.concatenate([place, place + _BINS], 1)[:, ::-1], 1)[:, ::-1][:, :_BINS]
-        filled = np.take_along_axis(bins, np.where(nearest >= 2 * _BINS, 0, nearest) % _BINS, 1)
-        bins = np.where(empty, filled + (nearest - np.arange(_BINS)).astype(np.uint32) * np.uint32(0x9E3779B1), bins)
-    wide = B.mix(bins.astype(np.uint64) + (np.arange(_BINS, dtype=np.uint64) << np.uint64(32)))
-    # the bins of a band lie far apart: a short line fills neighbouring bins from one shingle
+    return bins.reshape(-1, _BINS)
+
+
+def bands(bins: np.ndarray) -> np.ndarray:
+    """Band values of each span, hashed with the band's number; each empty bin is filled from a full one of its own choice."""
+    filled = bins.copy()
+    row, own = np.nonzero(bins == _NONE)
+    for turn in range(_BINS):
+        if not len(row):
+            break
+        value = bins[row, _TURNS[own, turn]]
+        full = value != _NONE
+        filled[row[full], own[full]] = value[full]
+        row, own = row[~full], own[~full]
+    wide = B.mix(filled.astype(np.uint64) + (np.arange(_BINS, dtype=np.uint64) << np.uint64(32)))
     return B.mix(np.bitwise_xor.reduce(wide.reshape(len(bins), ROWS, BANDS), 1) + np.arange(1, BANDS + 1, dtype=np.uint64))
 
 
-def _read(docs: DataFrame) -> DataFrame:
-    """id, th, number and line (its hash) of each line; bands with the first of equal lines in a block."""
+def few(hashes: np.ndarray, counts: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct shingles of the wanted spans, sorted, on end, and how many each of them has."""
+    row = np.repeat(np.arange(len(counts)), counts)
+    take = wanted[row]
+    own, row = hashes[take], row[take]
+    order = np.lexsort((own, row))
+    own, row = own[order], row[order]
+    first = np.ones(len(own), bool)
+    first[1:] = (own[1:] != own[:-1]) | (row[1:] != row[:-1])
+    return own[first], np.bincount(row[first], minlength=len(counts))[wanted]
+
+
+def signature(hashes: np.ndarray, counts: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Band values of the spans of more than SHORT distinct shingles, and the shingles of those of at most ``most``.
+
+    Both flat, each with the number of values that every span has.
+    """
+    bins = binned(hashes, counts)
+    able = (bins != _NONE).sum(1) <= most  # a span has no fewer shingles than full bins
+    own, n = few(hashes, counts, able)
+    size = np.full(len(counts), most + 1)
+    size[able] = n
+    long = size > SHORT
+    return bands(bins[long]).ravel(), long * BANDS, own[np.repeat(n <= most, n)], np.where(size <= most, size, 0)
+
+
+def partners(part: int, whole: int) -> int:
+    """Shingles at most of a line that is similar to one of at most SHORT."""
+    return SHORT * whole // part
+
+
+def prefixes(tokens: np.ndarray, counts: np.ndarray, rank: np.ndarray, part: int, whole: int) -> tuple[np.ndarray, np.ndarray]:
+    """Prefix keys of spans of few shingles, with the span of each: similar spans share at least one.
+
+    Similar sets share ceil(part * n / whole) shingles of each one's n. In any order of the shingles (here by
+    ``rank`` of their cells, rare ones first) two common ones are then among the first n - that + 2 of both; a span
+    that may share just one has its single shingles as keys too.
+    """
+    row = np.repeat(np.arange(len(counts)), counts)
+    order = np.lexsort((tokens, rank[(tokens % np.uint64(CELLS_RANK)).astype(np.int64)], row))
+    tokens = tokens[order]
+    least = -(-part * counts // whole)
+    length = np.minimum(counts, counts - least + 2)
+    first = np.cumsum(counts) - counts
+    keys, owners = [], []
+    single = np.flatnonzero((least == 1) & (counts > 0))
+    n = counts[single]
+    keys.append(B.mix(tokens[np.repeat(first[single], n) + B.ragged(n)] + np.uint64(0x31)))
+    owners.append(np.repeat(single, n))
+    for j in range(1, int(length.max(initial=0))):
+        has = np.flatnonzero(length > j)
+        for i in range(j):
+            keys.append(B.mix(B.mix(tokens[first[has] + i]) * np.uint64(0xD6E8FEB86659FD93) + tokens[first[has] + j]))
+            owners.append(has)
+    return np.concatenate(keys), np.concatenate(owners)
+
+
+def _read(docs: DataFrame, most: int) -> DataFrame:
+    """id, th, number and line (its hash) of each line; bands and few (shingles) with the first of equal lines in a block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block in B.blocks(batch.column("text")):
                 found, number = lines_of(block)
                 _, one = np.unique(found.hashes, return_index=True)
-                counts = np.zeros(len(found.hashes), np.int64)
-                flat = np.zeros(0, np.uint64)
+                counts, short = np.zeros((2, len(found.hashes)), np.int64)
+                flat = own = np.zeros(0, np.uint64)
                 if len(one):
                     one.sort()
-                    flat = bands(*shingles(block.data, found.starts[one], found.ends[one])).ravel()
-                    counts[one] = BANDS
+                    flat, counts[one], own, short[one] = signature(*shingles(block.data, found.starts[one], found.ends[one]), most)
+                held = [B.lists(B.signed(flat), counts, pa.int64()), B.lists(B.signed(own), short, pa.int64())]
                 own = batch.drop_columns(["text"]).slice(block.first, block.rows).take(pa.array(found.row_of()))
                 yield pa.RecordBatch.from_arrays(
-                    [own.column("id"), own.column("th"), pa.array(number.astype(np.int32)), pa.array(B.signed(found.hashes)), B.lists(B.signed(flat), counts, pa.int64())], names=["id", "th", "number", "line", "bands"]
+                    [own.column("id"), own.column("th"), pa.array(number.astype(np.int32)), pa.array(B.signed(found.hashes)), *held], names=["id", "th", "number", "line", "bands", "few"]
                 )
 
-    return docs.mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, th long, number int, line long, bands array<long>")
+    return docs.mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, th long, number int, line long, bands array<long>, few array<long>")
+
+
+def _rank(few: DataFrame) -> np.ndarray:
+    """How often the shingles of each cell occur in lines of few: CELLS_RANK counts, whatever the input."""
+    got = few.select(F.explode("few").alias("t")).select(F.expr(f"cast(t & {CELLS_RANK - 1}L as int)").alias("cell")).groupBy("cell").agg(F.count("*").alias("c")).toPandas()
+    out = np.zeros(CELLS_RANK, np.int64)
+    out[got["cell"].to_numpy(np.int64)] = got["c"].to_numpy(np.int64)
+    return out
+
 
+def _posted(read: DataFrame, part: int, whole: int) -> DataFrame:
+    """(pair, id): lines under the band values and prefix keys that the sketch shows twice."""
+    slim = read.where("size(bands) > 0 or size(few) > 0").select("line", "bands", "few")
+    spark = read.sparkSession
+    rank = spark.sparkContext.broadcast(_rank(slim))
 
-def _posted(read: DataFrame) -> DataFrame:
-    """(pair, id): lines under the band values that the sketch shows twice."""
+    def both(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        """Keys of a batch's lines, and the row of each."""
+        flat, counts = zip(*((batch.column(n).flatten().to_numpy(zero_copy_only=False).view(np.uint64), pc.list_value_length(batch.column(n)).to_numpy(zero_copy_only=False).astype(np.int64)) for n in ("bands", "few")), strict=True)
+        keys, row = prefixes(flat[1], counts[1], rank.value, part, whole)
+        return np.concatenate([flat[0], keys]), np.concatenate([np.repeat(np.arange(batch.num_rows), counts[0]), row])
 
     def keys(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
-        yield batch.column("bands").flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+        yield both(batch)[0]
 
-    slim = read.where(F.size("bands") > 0).select("line", "bands")
-    held = read.sparkSession.sparkContext.broadcast(count_min(slim.select("bands"), keys, CELLS))
+    held = spark.sparkContext.broadcast(count_min(slim, keys, CELLS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own = batch.column("bands").flatten().to_numpy(zero_copy_only=False)
-            line = np.repeat(batch.column("line").to_numpy(), BANDS)
-            keep = repeated(held.value, own.view(np.uint64))
-            yield pa.RecordBatch.from_arrays([pa.array(own[keep]), pa.array(line[keep])], names=["pair", "id"])
+            own, row = both(batch)
+            keep = repeated(held.value, own)
+            yield pa.RecordBatch.from_arrays([pa.array(B.signed(own[keep])), pa.array(batch.column("line").to_numpy()[row[keep]])], names=["pair", "id"])
 
     posted = slim.mapInArrow(run, "pair long, id long").distinct()
     return posted.join(posted.groupBy("pair").agg(F.count("*").alias("n")).where("n > 1").select("pair"), "pair", "left_semi")
@@ -190,8 +284,8 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", part:
     """
     small_batches(docs.sparkSession)
     slim = docs.select(F.col(f"`{key}`").alias("id"), F.xxhash64(F.col(f"`{text}`")).alias("th"), F.col(f"`{text}`").alias("text"))
-    read = cut(_read(slim))
-    lists = cut(_posted(read))
+    read = cut(_read(slim, partners(part, whole)))
+    lists = cut(_posted(read, part, whole))
     texts = cut(_texts(slim, lists.select("id").distinct()))
     labels = link(lists, lambda pairs: _confirmed(pairs, texts, part, whole), lambda ids: _tokens(texts.join(ids, "id", "left_semi")), part, whole)
     place = F.struct("id", "th", "number")

@@ -51,3 +51,37 @@ def test_lines_of_wide_characters(spark):
         other[n // 2] = "\u3042"
         rows += [(len(rows), "".join(line)), (len(rows) + 1, "".join(other))]
     assert _dropped(spark, rows) == _brute(rows) == {7, 9}
+
+
+def _found(a, b):
+    """Whether two sets of shingle hashes meet under a band value or a prefix key."""
+    hashes, counts = np.concatenate([a, b]), np.array([len(a), len(b)])
+    flat, n, own, few = lines.signature(hashes, counts, lines.partners(80, 100))
+    keys, row = lines.prefixes(own, few, np.arange(lines.CELLS_RANK) % 7, 80, 100)
+    mine = [set(x.tolist()) | set(keys[row == i].tolist()) for i, x in enumerate(np.split(flat, [n[0]]))]
+    return bool(mine[0] & mine[1])
+
+
+def test_recall_by_number_of_shingles():
+    r = np.random.default_rng(7)
+    for common, left, right, trials, most in [
+        (1, 0, 0, 50, 0), (4, 1, 0, 400, 0), (9, 1, 0, 400, 0), (16, 2, 2, 400, 0), (18, 1, 1, 400, 0), (20, 3, 2, 400, 0), (24, 6, 0, 400, 0), (24, 0, 0, 50, 0),
+        (28, 4, 3, 800, 0.012), (40, 5, 5, 800, 0.012), (45, 2, 3, 800, 0.001), (80, 10, 10, 800, 0.012), (180, 10, 10, 400, 0.001),
+    ]:
+        missed = 0
+        for _ in range(trials):
+            x = r.integers(0, 1 << 64, common + left + right, dtype=np.uint64)
+            missed += not _found(x[: common + left], np.concatenate([x[:common], x[common + left :]]))
+        assert missed <= most * trials, (common, left, right, missed)
+
+
+def test_short_lines_against_brute_force(spark):
+    r = random.Random(11)
+    rows = []
+    for i in range(60):
+        line = "".join(r.choice("abcdefgh ") for _ in range(r.randint(1, 32))).strip() or "x"
+        rows.append((len(rows), line))
+        rows.append((len(rows), line + r.choice(["y", "yz", "y."])))
+        rows.append((len(rows), r.choice("zw") + line))
+    gone = _brute(rows)
+    assert len(gone) > 40 and _dropped(spark, rows) == gone
