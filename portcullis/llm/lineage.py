@@ -2,26 +2,60 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a temporary one of this machine only where that is unset, as in tests."""
+    """The folder in spark.checkpoint.dir; a temporary one of this machine only where that is unset and nothing else runs, as in tests."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         named = f"file://{tempfile.mkdtemp(prefix='portcullis-')}"
         spark.conf.set("spark.checkpoint.dir", named)
     return named
 
 
+@contextlib.contextmanager
+def _settings(spark: SparkSession, **named: str) -> Iterator[None]:
+    """The session's settings for a while."""
+    before = {k: spark.conf.get(k, None) for k in named}
+    for k, v in named.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+#: Shuffle files of a table that is written go when it is written.
+_CLEAN = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write df as a table in the shared folder and read it back: computed once, and safe from lost executors."""
     path = f"{shared_folder(df.sparkSession).rstrip('/')}/{uuid.uuid4().hex}.parquet"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    with _settings(df.sparkSession, **_CLEAN):
+        df.write.parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.cut_path = path
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Delete those tables that ``cut`` wrote; nothing may read them again."""
+    for df in tables:
+        if "cut_path" not in vars(df):
+            continue
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df.cut_path)
+        path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 #: Rows to an Arrow batch: texts of some kilobytes make batches of some megabytes.
@@ -47,4 +81,4 @@ def parts(df: DataFrame, each: int) -> int:
     Tables that are not files have no estimate (Catalyst then says exabytes) and get the session's number.
     """
     size = input_bytes(df)
-    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(1 << 20, size // each) if size < 1 << 55 else 1)
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), size // each if size < 1 << 55 else 1)

@@ -1,14 +1,17 @@
 """Fuzzy line dedup: one line is kept of each component of near-copies.
 
 A line is what lies between line feeds, without ASCII white space around it; blank lines are left alone. Lines of
-equal text are one class. Each class has the set of its shingles of ``SHINGLE`` characters (a shorter line is one
-shingle). One of more than SHORT shingles has a signature of BANDS * ROWS bins, each the least hash of the shingles
-that fall in it; an empty bin takes a full one's, which it seeks in an order of its own, so that bins stay nearly
-independent in short lines too. Classes that agree in a whole band are candidates; with 20 bands of 6 a pair at 0.8
-is one with a chance of about 0.998, one at 0.9 practically always. A class of at most SHORT shingles meets every
-similar one: pairs of its rarest shingles are its keys (a prefix filter, without loss), and those of all lines that
-could be similar to such a one. Of candidates the Jaccard similarity is taken exactly on the texts, and confirmed
-links go through the distributed union-find. Keys that a count-min sketch of fixed size shows once are not posted.
+equal text are one class. Each class has the set of its shingles of ``SHINGLE`` characters; lines shorter than that are
+similar to equal ones only. One of more than SHORT distinct shingles has a signature of BANDS * ROWS bins, each the
+least hash of the shingles that fall in it; an empty bin takes a full one's, which it seeks in an order of its own, so
+that bins stay nearly independent in short lines too. With 20 bands of 6 a pair at 0.8 agrees in a whole band with a
+chance of about 0.998, one at 0.9 practically always. A class of at most SHORT shingles meets every similar one: pairs
+of its least shingle hashes are its keys (a prefix filter, without loss), and those of all lines that could be similar
+to such a one.
+
+Keys travel packed, with 64 bits of the signature and the number of shingles. Where they meet, lists in which no two
+lines agree in enough of these bits and in size are let go; of the other lists the candidates are compared exactly on
+the texts, and confirmed links go through the distributed union-find.
 """
 
 from __future__ import annotations
@@ -18,114 +21,132 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import blocks as B
-from .lineage import cut, small_batches
+from .decontamination import bitmap
+from .lineage import cut, forget, parts, small_batches
 from .linking import link
-from .sketches import count_min, repeated
 
 SHINGLE, BANDS, ROWS = 5, 20, 6
 PART, WHOLE = 80, 100
-CELLS = 1 << 27
 #: Lines of at most so many distinct shingles meet all similar ones, by prefixes.
 SHORT = 24
-CELLS_RANK = 1 << 16
+#: Standard deviations that a pair at the threshold may lie below its mean agreement of signature bits.
+SLACK = 4.5
 _BINS = BANDS * ROWS
-_NONE = np.uint32(0xFFFFFFFF)
-_SPACE = ~B.SPACED
-
-
-def lines_of(block: B.Block) -> tuple[B.Words, np.ndarray]:
-    """The non-blank lines of each row, trimmed, and the number of each in its row (blank lines count)."""
-    found = B.words(block, B.LINES)
-    # trim: the first and last bytes of each line that are not white space
-    solid = np.concatenate([[0], np.cumsum(~_SPACE[block.data])])
-    full = solid[found.ends] > solid[found.starts]
-    places = np.flatnonzero(~_SPACE[block.data])
-    starts, ends = found.starts[full], found.ends[full]
-    starts, ends = places[solid[starts]], places[solid[ends] - 1] + 1 if len(ends) else ends
-    bounds = np.concatenate([[0], np.cumsum(full)])[found.bounds]
-    feeds = np.concatenate([[0], np.cumsum(block.data == 10)])
-    row = np.repeat(np.arange(block.rows), np.diff(bounds))
-    number = feeds[starts] - feeds[block.offsets[row]]
-    sums, down = B.prefix(block.data.astype(np.uint64) + np.uint64(1))
-    hashes = B.mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
-    return B.Words(starts, ends, hashes, bounds), number
-
-
-def shingles(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Shingle hashes of the spans on end (not distinct), and how many each span has."""
-    sums, down = B.prefix(data.astype(np.uint64) + np.uint64(1))
-    first = data & 0xC0 != 0x80  # of a character
-    place = np.append(np.flatnonzero(first), len(data))
-    before = np.concatenate([[0], np.cumsum(first)])
-    lo, hi = before[starts], before[ends]
-    n = np.maximum(1, hi - lo - SHINGLE + 1)
-    char = np.repeat(lo, n) + B.ragged(n)
-    at = place[char]
-    at[np.cumsum(n) - n] = starts
-    stop = np.minimum(place[np.minimum(char + SHINGLE, len(place) - 1)], np.repeat(ends, n))
-    return B.mix((sums[stop] - sums[at]) * down[at] + (stop - at).astype(np.uint64)), n
+_HASH = 52
+_MASK = np.uint64((1 << _HASH) - 1)
+_NONE = np.uint64(1 << 63)
+_LINES, _BYTES = 2048, 1 << 18  # lines and bytes of a chunk that is turned into shingles at once
+_K1, _K2, _K3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93), np.uint64(0xC4CEB9FE1A85EC53)
+_WHITE = " \t\n\r\x0b\x0c"
+_POSTING = np.dtype([("hi", "<u4"), ("lo", "<u2"), ("line", "<u8"), ("bits", "<u8"), ("n", "<u2")])
+_BUCKET_BYTES, _BUCKETS = 16 << 20, 8  # input to a partition of postings, and buckets to a partition
+_FLUSH = 1 << 20
+_HELD = 1 << 21
+
+
+def line_hash(body: bytes) -> int:
+    """Spark's xxhash64 of the same string, unsigned."""
+    return xxhash.xxh64_intdigest(body, 42)
+
+
+def chunks(lines: list[bytes]) -> Iterator[list[bytes]]:
+    """Runs of the lines that are turned into shingles at once."""
+    lo = size = 0
+    for i, body in enumerate(lines):
+        size += len(body)
+        if size >= _BYTES or i + 1 - lo >= _LINES:
+            yield lines[lo : i + 1]
+            lo, size = i + 1, 0
+    if lo < len(lines):
+        yield lines[lo:]
+
+
+def shingles(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct shingle hashes of up to 4096 lines, sorted within each line, on end, and how many each line has."""
+    codes = np.frombuffer(b"\n".join(lines).decode(errors="replace").encode("utf-32-le"), np.uint32).astype(np.uint64)
+    feeds = np.flatnonzero(codes == 10)
+    starts, ends = np.append(0, feeds + 1), np.append(feeds, len(codes))
+    n = np.maximum(0, ends - starts - SHINGLE + 1)
+    if not n.any():
+        return np.zeros(0, np.uint64), n
+    # five characters: two, four (two twos), and one more; each step multiplies so that no sum can cancel out
+    two = codes[:-1] << np.uint64(21)
+    two |= codes[1:]
+    own = two[:-3] * _K1
+    own += two[2:-1]
+    own *= _K2
+    own += codes[4:]
+    own ^= own >> np.uint64(32)
+    own *= _K3
+    own >>= np.uint64(64 - _HASH)
+    inside = np.ones(len(codes) + 1, bool)
+    for d in range(SHINGLE):  # where a shingle would reach beyond its line
+        inside[np.maximum(ends - d, starts)] = False
+    own = own[inside[: len(own)]]
+    own |= np.repeat(np.arange(len(n), dtype=np.uint64) << np.uint64(_HASH), n)
+    own.sort()
+    first = np.ones(len(own), bool)
+    np.not_equal(own[1:], own[:-1], out=first[1:])
+    own = own[first]
+    edges = np.searchsorted(own, np.arange(len(n) + 1, dtype=np.uint64) << np.uint64(_HASH))
+    own &= _MASK
+    return own, np.diff(edges)
 
 
 def _turns() -> np.ndarray:
-    """For each bin, all bins in an order of its own: an empty bin takes the first full one of them."""
+    """By turn and bin the bin that is asked next: each empty bin asks all bins in an order of its own for the first full one."""
     keys = B.mix(np.arange(_BINS * _BINS, dtype=np.uint64) + np.uint64(0x74)).reshape(_BINS, _BINS)
-    return np.argsort(keys, 1, kind="stable")
+    return np.argsort(keys, 1, kind="stable").T.copy()
 
 
 _TURNS = _turns()
 
 
-def binned(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """The least hash of each span's shingles in each bin; ``_NONE`` in empty bins."""
-    owner = np.repeat(np.arange(len(counts)) * _BINS, counts)
-    bins = np.full(len(counts) * _BINS, _NONE, np.uint32)
-    np.minimum.at(bins, owner + (hashes >> np.uint64(32)).astype(np.int64) * _BINS // (1 << 32), (hashes & np.uint64(0xFFFFFFFF)).astype(np.uint32))
-    return bins.reshape(-1, _BINS)
-
-
-def bands(bins: np.ndarray) -> np.ndarray:
-    """Band values of each span, hashed with the band's number; each empty bin is filled from a full one of its own choice."""
+def signature(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Least shingle hash of each line in each bin, mixed with the bin's number; empty bins are filled from full ones. All counts are over 0."""
+    cell = hashes * np.uint64(_BINS)
+    cell >>= np.uint64(_HASH)
+    cell += np.repeat(np.arange(len(counts), dtype=np.uint64) * np.uint64(_BINS), counts)
+    cell = cell.view(np.int64)
+    least = np.ones(len(cell), bool)  # hashes are sorted, so the first of a cell is its least
+    np.not_equal(cell[1:], cell[:-1], out=least[1:])
+    bins = np.full(len(counts) * _BINS, _NONE)
+    bins[cell[least]] = hashes[least]
     filled = bins.copy()
-    row, own = np.nonzero(bins == _NONE)
+    empty = np.flatnonzero(bins == _NONE)
+    own = empty % _BINS
+    line = empty - own
     for turn in range(_BINS):
-        if not len(row):
+        if not len(empty):
             break
-        value = bins[row, _TURNS[own, turn]]
+        value = bins[line + _TURNS[turn][own]]
         full = value != _NONE
-        filled[row[full], own[full]] = value[full]
-        row, own = row[~full], own[~full]
-    wide = B.mix(filled.astype(np.uint64) + (np.arange(_BINS, dtype=np.uint64) << np.uint64(32)))
-    return B.mix(np.bitwise_xor.reduce(wide.reshape(len(bins), ROWS, BANDS), 1) + np.arange(1, BANDS + 1, dtype=np.uint64))
-
-
-def few(hashes: np.ndarray, counts: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct shingles of the wanted spans, sorted, on end, and how many each of them has."""
-    row = np.repeat(np.arange(len(counts)), counts)
-    take = wanted[row]
-    own, row = hashes[take], row[take]
-    order = np.lexsort((own, row))
-    own, row = own[order], row[order]
-    first = np.ones(len(own), bool)
-    first[1:] = (own[1:] != own[:-1]) | (row[1:] != row[:-1])
-    return own[first], np.bincount(row[first], minlength=len(counts))[wanted]
+        filled[empty[full]] = value[full]
+        more = ~full
+        empty, own, line = empty[more], own[more], line[more]
+    return B.mix(filled.reshape(-1, _BINS) ^ (np.arange(_BINS, dtype=np.uint64) << np.uint64(_HASH)))
 
 
-def signature(hashes: np.ndarray, counts: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Band values of the spans of more than SHORT distinct shingles, and the shingles of those of at most ``most``.
+def bands(signed: np.ndarray) -> np.ndarray:
+    """Band values of each line, hashed with the band's number."""
+    return B.mix(np.bitwise_xor.reduce(signed.reshape(len(signed), ROWS, BANDS), 1) + np.arange(1, BANDS + 1, dtype=np.uint64))
+
+
+def bits(signed: np.ndarray) -> np.ndarray:
+    """A bit of each of the first 64 bins."""
+    return np.packbits((signed[:, :64] >> np.uint64(63)).astype(np.uint8), axis=1).view("<u8").ravel()
 
-    Both flat, each with the number of values that every span has.
-    """
-    bins = binned(hashes, counts)
-    able = (bins != _NONE).sum(1) <= most  # a span has no fewer shingles than full bins
-    own, n = few(hashes, counts, able)
-    size = np.full(len(counts), most + 1)
-    size[able] = n
-    long = size > SHORT
-    return bands(bins[long]).ravel(), long * BANDS, own[np.repeat(n <= most, n)], np.where(size <= most, size, 0)
+
+def slack(n: np.ndarray, part: int = PART, whole: int = WHOLE) -> np.ndarray:
+    """How many of the 64 bits may differ in a pair whose smaller line has n shingles; all of them in lines that keys of prefixes join."""
+    agree = (1 + part / whole) / 2
+    spread = np.sqrt(agree * (1 - agree) * (1 / 64 + 1 / np.minimum(0.7 * np.maximum(n, 1), _BINS)))
+    return np.where(n <= partners(part, whole), 64, np.floor(64 * (1 - agree + SLACK * spread)).astype(np.int64))
 
 
 def partners(part: int, whole: int) -> int:
@@ -133,125 +154,255 @@ def partners(part: int, whole: int) -> int:
     return SHORT * whole // part
 
 
-def prefixes(tokens: np.ndarray, counts: np.ndarray, rank: np.ndarray, part: int, whole: int) -> tuple[np.ndarray, np.ndarray]:
-    """Prefix keys of spans of few shingles, with the span of each: similar spans share at least one.
+def prefixes(tokens: np.ndarray, counts: np.ndarray, part: int, whole: int) -> tuple[np.ndarray, np.ndarray]:
+    """Prefix keys of lines of few shingles (sorted by hash), with the line of each: similar lines share at least one.
 
-    Similar sets share ceil(part * n / whole) shingles of each one's n. In any order of the shingles (here by
-    ``rank`` of their cells, rare ones first) two common ones are then among the first n - that + 2 of both; a span
-    that may share just one has its single shingles as keys too.
+    Similar sets share ceil(part * n / whole) shingles of each one's n, so in any order of the shingles two common ones
+    are among the first n - that + 2 of both; a line that may share just one has its single shingles as keys too.
     """
-    row = np.repeat(np.arange(len(counts)), counts)
-    order = np.lexsort((tokens, rank[(tokens % np.uint64(CELLS_RANK)).astype(np.int64)], row))
-    tokens = tokens[order]
     least = -(-part * counts // whole)
     length = np.minimum(counts, counts - least + 2)
     first = np.cumsum(counts) - counts
-    keys, owners = [], []
     single = np.flatnonzero((least == 1) & (counts > 0))
     n = counts[single]
-    keys.append(B.mix(tokens[np.repeat(first[single], n) + B.ragged(n)] + np.uint64(0x31)))
-    owners.append(np.repeat(single, n))
+    keys, owners = [B.mix(tokens[np.repeat(first[single], n) + B.ragged(n)] + np.uint64(0x31))], [np.repeat(single, n)]
     for j in range(1, int(length.max(initial=0))):
         has = np.flatnonzero(length > j)
         for i in range(j):
-            keys.append(B.mix(B.mix(tokens[first[has] + i]) * np.uint64(0xD6E8FEB86659FD93) + tokens[first[has] + j]))
+            keys.append(B.mix(B.mix(tokens[first[has] + i]) * _K2 + tokens[first[has] + j]))
             owners.append(has)
     return np.concatenate(keys), np.concatenate(owners)
 
 
-def _read(docs: DataFrame, most: int) -> DataFrame:
-    """id, th, number and line (its hash) of each line; bands and few (shingles) with the first of equal lines in a block."""
+def postings(hashes: np.ndarray, counts: np.ndarray, part: int = PART, whole: int = WHOLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys of the lines, the line of each key, and the signature bits of each line."""
+    some = np.flatnonzero(counts)
+    signed = signature(hashes, counts[some])
+    sketch = np.zeros(len(counts), np.uint64)
+    sketch[some] = bits(signed)
+    long = counts[some] > SHORT
+    few = (counts > 0) & (counts <= partners(part, whole))
+    keys, row = prefixes(hashes[np.repeat(few, counts)], counts * few, part, whole)
+    return np.concatenate([bands(signed[long]).ravel(), keys]), np.concatenate([np.repeat(some[long], BANDS), row]), sketch
+
+
+def bodies(column: pa.Array) -> Iterator[tuple[int, list[bytes]]]:
+    """For each row its number and its trimmed lines that are not blank."""
+    white = _WHITE.encode()
+    for i, text in enumerate(column.cast(pa.binary()).to_pylist()):
+        if text:
+            yield i, [x for x in (line.strip(white) for line in text.split(b"\n")) if x]
+
+
+def _posted(docs: DataFrame, buckets: int, part: int, whole: int) -> DataFrame:
+    """(bucket, held): the postings of all lines, packed; a line of a task's memory is posted once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        held: list[np.ndarray] = []
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            own = np.concatenate(held)
+            held.clear()
+            at = (own["hi"].astype(np.int64) * buckets) >> 32
+            order = np.argsort(at, kind="stable")
+            own, at = own[order], at[order]
+            edge = np.flatnonzero(np.diff(at, prepend=-1, append=-1))
+            packed = [own[lo:hi].tobytes() for lo, hi in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(at[edge[:-1]].astype(np.int32)), pa.array(packed, pa.binary())], names=["bucket", "held"])
+
+        def post(names: list[int], lines: list[bytes]) -> None:
+            hashes, counts = shingles(lines)
+            if not len(hashes):
+                return
+            keys, row, sketch = postings(hashes, counts, part, whole)
+            own = np.empty(len(keys), _POSTING)
+            own["hi"], own["lo"] = keys >> np.uint64(32), keys & np.uint64(0xFFFF)
+            own["line"], own["bits"] = np.array(names, np.uint64)[row], sketch[row]
+            own["n"] = np.minimum(counts, 0xFFFF)[row]
+            held.append(own)
+
+        names, lines, size = [], [], 0
         for batch in batches:
-            for block in B.blocks(batch.column("text")):
-                found, number = lines_of(block)
-                _, one = np.unique(found.hashes, return_index=True)
-                counts, short = np.zeros((2, len(found.hashes)), np.int64)
-                flat = own = np.zeros(0, np.uint64)
-                if len(one):
-                    one.sort()
-                    flat, counts[one], own, short[one] = signature(*shingles(block.data, found.starts[one], found.ends[one]), most)
-                held = [B.lists(B.signed(flat), counts, pa.int64()), B.lists(B.signed(own), short, pa.int64())]
-                own = batch.drop_columns(["text"]).slice(block.first, block.rows).take(pa.array(found.row_of()))
-                yield pa.RecordBatch.from_arrays(
-                    [own.column("id"), own.column("th"), pa.array(number.astype(np.int32)), pa.array(B.signed(found.hashes)), *held], names=["id", "th", "number", "line", "bands", "few"]
-                )
-
-    return docs.mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, th long, number int, line long, bands array<long>, few array<long>")
-
-
-def _rank(few: DataFrame) -> np.ndarray:
-    """How often the shingles of each cell occur in lines of few: CELLS_RANK counts, whatever the input."""
-    got = few.select(F.explode("few").alias("t")).select(F.expr(f"cast(t & {CELLS_RANK - 1}L as int)").alias("cell")).groupBy("cell").agg(F.count("*").alias("c")).toPandas()
-    out = np.zeros(CELLS_RANK, np.int64)
-    out[got["cell"].to_numpy(np.int64)] = got["c"].to_numpy(np.int64)
-    return out
-
-
-def _posted(read: DataFrame, part: int, whole: int) -> DataFrame:
-    """(pair, id): lines under the band values and prefix keys that the sketch shows twice."""
-    slim = read.where("size(bands) > 0 or size(few) > 0").select("line", "bands", "few")
-    spark = read.sparkSession
-    rank = spark.sparkContext.broadcast(_rank(slim))
-
-    def both(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-        """Keys of a batch's lines, and the row of each."""
-        flat, counts = zip(*((batch.column(n).flatten().to_numpy(zero_copy_only=False).view(np.uint64), pc.list_value_length(batch.column(n)).to_numpy(zero_copy_only=False).astype(np.int64)) for n in ("bands", "few")), strict=True)
-        keys, row = prefixes(flat[1], counts[1], rank.value, part, whole)
-        return np.concatenate([flat[0], keys]), np.concatenate([np.repeat(np.arange(batch.num_rows), counts[0]), row])
-
-    def keys(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
-        yield both(batch)[0]
-
-    held = spark.sparkContext.broadcast(count_min(slim, keys, CELLS))
+            for _, found in bodies(batch.column("text")):
+                for body in found:
+                    h = line_hash(body)
+                    if len(body) < SHINGLE or h in seen:
+                        continue
+                    if len(seen) >= _FLUSH:
+                        seen.clear()
+                    seen.add(h)
+                    names.append(h)
+                    lines.append(body)
+                    size += len(body)
+                    if size >= _BYTES or len(lines) >= _LINES:
+                        post(names, lines)
+                        names, lines, size = [], [], 0
+                if sum(map(len, held)) > _FLUSH:
+                    yield from flush()
+        if lines:
+            post(names, lines)
+        if held:
+            yield from flush()
+
+    return docs.select("text").mapInArrow(run, "bucket int, held binary")
+
+
+def _runs(own: np.ndarray) -> np.ndarray:
+    """For each row the row where its key's run begins."""
+    first = np.ones(len(own), bool)
+    first[1:] = own["key"][1:] != own["key"][:-1]
+    return np.maximum.accumulate(np.where(first, np.arange(len(own)), 0))
+
+
+def collide(own: np.ndarray, part: int, whole: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The lists in which two lines are near, and the other rows: rows, which of them lead, and rows of no such list.
+
+    In each list the first line takes those that are near it; of what is left the first leads on, until each line leads
+    or is taken. If two lines of a list are near, one at least is taken, so a list in which none is has no near pair.
+    """
+    own = own[np.argsort(own["key"], kind="stable")]
+    start = _runs(own)
+    size = np.bincount(start, minlength=len(own))[start]
+    alone, own = own[size == 1], own[size > 1]
+    own = own[np.lexsort((own["line"], own["key"]))]
+    same = np.zeros(len(own), bool)
+    same[1:] = (own["key"][1:] == own["key"][:-1]) & (own["line"][1:] == own["line"][:-1])
+    own = own[~same]
+    wide, n = slack(own["n"].astype(np.int64), part, whole), own["n"].astype(np.int64)
+    taken = np.zeros(len(own), bool)
+    left = np.arange(len(own))
+    while len(left):
+        lead = left[_runs(own[left])]
+        near = np.bitwise_count(own["bits"][lead] ^ own["bits"][left]) <= np.maximum(wide[lead], wide[left])
+        near &= (whole * np.minimum(n[lead], n[left]) >= part * np.maximum(n[lead], n[left])) & (lead != left)
+        taken[left[near]] = True
+        left = left[~near & (lead != left)]
+    start = _runs(own)
+    live = np.zeros(len(own), bool)
+    live[start[taken]] = True
+    live = live[start]
+    return own[live], ~taken[live], np.concatenate([alone, own[~live]])
+
+
+_KEYED = np.dtype([("key", "<u8"), ("line", "<u8"), ("bits", "<u8"), ("n", "<u2")])
+
+
+def _met(posted: DataFrame, size: int, part: int, whole: int) -> DataFrame:
+    """(pair, id, bits, n): the lists in which two lines are near.
+
+    A bucket of more than _HELD postings passes on what lists it has and holds only their leading lines, so a key that
+    very many similar lines share takes no more memory than others.
+    """
+
+    def rows(own: np.ndarray, names: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays(
+            [pa.array(B.signed(names)), pa.array(B.signed(own["line"].copy())), pa.array(B.signed(own["bits"].copy())), pa.array(own["n"].astype(np.int32))], names=["pair", "id", "bits", "n"]
+        )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            own, row = both(batch)
-            keep = repeated(held.value, own)
-            yield pa.RecordBatch.from_arrays([pa.array(B.signed(own[keep])), pa.array(batch.column("line").to_numpy()[row[keep]])], names=["pair", "id"])
+        held: list[np.ndarray] = []
+        split = np.zeros(0, np.uint64)  # keys of which lists were passed on in parts
+        now, limit = -1, _HELD
+
+        def close() -> Iterator[pa.RecordBatch]:
+            nonlocal split
+            own, _, _ = collide(np.concatenate(held), part, whole)
+            held.clear()
+            if len(own):
+                # a list is named by its lines, so those that meet under several keys are one list
+                start = _runs(own)
+                heads = np.flatnonzero(start == np.arange(len(own)))
+                content = B.mix(np.add.reduceat(B.mix(own["line"] + np.uint64(0x29)), heads))[np.searchsorted(heads, start)]
+                yield rows(own, np.where(np.isin(own["key"], split), B.mix(own["key"]), content))
+            split = split[:0]
 
-    posted = slim.mapInArrow(run, "pair long, id long").distinct()
-    return posted.join(posted.groupBy("pair").agg(F.count("*").alias("n")).where("n > 1").select("pair"), "pair", "left_semi")
+        for batch in batches:
+            for bucket, packed in zip(batch.column("bucket").to_pylist(), batch.column("held").to_pylist(), strict=True):
+                if bucket != now:
+                    if held:
+                        yield from close()
+                    now, limit = bucket, _HELD
+                raw = np.frombuffer(packed, _POSTING)
+                own = np.empty(len(raw), _KEYED)
+                own["key"] = raw["hi"].astype(np.uint64) << np.uint64(16) | raw["lo"].astype(np.uint64)
+                for name in ("line", "bits", "n"):
+                    own[name] = raw[name]
+                held.append(own)
+                if sum(map(len, held)) > limit:
+                    live, leads, rest = collide(np.concatenate(held), part, whole)
+                    held.clear()
+                    if len(live):
+                        yield rows(live, B.mix(live["key"]))
+                        split = np.union1d(split, live["key"])
+                    held.append(np.concatenate([live[leads], rest]))
+                    limit = max(_HELD, 2 * len(held[0]))
+        if held:
+            yield from close()
+
+    dealt = posted.repartition(size, "bucket").sortWithinPartitions("bucket")
+    return dealt.mapInArrow(run, "pair long, id long, bits long, n int")
+
+
+def near(part: int, whole: int) -> tuple[Column, Column]:
+    """What a list's rows carry (allowed differences of bits), and whether rows x and y can be similar."""
+    top = partners(part, whole)
+    table = slack(np.arange(_BINS * 2 + 1), part, whole).tolist()
+    allowed = F.when(F.col("n") <= top, 64).otherwise(F.element_at(F.array(*[F.lit(int(x)) for x in table]), F.least("n", F.lit(_BINS * 2)) + 1))
+    like = F.bit_count(F.col("bits_x").bitwiseXOR(F.col("bits_y"))) <= F.greatest("slack_x", "slack_y")
+    return allowed.alias("slack"), like & (F.lit(whole) * F.least("n_x", "n_y") >= F.lit(part) * F.greatest("n_x", "n_y"))
 
 
 def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """(id, body) of the wanted lines."""
-    from .decontamination import BITS, bitmap
+    from .decontamination import BITS
 
     held = docs.sparkSession.sparkContext.broadcast(bitmap(wanted.select(F.col("id").alias("fp")), BITS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in batches:
-            for block in B.blocks(batch.column("text")):
-                found, _ = lines_of(block)
-                at = found.hashes % np.uint64(BITS)
-                _, one = np.unique(found.hashes, return_index=True)
-                at = at[one]
-                keep = one[held.value[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8) & np.uint8(1) != 0]
-                raw = block.data.tobytes()
-                body = [raw[a:b] for a, b in zip(found.starts[keep].tolist(), found.ends[keep].tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(B.signed(found.hashes[keep])), pa.array(body, pa.binary())], names=["id", "body"])
+            for _, lines in bodies(batch.column("text")):
+                names = np.array([line_hash(x) for x in lines], np.uint64)
+                at = names % np.uint64(BITS)
+                hit = np.flatnonzero(held.value[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8) & np.uint8(1) != 0)
+                new = []
+                for i in hit.tolist():
+                    if (h := int(names[i])) not in seen:
+                        if len(seen) >= _FLUSH:
+                            seen.clear()
+                        seen.add(h)
+                        new.append(i)
+                if new:
+                    yield pa.RecordBatch.from_arrays([pa.array(B.signed(names[new])), pa.array([lines[i] for i in new], pa.binary())], names=["id", "body"])
 
     return docs.select("text").mapInArrow(run, "id long, body binary").join(wanted, "id", "left_semi").dropDuplicates(["id"])
 
 
+def similar(lines: list[bytes], part: int, whole: int) -> np.ndarray:
+    """Whether lines 0 and 1, 2 and 3, ... are similar by their whole shingle sets."""
+    hashes, counts = shingles(lines)
+    both = hashes | np.repeat(np.arange(len(counts), dtype=np.uint64) >> np.uint64(1) << np.uint64(_HASH), counts)
+    both.sort()
+    common = np.bincount((both[1:][both[1:] == both[:-1]] >> np.uint64(_HASH)).astype(np.int64), minlength=len(counts) // 2)
+    return (common > 0) & (whole * common >= part * (counts[::2] + counts[1::2] - common))
+
+
 def _confirmed(pairs: DataFrame, texts: DataFrame, part: int, whole: int) -> DataFrame:
     """The pairs whose shingle sets satisfy whole * intersection >= part * union."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [x for pair in zip(batch.column("ta").to_pylist(), batch.column("tb").to_pylist(), strict=True) for x in pair]
-            ends = np.cumsum([len(x) for x in texts], dtype=np.int64)
-            hashes, n = shingles(np.frombuffer(b"".join(texts), np.uint8), np.concatenate([[0], ends[:-1]]).astype(np.int64), ends)
-            edge = np.concatenate([[0], np.cumsum(n)]).tolist()
-            keep = []
-            for i in range(0, len(texts), 2):
-                x, y = np.unique(hashes[edge[i] : edge[i + 1]]), np.unique(hashes[edge[i + 1] : edge[i + 2]])
-                common = len(np.intersect1d(x, y, assume_unique=True)) if whole * min(len(x), len(y)) >= part * max(len(x), len(y)) else 0
-                keep.append(whole * common >= part * (len(x) + len(y) - common))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            keep, lo, size = [], 0, 0
+            ta, tb = batch.column("ta"), batch.column("tb")
+            for i, n in enumerate((pc.binary_length(ta).to_numpy() + pc.binary_length(tb).to_numpy()).tolist(), 1):
+                size += n
+                if size >= _BYTES or i - lo >= _LINES // 2 or i == batch.num_rows:
+                    a, b = ta.slice(lo, i - lo).to_pylist(), tb.slice(lo, i - lo).to_pylist()
+                    keep.append(similar([x for both in zip(a, b, strict=True) for x in both], part, whole))
+                    lo, size = i, 0
+            if keep:
+                yield batch.select(["a", "b"]).filter(pa.array(np.concatenate(keep)))
 
     both = pairs.join(texts.select(F.col("id").alias("a"), F.col("body").alias("ta")), "a").join(texts.select(F.col("id").alias("b"), F.col("body").alias("tb")), "b")
     return both.mapInArrow(run, "a long, b long")
@@ -262,58 +413,57 @@ def _tokens(texts: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for block in B.blocks(batch.column("body")):
-                hashes, n = shingles(block.data, block.offsets[:-1], block.offsets[1:])
-                row = np.repeat(np.arange(block.rows), n)
-                order = np.lexsort((hashes, row))
-                hashes, row = hashes[order], row[order]
-                first = np.ones(len(hashes), bool)
-                first[1:] = (hashes[1:] != hashes[:-1]) | (row[1:] != row[:-1])
-                ids = batch.column("id").slice(block.first, block.rows).take(pa.array(row[first]))
-                yield pa.RecordBatch.from_arrays([ids, pa.array(B.signed(hashes[first]))], names=["id", "token"])
+            names, lo = batch.column("id").to_numpy(), 0
+            for own in chunks(batch.column("body").to_pylist()):
+                hashes, counts = shingles(own)
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(names[lo : lo + len(own)], counts)), pa.array(B.signed(hashes))], names=["id", "token"])
+                lo += len(own)
 
     return texts.mapInArrow(run, "id long, token long")
 
 
+def components_of(docs: DataFrame, part: int = PART, whole: int = WHOLE) -> DataFrame:
+    """(id, component) of the lines (by hash) of docs(text) that are similar to another."""
+    size = parts(docs, _BUCKET_BYTES)
+    allowed, like = near(part, whole)
+    met = _met(_posted(docs, size * _BUCKETS, part, whole), size, part, whole)
+    lists = cut(met.distinct().select("pair", "id", "bits", "n", allowed))
+    texts = cut(_texts(docs, lists.select("id").distinct()))
+    labels = link(lists, lambda pairs: _confirmed(pairs, texts, part, whole), lambda ids: _tokens(texts.join(ids, "id", "left_semi")), part, whole, like)
+    forget(texts)
+    return labels
+
+
 def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", part: int = PART, whole: int = WHOLE) -> DataFrame:
     """docs with the text's near-copied lines removed; added columns: n_lines and n_dropped.
 
-    Of each component of similar lines the one that comes first (by key, then by line) stays. Rows with equal key and
-    text are treated alike. A null text stays null (no lines); blank lines stay. Columns named n_lines or n_dropped are
-    replaced, all others kept; an empty table stays empty.
+    Of each component of similar lines the one that comes first (by key, null keys first, then by line) stays. Rows with
+    equal key and text are treated alike. A null text stays null (no lines); blank lines stay. Columns named n_lines or
+    n_dropped are replaced, all others kept, whatever their names; an empty table stays empty.
     """
     small_batches(docs.sparkSession)
-    slim = docs.select(F.col(f"`{key}`").alias("id"), F.xxhash64(F.col(f"`{text}`")).alias("th"), F.col(f"`{text}`").alias("text"))
-    read = cut(_read(slim, partners(part, whole)))
-    lists = cut(_posted(read, part, whole))
-    texts = cut(_texts(slim, lists.select("id").distinct()))
-    labels = link(lists, lambda pairs: _confirmed(pairs, texts, part, whole), lambda ids: _tokens(texts.join(ids, "id", "left_semi")), part, whole)
+    body = F.col(f"`{text}`")
+    slim = docs.select(F.col(f"`{key}`").alias("id"), F.xxhash64(body).alias("th"), body.alias("text"))
+    # the lines' places, by built-in functions; Python hashes the same bytes to the same numbers
+    trimmed = slim.select("id", "th", F.posexplode(F.split("text", "\n")).alias("number", "line")).withColumn("line", F.btrim("line", F.lit(_WHITE))).where("line <> ''")
+    read = cut(trimmed.select("id", "th", "number", F.xxhash64("line").alias("line")))
+    labels = components_of(slim.select("text"), part, whole)
     place = F.struct("id", "th", "number")
     classes = read.groupBy("line").agg(F.min(place).alias("first"), F.count("*").alias("n"))
     known = classes.join(labels.withColumnRenamed("id", "node"), F.col("line") == F.col("node"), "left").withColumn("c", F.coalesce("component", "line"))
-    heads = known.groupBy("c").agg(F.min("first").alias("head"), F.sum("n").alias("all")).where("all > 1")
-    more = known.select("line", "c").join(heads, "c").select("line", "head")
-    # gone: lines of classes or components of more than one, except each component's first
-    gone = read.select("id", "th", "number", "line").join(more, "line").where(~place.eqNullSafe(F.col("head")))
-    drops = gone.groupBy("id", "th").agg(F.collect_set("number").alias("drop")).select(F.col("id").alias("did"), F.col("th").alias("dth"), "drop")
+    # a class of one line that is like no other needs no more thought
+    known = cut(known.where("n > 1 or component is not null").select("line", "c", "first", "n"))
+    heads = known.groupBy("c").agg(F.min("first").alias("head"))
+    more = known.join(heads, "c").select("line", "head")
+    gone = read.join(more, "line").where(~place.eqNullSafe(F.col("head")))
+    drops = gone.groupBy("id", "th").agg(F.collect_set("number").alias("gone"))
     others = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
-    whole_rows = docs.select(F.col(f"`{key}`").alias("id"), F.xxhash64(F.col(f"`{text}`")).alias("th"), F.struct(*[F.col(f"`{c}`") for c in others]).alias("row"))
-    joined = whole_rows.join(drops, F.col("id").eqNullSafe(F.col("did")) & (F.col("th") == F.col("dth")), "left").select("row.*", F.col("drop").alias("_drop"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            drop = batch.column("_drop").to_pylist()
-            source = batch.column(text)
-            bodies, counts, gone = [], [], []
-            for body, out in zip(source.to_pylist(), drop, strict=True):
-                lines = [] if body is None else body.split("\n")
-                dropped = set(out or ())
-                bodies.append(None if body is None else body if not dropped else "\n".join(x for i, x in enumerate(lines) if i not in dropped))
-                counts.append(sum(1 for x in lines if x.strip(" \t\n\r\x0b\x0c")))
-                gone.append(len(dropped))
-            columns = [pa.array(bodies, source.type) if n == text else batch.column(i) for i, n in enumerate(batch.schema.names) if n != "_drop"]
-            names = [n for n in batch.schema.names if n != "_drop"]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(counts, pa.int64()), pa.array(gone, pa.int64())], names=[*names, "n_lines", "n_dropped"])
-
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in joined.schema.fields if f.name != "_drop")
-    return joined.mapInArrow(run, f"{kinds}, n_lines long, n_dropped long")
+    whole_rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in others]).alias("row")).select("row", F.col(f"row.`{key}`").alias("id"), F.xxhash64(F.col(f"row.`{text}`")).alias("th"))
+    d = drops.select(F.col("id").alias("did"), F.col("th").alias("dth"), "gone")
+    joined = whole_rows.join(d, F.col("id").eqNullSafe(F.col("did")) & (F.col("th") == F.col("dth")), "left")
+    # lines by built-in functions again: those whose number is gone are left out
+    lines = F.split(F.col(f"row.`{text}`"), "\n")
+    kept = F.when(F.col("gone").isNull(), F.col(f"row.`{text}`")).otherwise(F.array_join(F.filter(lines, lambda x, i: ~F.array_contains(F.col("gone"), i)), "\n"))
+    n_lines = F.coalesce(F.size(F.filter(lines, lambda x: F.btrim(x, F.lit(_WHITE)) != "")), F.lit(0)).cast("long")
+    columns = [kept.alias(c) if c == text else F.col(f"row.`{c}`").alias(c) for c in others]
+    return joined.select(*columns, n_lines.alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_dropped"))

@@ -8,11 +8,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .lineage import cut
+from .lineage import cut, forget
 
 STAR_ROUNDS = 2
 #: Lists of at most so many ids, and tokens that at most so many ids hold, are merged pair by pair.
 SMALL = 64
+#: Groups that the ids of a long list are dealt to when the list is merged with itself.
+SALTS = 16
 
 
 def _reach(part: int, whole: int, common: Column, n: Column, other: Column) -> Column:
@@ -20,54 +22,80 @@ def _reach(part: int, whole: int, common: Column, n: Column, other: Column) -> C
     return F.lit(whole) * common >= F.lit(part) * (n + other - common)
 
 
-def _cross(rows: DataFrame, on: str, more: Column | None = None) -> DataFrame:
-    """Pairs (a, b) of ids of different components that meet under ``on``."""
+def _cross(rows: DataFrame, on: str, more: Column | None = None, salts: int = 1) -> DataFrame:
+    """Pairs (a, b) of ids of different components that meet under ``on`` and satisfy ``more``, which sees columns _x and _y.
+
+    With salts the rows of one list are dealt to that many groups, each of which meets all of the list.
+    """
     x, y = (rows.select(on, *[F.col(c).alias(f"{c}_{s}") for c in rows.columns if c != on]) for s in ("x", "y"))
-    met = x.join(y, on).where((F.col("c_x") < F.col("c_y")) & (more if more is not None else F.lit(True)))
+    keys = [on]
+    if salts > 1:
+        x = x.withColumn("salt", F.pmod(F.xxhash64("id_x"), F.lit(salts)).cast("int"))
+        y = y.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        keys = [on, "salt"]
+    met = x.join(y, keys).where((F.col("c_x") < F.col("c_y")) & (more if more is not None else F.lit(True)))
     return met.select(F.least("id_x", "id_y").alias("a"), F.greatest("id_x", "id_y").alias("b"))
 
 
-def _rest(own: DataFrame, spread: DataFrame, tokens: Callable[[DataFrame], DataFrame], part: int, whole: int) -> DataFrame:
+def _rest(own: DataFrame, spread: DataFrame, tokens: Callable[[DataFrame], DataFrame], part: int, whole: int, near: Column | None, extra: list[str]) -> DataFrame:
     """All pairs that may still be linked between components.
 
     Small lists are merged pair by pair. In a long list a pair that shares a token which few ids hold meets under that
     token. Any other pair has at most its common tokens in common, and is offered only if these can reach the
-    similarity; ids that could not reach it with any size in their list are left out before the lists are merged.
+    similarity; ids that could not reach it with any size in their list are left out before the lists are merged, in
+    SALTS groups a list.
     """
     live = own.join(spread.select("pair", "size"), "pair")
-    small = _cross(live.where(F.col("size") <= SMALL).select("pair", "id", "c"), "pair")
-    long = live.where(F.col("size") > SMALL).select("pair", "id", "c")
+    small = _cross(live.where(F.col("size") <= SMALL).select("pair", "id", "c", *extra), "pair", near)
+    long = live.where(F.col("size") > SMALL).select("pair", "id", "c", *extra)
     if long.isEmpty():
         return small.distinct()
     held = cut(tokens(long.select("id").distinct()))
     df = held.groupBy("token").agg(F.count("*").alias("df"))
     counted = held.join(df, "token")
-    sizes = counted.groupBy("id").agg(F.count("*").alias("n"), F.count_if(F.col("df") > SMALL).alias("common"))
+    sizes = counted.groupBy("id").agg(F.count("*").alias("m"), F.count_if(F.col("df") > SMALL).alias("common"))
     rare = counted.where((F.col("df") > 1) & (F.col("df") <= SMALL)).select("token", "id").join(long.select("id", "c").distinct(), "id")
-    least = long.join(sizes.select("id", "n"), "id").groupBy("pair").agg(F.min("n").alias("least"))
-    able = long.join(sizes, "id").join(least, "pair").where(_reach(part, whole, F.col("common"), F.col("n"), F.greatest(F.col("least").cast("double"), F.col("n") * F.lit(part / whole))))
-    bound = _reach(part, whole, F.least("common_x", "common_y"), F.col("n_x"), F.col("n_y"))
-    return small.union(_cross(rare, "token")).union(_cross(able.select("pair", "id", "c", "n", "common"), "pair", bound)).distinct()
+    least = long.join(sizes.select("id", "m"), "id").groupBy("pair").agg(F.min("m").alias("least"))
+    able = long.join(sizes, "id").join(least, "pair").where(_reach(part, whole, F.col("common"), F.col("m"), F.greatest(F.col("least").cast("double"), F.col("m") * F.lit(part / whole))))
+    bound = _reach(part, whole, F.least("common_x", "common_y"), F.col("m_x"), F.col("m_y"))
+    bound = bound if near is None else bound & near
+    offered = cut(small.union(_cross(rare, "token")).union(_cross(able.select("pair", "id", "c", "m", "common", *extra), "pair", bound, SALTS)).distinct())
+    forget(held)
+    return offered
 
 
-def link(lists: DataFrame, confirm: Callable[[DataFrame], DataFrame], tokens: Callable[[DataFrame], DataFrame], part: int, whole: int, star_rounds: int = STAR_ROUNDS) -> DataFrame:
+def link(
+    lists: DataFrame, confirm: Callable[[DataFrame], DataFrame], tokens: Callable[[DataFrame], DataFrame], part: int, whole: int, near: Column | None = None, star_rounds: int = STAR_ROUNDS
+) -> DataFrame:
     """(id, component) of all ids that a confirmed link joins to another; the component is its least id.
 
-    ``lists`` has the columns pair (the list) and id; ``tokens`` gives (id, token), the sets behind the ids, and
+    ``lists`` has the columns pair (the list) and id, and others that ``near`` needs to say whether rows x and y can be
+    similar at all (it names them with _x and _y). ``tokens`` gives (id, token), the sets behind the ids, and
     ``confirm`` keeps the true links among offered pairs (a, b). In a star round each list offers its ids one centre
     (the first time the least id, then one by hash), and what is joined is contracted, so a list of n alike ids costs
     about n pairs. The last round offers what may still be linked between components; no such pair goes untried.
     """
+    extra = [c for c in lists.columns if c not in ("pair", "id")]
     labels: DataFrame | None = None
+    live = lists.withColumn("c", F.col("id"))
     for turn in range(star_rounds + 1):
-        own = lists.withColumn("c", F.col("id")) if labels is None else lists.join(labels, "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component")
+        if labels is not None:
+            # lists of one component need nothing more
+            named = live.drop("c").join(labels, "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component")
+            open_ = named.groupBy("pair").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("pair")
+            before, live = live, cut(named.join(open_, "pair", "left_semi"))
+            forget(before)
+            if live.isEmpty():
+                break
         first = F.xxhash64("id", F.lit(turn)) if turn else F.col("id")
-        spread = own.groupBy("pair").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("size"), F.min(F.struct(first.alias("h"), F.col("id"), F.col("c"))).alias("m")).where("lo < hi")
+        spread = live.groupBy("pair").agg(F.count("*").alias("size"), F.min(F.struct(first.alias("h"), "id", "c", *extra)).alias("m"))
         if turn < star_rounds:
-            centres = spread.select("pair", F.col("m.id").alias("o"), F.col("m.c").alias("oc"))
-            offered = own.join(centres, "pair").where("c <> oc").select(F.least("id", "o").alias("a"), F.greatest("id", "o").alias("b")).distinct()
+            centres = spread.select("pair", *[F.col(f"m.{c}").alias(f"{c}_y") for c in ("id", "c", *extra)])
+            met = live.select("pair", *[F.col(c).alias(f"{c}_x") for c in ("id", "c", *extra)]).join(centres, "pair").where("c_x <> c_y")
+            met = met if near is None else met.where(near)
+            offered = met.select(F.least("id_x", "id_y").alias("a"), F.greatest("id_x", "id_y").alias("b")).distinct()
         else:
-            offered = _rest(own, spread, tokens, part, whole)
+            offered = _rest(live, spread, tokens, part, whole, near, extra)
         links = cut(confirm(offered))
         if links.isEmpty():
             continue
