@@ -26,9 +26,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import blocks as B
-from .decontamination import bitmap
+from .decontamination import BITS, bitmap
 from .lineage import cut, forget, parts, small_batches
-from .linking import link
+from .linking import WORDS, link, parities
 
 SHINGLE, BANDS, ROWS = 5, 20, 6
 PART, WHOLE = 80, 100
@@ -47,6 +47,7 @@ _POSTING = np.dtype([("hi", "<u4"), ("lo", "<u2"), ("line", "<u8"), ("bits", "<u
 _BUCKET_BYTES, _BUCKETS = 16 << 20, 8  # input to a partition of postings, and buckets to a partition
 _FLUSH = 1 << 20
 _HELD = 1 << 21
+_CELLS = 1 << 22
 
 
 def line_hash(body: bytes) -> int:
@@ -194,6 +195,26 @@ def bodies(column: pa.Array) -> Iterator[tuple[int, list[bytes]]]:
             yield i, [x for x in (line.strip(white) for line in text.split(b"\n")) if x]
 
 
+def _read(docs: DataFrame) -> DataFrame:
+    """id, th, number and line (its hash) of each line that is not blank."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        white = _WHITE.encode()
+        for batch in batches:
+            row, number, names = [], [], []
+            for i, text in enumerate(batch.column("text").cast(pa.binary()).to_pylist()):
+                if text:
+                    for j, line in enumerate(text.split(b"\n")):
+                        if body := line.strip(white):
+                            row.append(i)
+                            number.append(j)
+                            names.append(line_hash(body))
+            own = batch.drop_columns(["text"]).take(pa.array(row, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*own.columns, pa.array(number, pa.int32()), pa.array(B.signed(np.array(names, np.uint64)))], names=["id", "th", "number", "line"])
+
+    return docs.mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, th long, number int, line long")
+
+
 def _posted(docs: DataFrame, buckets: int, part: int, whole: int) -> DataFrame:
     """(bucket, held): the postings of all lines, packed; a line of a task's memory is posted once."""
 
@@ -205,7 +226,7 @@ def _posted(docs: DataFrame, buckets: int, part: int, whole: int) -> DataFrame:
             own = np.concatenate(held)
             held.clear()
             at = (own["hi"].astype(np.int64) * buckets) >> 32
-            order = np.argsort(at, kind="stable")
+            order = np.argsort(at.astype(np.uint16) if buckets <= 1 << 16 else at, kind="stable")  # few buckets: a radix sort
             own, at = own[order], at[order]
             edge = np.flatnonzero(np.diff(at, prepend=-1, append=-1))
             packed = [own[lo:hi].tobytes() for lo, hi in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True)]
@@ -261,10 +282,10 @@ def collide(own: np.ndarray, part: int, whole: int) -> tuple[np.ndarray, np.ndar
     In each list the first line takes those that are near it; of what is left the first leads on, until each line leads
     or is taken. If two lines of a list are near, one at least is taken, so a list in which none is has no near pair.
     """
-    own = own[np.argsort(own["key"], kind="stable")]
-    start = _runs(own)
-    size = np.bincount(start, minlength=len(own))[start]
-    alone, own = own[size == 1], own[size > 1]
+    key = own["key"].copy()
+    cell = ((key ^ key >> np.uint64(23)) & np.uint64(_CELLS - 1)).astype(np.int64)
+    met = (np.bincount(cell, minlength=_CELLS) > 1)[cell]  # a key that has no other in its cell is alone
+    alone, own = own[~met], own[met]
     own = own[np.lexsort((own["line"], own["key"]))]
     same = np.zeros(len(own), bool)
     same[1:] = (own["key"][1:] == own["key"][:-1]) & (own["line"][1:] == own["line"][:-1])
@@ -354,13 +375,22 @@ def near(part: int, whole: int) -> tuple[Column, Column]:
 
 
 def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(id, body) of the wanted lines."""
-    from .decontamination import BITS
-
+    """(id, body, n, b0, b1, ...): the wanted lines with the size and the parity bits of their sets."""
     held = docs.sparkSession.sparkContext.broadcast(bitmap(wanted.select(F.col("id").alias("fp")), BITS))
 
+    def send(ids: list[int], lines: list[bytes]) -> Iterator[pa.RecordBatch]:
+        lo = 0
+        for some in chunks(lines):
+            hashes, counts = shingles(some)
+            words = B.signed(parities(hashes, counts).T.copy())
+            columns = [pa.array(B.signed(np.array(ids[lo : lo + len(some)], np.uint64))), pa.array(some, pa.binary()), pa.array(counts), *map(pa.array, words)]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "body", "n", *[f"b{i}" for i in range(WORDS)]])
+            lo += len(some)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
+        ids: list[int] = []
+        own: list[bytes] = []
         for batch in batches:
             for _, lines in bodies(batch.column("text")):
                 names = np.array([line_hash(x) for x in lines], np.uint64)
@@ -373,10 +403,15 @@ def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                             seen.clear()
                         seen.add(h)
                         new.append(i)
-                if new:
-                    yield pa.RecordBatch.from_arrays([pa.array(B.signed(names[new])), pa.array([lines[i] for i in new], pa.binary())], names=["id", "body"])
+                ids += names[new].tolist()
+                own += [lines[i] for i in new]
+                if sum(map(len, own)) >= _BYTES or len(own) >= _LINES:
+                    yield from send(ids, own)
+                    ids, own = [], []
+        yield from send(ids, own)
 
-    return docs.select("text").mapInArrow(run, "id long, body binary").join(wanted, "id", "left_semi").dropDuplicates(["id"])
+    found = docs.select("text").mapInArrow(run, f"id long, body binary, n long, {', '.join(f'b{i} long' for i in range(WORDS))}")
+    return found.join(wanted, "id", "left_semi").dropDuplicates(["id"])
 
 
 def similar(lines: list[bytes], part: int, whole: int) -> np.ndarray:
@@ -429,7 +464,8 @@ def components_of(docs: DataFrame, part: int = PART, whole: int = WHOLE) -> Data
     met = _met(_posted(docs, size * _BUCKETS, part, whole), size, part, whole)
     lists = cut(met.distinct().select("pair", "id", "bits", "n", allowed))
     texts = cut(_texts(docs, lists.select("id").distinct()))
-    labels = link(lists, lambda pairs: _confirmed(pairs, texts, part, whole), lambda ids: _tokens(texts.join(ids, "id", "left_semi")), part, whole, like)
+    sets = texts.drop("body")
+    labels = link(lists, sets, lambda pairs: _confirmed(pairs, texts, part, whole), lambda ids: _tokens(texts.join(ids, "id", "left_semi")), part, whole, like)
     forget(texts)
     return labels
 
@@ -444,9 +480,7 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", part:
     small_batches(docs.sparkSession)
     body = F.col(f"`{text}`")
     slim = docs.select(F.col(f"`{key}`").alias("id"), F.xxhash64(body).alias("th"), body.alias("text"))
-    # the lines' places, by built-in functions; Python hashes the same bytes to the same numbers
-    trimmed = slim.select("id", "th", F.posexplode(F.split("text", "\n")).alias("number", "line")).withColumn("line", F.btrim("line", F.lit(_WHITE))).where("line <> ''")
-    read = cut(trimmed.select("id", "th", "number", F.xxhash64("line").alias("line")))
+    read = cut(_read(slim))
     labels = components_of(slim.select("text"), part, whole)
     place = F.struct("id", "th", "number")
     classes = read.groupBy("line").agg(F.min(place).alias("first"), F.count("*").alias("n"))

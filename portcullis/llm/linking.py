@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,7 +12,9 @@ from .components import components
 from .lineage import cut, forget
 
 STAR_ROUNDS = 2
-#: Lists of at most so many ids, and tokens that at most so many ids hold, are merged pair by pair.
+#: Words of parity bits to a set.
+WORDS = 16
+#: Lists of more ids are thinned out and dealt to groups before they are merged; neither changes what is found.
 SMALL = 64
 #: Groups that the ids of a long list are dealt to when the list is merged with itself.
 SALTS = 16
@@ -37,41 +40,58 @@ def _cross(rows: DataFrame, on: str, more: Column | None = None, salts: int = 1)
     return met.select(F.least("id_x", "id_y").alias("a"), F.greatest("id_x", "id_y").alias("b"))
 
 
-def _rest(own: DataFrame, spread: DataFrame, tokens: Callable[[DataFrame], DataFrame], part: int, whole: int, near: Column | None, extra: list[str]) -> DataFrame:
+def parities(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """WORDS words of 64 bits for each set: bit i tells whether an odd number of its tokens fall in cell i."""
+    width = 64 * WORDS
+    cell = np.repeat(np.arange(len(counts)) * width, counts) + (hashes & np.uint64(width - 1)).astype(np.int64)
+    odd = (np.bincount(cell, minlength=len(counts) * width) & 1).astype(np.uint8)
+    return np.packbits(odd).view("<u8").reshape(-1, WORDS)
+
+
+def _alike(part: int, whole: int) -> Column:
+    """Whether rows x and y can reach the similarity; false only if they can't.
+
+    Bits that differ stand for tokens that only one of the sets has, each token for one bit at most, and sets that
+    reach the similarity differ in (n_x + n_y) * (whole - part) / (whole + part) tokens at most.
+    """
+    differ = F.bit_count(F.col("b0_x").bitwiseXOR(F.col("b0_y")))
+    for i in range(1, WORDS):
+        differ = differ + F.bit_count(F.col(f"b{i}_x").bitwiseXOR(F.col(f"b{i}_y")))
+    sized = F.lit(whole) * F.least("m_x", "m_y") >= F.lit(part) * F.greatest("m_x", "m_y")
+    return sized & (differ * F.lit(whole + part) <= (F.col("m_x") + F.col("m_y")) * F.lit(whole - part))
+
+
+def _rest(live: DataFrame, sets: DataFrame, tokens: Callable[[DataFrame], DataFrame], part: int, whole: int) -> DataFrame:
     """All pairs that may still be linked between components.
 
-    Small lists are merged pair by pair. In a long list a pair that shares a token which few ids hold meets under that
-    token. Any other pair has at most its common tokens in common, and is offered only if these can reach the
-    similarity; ids that could not reach it with any size in their list are left out before the lists are merged, in
-    SALTS groups a list.
+    Ids meet only where the parity bits and the sizes of their sets allow the similarity; the join gives out no other
+    pairs. Of long lists those ids are left out that could not be similar to any other one with the tokens that they
+    have in common with ids of long lists at all, and the others are dealt to SALTS groups a list.
     """
-    live = own.join(spread.select("pair", "size"), "pair")
-    small = _cross(live.where(F.col("size") <= SMALL).select("pair", "id", "c", *extra), "pair", near)
-    long = live.where(F.col("size") > SMALL).select("pair", "id", "c", *extra)
-    if long.isEmpty():
-        return small.distinct()
-    held = cut(tokens(long.select("id").distinct()))
-    df = held.groupBy("token").agg(F.count("*").alias("df"))
-    counted = held.join(df, "token")
-    sizes = counted.groupBy("id").agg(F.count("*").alias("m"), F.count_if(F.col("df") > SMALL).alias("common"))
-    rare = counted.where((F.col("df") > 1) & (F.col("df") <= SMALL)).select("token", "id").join(long.select("id", "c").distinct(), "id")
-    least = long.join(sizes.select("id", "m"), "id").groupBy("pair").agg(F.min("m").alias("least"))
-    able = long.join(sizes, "id").join(least, "pair").where(_reach(part, whole, F.col("common"), F.col("m"), F.greatest(F.col("least").cast("double"), F.col("m") * F.lit(part / whole))))
-    bound = _reach(part, whole, F.least("common_x", "common_y"), F.col("m_x"), F.col("m_y"))
-    bound = bound if near is None else bound & near
-    offered = cut(small.union(_cross(rare, "token")).union(_cross(able.select("pair", "id", "c", "m", "common", *extra), "pair", bound, SALTS)).distinct())
-    forget(held)
-    return offered
+    known = cut(live.select("pair", "id", "c").join(live.groupBy("pair").agg(F.count("*").alias("size")), "pair").join(sets.withColumnRenamed("n", "m"), "id"))
+    small, long = known.where(F.col("size") <= SMALL).drop("size"), known.where(F.col("size") > SMALL).drop("size")
+    pairs = _cross(small, "pair", _alike(part, whole))
+    if not long.isEmpty():
+        held = cut(tokens(long.select("id").distinct()))
+        shared = held.groupBy("token").agg(F.count("*").alias("df")).where("df > 1").select("token")
+        common = held.join(shared, "token", "left_semi").groupBy("id").agg(F.count("*").alias("common"))
+        counted = long.join(common, "id")
+        least = counted.groupBy("pair").agg(F.min("m").alias("least"))
+        able = counted.join(least, "pair").where(_reach(part, whole, F.col("common"), F.col("m"), F.greatest(F.col("least").cast("double"), F.col("m") * F.lit(part / whole)))).drop("least")
+        bound = _reach(part, whole, F.least("common_x", "common_y"), F.col("m_x"), F.col("m_y"))
+        pairs = pairs.union(_cross(able, "pair", _alike(part, whole) & bound, SALTS))
+    return pairs.distinct()
 
 
 def link(
-    lists: DataFrame, confirm: Callable[[DataFrame], DataFrame], tokens: Callable[[DataFrame], DataFrame], part: int, whole: int, near: Column | None = None, star_rounds: int = STAR_ROUNDS
+    lists: DataFrame, sets: DataFrame, confirm: Callable[[DataFrame], DataFrame], tokens: Callable[[DataFrame], DataFrame], part: int, whole: int, near: Column | None = None, star_rounds: int = STAR_ROUNDS
 ) -> DataFrame:
     """(id, component) of all ids that a confirmed link joins to another; the component is its least id.
 
     ``lists`` has the columns pair (the list) and id, and others that ``near`` needs to say whether rows x and y can be
-    similar at all (it names them with _x and _y). ``tokens`` gives (id, token), the sets behind the ids, and
-    ``confirm`` keeps the true links among offered pairs (a, b). In a star round each list offers its ids one centre
+    similar at all (it names them with _x and _y). ``sets`` has the size n and the parity words b0, b1, ... of each
+    id's set, ``tokens`` gives (id, token), the sets behind the ids, and ``confirm`` keeps the true links among offered
+    pairs (a, b). In a star round each list offers its ids one centre
     (the first time the least id, then one by hash), and what is joined is contracted, so a list of n alike ids costs
     about n pairs. The last round offers what may still be linked between components; no such pair goes untried.
     """
@@ -95,7 +115,7 @@ def link(
             met = met if near is None else met.where(near)
             offered = met.select(F.least("id_x", "id_y").alias("a"), F.greatest("id_x", "id_y").alias("b")).distinct()
         else:
-            offered = _rest(live, spread, tokens, part, whole, near, extra)
+            offered = _rest(live, sets, tokens, part, whole)
         links = cut(confirm(offered))
         if links.isEmpty():
             continue

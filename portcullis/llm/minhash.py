@@ -27,10 +27,11 @@ from pyspark.sql import functions as F
 from . import blocks as B
 from .decontamination import bitmap
 from .lineage import cut, small_batches
-from .linking import link
+from .linking import WORDS, link, parities
 
 COORDINATES = 64
 _BITS = 1 << 26
+PARITY = [f"b{i}" for i in range(WORDS)]
 _SALT = B.mix(np.arange(1, COORDINATES + 1, dtype=np.uint64))
 
 
@@ -75,7 +76,7 @@ def signatures(flat: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 
 def _sketch(docs: DataFrame, size: int) -> DataFrame:
-    """id, n, s1, s2 (which identify the set) and sig (empty for an empty set)."""
+    """id, n, s1, s2 (which identify the set), sig (empty for an empty set) and parity bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -84,17 +85,18 @@ def _sketch(docs: DataFrame, size: int) -> DataFrame:
                 some = counts > 0
                 sums = np.zeros((2, block.rows), np.uint64)
                 sig = np.zeros(0, np.uint64)
+                words = B.signed(parities(flat, counts).T.copy())
                 if some.any():
                     starts = (np.cumsum(counts) - counts)[some]
                     sums[0, some] = np.add.reduceat(flat, starts)
                     sums[1, some] = np.add.reduceat(B.mix(flat + np.uint64(0x5851F42D4C957F2D)), starts)
                     sig = signatures(flat, counts).ravel()
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("id").slice(block.first, block.rows), pa.array(counts), pa.array(B.signed(sums[0])), pa.array(B.signed(sums[1])), B.lists(B.signed(sig), some * COORDINATES, pa.int64())],
-                    names=["id", "n", "s1", "s2", "sig"],
+                    [batch.column("id").slice(block.first, block.rows), pa.array(counts), pa.array(B.signed(sums[0])), pa.array(B.signed(sums[1])), B.lists(B.signed(sig), some * COORDINATES, pa.int64()), *map(pa.array, words)],
+                    names=["id", "n", "s1", "s2", "sig", *PARITY],
                 )
 
-    return docs.mapInArrow(run, "id long, n long, s1 long, s2 long, sig array<long>")
+    return docs.mapInArrow(run, f"id long, n long, s1 long, s2 long, sig array<long>, {', '.join(f'{b} long' for b in PARITY)}")
 
 
 def _sets(docs: DataFrame, size: int, wanted: DataFrame) -> DataFrame:
@@ -136,7 +138,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     real = base.where("n > 0 and id is not null")
     classes = real.groupBy("s1", "s2", "n").agg(F.min("id").alias("rep"))
     reps = classes.select(F.col("rep").alias("id"), "s1", "s2", "n")
-    sigs = cut(real.join(reps, ["id", "s1", "s2", "n"], "left_semi").select("id", "sig").dropDuplicates(["id", "sig"]))
+    sigs = cut(real.join(reps, ["id", "s1", "s2", "n"], "left_semi").select("id", "sig", "n", *PARITY).dropDuplicates(["id"]))
     posted = sigs.select("id", F.explode("sig").alias("pair"))
     shared = posted.groupBy("pair").agg(F.count("*").alias("df")).where("df > 1")
     lists = posted.join(shared, "pair").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("df", "pair"))).alias("l"))
@@ -145,7 +147,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     wanted = prefix.select("id").distinct()
     sets = cut(_sets(slim, size, wanted).dropDuplicates(["id", "shingles"]))
     tokens = lambda ids: sets.join(ids, "id", "left_semi").select("id", F.explode("shingles").alias("token"))
-    labels = link(prefix, lambda pairs: _confirmed(pairs, sigs, sets, part, whole), tokens, part, whole)
+    labels = link(prefix, sigs.drop("sig"), lambda pairs: _confirmed(pairs, sigs, sets, part, whole), tokens, part, whole)
     members = base.select("id", "n", "s1", "s2").join(classes, ["s1", "s2", "n"], "left")
     found = members.join(labels.withColumnRenamed("id", "node"), F.col("rep") == F.col("node"), "left")
     own = F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.coalesce("component", "rep")).otherwise(F.col("id"))

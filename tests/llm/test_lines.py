@@ -3,9 +3,9 @@ from collections import defaultdict
 
 import brute
 import numpy as np
-import pyarrow as pa
+from pyspark.sql import functions as F
 
-from portcullis.llm import blocks, lines
+from portcullis.llm import lines
 
 
 def _set(line, n=lines.SHINGLE):
@@ -34,12 +34,23 @@ def _dropped(spark, rows):
 
 def test_shingles_are_of_characters():
     texts = ["abcdefg", "\u00e9t\u00e9 \u00e0 l'\u00eele", "\u6f22\u5b57\u304b\u306a\u4ea4\u3058\u308a", "\u6f22\u5b57", "x\U0001f642yz\U0001f643w", "a"]
-    (block,) = blocks.blocks(pa.array(texts))
-    hashes, n = lines.shingles(block.data, block.offsets[:-1], block.offsets[1:])
-    assert n.tolist() == [max(1, len(t) - 4) for t in texts]
-    own = np.split(hashes, np.cumsum(n)[:-1])
-    (parts,) = blocks.blocks(pa.array([x for t in texts for x in [t[i : i + 5] for i in range(max(1, len(t) - 4))]]))
-    assert np.concatenate(own).tolist() == lines.shingles(parts.data, parts.offsets[:-1], parts.offsets[1:])[0].tolist()
+    hashes, n = lines.shingles([t.encode() for t in texts])
+    assert n.tolist() == [max(0, len(t) - 4) for t in texts]
+    for t, own in zip(texts, np.split(hashes, np.cumsum(n)[:-1]), strict=True):
+        alone = [lines.shingles([t[i : i + 5].encode()])[0].tolist() for i in range(len(t) - 4)]
+        assert own.tolist() == sorted(x for h in alone for x in h)
+
+
+def test_shingles_are_distinct_and_chunks_whole():
+    many = [b"aaaaaaaa", b"", b"abcabcabc", b"x" * 400_000, *[f"line {i} of many".encode() for i in range(3000)]]
+    assert [x for c in lines.chunks(many) for x in c] == many
+    assert lines.shingles(many[:3])[1].tolist() == [1, 0, 3]
+
+
+def test_line_hash_is_the_engines(spark):
+    texts = ["a", "Ünïcode straße", "x" * 1000, "漢字かな"]
+    got = [r.h for r in spark.createDataFrame([(t,) for t in texts], "t string").selectExpr("xxhash64(t) h").collect()]
+    assert [h % (1 << 64) for h in got] == [lines.line_hash(t.encode()) for t in texts]
 
 
 def test_lines_of_wide_characters(spark):
@@ -54,12 +65,12 @@ def test_lines_of_wide_characters(spark):
 
 
 def _found(a, b):
-    """Whether two sets of shingle hashes meet under a band value or a prefix key."""
-    hashes, counts = np.concatenate([a, b]), np.array([len(a), len(b)])
-    flat, n, own, few = lines.signature(hashes, counts, lines.partners(80, 100))
-    keys, row = lines.prefixes(own, few, np.arange(lines.CELLS_RANK) % 7, 80, 100)
-    mine = [set(x.tolist()) | set(keys[row == i].tolist()) for i, x in enumerate(np.split(flat, [n[0]]))]
-    return bool(mine[0] & mine[1])
+    """Whether two sets of shingle hashes are in a list together after lists without near pairs are let go."""
+    counts = np.array([len(a), len(b)])
+    keys, row, sketch = lines.postings(np.concatenate([np.sort(a), np.sort(b)]), counts)
+    own = np.zeros(len(keys), lines._KEYED)
+    own["key"], own["line"], own["bits"], own["n"] = keys, row, sketch[row], counts[row]
+    return len(lines.collide(own, 80, 100)[0]) > 0
 
 
 def test_recall_by_number_of_shingles():
@@ -70,11 +81,56 @@ def test_recall_by_number_of_shingles():
     ]:
         missed = 0
         for _ in range(trials):
-            x = r.integers(0, 1 << 64, common + left + right, dtype=np.uint64)
+            x = r.integers(0, 1 << 52, common + left + right, dtype=np.uint64)
             missed += not _found(x[: common + left], np.concatenate([x[:common], x[common + left :]]))
         assert missed <= most * trials, (common, left, right, missed)
 
 
+def test_split_buckets_lose_nothing(spark):
+    r = random.Random(4)
+    base = " ".join("".join(r.choice("abcdefghij") for _ in range(r.randint(2, 7))) for _ in range(30))
+    rows = []
+    for _ in range(70):
+        own = base.split()
+        for _ in range(r.randint(0, 3)):
+            own[r.randrange(len(own))] = r.choice(["x", "yy", "zzz"])
+        rows.append((len(rows), " ".join(own)))
+    gone = _brute(rows)
+    made = lines.collide
+    docs = spark.createDataFrame(rows, "doc_id long, text string").select("text")
+    packed = lines._posted(docs, 1, 80, 100).collect()
+    whole = made(_keyed(packed), 80, 100)[0]
+    parts_, held = set(), np.zeros(0, lines._KEYED)
+    for row in packed:  # every posting on its own: what leads stays, the rest is passed on
+        for one in np.array_split(_keyed([row]), 40):
+            live, leads, rest = made(np.concatenate([held, one]), 80, 100)
+            parts_ |= {(int(k), int(x)) for k, x in zip(live["key"], live["line"], strict=True)}
+            held = np.concatenate([live[leads], rest])
+    assert {(int(k), int(x)) for k, x in zip(whole["key"], whole["line"], strict=True)} <= parts_
+    assert gone and _dropped(spark, rows) == gone
+
+
+def _keyed(packed):
+    raw = np.concatenate([np.frombuffer(r.held, lines._POSTING) for r in packed])
+    own = np.empty(len(raw), lines._KEYED)
+    own["key"] = raw["hi"].astype(np.uint64) << np.uint64(16) | raw["lo"].astype(np.uint64)
+    for name in ("line", "bits", "n"):
+        own[name] = raw[name]
+    return own
+
+
+def test_clashing_names_nulls_and_repeats(spark):
+    text = "the same line of some length\nanother line that stands alone here"
+    rows = [(None, text, 1, "a"), (3, text, 2, "b"), (3, text, 2, "c"), (4, None, 3, "d"), (5, "", 4, "e"), (6, "the same line of some length", 5, "f")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, gone int, row string")
+    docs = docs.select("*", *[F.lit(1).alias(c) for c in ("id", "th", "did", "_drop", "line", "n_lines")])
+    got = lines.dedup_lines(docs)
+    assert got.columns == [c for c in docs.columns if c != "n_lines"] + ["n_lines", "n_dropped"]
+    # null keys come first; rows of equal key and text are treated alike
+    assert sorted((r.row, r.text, r.n_lines, r.n_dropped) for r in got.collect()) == [("a", text, 2, 0), ("b", "", 2, 2), ("c", "", 2, 2), ("d", None, 0, 0), ("e", "", 0, 0), ("f", "", 1, 1)]
+    assert lines.dedup_lines(docs.limit(0)).count() == 0
+
+
 def test_short_lines_against_brute_force(spark):
     r = random.Random(11)
     rows = []
