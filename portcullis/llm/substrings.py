@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import blocks as B
-from .lineage import small_batches
+from .lineage import cut, forget, small_batches
 from .sketches import count_min, repeated
 
 WINDOW, GRAM = 35, 20
@@ -80,11 +80,13 @@ def repeated_spans(docs: DataFrame, key: list[str], text: str, window: int, gram
 
     slim = docs.select(*[F.col(f"`{k}`").alias(f"k{i}") for i, k in enumerate(key)], F.col(f"`{text}`").alias("text"))
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in slim.schema.fields[:-1])
-    runs = slim.select("text").mapInArrow(contents, "run long, windows array<long>, n long").groupBy("run", "windows").agg(F.sum("n").alias("n"))
+    # read three times below, so written once: the texts are hashed for it only once
+    runs = cut(slim.select("text").mapInArrow(contents, "run long, windows array<long>, n long").groupBy("run", "windows").agg(F.sum("n").alias("n")))
     counted = runs.select("n", F.explode("windows").alias("window")).groupBy("window").agg(F.sum("n").alias("c")).where("c > 1").select("window")
     # every window of a run that occurs twice is repeated; a run that occurs once asks for each of its windows
     once = runs.where("n = 1").select("run", F.posexplode("windows").alias("i", "window")).join(counted, "window").groupBy("run").agg(F.sum(F.expr("shiftleft(1L, i)")).alias("mask"))
-    masks = once.unionByName(runs.where("n > 1").select("run", F.expr("shiftleft(1L, size(windows)) - 1").alias("mask")))
+    masks = cut(once.unionByName(runs.where("n > 1").select("run", F.expr("shiftleft(1L, size(windows)) - 1").alias("mask"))))
+    forget(runs)
     at = slim.mapInArrow(places, f"{kinds}, start int, run long").join(masks, "run")
     return at.groupBy(*[f"k{i}" for i in range(len(key))]).agg(F.collect_list(F.struct("start", "mask")).alias("hits"))
 
