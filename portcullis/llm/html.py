@@ -294,15 +294,16 @@ def main_text(pages: DataFrame, html: str = "html", model: Model | None = None)
     """
     held = pages.sparkSession.sparkContext.broadcast(model or trained())
     others = [c for c in pages.columns if c not in ("blocks", "text")]
-    pages = pages.select(*[F.col(f"`{c}`") for c in others], F.col(f"`{html}`").alias("_html"))
+    place = others.index(html) if html in others else len(others)  # a page's source may itself be named text
+    # the row travels as one value, so its columns may have any names
+    rows = pages.select(F.struct(*[F.col(f"`{c}`") for c in others], *[F.col(f"`{html}`").alias("html")][: place == len(others)]).alias("row"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
-                own = batch.slice(lo, 256)
-                found = [held.value.blocks(x or "") for x in own.column("_html").to_pylist()]
-                columns = [own.column(i) for i, n in enumerate(own.schema.names) if n != "_html"]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(found, pa.list_(pa.string())), pa.array([" ".join(x) for x in found], pa.string())], names=[*[n for n in own.schema.names if n != "_html"], "blocks", "text"])
+                own = batch.column("row").slice(lo, 256)
+                found = [held.value.blocks(x or "") for x in own.field(place).to_pylist()]
+                yield pa.RecordBatch.from_arrays([own, pa.array(found, pa.list_(pa.string())), pa.array([" ".join(x) for x in found], pa.string())], names=["row", "blocks", "text"])
 
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pages.schema.fields if f.name != "_html")
-    return pages.mapInArrow(run, f"{kinds}, blocks array<string>, text string")
+    got = rows.mapInArrow(run, f"row {rows.schema['row'].dataType.simpleString()}, blocks array<string>, text string")
+    return got.select(*[F.col(f"row.`{c}`").alias(c) for c in others], "blocks", "text")

@@ -112,9 +112,9 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray] | None, text:
     Columns of these two names are replaced; all others are kept.
     """
     others = [c for c in docs.columns if c not in ("lang_pred", "score")]
-    docs = docs.select(*[F.col(f"`{c}`") for c in others])
+    place = others.index(text)
     if model is None:
-        return docs.withColumn("lang_pred", F.lit(UNKNOWN)).withColumn("score", F.lit(0.0))
+        return docs.select(*[F.col(f"`{c}`") for c in others]).withColumn("lang_pred", F.lit(UNKNOWN)).withColumn("score", F.lit(0.0))
     names, matrix = model
     held = docs.sparkSession.sparkContext.broadcast(matrix)
 
@@ -123,17 +123,19 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray] | None, text:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            scores = np.concatenate([_normal(x) @ weights[:-1] + weights[-1] for _, x in _matrices(batch.column(text))])
+            scores = np.concatenate([_normal(x) @ weights[:-1] + weights[-1] for _, x in _matrices(batch.column("row").field(place))])
             best = scores.argmax(1)
             odds = np.exp(SHARPNESS * (scores - scores.max(1, keepdims=True)))
             sure = 1 / odds.sum(1)
-            known = batch.column("_letters").to_numpy(zero_copy_only=False)
+            known = batch.column("letters").to_numpy(zero_copy_only=False)
             lang = pa.array(np.where(known, np.array(names, object)[best], UNKNOWN), pa.string())
-            kept = [i for i, n in enumerate(batch.schema.names) if n != "_letters"]
-            yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in kept], lang, pa.array(np.where(known, sure, 0.0), pa.float64())], names=[*[batch.schema.names[i] for i in kept], "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column("row"), lang, pa.array(np.where(known, sure, 0.0), pa.float64())], names=["row", "lang_pred", "score"])
 
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.withColumn("_letters", has_letter(text)).mapInArrow(run, f"{kinds}, lang_pred string, score double")
+    # the row travels as one value, so its columns may have any names
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in others]).alias("row"))
+    kinds = rows.schema["row"].dataType.simpleString()
+    scored = rows.withColumn("letters", has_letter(f"row.`{text}`")).mapInArrow(run, f"row {kinds}, lang_pred string, score double")
+    return scored.select(*[F.col(f"row.`{c}`").alias(c) for c in others], "lang_pred", "score")
 
 
 def held_out(key: str = "doc_id", folds: int = 5) -> Column:

@@ -443,18 +443,10 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, part: int, whole: int) -> Dat
     return both.mapInArrow(run, "a long, b long")
 
 
-def _tokens(texts: DataFrame) -> DataFrame:
-    """(id, token): the distinct shingles of each line."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            names, lo = batch.column("id").to_numpy(), 0
-            for own in chunks(batch.column("body").to_pylist()):
-                hashes, counts = shingles(own)
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(names[lo : lo + len(own)], counts)), pa.array(B.signed(hashes))], names=["id", "token"])
-                lo += len(own)
-
-    return texts.mapInArrow(run, "id long, token long")
+def _tokens(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The distinct shingles of each line of a batch."""
+    for own in chunks(batch.column("body").to_pylist()):
+        yield shingles(own)
 
 
 def components_of(docs: DataFrame, part: int = PART, whole: int = WHOLE) -> DataFrame:
@@ -465,7 +457,7 @@ def components_of(docs: DataFrame, part: int = PART, whole: int = WHOLE) -> Data
     lists = cut(met.distinct().select("pair", "id", "bits", "n", allowed))
     texts = cut(_texts(docs, lists.select("id").distinct()))
     sets = texts.drop("body")
-    labels = link(lists, sets, lambda pairs: _confirmed(pairs, texts, part, whole), lambda ids: _tokens(texts.join(ids, "id", "left_semi")), part, whole, like)
+    labels = link(lists, sets, lambda pairs: _confirmed(pairs, texts, part, whole), (texts.select("id", "body"), _tokens), part, whole, like)
     forget(texts)
     return labels
 

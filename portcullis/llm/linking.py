@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
 from .lineage import cut, forget
+from .sketches import count_min, repeated
 
 STAR_ROUNDS = 2
 #: Words of parity bits to a set.
@@ -17,7 +19,10 @@ WORDS = 16
 #: Lists of more ids are thinned out and dealt to groups before they are merged; neither changes what is found.
 SMALL = 64
 #: Groups that the ids of a long list are dealt to when the list is merged with itself.
-SALTS = 16
+SALTS = 4
+#: Cells of the sketch of tokens.
+CELLS = 1 << 26
+Tokens = Callable[[pa.RecordBatch], Iterator[tuple[np.ndarray, np.ndarray]]]
 
 
 def _reach(part: int, whole: int, common: Column, n: Column, other: Column) -> Column:
@@ -61,7 +66,25 @@ def _alike(part: int, whole: int) -> Column:
     return sized & (differ * F.lit(whole + part) <= (F.col("m_x") + F.col("m_y")) * F.lit(whole - part))
 
 
-def _rest(live: DataFrame, sets: DataFrame, tokens: Callable[[DataFrame], DataFrame], part: int, whole: int) -> DataFrame:
+def _common(rows: DataFrame, of: Tokens) -> DataFrame:
+    """(id, common): how many of a set's tokens other rows have too, or a few more: a sketch of fixed size tells."""
+
+    def keys(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+        for hashes, _ in of(batch):
+            yield hashes
+
+    held = rows.sparkSession.sparkContext.broadcast(count_min(rows, keys, CELLS))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [np.bincount(np.repeat(np.arange(len(n)), n)[repeated(held.value, hashes)], minlength=len(n)) for hashes, n in of(batch)]
+            if found:
+                yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(np.concatenate(found).astype(np.int64))], names=["id", "common"])
+
+    return rows.mapInArrow(run, "id long, common long")
+
+
+def _rest(live: DataFrame, sets: DataFrame, tokens: tuple[DataFrame, Tokens], part: int, whole: int) -> DataFrame:
     """All pairs that may still be linked between components.
 
     Ids meet only where the parity bits and the sizes of their sets allow the similarity; the join gives out no other
@@ -72,10 +95,8 @@ def _rest(live: DataFrame, sets: DataFrame, tokens: Callable[[DataFrame], DataFr
     small, long = known.where(F.col("size") <= SMALL).drop("size"), known.where(F.col("size") > SMALL).drop("size")
     pairs = _cross(small, "pair", _alike(part, whole))
     if not long.isEmpty():
-        held = cut(tokens(long.select("id").distinct()))
-        shared = held.groupBy("token").agg(F.count("*").alias("df")).where("df > 1").select("token")
-        common = held.join(shared, "token", "left_semi").groupBy("id").agg(F.count("*").alias("common"))
-        counted = long.join(common, "id")
+        rows, of = tokens
+        counted = long.join(_common(cut(rows.join(long.select("id").distinct(), "id", "left_semi")), of), "id")
         least = counted.groupBy("pair").agg(F.min("m").alias("least"))
         able = counted.join(least, "pair").where(_reach(part, whole, F.col("common"), F.col("m"), F.greatest(F.col("least").cast("double"), F.col("m") * F.lit(part / whole)))).drop("least")
         bound = _reach(part, whole, F.least("common_x", "common_y"), F.col("m_x"), F.col("m_y"))
@@ -84,14 +105,14 @@ def _rest(live: DataFrame, sets: DataFrame, tokens: Callable[[DataFrame], DataFr
 
 
 def link(
-    lists: DataFrame, sets: DataFrame, confirm: Callable[[DataFrame], DataFrame], tokens: Callable[[DataFrame], DataFrame], part: int, whole: int, near: Column | None = None, star_rounds: int = STAR_ROUNDS
+    lists: DataFrame, sets: DataFrame, confirm: Callable[[DataFrame], DataFrame], tokens: tuple[DataFrame, Tokens], part: int, whole: int, near: Column | None = None, star_rounds: int = STAR_ROUNDS
 ) -> DataFrame:
     """(id, component) of all ids that a confirmed link joins to another; the component is its least id.
 
     ``lists`` has the columns pair (the list) and id, and others that ``near`` needs to say whether rows x and y can be
     similar at all (it names them with _x and _y). ``sets`` has the size n and the parity words b0, b1, ... of each
-    id's set, ``tokens`` gives (id, token), the sets behind the ids, and ``confirm`` keeps the true links among offered
-    pairs (a, b). In a star round each list offers its ids one centre
+    id's set, ``tokens`` is a table of the ids with what its function turns, batch by batch, into the tokens
+    of each row and how many it has, and ``confirm`` keeps the true links among offered pairs (a, b). In a star round each list offers its ids one centre
     (the first time the least id, then one by hash), and what is joined is contracted, so a list of n alike ids costs
     about n pairs. The last round offers what may still be linked between components; no such pair goes untried.
     """

@@ -21,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -117,6 +118,12 @@ def _sets(docs: DataFrame, size: int, wanted: DataFrame) -> DataFrame:
     return found.join(wanted, "id", "left_semi")
 
 
+def _tokens(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The shingles of each row of a batch."""
+    held = batch.column("shingles")
+    yield held.flatten().to_numpy(zero_copy_only=False).view(np.uint64), pc.list_value_length(held).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
 def _confirmed(pairs: DataFrame, sigs: DataFrame, sets: DataFrame, part: int, whole: int) -> DataFrame:
     """The pairs (a, b) with enough equal coordinates whose sets satisfy whole * intersection >= part * union."""
     both = lambda rows, t, c: rows.join(t.select(F.col("id").alias("a"), F.col(c).alias("ca")), "a").join(t.select(F.col("id").alias("b"), F.col(c).alias("cb")), "b")
@@ -146,8 +153,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     prefix = cut(lists.where(keep > 0).select("id", F.explode(F.slice("l", F.lit(1), keep)).alias("p")).select("id", "p.pair"))
     wanted = prefix.select("id").distinct()
     sets = cut(_sets(slim, size, wanted).dropDuplicates(["id", "shingles"]))
-    tokens = lambda ids: sets.join(ids, "id", "left_semi").select("id", F.explode("shingles").alias("token"))
-    labels = link(prefix, sigs.drop("sig"), lambda pairs: _confirmed(pairs, sigs, sets, part, whole), tokens, part, whole)
+    labels = link(prefix, sigs.drop("sig"), lambda pairs: _confirmed(pairs, sigs, sets, part, whole), (sets, _tokens), part, whole)
     members = base.select("id", "n", "s1", "s2").join(classes, ["s1", "s2", "n"], "left")
     found = members.join(labels.withColumnRenamed("id", "node"), F.col("rep") == F.col("node"), "left")
     own = F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.coalesce("component", "rep")).otherwise(F.col("id"))

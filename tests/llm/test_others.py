@@ -211,3 +211,14 @@ def test_main_text_of_tables(spark, sf_dir):
 
 def test_sha_of_no_items():
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0c442")
+
+
+def test_clashing_names(spark):
+    rows = [(1, "<html><body><article><p>Some words of an article that is long enough.</p></article></body></html>", "en"), (None, None, "en"), (1, "", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").select("*", *[F.lit(1).alias(c) for c in ("_letters", "letters", "row", "_html", "html", "blocks", "score")])
+    model = langid.fit(docs, F.lit(True))
+    got = langid.identify(docs, model)
+    assert got.columns == [c for c in docs.columns if c != "score"] + ["lang_pred", "score"] and got.count() == 3
+    found = html.main_text(docs.withColumnRenamed("text", "page"), "page")
+    assert found.columns == ["doc_id", "page", "lang", "_letters", "letters", "row", "_html", "html", "score", "blocks", "text"]
+    assert sorted(r.text for r in found.collect()) == ["", "", "Some words of an article that is long enough."]
