@@ -62,15 +62,14 @@ def solve(x: np.ndarray, labels: list[str], landmarks: int = LANDMARKS, ridge: f
     """Languages and the folded matrix (features + 1, languages; the last row is the offset)."""
     names = sorted(set(labels))
     y = np.where(np.array(labels)[:, None] == np.array(names), 1.0, -1.0)
-    x = _normal(x).astype(np.float64)
     # evenly from each language, as far as they go
     turns = {n: [i for i, lab in enumerate(labels) if lab == n] for n in names}
     chosen = [turns[n][k] for k in range(max(map(len, turns.values()))) for n in names if k < len(turns[n])][:landmarks]
-    marks = x[chosen]
+    marks = _normal(x[chosen]).astype(np.float64)
     values, vectors = np.linalg.eigh(marks @ marks.T)
     good = values > 1e-8 * values.max()
     root = vectors[:, good] / np.sqrt(values[good])  # K^(-1/2) up to a rotation
-    phi = x @ marks.T @ root
+    phi = np.concatenate([_normal(x[lo : lo + _ROWS]) @ marks.T @ root for lo in range(0, len(x), _ROWS)])  # a few rows at a time, for memory
     weight = 1 / np.sqrt([[labels.count(lab)] for lab in labels])  # languages count alike
     phi1 = np.hstack([phi, np.ones((len(phi), 1))])
     a = (phi1 * weight**2).T @ phi1 + ridge * np.diag([1.0] * phi.shape[1] + [0.0]) + 1e-9 * np.eye(phi1.shape[1])
