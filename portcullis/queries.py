@@ -560,3 +560,5 @@ _registered(
     f"""WITH cases AS (SELECT ts, user_id % 3 <> 0 AS gold_allowed, event_id % 5 = 0 AS refusal, CASE WHEN event_id % 5 = 0 THEN 'NOT_APPLICABLE' WHEN event_id % 7 = 0 THEN 'BLOCK' ELSE 'PASS' END AS access_status,
  CASE event_type WHEN 'view' THEN TRUE WHEN 'click' THEN FALSE ELSE NULL END AS execution_correct FROM events), {_CLASS} SELECT strftime(date_trunc('day', ts), '%Y-%m-%d %H:%M') AS start, classification, COUNT(*) AS n FROM classified GROUP BY 1, 2""",
 )(lambda spark, d: live.windowed_outcomes(live.as_cases(fx.table(spark, d, "events"))))
+
+from . import queries_evaluation  # noqa: E402, F401  it registers its queries here
