@@ -84,6 +84,41 @@ def test_clean_response(spark, answer, want):
     assert spark.createDataFrame([(answer,)], "a string").select(text.clean_response(F.col("a"))).first()[0] == want
 
 
+@pytest.mark.parametrize(
+    ("answer", "want"),
+    [
+        ("```python\nx\n```\n```SQL\nSELECT 1\n```", "SELECT 1"),
+        ("a ```\nSELECT 2\n``` b", "SELECT 2"),
+        ("run `SELECT 3` now", "SELECT 3"),
+        ("``` open SELECT", "``` open SELECT"),
+        (" SELECT 4 ", "SELECT 4"),
+        (None, ""),
+    ],
+)
+def test_extract_sql(spark, answer, want):
+    assert spark.createDataFrame([(answer,)], "a string").select(text.extract_sql(F.col("a"))).first()[0] == want
+
+
+@pytest.mark.parametrize(
+    ("sql", "want"),
+    [
+        ("SELECT ROUND(a, 2), round ( b )", "SELECT a,  b "),
+        ("ROUND(" * 40 + "x" + ", 1)" * 40, "x"),
+        ("ROUND(f(a, g(b)), h(1, 2)) + round(c, ROUND(d, 1))", "f(a, g(b)) + c"),
+        ("SELECT ROUND(a", "SELECT ROUND(a"),
+        ("GROUND(a, 1)", "GROUND(a, 1)"),
+        (None, None),
+    ],
+)
+def test_remove_round(spark, sql, want):
+    assert spark.createDataFrame([(sql,)], "a string").select(text.remove_round(F.col("a"))).first()[0] == want
+
+
+@pytest.mark.parametrize(("sql", "want"), [("a /* b\n*/ c -- d\n\n \ne", "a  c \ne"), ("-- a", "-- a"), ("/* open", "/* open"), ("a\n-- b\nc", "a\nc"), ("", ""), (None, None)])
+def test_remove_comments(spark, sql, want):
+    assert spark.createDataFrame([(sql,)], "a string").select(text.remove_comments(F.col("a"))).first()[0] == want
+
+
 def test_null_texts(spark):
     df = spark.createDataFrame([(None,)], "a string")
     r = df.select(text.clean_response(F.col("a")), text.is_refusal_column(F.col("a")), text.is_refusal_crud(F.col("a")), text.normalize_sql(F.col("a")), text.operation_prefix(F.col("a"))).first()
