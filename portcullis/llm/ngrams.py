@@ -1,13 +1,14 @@
 """Language-model scoring with a log-frequency Bloom filter.
 
 Training counts of words and word pairs travel as packed arrays: each partition sends every hash bucket the sorted
-hashes it saw and their counts, and a bucket merges them. The filter holds, for each word and each pair seen at
-least ``cutoff`` times, the entries (n-gram, 1) .. (n-gram, q) with q the quantised logarithm of its count; a count
+hashes it saw and their counts, and a bucket merges them. The filter holds, for each word and each pair seen
+``PAIRS_FROM`` times or more, the entries (n-gram, 1) .. (n-gram, q) with q the quantised logarithm of its count; a count
 is read back by probing q = 1, 2, ... until an entry is missing, so it is never underestimated. The filter has
 ``BITS_EACH`` bits an entry and ``MAX_BITS`` bits at most: where all entries would not fit, the cutoffs are raised,
 pairs first, until they do. That bound is what makes it fit to broadcast.
 
-p(w | u) = MIX * c(u w) / c(u) + (1 - MIX) * (c(w) + 0.1) / (N + 0.1 (V + 1)), counts from the filter.
+p(w | u) = MIX * c(u w) / c(u) + (1 - MIX) * (c(w) + 0.1) / (N + 0.1 (V + 1)), counts from the filter;
+p(w | u) is the second term's fraction alone where u has no entry.
 
 The base score needs exact word counts, for which no bound exists. Words that make up a 2**-16th of all tokens or
 more (at most 65,536 of them) are broadcast; the other words of the documents go to their hash bucket, meet the
@@ -29,6 +30,10 @@ from .lineage import cut, parts
 MIX = 0.2
 BITS_EACH, PROBES, MAX_BITS = 12, 4, 1 << 29
 HOT = 1 << 16
+#: The filter's segments are at most this many, of 4,096 bits at least: buckets beyond that share them.
+SEGMENTS = 1 << 16
+#: A model parameter, the same at every size: how often a pair must occur to be held.
+PAIRS_FROM = 2
 _FLUSH = 1 << 22
 END, START = (B.mix(np.array([x], np.uint64))[0] for x in (0x656E64, 0x7374617274))
 #: Steps of the quantised logarithm to each doubling: words are finer than pairs.
@@ -52,19 +57,21 @@ def bucket_of(hashes: np.ndarray, n: int) -> np.ndarray:
 
 
 def _pack(hashes: np.ndarray, counts: np.ndarray, width: int) -> bytes:
+    """Hashes, those of count 1 first, and the other counts in 4 bytes each, or 8 where one needs them."""
     order = np.argsort(counts > 1, kind="stable")
     hashes, counts = hashes[order], counts[order]
-    more = counts[counts > 1].astype("<u4")
+    kind = "<u4" if counts.max(initial=0) < 1 << 32 else "<u8"
+    more = counts[counts > 1].astype(kind)
     raw = (hashes >> np.uint64(64 - 8 * width)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]
-    return np.array([len(hashes), len(more)], "<u4").tobytes() + raw.tobytes() + more.tobytes()
+    return np.array([len(hashes), len(more), more.itemsize], "<u4").tobytes() + raw.tobytes() + more.tobytes()
 
 
 def _unpack(data: bytes, width: int) -> tuple[np.ndarray, np.ndarray]:
-    n, m = np.frombuffer(data, "<u4", 2)
+    n, m, each = np.frombuffer(data, "<u4", 3)
     raw = np.zeros((n, 8), np.uint8)
-    raw[:, :width] = np.frombuffer(data, np.uint8, n * width, 8).reshape(-1, width)
+    raw[:, :width] = np.frombuffer(data, np.uint8, n * width, 12).reshape(-1, width)
     counts = np.ones(n, np.int64)
-    counts[n - m :] = np.frombuffer(data, "<u4", m, 8 + n * width)
+    counts[n - m :] = np.frombuffer(data, f"<u{each}", m, 12 + n * width)
     return raw.view("<u8").ravel() << np.uint64(64 - 8 * width), counts
 
 
@@ -77,8 +84,8 @@ def _merged(parts_: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np
     return hashes[first], np.add.reduceat(counts[order], first)
 
 
-def count(docs: DataFrame, text: str, buckets: int) -> DataFrame:
-    """(bucket, gram, n, total, quantised, held): the counts of each bucket's words (gram 1) and repeated pairs (gram 2).
+def count(docs: DataFrame, text: str, buckets: int, pairs_from: int = PAIRS_FROM) -> DataFrame:
+    """(bucket, gram, n, total, quantised, held): the counts of each bucket's words (gram 1) and of pairs seen ``pairs_from`` times (gram 2).
 
     n and total cover all n-grams; held packs hashes and counts; quantised counts held n-grams by quantised count.
     """
@@ -115,7 +122,7 @@ def count(docs: DataFrame, text: str, buckets: int) -> DataFrame:
             hashes, counts = _merged(got.pop((bucket, gram)))
             n, total = len(hashes), int(counts.sum())
             if gram > 1:
-                hashes, counts = hashes[counts > 1], counts[counts > 1]
+                hashes, counts = hashes[counts >= pairs_from], counts[counts >= pairs_from]
             by = np.bincount(quantise(counts, gram)).tolist() if len(counts) else []
             yield pa.RecordBatch.from_pydict(
                 {"bucket": pa.array([bucket], pa.int32()), "gram": pa.array([gram], pa.int32()), "n": [n], "total": [total], "quantised": pa.array([by], pa.list_(pa.int64())), "held": pa.array([_pack(hashes, counts, _WIDTH[gram])], pa.binary())}
@@ -176,7 +183,7 @@ class Filter:
         before[1:] = c1[back[:-1]]
         before[bounds[:-1]] = typical(self.levels(np.array([END]), 1), 1)[0]  # rows begin as often as they end
         c2 = np.minimum(typical(self.levels(pairs, 2), 2), before)
-        p = MIX * c2 / np.maximum(before, 1e-9) * (before > 0) + (1 - MIX) * p1[back]
+        p = np.where(before > 0, MIX * c2 / np.maximum(before, 1e-9) + (1 - MIX) * p1[back], p1[back])
         return np.add.reduceat(np.log10(p), bounds[:-1])
 
 
@@ -189,14 +196,22 @@ def cutoffs(quantised: dict[int, list[int]], bits: int) -> tuple[dict[int, int],
     return least, entries(1) + entries(2)
 
 
-def learn(counted: DataFrame, buckets: int) -> Filter:
+def shared_segments(buckets: int) -> tuple[int, int]:
+    """A number of buckets of at least ``buckets`` that is a multiple of the number of segments, and that number."""
+    each = -(-buckets // SEGMENTS)
+    return -(-buckets // each) * each, -(-buckets // each)
+
+
+def learn(counted: DataFrame, buckets: int, segments_: int) -> Filter:
+    """The filter of ``segments_`` segments, each of buckets / segments_ neighbouring buckets."""
     totals = counted.select("gram", "n", "total", F.posexplode_outer("quantised").alias("q", "c"))
     by = {1: [0] * 200, 2: [0] * 200}
     for r in totals.where("q is not null").groupBy("gram", "q").agg(F.sum("c").alias("c")).collect():
         by[r["gram"]][r["q"]] = r["c"]
     sums = counted.where("gram = 1").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("v"), F.coalesce(F.sum("total"), F.lit(0)).alias("n")).first()
     least, entries = cutoffs(by, MAX_BITS)
-    size = max(4096, -(-entries * BITS_EACH // buckets // 8) * 8 * 9 // 8 // 8 * 8)  # buckets differ a little: an eighth more
+    size = max(4096, -(-entries * BITS_EACH // segments_ // 8) * 8 * 9 // 8 // 8 * 8)  # segments differ a little: an eighth more
+    share = buckets // segments_
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -210,11 +225,24 @@ def learn(counted: DataFrame, buckets: int) -> Filter:
                         segment[place] = True
                 yield pa.RecordBatch.from_pydict({"bucket": pa.array([bucket], pa.int32()), "bits": pa.array([np.packbits(segment, bitorder="little").tobytes()], pa.binary())})
 
-    segments = np.zeros((buckets, size // 8), np.uint8)
-    for r in counted.select("bucket", "gram", "held").mapInArrow(fill, "bucket int, bits binary").toLocalIterator():  # 2 * MAX_BITS at most, one part at a time
+    def union(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """One row a segment: its buckets' bits together, so that the driver reads each segment once."""
+        held: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for bucket, bits in zip(*(batch.column(i).to_pylist() for i in range(2)), strict=True):
+                own = np.frombuffer(bits, np.uint8)
+                held[bucket // share] = held[bucket // share] | own if bucket // share in held else own
+        for segment, bits in held.items():
+            yield pa.RecordBatch.from_pydict({"bucket": pa.array([segment], pa.int32()), "bits": pa.array([bits.tobytes()], pa.binary())})
+
+    segments = np.zeros((segments_, size // 8), np.uint8)
+    filled = counted.select("bucket", "gram", "held").mapInArrow(fill, "bucket int, bits binary")
+    if share > 1:
+        filled = filled.repartition(F.expr(f"bucket div {share}")).mapInArrow(union, "bucket int, bits binary")
+    for r in filled.toLocalIterator():  # 2 * MAX_BITS at most, one part at a time
         segments[r["bucket"]] |= np.frombuffer(r["bits"], np.uint8)
     top = {g: max((q for q, n in enumerate(by[g]) if n), default=0) for g in by}
-    return Filter(segments, buckets, int(sums["n"]), int(sums["v"]), top)
+    return Filter(segments, segments_, int(sums["n"]), int(sums["v"]), top)
 
 
 def frequent(counted: DataFrame, total: int) -> tuple[np.ndarray, np.ndarray]:
@@ -255,9 +283,9 @@ def score(docs: DataFrame, held_out: Column, key: str = "doc_id", text: str = "t
     """
     spark = docs.sparkSession
     body = docs.select(F.col(f"`{key}`").alias("id"), held_out.alias("held_out"), F.col(f"`{text}`").alias("text"))
-    buckets = parts(docs, 8 << 20)
+    buckets, segments = shared_segments(parts(docs, 8 << 20))
     counted = cut(count(body.where(~F.col("held_out")), "text", buckets))
-    model = learn(counted, buckets)
+    model = learn(counted, buckets, segments)
     hot = frequent(counted, model.total)
     held = spark.sparkContext.broadcast((model, *hot))
 

@@ -93,6 +93,42 @@ def test_ngram_scores(docs, rows):
         assert math.isclose(r.base_score, base, rel_tol=1e-9, abs_tol=1e-9) and r.score < 0
 
 
+def test_ngram_scores_follow_the_counts(spark, monkeypatch):
+    """Scores by the written formula from exact counts, rounded as the filter rounds them; buckets that share segments change nothing."""
+    texts = ["a b a b c", "a b", "b c d", "a b c", "", None, "e", "a b c"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    never = F.lit(False)
+    own = [[*(t or "").split(), None] for t in texts]
+    c1 = Counter(w for ws in own for w in ws)
+    c2 = Counter(p for ws in own for p in zip([()] + ws, ws, strict=False))
+    near = lambda c, gram: float(ngrams.typical(ngrams.quantise(np.array([c]), gram), gram)[0]) if c else 0.0
+    total, distinct = sum(c1.values()), len(c1)
+    for segments in (1 << 16, 2, 1):
+        monkeypatch.setattr(ngrams, "SEGMENTS", segments)
+        for r in ngrams.score(docs, never).collect():
+            ws, want = own[r.doc_id], 0.0
+            for u, w in zip([()] + ws, ws, strict=False):
+                before = near(c1[None] if u == () else c1[u], 1)
+                pair = min(near(c2[u, w], 2) if c2[u, w] > 1 else 0.0, before)
+                want += math.log10(ngrams.MIX * pair / before + (1 - ngrams.MIX) * (near(c1[w], 1) + 0.1) / (total + 0.1 * (distinct + 1)))
+            assert math.isclose(r.score, want, rel_tol=1e-9)
+
+
+def test_ngrams_null_and_repeated_ids_and_no_training_rows(spark):
+    docs = spark.createDataFrame([(1, "a b"), (1, "a"), (None, "a b"), (None, None), (1, "a b")], "doc_id long, text string")
+    got = ngrams.score(docs, F.lit(False)).collect()
+    assert sorted((r.doc_id is None, r.n_tokens, r.n_known) for r in got) == [(False, 2, 2), (False, 3, 3), (False, 3, 3), (True, 1, 1), (True, 3, 3)]
+    none = ngrams.score(docs, F.lit(True)).collect()
+    assert len(none) == 5 and all(r.train_tokens == 0 and r.n_known == 0 and math.isclose(r.base_score, r.score) for r in none)
+
+
+def test_counts_beyond_32_bits():
+    hashes, counts = np.arange(1, 5, dtype=np.uint64) << np.uint64(40), np.array([1, (1 << 40) + 7, 3, 1 << 32])
+    for _ in range(2):
+        hashes, counts = ngrams._merged([ngrams._unpack(ngrams._pack(hashes, counts, 8), 8), ngrams._unpack(ngrams._pack(hashes, counts, 8), 8)])
+    assert counts.tolist() == [4, 4 * ((1 << 40) + 7), 12, 1 << 34]
+
+
 def test_filter_never_underestimates():
     r = np.random.default_rng(2)
     hashes, counts = np.unique(r.integers(0, 1 << 63, 5000, dtype=np.uint64)), None
