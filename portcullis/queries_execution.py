@@ -9,6 +9,7 @@ from . import fixtures as fx
 from .functions import scanning
 from .operators import execution as ex
 from .queries import _registered
+from .sources import records
 
 #: Pairs of statements over the base tables: equal, with columns or rows in another order, with other rows, repeated rows or an order.
 PAIRS = [
@@ -78,3 +79,19 @@ _registered("value_slots", rf"WITH {fx.STATEMENTS} SELECT stmt_id, ARRAY_TO_STRI
 _registered("unordered_cells", "SELECT ARRAY_TO_STRING(LIST_SORT([CONCAT(n_nationkey, ':bigint'), CONCAT(n_name, ':string'), CONCAT(n_regionkey, ':bigint')]), '|') AS cells FROM nation")(
     lambda spark, d: ex.unordered_cells(fx.table(spark, d, "nation").select(F.col("n_nationkey").cast("long"), "n_name", F.col("n_regionkey").cast("long"))).select(F.array_join("cells", "|").alias("cells"))
 )
+
+
+@_registered(
+    "saved_predictions",
+    """SELECT o_orderkey AS source_index, CASE WHEN o_orderkey % 3 = 2 THEN 'p' ELSE 'c' END AS pred_sql, 'r' AS prediction,
+ CASE WHEN o_orderkey % 2 = 0 THEN o_orderkey % 4 = 0 WHEN o_orderkey % 5 < 3 THEN o_orderkey % 5 = 0 ELSE TRUE END AS is_allowed, COALESCE(o_comment_or, '') AS input
+ FROM (SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE o_orderpriority END AS o_comment_or FROM orders) AS t""",
+)
+def saved_predictions(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    given = {
+        "pred_sql": F.when(k % 3 == 0, "").when(k % 3 == 2, "p"), "cleaned_sql": F.lit("c"), "raw_response": F.lit("r"),
+        "is_allowed": F.when(k % 2 == 0, k % 4 == 0), "expected_action": F.when(k % 5 == 0, "Allow").when(k % 5 < 3, "deny"), "question": F.when(k % 7 != 0, F.col("o_orderpriority")),
+    }
+    rows = fx.table(spark, d, "orders").select(k.alias("source_index"), *[given.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in records.SAVED.fields])
+    return records.harmonised(rows).select("source_index", "pred_sql", "prediction", "is_allowed", "input")

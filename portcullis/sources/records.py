@@ -8,6 +8,7 @@ import sqlite3
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from ..plans.sqlfront import Unsupported, tokenize
 
@@ -19,9 +20,17 @@ CASE = T.StructType(
 
 
 def _lines(spark: SparkSession, path: str) -> DataFrame:
-    """(source_index, line) of one file, blank lines included; a byte-order mark is dropped."""
-    whole = spark.read.text(path, wholetext=True).select(F.regexp_replace("value", "^﻿", "").alias("v"))
-    return whole.select(F.posexplode(F.split(F.regexp_replace("v", r"\r?\n$", ""), r"\r?\n")).alias("source_index", "line")).withColumn("source_index", F.col("source_index").cast("long"))
+    """(source_index, line) of one file, blank lines included; a byte-order mark is dropped.
+
+    The file is read in splits. A split's lines are numbered within it, and the splits' counts, one row each, say where
+    each begins, so that a file of any length needs neither one task nor a sort.
+    """
+    read = spark.read.text(path).select(F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("m"), "value")
+    blocks = read.groupBy("at").agg(F.count("*").alias("n"), F.min("m").alias("first"))
+    before = F.sum("n").over(Window.orderBy("at").rowsBetween(Window.unboundedPreceding, -1))  # one row a split
+    starts = blocks.select("at", (F.coalesce(before, F.lit(0)) - F.col("first")).alias("shift"))
+    line = F.when((F.col("at") == 0) & (F.col("m") + F.col("shift") == 0), F.regexp_replace("value", "^\ufeff", "")).otherwise(F.col("value"))
+    return read.join(starts, "at").select((F.col("m") + F.col("shift")).alias("source_index"), line.alias("line"))
 
 
 def read_records(spark: SparkSession, path: str, schema: T.StructType = CASE) -> DataFrame:
@@ -49,6 +58,34 @@ def read_predictions(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("source_index", one.alias("prediction"))
 
 
+#: Saved answers under the names of either writer.
+SAVED = T.StructType(
+    [T.StructField(n, T.StringType()) for n in ("id", "instruction", "input", "question", "role", "policy", "gold_sql", "database", "difficulty", "operation", "category", "metadata", "prediction", "raw_response", "pred_sql", "cleaned_sql", "expected_action")]
+    + [T.StructField("is_allowed", T.BooleanType())]
+)
+
+
+def harmonised(rows: DataFrame) -> DataFrame:
+    """Saved answers under one set of names: an empty statement or answer gives way to its other name, a missing label to
+    the expected action, and without either the case counts as allowed; missing texts are empty."""
+    given = lambda a, b: F.coalesce(F.nullif(F.col(a), F.lit("")), F.col(b))
+    return rows.withColumns(
+        {
+            "pred_sql": given("pred_sql", "cleaned_sql"),
+            "prediction": given("prediction", "raw_response"),
+            "is_allowed": F.coalesce("is_allowed", F.upper("expected_action") == "ALLOW", F.lit(True)),
+            "input": F.coalesce("input", "question", F.lit("")),
+            **{n: F.coalesce(n, F.lit("")) for n in ("id", "instruction", "gold_sql", "database")},
+        }
+    ).drop("cleaned_sql", "raw_response", "expected_action", "question")
+
+
+def read_saved(spark: SparkSession, path: str, max_samples: int | None = None) -> DataFrame:
+    """Saved answers of a JSON array or JSON lines, the first ``max_samples`` of them if given."""
+    rows = harmonised(read_records(spark, path, SAVED))
+    return rows if max_samples is None else rows.where(F.col("source_index") < max_samples)
+
+
 def align(rows: DataFrame, predictions: DataFrame, strict: bool = True) -> DataFrame:
     """Rows with their predictions by number; unequal numbers are an error, or cut to the shorter if not strict."""
     if strict:

@@ -147,6 +147,26 @@ def test_readers_and_writers(spark, tmp_path):
         records.read_records(spark, f"{tmp_path}/bad.json").collect()
 
 
+def test_lines_of_many_splits(spark, tmp_path):
+    lines = [f"line {i}" * (i % 7) for i in range(5000)]
+    (tmp_path / "p.sql").write_text("\ufeff" + "\n".join(lines) + "\n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "9000")
+    try:
+        got = records.read_predictions(spark, f"{tmp_path}/p.sql").orderBy("source_index").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert [tuple(r) for r in got] == list(enumerate(lines))
+
+
+def test_saved_answers(spark, tmp_path):
+    items = [{"id": "a", "pred_sql": "", "cleaned_sql": "s", "expected_action": "allow"}, {"raw_response": "r", "is_allowed": False, "expected_action": "ALLOW", "question": "q"}, {"policy": {"t": ["x"]}}]
+    (tmp_path / "s.json").write_text(json.dumps(items))
+    got = records.read_saved(spark, f"{tmp_path}/s.json").orderBy("source_index").collect()
+    assert [(r.id, r.pred_sql, r.prediction, r.is_allowed, r.input) for r in got] == [("a", "s", None, True, ""), ("", None, "r", False, "q"), ("", None, None, True, "")]
+    assert json.loads(got[2].policy) == {"t": ["x"]} and records.read_saved(spark, f"{tmp_path}/s.json", 2).count() == 2
+
+
 def test_schemas(tmp_path):
     import sqlite3
 
