@@ -44,7 +44,7 @@ def top_k(df: DataFrame, by: list[str], order: list[Column], k: int) -> DataFram
 
 def token_cost(usage: DataFrame, prices: DataFrame, by: list[str], digits: int = 6) -> DataFrame:
     """Tokens and dollars: usage has tokens_in and tokens_out, prices are dollars a million by model."""
-    joined = usage.join(F.broadcast(prices), "model", "left")  # the price table has a row a model
+    joined = usage.join(prices, "model", "left")
     cost = (F.col("tokens_in") * F.coalesce("price_in", F.lit(0.0)) + F.col("tokens_out") * F.coalesce("price_out", F.lit(0.0))) / 1e6
     return joined.groupBy(*by).agg(
         F.count("*").cast("long").alias("calls"), F.sum("tokens_in").cast("long").alias("tokens_in"), F.sum("tokens_out").cast("long").alias("tokens_out"),
@@ -68,10 +68,15 @@ def cumulative_share(df: DataFrame, by: list[str], part: list[str], order: list[
 
 
 def ema(df: DataFrame, by: list[str], order: str, value: str, weight: float, digits: int = 6) -> DataFrame:
-    """Exponentially smoothed last value of each series; a series is folded in order within its row."""
-    series = df.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(order, value))).alias("s"))
-    fold = F.aggregate(F.slice("s", F.lit(2), F.greatest(F.size("s") - 1, F.lit(0))), F.col("s")[0][value].cast("double"), lambda m, x: m * weight + x[value].cast("double") * (1 - weight))
-    return series.select(*by, F.size("s").cast("long").alias("n"), F.round(fold, digits).alias("smoothed"))
+    """Exponentially smoothed last value of each series; null if a value is null.
+
+    A value's share depends only on its place from the end, so the smoothing is a sum over numbered rows: a series is
+    sorted, with spill, and never held in one row.
+    """
+    x = F.col(value).cast("double")
+    placed = df.select(*by, x.alias("x"), F.row_number().over(Window.partitionBy(*by).orderBy(F.desc(order), x.desc())).alias("r"))
+    smoothed = F.sum((1 - weight) * F.pow(F.lit(weight), F.col("r") - 1) * F.col("x")) + F.max_by("x", "r") * F.pow(F.lit(weight), F.count("*"))
+    return placed.groupBy(*by).agg(F.count("*").cast("long").alias("n"), F.when(F.count("x") == F.count("*"), F.round(smoothed, digits)).alias("smoothed"))
 
 
 def judge_summary(decisions: DataFrame, digits: int = 6) -> DataFrame:

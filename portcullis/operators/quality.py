@@ -31,26 +31,45 @@ def coverage(grants: DataFrame, catalog: DataFrame, by: str = "db_id", role: str
     return own.groupBy(by).agg(F.count("*").cast("long").alias("roles"), F.round(F.avg("share"), digits).alias("avg_coverage"), F.round(spread(F.col("share")), digits).alias("std_coverage"), F.max("held").cast("long").alias("max_columns"))
 
 
-def pair_overlaps(grants: DataFrame, by: str = "db_id", role: str = "role_ord") -> DataFrame:
-    """Jaccard overlap of each two roles of a database, from shared columns counted by an equi-join on the column.
-
-    Roles that share nothing get 0. The pairs are of roles within a database, not of rows.
-    """
+def _role_sizes(grants: DataFrame, by: str, role: str) -> tuple[DataFrame, DataFrame]:
     held = grants.select(by, role, "table_name", "column_name").distinct()
-    sizes = held.groupBy(by, role).agg(F.count("*").alias("n"))
+    return held, held.groupBy(by, role).agg(F.count("*").alias("n"))
+
+
+def shared_overlaps(grants: DataFrame, by: str = "db_id", role: str = "role_ord") -> DataFrame:
+    """Jaccard overlap of the role pairs of a database that share a column: an equi-join on the column, then counts."""
+    held, sizes = _role_sizes(grants, by, role)
     a, b = (held.select(by, F.col(role).alias(x), "table_name", "column_name") for x in ("a", "b"))
     shared = a.join(b, [by, "table_name", "column_name"]).where("a < b").groupBy(by, "a", "b").agg(F.count("*").alias("both"))
-    pairs = sizes.select(by, F.col(role).alias("a"), F.col("n").alias("na")).join(sizes.select(by, F.col(role).alias("b"), F.col("n").alias("nb")), by).where("a < b")
-    both = F.coalesce("both", F.lit(0))
-    return pairs.join(shared, [by, "a", "b"], "left").select(by, "a", "b", ratio(both, F.col("na") + F.col("nb") - both).alias("overlap"))
+    for x in ("a", "b"):
+        shared = shared.join(sizes.select(by, F.col(role).alias(x), F.col("n").alias(f"n{x}")), [by, x])
+    return shared.select(by, "a", "b", ratio(F.col("both"), F.col("na") + F.col("nb") - F.col("both")).alias("overlap"))
+
+
+def pair_overlaps(grants: DataFrame, by: str = "db_id", role: str = "role_ord") -> DataFrame:
+    """Jaccard overlap of each two roles of a database, 0 for those that share nothing: as many rows as role pairs."""
+    _, sizes = _role_sizes(grants, by, role)
+    pairs = sizes.select(by, F.col(role).alias("a")).join(sizes.select(by, F.col(role).alias("b")), by).where("a < b")
+    return pairs.join(shared_overlaps(grants, by, role), [by, "a", "b"], "left").select(by, "a", "b", F.coalesce("overlap", F.lit(0.0)).alias("overlap"))
 
 
 def policy_overlap(grants: DataFrame, by: str = "db_id", role: str = "role_ord", digits: int = 6) -> DataFrame:
-    """Mean and greatest overlap of a database's role pairs, and the first pair of the greatest."""
-    pairs = pair_overlaps(grants, by, role)
+    """Mean and greatest overlap of a database's role pairs, and the first pair of the greatest.
+
+    Pairs that share nothing add 0 and need no rows: their number follows from the number of roles. Where nothing is
+    shared the first pair is of the two least roles.
+    """
+    _, sizes = _role_sizes(grants, by, role)
+    place = F.row_number().over(Window.partitionBy(by).orderBy(role))
+    roles = sizes.withColumn("r", place).groupBy(by).agg(F.count("*").alias("n"), *[F.max(F.when(F.col("r") == i, F.col(role))).alias(x) for i, x in ((1, "a1"), (2, "b1"))]).where("n > 1")
     first = F.min(F.struct((-F.round("overlap", digits)).alias("o"), "a", "b")).alias("f")
-    out = pairs.groupBy(by).agg(F.count("*").cast("long").alias("pairs"), F.round(F.avg("overlap"), digits).alias("avg_overlap"), F.round(F.max("overlap"), digits).alias("max_overlap"), first)
-    return out.select(by, "pairs", "avg_overlap", "max_overlap", F.col("f.a").alias("role_a"), F.col("f.b").alias("role_b"))
+    found = shared_overlaps(grants, by, role).groupBy(by).agg(F.sum("overlap").alias("sum"), F.max("overlap").alias("max"), first)
+    pairs = (F.col("n") * (F.col("n") - 1) / 2).cast("long")
+    some = F.coalesce(F.col("f.o") < 0, F.lit(False))
+    return roles.join(found, by, "left").select(
+        by, pairs.alias("pairs"), F.round(F.coalesce("sum", F.lit(0.0)) / pairs, digits).alias("avg_overlap"), F.round(F.coalesce("max", F.lit(0.0)), digits).alias("max_overlap"),
+        F.when(some, F.col("f.a")).otherwise(F.col("a1")).alias("role_a"), F.when(some, F.col("f.b")).otherwise(F.col("b1")).alias("role_b"),
+    )
 
 
 def policy_counts(grants: DataFrame, by: str = "db_id", role: str = "role_ord") -> DataFrame:

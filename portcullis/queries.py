@@ -499,7 +499,10 @@ _registered("table_access_dist", f"WITH {fx.GRANTS}, c AS (SELECT table_name, CO
 _registered("role_table_pivot", f"WITH {fx.GRANTS}, c AS (SELECT role_ord, COUNT(*) FILTER (table_name = 'Brand#11') AS b11, COUNT(*) FILTER (table_name = 'Brand#12') AS b12, COUNT(*) FILTER (table_name NOT IN ('Brand#11', 'Brand#12')) AS others FROM grants GROUP BY 1) SELECT * FROM c")(
     lambda spark, d: fx.grants(spark, d).groupBy("role_ord").agg(F.count_if(F.col("table_name") == "Brand#11").cast("long").alias("b11"), F.count_if(F.col("table_name") == "Brand#12").cast("long").alias("b12"), F.count_if(~F.col("table_name").isin("Brand#11", "Brand#12")).cast("long").alias("others"))
 )
-_registered("ema_smooth")(lambda spark, d: analytics.ema(fx.table(spark, d, "events"), ["event_type", "user_id"], "event_id", "value", 0.9))
+_registered(
+    "ema_smooth",
+    "SELECT event_type, user_id, COUNT(*) AS n, ROUND(list_reduce(LIST(CAST(value AS DOUBLE) ORDER BY event_id), lambda m, x: m * 0.9 + x * 0.1), 6) AS smoothed FROM events GROUP BY 1, 2",
+)(lambda spark, d: analytics.ema(fx.table(spark, d, "events"), ["event_type", "user_id"], "event_id", "value", 0.9))
 _ANSWER = "CASE event_id % 5 WHEN 0 THEN 'Winner: A' WHEN 1 THEN '**Winner** is B' WHEN 2 THEN 'It is a tie.' WHEN 3 THEN 'I think B is better' ELSE '?' END"
 _registered("judge_summary", "WITH w AS (SELECT CASE event_id % 5 WHEN 0 THEN 'A' WHEN 1 THEN 'B' WHEN 2 THEN 'tie' WHEN 3 THEN 'B' ELSE 'unknown' END AS w FROM events), s AS (SELECT COUNT(*) AS total, COUNT(*) FILTER (w = 'A') AS wins_a, COUNT(*) FILTER (w = 'B') AS wins_b, COUNT(*) FILTER (w = 'tie') AS ties, COUNT(*) FILTER (w = 'unknown') AS unknown FROM w) SELECT *, wins_a + wins_b AS decisive, ROUND(CAST(wins_a AS DOUBLE) / (wins_a + wins_b), 6) AS rate_a, ROUND(CAST(wins_b AS DOUBLE) / (wins_a + wins_b), 6) AS rate_b FROM s")(
     lambda spark, d: analytics.judge_summary(fx.table(spark, d, "events").select(text.judge_winner(F.expr(_ANSWER)).alias("winner")))
