@@ -1,18 +1,18 @@
 """Language-model scoring with a log-frequency Bloom filter.
 
-Training counts of words and word pairs travel as packed arrays: each partition sends every hash bucket the sorted
-hashes it saw and their counts, and a bucket merges them. The filter holds, for each word and each pair seen
-``PAIRS_FROM`` times or more, the entries (n-gram, 1) .. (n-gram, q) with q the quantised logarithm of its count; a count
-is read back by probing q = 1, 2, ... until an entry is missing, so it is never underestimated. The filter has
-``BITS_EACH`` bits an entry and ``MAX_BITS`` bits at most: where all entries would not fit, the cutoffs are raised,
-pairs first, until they do. That bound is what makes it fit to broadcast.
+The filter holds, for each word and each word pair of the training rows, the entries (n-gram, 1) .. (n-gram, q) with q
+the quantised logarithm of its count; a count is read back by probing q = 1, 2, ... until an entry is missing, so it is
+never underestimated. It has ``BITS_EACH`` bits an entry, so it grows with the corpus and no n-gram is left out. No bound
+on its size exists, so it isn't broadcast whole: it is cut by hash into buckets, each worker holds the segments of its own
+buckets, and the probes travel to them.
 
-p(w | u) = MIX * c(u w) / c(u) + (1 - MIX) * (c(w) + 0.1) / (N + 0.1 (V + 1)), counts from the filter;
-p(w | u) is the second term's fraction alone where u has no entry.
+Rows are read in chunks of about ``CHUNK`` tokens. A chunk sends every bucket the sorted hashes of the distinct words
+and pairs it has there, with their counts in its training rows. The bucket adds the counts, fills its segment, probes it
+for all the chunks asked, and answers with a byte an n-gram, and with the exact counts of words. The chunk's texts meet
+the answers: the buckets are ranges of the hashes, so the answers in their order belong to the chunk's sorted hashes.
 
-The base score needs exact word counts, for which no bound exists. Words that make up a 2**-16th of all tokens or
-more (at most 65,536 of them) are broadcast; the other words of the documents go to their hash bucket, meet the
-counts there, and come back as sums, again in packed arrays.
+p(w | u) = MIX * c(u w) / c(u) + (1 - MIX) * (c(w) + 0.1) / (N + 0.1 (V + 1)), counts from the filter;
+p(w | u) is the second term's fraction alone where u has no entry. The base score takes the exact counts.
 """
 
 from __future__ import annotations
@@ -21,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,13 +29,8 @@ from . import blocks as B
 from .lineage import cut, parts
 
 MIX = 0.2
-BITS_EACH, PROBES, MAX_BITS = 12, 4, 1 << 29
-HOT = 1 << 16
-#: The filter's segments are at most this many, of 4,096 bits at least: buckets beyond that share them.
-SEGMENTS = 1 << 16
-#: A model parameter, the same at every size: how often a pair must occur to be held.
-PAIRS_FROM = 2
-_FLUSH = 1 << 22
+BITS_EACH, PROBES = 12, 4
+CHUNK = 1 << 20
 END, START = (B.mix(np.array([x], np.uint64))[0] for x in (0x656E64, 0x7374617274))
 #: Steps of the quantised logarithm to each doubling: words are finer than pairs.
 STEPS = {1: 2, 2: 1}
@@ -42,14 +38,14 @@ _WIDTH = {1: 8, 2: 6}  # bytes of a packed hash
 
 
 def tokens(block: B.Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Word hashes of the rows with an end after each row, the pairs' hashes, and the rows' bounds."""
+    """Word hashes of the rows with an end after each row, the pairs' hashes of 48 bits, and the rows' bounds."""
     found = B.words(block, B.SPACED, B.LOWER)
     own = np.insert(found.hashes, found.bounds[1:], END)
     bounds = found.bounds + np.arange(block.rows + 1)
     before = np.empty_like(own)
     before[1:] = own[:-1]
     before[bounds[:-1]] = START
-    return own, B.mix(before * np.uint64(0xD6E8FEB86659FD93) + own), bounds
+    return own, B.mix(before * np.uint64(0xD6E8FEB86659FD93) + own) >> np.uint64(16) << np.uint64(16), bounds
 
 
 def bucket_of(hashes: np.ndarray, n: int) -> np.ndarray:
@@ -57,21 +53,18 @@ def bucket_of(hashes: np.ndarray, n: int) -> np.ndarray:
 
 
 def _pack(hashes: np.ndarray, counts: np.ndarray, width: int) -> bytes:
-    """Hashes, those of count 1 first, and the other counts in 4 bytes each, or 8 where one needs them."""
-    order = np.argsort(counts > 1, kind="stable")
-    hashes, counts = hashes[order], counts[order]
-    kind = "<u4" if counts.max(initial=0) < 1 << 32 else "<u8"
-    more = counts[counts > 1].astype(kind)
+    """Hashes, their counts in a byte each, and those of 255 or more in eight bytes."""
+    more = counts[counts >= 255].astype("<u8")
     raw = (hashes >> np.uint64(64 - 8 * width)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]
-    return np.array([len(hashes), len(more), more.itemsize], "<u4").tobytes() + raw.tobytes() + more.tobytes()
+    return np.array([len(hashes), len(more)], "<u4").tobytes() + raw.tobytes() + np.minimum(counts, 255).astype(np.uint8).tobytes() + more.tobytes()
 
 
 def _unpack(data: bytes, width: int) -> tuple[np.ndarray, np.ndarray]:
-    n, m, each = np.frombuffer(data, "<u4", 3)
+    n, m = np.frombuffer(data, "<u4", 2).tolist()
     raw = np.zeros((n, 8), np.uint8)
-    raw[:, :width] = np.frombuffer(data, np.uint8, n * width, 12).reshape(-1, width)
-    counts = np.ones(n, np.int64)
-    counts[n - m :] = np.frombuffer(data, f"<u{each}", m, 12 + n * width)
+    raw[:, :width] = np.frombuffer(data, np.uint8, n * width, 8).reshape(-1, width)
+    counts = np.frombuffer(data, np.uint8, n, 8 + n * width).astype(np.int64)
+    counts[counts == 255] = np.frombuffer(data, "<u8", m, 8 + n * (width + 1))
     return raw.view("<u8").ravel() << np.uint64(64 - 8 * width), counts
 
 
@@ -80,56 +73,8 @@ def _merged(parts_: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np
     hashes, counts = (np.concatenate(x) for x in zip(*parts_, strict=True))
     order = np.argsort(hashes, kind="stable")
     hashes = hashes[order]
-    first = np.flatnonzero(np.concatenate([[True], hashes[1:] != hashes[:-1]]))
-    return hashes[first], np.add.reduceat(counts[order], first)
-
-
-def count(docs: DataFrame, text: str, buckets: int, pairs_from: int = PAIRS_FROM) -> DataFrame:
-    """(bucket, gram, n, total, quantised, held): the counts of each bucket's words (gram 1) and of pairs seen ``pairs_from`` times (gram 2).
-
-    n and total cover all n-grams; held packs hashes and counts; quantised counts held n-grams by quantised count.
-    """
-
-    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: dict[int, list[np.ndarray]] = {1: [], 2: []}
-
-        def flush(gram: int) -> Iterator[pa.RecordBatch]:
-            if not kept[gram]:
-                return
-            hashes, counts = np.unique(np.concatenate(kept[gram]), return_counts=True)
-            kept[gram].clear()
-            edges = np.searchsorted(bucket_of(hashes, buckets), np.arange(buckets + 1)).tolist()
-            some = [b for b in range(buckets) if edges[b + 1] > edges[b]]
-            held = [_pack(hashes[edges[b] : edges[b + 1]], counts[edges[b] : edges[b + 1]], _WIDTH[gram]) for b in some]
-            yield pa.RecordBatch.from_pydict({"bucket": pa.array(some, pa.int32()), "gram": pa.array([gram] * len(some), pa.int32()), "held": pa.array(held, pa.binary())})
-
-        for batch in batches:
-            for block in B.blocks(batch.column("text")):
-                own, pairs, _ = tokens(block)
-                for gram, x in ((1, own), (2, pairs)):
-                    kept[gram].append(x)
-                    if sum(map(len, kept[gram])) > _FLUSH:
-                        yield from flush(gram)
-        for gram in kept:
-            yield from flush(gram)
-
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got: dict[tuple[int, int], list[tuple[np.ndarray, np.ndarray]]] = {}
-        for batch in batches:
-            for bucket, gram, held in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                got.setdefault((bucket, gram), []).append(_unpack(held, _WIDTH[gram]))
-        for bucket, gram in sorted(got):
-            hashes, counts = _merged(got.pop((bucket, gram)))
-            n, total = len(hashes), int(counts.sum())
-            if gram > 1:
-                hashes, counts = hashes[counts >= pairs_from], counts[counts >= pairs_from]
-            by = np.bincount(quantise(counts, gram)).tolist() if len(counts) else []
-            yield pa.RecordBatch.from_pydict(
-                {"bucket": pa.array([bucket], pa.int32()), "gram": pa.array([gram], pa.int32()), "n": [n], "total": [total], "quantised": pa.array([by], pa.list_(pa.int64())), "held": pa.array([_pack(hashes, counts, _WIDTH[gram])], pa.binary())}
-            )
-
-    made = docs.select(F.col(text).alias("text")).mapInArrow(local, "bucket int, gram int, held binary")
-    return made.repartition(buckets, "bucket").mapInArrow(merge, "bucket int, gram int, n long, total long, quantised array<long>, held binary")
+    first = np.flatnonzero(np.concatenate([[True], hashes[1:] != hashes[:-1]])) if len(hashes) else np.zeros(0, np.int64)
+    return hashes[first], np.add.reduceat(counts[order], first) if len(hashes) else counts
 
 
 def quantise(counts: np.ndarray, gram: int) -> np.ndarray:
@@ -144,122 +89,41 @@ def typical(q: np.ndarray, gram: int) -> np.ndarray:
 
 
 def _places(hashes: np.ndarray, level: int, gram: int, size: int) -> Iterator[np.ndarray]:
-    """Bits of the entries (n-gram, level) within their bucket's segment of ``size`` bits."""
+    """Bits of the entries (n-gram, level) within a segment of ``size`` bits."""
     key = B.mix((hashes >> np.uint64(16)) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(level * 4 + gram))
     step = B.mix(key) | np.uint64(1)
     for k in range(PROBES):
         yield ((key + np.uint64(k) * step) % np.uint64(size)).astype(np.int64)
 
 
-class Filter:
-    """The filter as it is broadcast: one segment of bits a bucket, and the totals that the smoothing needs."""
+class Segment:
+    """The part of the filter that holds the words (gram 1) and pairs (gram 2) of one bucket; counts are 1 or more."""
 
-    def __init__(self, segments: np.ndarray, buckets: int, total: int, distinct: int, top: dict[int, int]) -> None:
-        self.bits, self.buckets, self.total, self.distinct, self.top = segments, buckets, total, distinct, top
-        self.size = 8 * segments.shape[1]
+    def __init__(self, grams: dict[int, tuple[np.ndarray, np.ndarray]], bits_each: int = BITS_EACH) -> None:
+        quantised = {gram: quantise(counts, gram) for gram, (_, counts) in grams.items()}
+        self.size = max(64, bits_each * sum(int(q.sum()) for q in quantised.values()))
+        self.top = {gram: int(q.max(initial=0)) for gram, q in quantised.items()}
+        bits = np.zeros(self.size, bool)
+        for gram, q in quantised.items():
+            for level in range(1, self.top[gram] + 1):
+                for place in _places(grams[gram][0][q >= level], level, gram, self.size):
+                    bits[place] = True
+        self.bits = np.packbits(bits, bitorder="little")
 
     def levels(self, hashes: np.ndarray, gram: int) -> np.ndarray:
         """Quantised counts by repeated probes; 0 for an n-gram without entries."""
-        out = np.zeros(len(hashes), np.int64)
+        out = np.zeros(len(hashes), np.uint8)
         live, level = np.arange(len(hashes)), 0
-        base = bucket_of(hashes, self.buckets) * self.bits.shape[1]
-        flat = self.bits.ravel()
         while len(live) and level < self.top[gram]:  # no count is quantised higher
             level += 1
-            own, at = hashes[live], base[live]
+            own = hashes[live]
             there = np.ones(len(live), bool)
             for place in _places(own, level, gram, self.size):
-                there &= flat[at + (place >> 3)] >> (place & 7).astype(np.uint8) & np.uint8(1) != 0
+                there &= self.bits[place >> 3] >> (place & 7).astype(np.uint8) & np.uint8(1) != 0
             live = live[there]
             out[live] = level
         return out
 
-    def log10(self, own: np.ndarray, pairs: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-        """log10 p of each row."""
-        unique, back = np.unique(own, return_inverse=True)
-        c1 = typical(self.levels(unique, 1), 1)
-        p1 = (c1 + 0.1) / (self.total + 0.1 * (self.distinct + 1))
-        before = np.empty(len(own))
-        before[1:] = c1[back[:-1]]
-        before[bounds[:-1]] = typical(self.levels(np.array([END]), 1), 1)[0]  # rows begin as often as they end
-        c2 = np.minimum(typical(self.levels(pairs, 2), 2), before)
-        p = np.where(before > 0, MIX * c2 / np.maximum(before, 1e-9) + (1 - MIX) * p1[back], p1[back])
-        return np.add.reduceat(np.log10(p), bounds[:-1])
-
-
-def cutoffs(quantised: dict[int, list[int]], bits: int) -> tuple[dict[int, int], int]:
-    """Least quantised counts that are held, and the entries, so that the filter stays within ``bits``."""
-    least = {1: 1, 2: 1}
-    entries = lambda g: sum(q * n for q, n in enumerate(quantised.get(g, [])) if q >= least[g])
-    while (entries(1) + entries(2)) * BITS_EACH > bits:
-        least[2 if entries(2) else 1] += 1
-    return least, entries(1) + entries(2)
-
-
-def shared_segments(buckets: int) -> tuple[int, int]:
-    """A number of buckets of at least ``buckets`` that is a multiple of the number of segments, and that number."""
-    each = -(-buckets // SEGMENTS)
-    return -(-buckets // each) * each, -(-buckets // each)
-
-
-def learn(counted: DataFrame, buckets: int, segments_: int) -> Filter:
-    """The filter of ``segments_`` segments, each of buckets / segments_ neighbouring buckets."""
-    totals = counted.select("gram", "n", "total", F.posexplode_outer("quantised").alias("q", "c"))
-    by = {1: [0] * 200, 2: [0] * 200}
-    for r in totals.where("q is not null").groupBy("gram", "q").agg(F.sum("c").alias("c")).collect():
-        by[r["gram"]][r["q"]] = r["c"]
-    sums = counted.where("gram = 1").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("v"), F.coalesce(F.sum("total"), F.lit(0)).alias("n")).first()
-    least, entries = cutoffs(by, MAX_BITS)
-    size = max(4096, -(-entries * BITS_EACH // segments_ // 8) * 8 * 9 // 8 // 8 * 8)  # segments differ a little: an eighth more
-    share = buckets // segments_
-
-    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for bucket, gram, held in zip(*(batch.column(n).to_pylist() for n in ("bucket", "gram", "held")), strict=True):
-                hashes, counts = _unpack(held, _WIDTH[gram])
-                q = quantise(counts, gram) if len(counts) else np.zeros(0, np.int64)
-                hashes, q = hashes[q >= least[gram]], q[q >= least[gram]]
-                segment = np.zeros(size, bool)
-                for level in range(1, int(q.max(initial=0)) + 1):
-                    for place in _places(hashes[q >= level], level, gram, size):
-                        segment[place] = True
-                yield pa.RecordBatch.from_pydict({"bucket": pa.array([bucket], pa.int32()), "bits": pa.array([np.packbits(segment, bitorder="little").tobytes()], pa.binary())})
-
-    def union(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """One row a segment: its buckets' bits together, so that the driver reads each segment once."""
-        held: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for bucket, bits in zip(*(batch.column(i).to_pylist() for i in range(2)), strict=True):
-                own = np.frombuffer(bits, np.uint8)
-                held[bucket // share] = held[bucket // share] | own if bucket // share in held else own
-        for segment, bits in held.items():
-            yield pa.RecordBatch.from_pydict({"bucket": pa.array([segment], pa.int32()), "bits": pa.array([bits.tobytes()], pa.binary())})
-
-    segments = np.zeros((segments_, size // 8), np.uint8)
-    filled = counted.select("bucket", "gram", "held").mapInArrow(fill, "bucket int, bits binary")
-    if share > 1:
-        filled = filled.repartition(F.expr(f"bucket div {share}")).mapInArrow(union, "bucket int, bits binary")
-    for r in filled.toLocalIterator():  # 2 * MAX_BITS at most, one part at a time
-        segments[r["bucket"]] |= np.frombuffer(r["bits"], np.uint8)
-    top = {g: max((q for q, n in enumerate(by[g]) if n), default=0) for g in by}
-    return Filter(segments, segments_, int(sums["n"]), int(sums["v"]), top)
-
-
-def frequent(counted: DataFrame, total: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes, sorted, and counts of the words that make up a HOT-th of all tokens or more: HOT of them at most."""
-    least = max(1, -(-total // HOT))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for held in batch.column("held").to_pylist():
-                hashes, counts = _unpack(held, 8)
-                yield pa.RecordBatch.from_arrays([pa.array(B.signed(hashes[counts >= least])), pa.array(counts[counts >= least])], names=["h", "c"])
-
-    got = counted.where("gram = 1").select("held").mapInArrow(run, "h long, c long").toPandas()
-    hashes = got["h"].to_numpy(np.int64).view(np.uint64)
-    order = np.argsort(hashes)
-    return hashes[order], got["c"].to_numpy(np.int64)[order]
-
 
 def _found(table: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     """Index of each hash in a sorted table, or -1."""
@@ -269,147 +133,159 @@ def _found(table: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return np.where(table[at] == hashes, at, -1)
 
 
-_ROW = "bucket int, rid long, id {kind}, held_out boolean, n_tokens long, n_known long, base double, score double, words binary"
-_SHIFT = 33  # monotonically_increasing_id: the partition above, the row's number below
-_ENTRY = np.dtype([("row", "<u4"), ("tf", "<u4"), ("hash", "<u8")])
-_SUM = np.dtype([("row", "<u4"), ("known", "<u4"), ("log", "<f8")])
-
-
-def score(docs: DataFrame, held_out: Column, key: str = "doc_id", text: str = "text") -> DataFrame:
+def log10(own: np.ndarray, pairs: np.ndarray, bounds: np.ndarray, total: int, distinct: int) -> np.ndarray:
+    """log10 p of each row, from the quantised counts of its tokens and pairs."""
+    c1 = typical(own.astype(np.int64), 1)
+    before = np.empty(len(own))
+    before[1:] = c1[:-1]
+    before[bounds[:-1]] = c1[bounds[1:] - 1]  # rows begin as often as they end
+    c2 = np.minimum(typical(pairs.astype(np.int64), 2), before)
+    p = (c1 + 0.1) / (total + 0.1 * (distinct + 1))
+    p = np.where(before > 0, MIX * c2 / np.maximum(before, 1e-9) + (1 - MIX) * p, p)
+    return np.add.reduceat(np.log10(p), bounds[:-1])
+
+
+#: A row is a document of a chunk, or what a chunk and a bucket have for each other.
+_ROW = "bucket int, chunk long, id {kind}, held_out boolean, text string, words binary, pairs binary"
+#: So do the buckets' answers; with chunk -1 a bucket's distinct words and their occurrences.
+_MET = f"{_ROW}, n long, total long"
+
+
+def _asked(batches: Iterator[pa.RecordBatch], buckets: int, size: int) -> Iterator[pa.RecordBatch]:
+    kept: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    chunk = -1
+
+    def flush() -> Iterator[pa.RecordBatch]:
+        own, pairs, train = (np.concatenate(x) for x in zip(*kept, strict=True))
+        kept.clear()
+        held: dict[int, dict[int, bytes]] = {1: {}, 2: {}}
+        for gram, x in ((1, own), (2, pairs)):
+            hashes, counts = _merged([(x, train)])
+            where = bucket_of(hashes, buckets)
+            edges = [*np.flatnonzero(np.diff(where, prepend=-1)).tolist(), len(hashes)]
+            for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+                held[gram][int(where[lo])] = _pack(hashes[lo:hi], counts[lo:hi], _WIDTH[gram])
+        none = {gram: _pack(own[:0], train[:0], _WIDTH[gram]) for gram in held}
+        some = sorted(held[1].keys() | held[2].keys())
+        yield rows(some, [chunk] * len(some), words=[held[1].get(b, none[1]) for b in some], pairs=[held[2].get(b, none[2]) for b in some])
+
+    def rows(bucket: list[int], chunks: list[int], **more: object) -> pa.RecordBatch:
+        n = len(bucket)
+        column = lambda name, kind: more[name] if isinstance(more.get(name), pa.Array) else pa.array(more.get(name, [None] * n), kind)
+        kinds = {"id": id_type, "held_out": pa.bool_(), "text": pa.string(), "words": pa.binary(), "pairs": pa.binary()}
+        return pa.RecordBatch.from_pydict({"bucket": pa.array(bucket, pa.int32()), "chunk": pa.array(chunks, pa.int64()), **{k: column(k, t) for k, t in kinds.items()}})
+
+    for batch in batches:
+        id_type = batch.schema.field("id").type
+        for block in B.blocks(batch.column("text")):
+            mine = batch.slice(block.first, block.rows)
+            if not kept:
+                chunk = mine.column("rid")[0].as_py()
+            own, pairs, bounds = tokens(block)
+            train = pc.fill_null(pc.invert(mine.column("held_out")), False).to_numpy(zero_copy_only=False)
+            kept.append((own, pairs, np.repeat(train.astype(np.int64), np.diff(bounds))))
+            at = int(B.mix(np.array([chunk], np.uint64))[0] % np.uint64(buckets))
+            yield rows([at] * block.rows, [chunk] * block.rows, id=mine.column("id"), held_out=mine.column("held_out"), text=mine.column("text").cast(pa.string()))
+            if sum(len(x) for x, _, _ in kept) >= size:
+                yield from flush()
+    if kept:
+        yield from flush()
+
+
+def _answered(batches: Iterator[pa.RecordBatch], bits_each: int) -> Iterator[pa.RecordBatch]:
+    """In a bucket: the segment of its n-grams, probed for every chunk. Documents pass, as of bucket -1."""
+    got: dict[int, list[tuple[int, bytes, bytes]]] = {}
+    for batch in batches:
+        schema = batch.schema
+        plain = batch.filter(batch.column("words").is_null())
+        if plain.num_rows:
+            none = pa.nulls(plain.num_rows, pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array([-1] * plain.num_rows, pa.int32()), *plain.columns[1:], none, none], names=[*schema.names, "n", "total"])
+        own = batch.filter(batch.column("words").is_valid())
+        for bucket, *rest in zip(*(own.column(n).to_pylist() for n in ("bucket", "chunk", "words", "pairs")), strict=True):
+            got.setdefault(bucket, []).append(tuple(rest))
+    for bucket in sorted(got):
+        chunks, *held = zip(*got.pop(bucket), strict=True)
+        asked = {gram: [_unpack(x, _WIDTH[gram]) for x in held[gram - 1]] for gram in (1, 2)}
+        grams = {}
+        for gram in asked:
+            hashes, counts = _merged(asked[gram])
+            grams[gram] = hashes[counts > 0], counts[counts > 0]
+        segment = Segment(grams, bits_each)
+        answers: dict[int, list[bytes]] = {1: [], 2: []}
+        for gram in asked:
+            for hashes, _ in asked[gram]:
+                answer = segment.levels(hashes, gram).tobytes()
+                if gram == 1:
+                    at = _found(grams[1][0], hashes)
+                    there = at >= 0
+                    exact = np.zeros(len(hashes), "<i8")
+                    exact[there] = grams[1][1][at[there]]
+                    answer += exact.tobytes()
+                answers[gram].append(answer)
+        n = len(chunks) + 1
+        empty = [pa.nulls(n, schema.field(x).type) for x in ("id", "held_out", "text")]
+        sums = [pa.array([None] * (n - 1) + [x], pa.int64()) for x in (len(grams[1][0]), int(grams[1][1].sum()))]
+        yield pa.RecordBatch.from_arrays([pa.array([bucket] * n, pa.int32()), pa.array([*chunks, -1], pa.int64()), *empty, *(pa.array([*answers[g], None], pa.binary()) for g in answers), *sums], names=[*schema.names, "n", "total"])
+
+
+def _finished(batches: Iterator[pa.RecordBatch], total: int, distinct: int) -> Iterator[pa.RecordBatch]:
+    """Scores of the chunks, which come one after the other, each with its documents before its answers."""
+
+    def finish() -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(kept)
+        docs = table.filter(pc.is_null(table.column("words")))
+        answers = table.filter(pc.is_valid(table.column("words")))
+        levels, exact = [], []
+        for data in answers.column("words").to_pylist():
+            n = len(data) // 9
+            levels.append(np.frombuffer(data, np.uint8, n))
+            exact.append(np.frombuffer(data, "<i8", n, n))
+        counts, words = np.concatenate(exact), np.concatenate(levels)
+        pairs = np.frombuffer(b"".join(answers.column("pairs").to_pylist()), np.uint8)
+        made = [(tokens(block)) for block in B.blocks(docs.column("text"))]
+        keys = [np.unique(np.concatenate([x[i] for x in made])) for i in range(2)]
+        if len(keys[0]) != len(words) or len(keys[1]) != len(pairs):
+            raise RuntimeError("the answers of the buckets do not belong to the documents of the chunk")
+        n_tokens, n_known, base, score_ = [], [], [], []
+        for own, two, bounds in made:
+            at = np.searchsorted(keys[0], own)
+            c = counts[at]
+            n_tokens.append(np.diff(bounds))
+            n_known.append(np.add.reduceat((c > 0).astype(np.int64), bounds[:-1]))
+            base.append(np.add.reduceat(np.log10((c + 0.1) / (total + 0.1 * (distinct + 1))), bounds[:-1]))
+            score_.append(log10(words[at], pairs[np.searchsorted(keys[1], two)], bounds, total, distinct))
+        columns = {"n_tokens": n_tokens, "n_known": n_known, "train_tokens": [np.full(docs.num_rows, total)], "base_score": base, "score": score_}
+        yield from pa.table({"id": docs.column("id"), "held_out": docs.column("held_out"), **{k: np.concatenate(x) for k, x in columns.items()}}).to_batches(max_chunksize=10_000)
+
+    kept: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        chunk = batch.column("chunk").to_numpy()
+        edges = [*np.flatnonzero(np.diff(chunk, prepend=-1)).tolist(), len(chunk)]
+        for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+            if last != chunk[lo] and kept:
+                yield from finish()
+                kept = []
+            last = chunk[lo]
+            kept.append(batch.slice(lo, hi - lo))
+    if kept:
+        yield from finish()
+
+
+def score(docs: DataFrame, held_out: Column, key: str = "doc_id", text: str = "text", chunk: int = CHUNK, bits_each: int = BITS_EACH) -> DataFrame:
     """For each row: key, held_out, n_tokens, n_known, train_tokens, base_score and score; null counts as empty text.
 
     Learns from the rows where ``held_out`` is false. Without any, all words are unknown. Rows are kept apart even
-    where keys repeat or are null. An empty table gives no rows.
+    where keys repeat or are null. An empty table gives no rows. A chunk has ``chunk`` tokens, and its last document's more.
     """
-    spark = docs.sparkSession
     body = docs.select(F.col(f"`{key}`").alias("id"), held_out.alias("held_out"), F.col(f"`{text}`").alias("text"))
-    buckets, segments = shared_segments(parts(docs, 8 << 20))
-    counted = cut(count(body.where(~F.col("held_out")), "text", buckets))
-    model = learn(counted, buckets, segments)
-    hot = frequent(counted, model.total)
-    held = spark.sparkContext.broadcast((model, *hot))
-
-    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, hot_hashes, hot_counts = held.value
-        kept: list[tuple[np.ndarray, np.ndarray]] = []  # word entries, and their partition
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            entries = np.concatenate([x for x, _ in kept]) if kept else np.zeros(0, _ENTRY)
-            parted = kept[0][1] if kept else 0
-            kept.clear()
-            where = bucket_of(entries["hash"], buckets)
-            order = np.argsort(where, kind="stable")
-            entries, edges = entries[order], np.searchsorted(where[order], np.arange(buckets + 1)).tolist()
-            some = [b for b in range(buckets) if edges[b + 1] > edges[b]]
-            yield rows(some, [parted << _SHIFT] * len(some), words=[entries[edges[b] : edges[b + 1]].tobytes() for b in some])
-
-        def rows(bucket: list[int], rid: list[int], **more: object) -> pa.RecordBatch:
-            n = len(bucket)
-            column = lambda name, kind: more[name] if isinstance(more.get(name), pa.Array) else pa.array(more.get(name, [None] * n), kind)
-            return pa.RecordBatch.from_arrays(
-                [pa.array(bucket, pa.int32()), pa.array(rid, pa.int64()), column("id", id_type), column("held_out", pa.bool_()), column("n_tokens", pa.int64()), column("n_known", pa.int64()), column("base", pa.float64()), column("score", pa.float64()), column("words", pa.binary())],
-                names=["bucket", "rid", "id", "held_out", "n_tokens", "n_known", "base", "score", "words"],
-            )
-
-        id_type = None
-        for batch in batches:
-            id_type = batch.schema.field("id").type
-            for block in B.blocks(batch.column("text")):
-                own, pairs, bounds = tokens(block)
-                at = _found(hot_hashes, own)
-                seen = at >= 0
-                log = np.add.reduceat(np.where(seen, np.log10(hot_counts[at] + 0.1) if len(hot_counts) else 0.0, 0.0), bounds[:-1])
-                known = np.add.reduceat(seen.astype(np.int64), bounds[:-1])
-                mine = batch.slice(block.first, block.rows)
-                rid = mine.column("rid").to_numpy()
-                yield rows((rid % buckets).tolist(), rid, id=mine.column("id"), held_out=mine.column("held_out"), n_tokens=np.diff(bounds), n_known=known, base=log, score=model.log10(own, pairs, bounds))
-                number = (rid & ((1 << _SHIFT) - 1)).astype(np.int64)
-                row = np.repeat(number, np.diff(bounds))[~seen]
-                rare = own[~seen]
-                order = np.lexsort((rare, row))
-                rare, row = rare[order], row[order]
-                first = np.flatnonzero(np.concatenate([[True], (rare[1:] != rare[:-1]) | (row[1:] != row[:-1])])) if len(rare) else np.zeros(0, np.int64)
-                entry = np.zeros(len(first), _ENTRY)
-                entry["row"], entry["hash"], entry["tf"] = row[first], rare[first], np.diff(np.append(first, len(rare)))
-                part = int(rid[0] >> _SHIFT)
-                if kept and (kept[0][1] != part or sum(len(x) for x, _ in kept) > _FLUSH):
-                    yield from flush()
-                kept.append((entry, part))
-        if kept:
-            yield from flush()
-
-    def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """In a bucket: the counts of its words for the documents' words, summed for each document."""
-        counts: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
-        words: dict[int, list[tuple[int, bytes]]] = {}
-        schema = None
-        for batch in batches:
-            schema = batch.schema
-            rest = batch.column("words")
-            plain = batch.filter(rest.is_null())
-            if plain.num_rows:
-                yield plain.drop_columns(["bucket"]).add_column(0, "part", pa.array((plain.column("rid").to_numpy() >> _SHIFT).astype(np.int32)))
-            own = batch.filter(rest.is_valid())
-            for bucket, rid, data in zip(*(own.column(n).to_pylist() for n in ("bucket", "rid", "words")), strict=True):
-                if rid < 0:
-                    counts.setdefault(bucket, []).append(_unpack(data, 8))
-                else:
-                    words.setdefault(bucket, []).append((rid >> _SHIFT, data))
-        for bucket in sorted(words):
-            hashes, c = _merged(counts[bucket]) if bucket in counts else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-            by_part: dict[int, list[np.ndarray]] = {}
-            for part, data in words.pop(bucket):
-                by_part.setdefault(part, []).append(np.frombuffer(data, _ENTRY))
-            parted, sums = [], []
-            for part, chunks in by_part.items():
-                e = np.concatenate(chunks)
-                at = _found(hashes, e["hash"])
-                there = at >= 0
-                tf = e["tf"].astype(np.float64)
-                row, back = np.unique(e["row"], return_inverse=True)
-                out = np.zeros(len(row), _SUM)
-                out["row"], out["known"] = row, np.bincount(back, tf * there)
-                out["log"] = np.bincount(back, tf * np.log10((c[at] * there if len(c) else 0) + 0.1))
-                parted.append(part)
-                sums.append(out.tobytes())
-            empty = [pa.nulls(len(parted), schema.field(n).type) for n in ("id", "held_out", "n_tokens", "n_known", "base", "score")]
-            yield pa.RecordBatch.from_arrays([pa.array(parted, pa.int32()), pa.array([p << _SHIFT for p in parted], pa.int64()), *empty, pa.array(sums, pa.binary())], names=["part", *schema.names[1:]])
-
-    total, distinct = model.total, model.distinct
-
-    def finished(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Of a part: its documents with the sums that the buckets sent."""
-        docs_, sums = [], {}
-        for batch in batches:
-            plain = batch.filter(batch.column("words").is_null())
-            if plain.num_rows:
-                docs_.append(plain)
-            own = batch.filter(batch.column("words").is_valid())
-            for part, data in zip(own.column("part").to_pylist(), own.column("words").to_pylist(), strict=True):
-                sums.setdefault(part, []).append(np.frombuffer(data, _SUM))
-        if not docs_:
-            return
-        rows = pa.Table.from_batches(docs_).combine_chunks()
-        part = rows.column("part").to_numpy()
-        number = rows.column("rid").to_numpy() & ((1 << _SHIFT) - 1)
-        known, log = rows.column("n_known").to_numpy().copy(), rows.column("base").to_numpy().copy()
-        for p in np.unique(part).tolist():
-            at = np.flatnonzero(part == p)
-            if p not in sums:
-                continue
-            more = np.concatenate(sums.pop(p))
-            top = int(max(number[at].max(), more["row"].max())) + 1
-            known[at] += np.bincount(more["row"], more["known"], top).astype(np.int64)[number[at]]
-            log[at] += np.bincount(more["row"], more["log"], top)[number[at]]
-        n = rows.column("n_tokens").to_numpy()
-        base = log - n * np.log10(total + 0.1 * (distinct + 1))
-        out = pa.table({"id": rows.column("id"), "held_out": rows.column("held_out"), "n_tokens": n, "n_known": known, "train_tokens": np.full(len(n), total), "base_score": base, "score": rows.column("score")})
-        yield from out.to_batches(max_chunksize=10_000)
-
     kind = body.schema["id"].dataType.simpleString()
-    row = _ROW.format(kind=kind)
-    own = body.select(F.monotonically_increasing_id().alias("rid"), "id", "held_out", "text").mapInArrow(scored, row)
-    table = counted.where("gram = 1").select("bucket", F.lit(-1).cast("long").alias("rid"), *[F.lit(None).cast(t).alias(n) for n, t in (("id", kind), ("held_out", "boolean"), ("n_tokens", "long"), ("n_known", "long"), ("base", "double"), ("score", "double"))], F.col("held").alias("words"))
-    joined = own.unionByName(table).repartition(buckets, "bucket").mapInArrow(met, row.replace("bucket int", "part int"))
-    done = joined.repartition(buckets, "part").mapInArrow(finished, f"id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    buckets = parts(docs, 8 << 20)
+    asked = body.select(F.monotonically_increasing_id().alias("rid"), "id", "held_out", "text").mapInArrow(lambda b: _asked(b, buckets, chunk), _ROW.format(kind=kind))
+    table = cut(asked.repartition(buckets, "bucket").mapInArrow(lambda b: _answered(b, bits_each), _MET.format(kind=kind)))
+    sums = table.where("chunk < 0").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("v"), F.coalesce(F.sum("total"), F.lit(0)).alias("n")).first()
+    total, distinct = int(sums["n"]), int(sums["v"])
+    met = table.where("chunk >= 0").drop("n", "total").repartition(buckets, "chunk").sortWithinPartitions("chunk", "bucket")
+    done = met.mapInArrow(lambda b: _finished(b, total, distinct), f"id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
     return done.withColumnRenamed("id", key)

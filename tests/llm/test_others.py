@@ -93,25 +93,26 @@ def test_ngram_scores(docs, rows):
         assert math.isclose(r.base_score, base, rel_tol=1e-9, abs_tol=1e-9) and r.score < 0
 
 
-def test_ngram_scores_follow_the_counts(spark, monkeypatch):
-    """Scores by the written formula from exact counts, rounded as the filter rounds them; buckets that share segments change nothing."""
-    texts = ["a b a b c", "a b", "b c d", "a b c", "", None, "e", "a b c"]
+@pytest.mark.parametrize(("chunk", "parts"), [(1 << 20, 4), (1, 1), (3, 7)])
+def test_ngram_scores_follow_the_counts(spark, monkeypatch, chunk, parts):
+    """Scores by the written formula from exact counts, rounded as the filter rounds them, whatever the chunks and buckets."""
+    texts = ["a b a b c", "a b", "b c d", "a b c", "", None, "e", "a b c", "z a b", "a q"]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
-    never = F.lit(False)
     own = [[*(t or "").split(), None] for t in texts]
-    c1 = Counter(w for ws in own for w in ws)
-    c2 = Counter(p for ws in own for p in zip([()] + ws, ws, strict=False))
+    c1 = Counter(w for ws in own[:8] for w in ws)
+    c2 = Counter(p for ws in own[:8] for p in zip([()] + ws, ws, strict=False))
     near = lambda c, gram: float(ngrams.typical(ngrams.quantise(np.array([c]), gram), gram)[0]) if c else 0.0
     total, distinct = sum(c1.values()), len(c1)
-    for segments in (1 << 16, 2, 1):
-        monkeypatch.setattr(ngrams, "SEGMENTS", segments)
-        for r in ngrams.score(docs, never).collect():
-            ws, want = own[r.doc_id], 0.0
-            for u, w in zip([()] + ws, ws, strict=False):
-                before = near(c1[None] if u == () else c1[u], 1)
-                pair = min(near(c2[u, w], 2) if c2[u, w] > 1 else 0.0, before)
-                want += math.log10(ngrams.MIX * pair / before + (1 - ngrams.MIX) * (near(c1[w], 1) + 0.1) / (total + 0.1 * (distinct + 1)))
-            assert math.isclose(r.score, want, rel_tol=1e-9)
+    monkeypatch.setattr(ngrams, "parts", lambda *_: parts)
+    for r in ngrams.score(docs, F.col("doc_id") >= 8, chunk=chunk, bits_each=4000).collect():  # with so many bits no entry is false
+        ws, want = own[r.doc_id], 0.0
+        for u, w in zip([()] + ws, ws, strict=False):
+            before = near(c1[None] if u == () else c1[u], 1)
+            plain = (near(c1[w], 1) + 0.1) / (total + 0.1 * (distinct + 1))
+            pair = min(near(c2[u, w], 2), before)
+            want += math.log10(ngrams.MIX * pair / before + (1 - ngrams.MIX) * plain if before else plain)
+        assert math.isclose(r.score, want, rel_tol=1e-9)
+        assert (r.train_tokens, r.n_known, r.held_out) == (total, sum(c1[w] > 0 for w in ws), r.doc_id >= 8)
 
 
 def test_ngrams_null_and_repeated_ids_and_no_training_rows(spark):
@@ -136,17 +137,14 @@ def test_filter_never_underestimates():
     data = ngrams._pack(hashes, counts, 8)
     h, c = ngrams._unpack(data, 8)
     assert dict(zip(h.tolist(), c.tolist(), strict=True)) == dict(zip(hashes.tolist(), counts.tolist(), strict=True))
-    size = 1 << 21
-    bits = np.zeros(size, bool)
-    q = ngrams.quantise(counts, 1)
-    for level in range(1, int(q.max()) + 1):
-        for place in ngrams._places(hashes[q >= level], level, 1, size):
-            bits[place] = True
-    f = ngrams.Filter(np.packbits(bits, bitorder="little")[None], 1, 10, 10, {1: int(q.max()), 2: 0})
-    levels = f.levels(hashes, 1)
-    assert (levels >= q).all() and (levels == q).mean() > 0.98
+    few = np.arange(1, 300, dtype=np.uint64) << np.uint64(32)
+    f = ngrams.Segment({1: (hashes, counts), 2: (few, np.ones(len(few), np.int64))})
+    q, levels = ngrams.quantise(counts, 1), f.levels(hashes, 1)
+    assert (levels >= q).all() and (levels == q).mean() > 0.98 and (f.levels(few, 2) == 1).all()
     assert (f.levels(r.integers(0, 1 << 63, 5000, dtype=np.uint64), 1) == 0).mean() > 0.98
-    assert ngrams.cutoffs({1: [0, 100], 2: [0, 0, 50]}, 12 * 150) == ({1: 1, 2: 3}, 100)
+    assert f.size == ngrams.BITS_EACH * (int(q.sum()) + len(few))
+    nothing = hashes[:0], counts[:0]
+    assert not ngrams.Segment({1: nothing, 2: nothing}).levels(hashes, 2).any()
 
 
 def test_sharding(spark, docs, rows):
