@@ -34,7 +34,8 @@ CHUNK = 1 << 20
 END, START = (B.mix(np.array([x], np.uint64))[0] for x in (0x656E64, 0x7374617274))
 #: Steps of the quantised logarithm to each doubling: words are finer than pairs.
 STEPS = {1: 2, 2: 1}
-_WIDTH = {1: 8, 2: 6}  # bytes of a packed hash
+#: How a sorted hash is packed: bits let go from its low end, and bytes of its distance from the one before.
+_PACKED = {1: (0, 6), 2: (16, 4)}
 
 
 def tokens(block: B.Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -52,20 +53,35 @@ def bucket_of(hashes: np.ndarray, n: int) -> np.ndarray:
     return ((hashes >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype(np.int64)
 
 
-def _pack(hashes: np.ndarray, counts: np.ndarray, width: int) -> bytes:
-    """Hashes, their counts in a byte each, and those of 255 or more in eight bytes."""
-    more = counts[counts >= 255].astype("<u8")
-    raw = (hashes >> np.uint64(64 - 8 * width)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]
-    return np.array([len(hashes), len(more)], "<u4").tobytes() + raw.tobytes() + np.minimum(counts, 255).astype(np.uint8).tobytes() + more.tobytes()
+def _narrow(values: np.ndarray, width: int) -> tuple[bytes, np.ndarray]:
+    """Values in ``width`` bytes each, and apart those that need more."""
+    top = np.uint64((1 << 8 * width) - 1)
+    return np.minimum(values, top).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes(), values[values >= top].astype("<u8")
 
 
-def _unpack(data: bytes, width: int) -> tuple[np.ndarray, np.ndarray]:
-    n, m = np.frombuffer(data, "<u4", 2).tolist()
+def _wide(data: bytes, at: int, n: int, width: int, more: np.ndarray) -> np.ndarray:
     raw = np.zeros((n, 8), np.uint8)
-    raw[:, :width] = np.frombuffer(data, np.uint8, n * width, 8).reshape(-1, width)
-    counts = np.frombuffer(data, np.uint8, n, 8 + n * width).astype(np.int64)
-    counts[counts == 255] = np.frombuffer(data, "<u8", m, 8 + n * (width + 1))
-    return raw.view("<u8").ravel() << np.uint64(64 - 8 * width), counts
+    raw[:, :width] = np.frombuffer(data, np.uint8, n * width, at).reshape(-1, width)
+    out = raw.view("<u8").ravel()
+    out[out == np.uint64((1 << 8 * width) - 1)] = more
+    return out
+
+
+def _pack(hashes: np.ndarray, counts: np.ndarray, gram: int) -> bytes:
+    """Sorted hashes as distances, in 6 bytes or 4, and counts in one, with what needs more apart."""
+    drop, width = _PACKED[gram]
+    steps, far = _narrow(np.diff(hashes >> np.uint64(drop), prepend=np.uint64(0)), width)
+    few, many = _narrow(counts.astype(np.uint64), 1)
+    return np.array([len(hashes), len(far), len(many)], "<u4").tobytes() + far.tobytes() + many.tobytes() + steps + few
+
+
+def _unpack(data: bytes, gram: int) -> tuple[np.ndarray, np.ndarray]:
+    drop, width = _PACKED[gram]
+    n, far, many = np.frombuffer(data, "<u4", 3).tolist()
+    at = 12 + 8 * (far + many)
+    steps = _wide(data, at, n, width, np.frombuffer(data, "<u8", far, 12))
+    counts = _wide(data, at + n * width, n, 1, np.frombuffer(data, "<u8", many, 12 + 8 * far))
+    return np.cumsum(steps, dtype=np.uint64) << np.uint64(drop), counts.astype(np.int64)
 
 
 def _merged(parts_: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
@@ -145,12 +161,25 @@ def log10(own: np.ndarray, pairs: np.ndarray, bounds: np.ndarray, total: int, di
     return np.add.reduceat(np.log10(p), bounds[:-1])
 
 
-#: A row is a document of a chunk, or what a chunk and a bucket have for each other.
-_ROW = "bucket int, chunk long, id {kind}, held_out boolean, text string, words binary, pairs binary"
+#: A row holds packed documents of a chunk, or what a chunk and a bucket have for each other.
+_ROW = "bucket int, chunk long, docs binary, words binary, pairs binary"
 #: So do the buckets' answers; with chunk -1 a bucket's distinct words and their occurrences.
 _MET = f"{_ROW}, n long, total long"
 
 
+def _rows(bucket: list[int], chunk: list[int], **more: list) -> pa.RecordBatch:
+    columns = {"bucket": pa.array(bucket, pa.int32()), "chunk": pa.array(chunk, pa.int64())}
+    return pa.RecordBatch.from_pydict(columns | {k: pa.array(more.get(k, [None] * len(bucket)), pa.int64() if k in ("n", "total") else pa.binary()) for k in ("docs", "words", "pairs", *(k for k in ("n", "total") if k in more))})
+
+
+def _folded(rows: pa.RecordBatch) -> bytes:
+    """Documents as one compressed value."""
+    out = pa.BufferOutputStream()
+    with pa.ipc.new_stream(out, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as to:
+        to.write_batch(rows)
+    return out.getvalue().to_pybytes()
+
+
 def _asked(batches: Iterator[pa.RecordBatch], buckets: int, size: int) -> Iterator[pa.RecordBatch]:
     kept: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     chunk = -1
@@ -164,19 +193,12 @@ def _asked(batches: Iterator[pa.RecordBatch], buckets: int, size: int) -> Iterat
             where = bucket_of(hashes, buckets)
             edges = [*np.flatnonzero(np.diff(where, prepend=-1)).tolist(), len(hashes)]
             for lo, hi in zip(edges[:-1], edges[1:], strict=True):
-                held[gram][int(where[lo])] = _pack(hashes[lo:hi], counts[lo:hi], _WIDTH[gram])
-        none = {gram: _pack(own[:0], train[:0], _WIDTH[gram]) for gram in held}
+                held[gram][int(where[lo])] = _pack(hashes[lo:hi], counts[lo:hi], gram)
+        none = {gram: _pack(own[:0], train[:0], gram) for gram in held}
         some = sorted(held[1].keys() | held[2].keys())
-        yield rows(some, [chunk] * len(some), words=[held[1].get(b, none[1]) for b in some], pairs=[held[2].get(b, none[2]) for b in some])
-
-    def rows(bucket: list[int], chunks: list[int], **more: object) -> pa.RecordBatch:
-        n = len(bucket)
-        column = lambda name, kind: more[name] if isinstance(more.get(name), pa.Array) else pa.array(more.get(name, [None] * n), kind)
-        kinds = {"id": id_type, "held_out": pa.bool_(), "text": pa.string(), "words": pa.binary(), "pairs": pa.binary()}
-        return pa.RecordBatch.from_pydict({"bucket": pa.array(bucket, pa.int32()), "chunk": pa.array(chunks, pa.int64()), **{k: column(k, t) for k, t in kinds.items()}})
+        yield _rows(some, [chunk] * len(some), words=[held[1].get(b, none[1]) for b in some], pairs=[held[2].get(b, none[2]) for b in some])
 
     for batch in batches:
-        id_type = batch.schema.field("id").type
         for block in B.blocks(batch.column("text")):
             mine = batch.slice(block.first, block.rows)
             if not kept:
@@ -185,7 +207,7 @@ def _asked(batches: Iterator[pa.RecordBatch], buckets: int, size: int) -> Iterat
             train = pc.fill_null(pc.invert(mine.column("held_out")), False).to_numpy(zero_copy_only=False)
             kept.append((own, pairs, np.repeat(train.astype(np.int64), np.diff(bounds))))
             at = int(B.mix(np.array([chunk], np.uint64))[0] % np.uint64(buckets))
-            yield rows([at] * block.rows, [chunk] * block.rows, id=mine.column("id"), held_out=mine.column("held_out"), text=mine.column("text").cast(pa.string()))
+            yield _rows([at], [chunk], docs=[_folded(mine.select(["id", "held_out", "text"]))])
             if sum(len(x) for x, _, _ in kept) >= size:
                 yield from flush()
     if kept:
@@ -196,17 +218,16 @@ def _answered(batches: Iterator[pa.RecordBatch], bits_each: int) -> Iterator[pa.
     """In a bucket: the segment of its n-grams, probed for every chunk. Documents pass, as of bucket -1."""
     got: dict[int, list[tuple[int, bytes, bytes]]] = {}
     for batch in batches:
-        schema = batch.schema
-        plain = batch.filter(batch.column("words").is_null())
+        plain = batch.filter(batch.column("docs").is_valid())
         if plain.num_rows:
-            none = pa.nulls(plain.num_rows, pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array([-1] * plain.num_rows, pa.int32()), *plain.columns[1:], none, none], names=[*schema.names, "n", "total"])
+            none = [None] * plain.num_rows
+            yield _rows([-1] * plain.num_rows, plain.column("chunk").to_pylist(), docs=plain.column("docs").to_pylist(), n=none, total=none)
         own = batch.filter(batch.column("words").is_valid())
         for bucket, *rest in zip(*(own.column(n).to_pylist() for n in ("bucket", "chunk", "words", "pairs")), strict=True):
             got.setdefault(bucket, []).append(tuple(rest))
     for bucket in sorted(got):
         chunks, *held = zip(*got.pop(bucket), strict=True)
-        asked = {gram: [_unpack(x, _WIDTH[gram]) for x in held[gram - 1]] for gram in (1, 2)}
+        asked = {gram: [_unpack(x, gram) for x in held[gram - 1]] for gram in (1, 2)}
         grams = {}
         for gram in asked:
             hashes, counts = _merged(asked[gram])
@@ -223,10 +244,8 @@ def _answered(batches: Iterator[pa.RecordBatch], bits_each: int) -> Iterator[pa.
                     exact[there] = grams[1][1][at[there]]
                     answer += exact.tobytes()
                 answers[gram].append(answer)
-        n = len(chunks) + 1
-        empty = [pa.nulls(n, schema.field(x).type) for x in ("id", "held_out", "text")]
-        sums = [pa.array([None] * (n - 1) + [x], pa.int64()) for x in (len(grams[1][0]), int(grams[1][1].sum()))]
-        yield pa.RecordBatch.from_arrays([pa.array([bucket] * n, pa.int32()), pa.array([*chunks, -1], pa.int64()), *empty, *(pa.array([*answers[g], None], pa.binary()) for g in answers), *sums], names=[*schema.names, "n", "total"])
+        none = [None] * len(chunks)
+        yield _rows([bucket] * len(chunks) + [bucket], [*chunks, -1], words=[*answers[1], None], pairs=[*answers[2], None], n=[*none, len(grams[1][0])], total=[*none, int(grams[1][1].sum())])
 
 
 def _finished(batches: Iterator[pa.RecordBatch], total: int, distinct: int) -> Iterator[pa.RecordBatch]:
@@ -234,7 +253,7 @@ def _finished(batches: Iterator[pa.RecordBatch], total: int, distinct: int) -> I
 
     def finish() -> Iterator[pa.RecordBatch]:
         table = pa.Table.from_batches(kept)
-        docs = table.filter(pc.is_null(table.column("words")))
+        docs = pa.concat_tables(pa.ipc.open_stream(x).read_all() for x in table.column("docs").drop_null().to_pylist())
         answers = table.filter(pc.is_valid(table.column("words")))
         levels, exact = [], []
         for data in answers.column("words").to_pylist():
@@ -243,7 +262,7 @@ def _finished(batches: Iterator[pa.RecordBatch], total: int, distinct: int) -> I
             exact.append(np.frombuffer(data, "<i8", n, n))
         counts, words = np.concatenate(exact), np.concatenate(levels)
         pairs = np.frombuffer(b"".join(answers.column("pairs").to_pylist()), np.uint8)
-        made = [(tokens(block)) for block in B.blocks(docs.column("text"))]
+        made = [tokens(block) for block in B.blocks(docs.column("text"))]
         keys = [np.unique(np.concatenate([x[i] for x in made])) for i in range(2)]
         if len(keys[0]) != len(words) or len(keys[1]) != len(pairs):
             raise RuntimeError("the answers of the buckets do not belong to the documents of the chunk")
@@ -282,8 +301,8 @@ def score(docs: DataFrame, held_out: Column, key: str = "doc_id", text: str = "t
     body = docs.select(F.col(f"`{key}`").alias("id"), held_out.alias("held_out"), F.col(f"`{text}`").alias("text"))
     kind = body.schema["id"].dataType.simpleString()
     buckets = parts(docs, 8 << 20)
-    asked = body.select(F.monotonically_increasing_id().alias("rid"), "id", "held_out", "text").mapInArrow(lambda b: _asked(b, buckets, chunk), _ROW.format(kind=kind))
-    table = cut(asked.repartition(buckets, "bucket").mapInArrow(lambda b: _answered(b, bits_each), _MET.format(kind=kind)))
+    asked = body.select(F.monotonically_increasing_id().alias("rid"), "id", "held_out", "text").mapInArrow(lambda b: _asked(b, buckets, chunk), _ROW)
+    table = cut(asked.repartition(buckets, "bucket").mapInArrow(lambda b: _answered(b, bits_each), _MET))
     sums = table.where("chunk < 0").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("v"), F.coalesce(F.sum("total"), F.lit(0)).alias("n")).first()
     total, distinct = int(sums["n"]), int(sums["v"])
     met = table.where("chunk >= 0").drop("n", "total").repartition(buckets, "chunk").sortWithinPartitions("chunk", "bucket")

@@ -126,7 +126,7 @@ def test_ngrams_null_and_repeated_ids_and_no_training_rows(spark):
 def test_counts_beyond_32_bits():
     hashes, counts = np.arange(1, 5, dtype=np.uint64) << np.uint64(40), np.array([1, (1 << 40) + 7, 3, 1 << 32])
     for _ in range(2):
-        hashes, counts = ngrams._merged([ngrams._unpack(ngrams._pack(hashes, counts, 8), 8), ngrams._unpack(ngrams._pack(hashes, counts, 8), 8)])
+        hashes, counts = ngrams._merged([ngrams._unpack(ngrams._pack(hashes, counts, 1), 1), ngrams._unpack(ngrams._pack(hashes, counts, 1), 1)])
     assert counts.tolist() == [4, 4 * ((1 << 40) + 7), 12, 1 << 34]
 
 
@@ -134,8 +134,11 @@ def test_filter_never_underestimates():
     r = np.random.default_rng(2)
     hashes, counts = np.unique(r.integers(0, 1 << 63, 5000, dtype=np.uint64)), None
     counts = r.integers(1, 3000, len(hashes))
-    data = ngrams._pack(hashes, counts, 8)
-    h, c = ngrams._unpack(data, 8)
+    hashes[-1] = (1 << 64) - 1
+    data = ngrams._pack(hashes, counts, 1)
+    h, c = ngrams._unpack(data, 1)
+    pairs = hashes >> np.uint64(16) << np.uint64(16)
+    assert (ngrams._unpack(ngrams._pack(pairs, counts, 2), 2)[0] == pairs).all()
     assert dict(zip(h.tolist(), c.tolist(), strict=True)) == dict(zip(hashes.tolist(), counts.tolist(), strict=True))
     few = np.arange(1, 300, dtype=np.uint64) << np.uint64(32)
     f = ngrams.Segment({1: (hashes, counts), 2: (few, np.ones(len(few), np.int64))})
