@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, html, langid, lines, media, minhash, ngrams, oracles, packing, sharding, substrings
+from . import decontamination, html, langid, lines, media, minhash, ngrams, oracles, packing, periodic, sharding, substrings
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -79,6 +79,29 @@ def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_decontamination, op2_minhash, op3_packing, op4_html, op5_media, op6_ngrams, op7_sharding, op8_lines, op9_langid, op10_substrings)}
+def _with_planted_runs(key: str, text: str) -> Column:
+    """The text; where crc32 of the key, h, ends in 0, its words from a = h div 10 mod n on repeat with a period that depends on h."""
+    h, word = f"crc32(cast(cast({key} as string) as binary))", r"[^\\x20\\x09-\\x0D]"
+    steps = (
+        "named_struct('w', t.w, 'n', size(t.w), 'a', t.g % size(t.w), 'g', t.g)",
+        "named_struct('w', t.w, 'n', t.n, 'a', t.a, 'p', 1 + (t.n - t.a) div (3 + t.g % 8))",
+        "array_join(transform(sequence(0, t.n - 1), i -> t.w[cast(if(i < t.a, i, t.a + (i - t.a) % t.p) as int)]), ' ')",
+    )
+    made = f"array(named_struct('w', regexp_extract_all({text}, '{word}+', 0), 'g', {h} div 10))"
+    for step in steps:
+        made = f"transform({made}, t -> {step})"
+    return F.expr(f"if({h} % 10 = 0 and {text} rlike '{word}', {made}[0], {text})")
+
+
+def op11_periodicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", _with_planted_runs("doc_id", "text").alias("text"))
+    line = lambda r: F.concat(F.concat_ws(",", *[r[x].cast("string") for x in ("start", "length", "period")]), F.lit("\n"))
+    return periodic.periodic_runs(docs).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period", F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(F.array_join(F.transform("runs", line), ""), 256).alias("runs_sha256"), F.sha2("kept", 256).alias("collapsed_sha256"),
+    )
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_decontamination, op2_minhash, op3_packing, op4_html, op5_media, op6_ngrams, op7_sharding, op8_lines, op9_langid, op10_substrings, op11_periodicity)}
 
 ORACLE_SQL: dict[str, str] = {"op1_decontamination": oracles.CONTAMINATION, "op2_minhash": oracles.NEAR_DUPLICATES, "op10_substrings": oracles.SUBSTRINGS}
