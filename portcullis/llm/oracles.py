@@ -42,3 +42,15 @@ SELECT d.doc_id, LEN(w) AS n_words, COALESCE(LEN(gone), 0) AS n_removed,
  sha256(ARRAY_TO_STRING(CASE WHEN gone IS NULL THEN w ELSE LIST_FILTER(w, lambda y, i: NOT LIST_CONTAINS(gone, i)) END, ' ')) AS kept_sha256
 FROM d LEFT JOIN p ON p.doc_id = d.doc_id
 """
+
+CHAT = r"""
+WITH c AS (SELECT conv_id, turn, COALESCE(role, '') AS role, COALESCE(text, '') AS text FROM conversations
+ UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+e AS (SELECT *, LENGTH(regexp_replace(regexp_replace(text, '<(\\*/?s>)', '<\\\1', 'g'), '\[(\\*/?(INST|SYS|ROLE)\])', '[\\\1', 'g')) AS t,
+ LENGTH(regexp_replace(regexp_replace(role, '<(\\*/?s>)', '<\\\1', 'g'), '\[(\\*/?(INST|SYS|ROLE)\])', '[\\\1', 'g')) AS r FROM c)
+SELECT conv_id, COUNT(*) AS n_turns, sha256(STRING_AGG(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+ CAST(COALESCE(SUM(LENGTH(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+ sha256(COALESCE(STRING_AGG(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+ CAST(3 + SUM(t + CASE role WHEN 'user' THEN 15 WHEN 'system' THEN 13 WHEN 'assistant' THEN 5 ELSE 20 + r END) AS BIGINT) AS formatted_chars
+FROM e GROUP BY conv_id
+"""
