@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontamination, html, langid, lines, media, minhash, ngrams, oracles, packing, periodic, sharding, substrings
+from . import alignment, chat, decontamination, html, langid, lines, media, minhash, ngrams, oracles, packing, periodic, sharding, substrings
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -113,6 +113,10 @@ def op12_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_decontamination, op2_minhash, op3_packing, op4_html, op5_media, op6_ngrams, op7_sharding, op8_lines, op9_langid, op10_substrings, op11_periodicity, op12_chat)}
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(_table(spark, sf_dir, "documents"), vocabulary(), vocabulary("piece_bpe_32k.model"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_decontamination, op2_minhash, op3_packing, op4_html, op5_media, op6_ngrams, op7_sharding, op8_lines, op9_langid, op10_substrings, op11_periodicity, op12_chat, op13_alignment)}
 
 ORACLE_SQL: dict[str, str] = {"op1_decontamination": oracles.CONTAMINATION, "op2_minhash": oracles.NEAR_DUPLICATES, "op10_substrings": oracles.SUBSTRINGS, "op12_chat": oracles.CHAT}
