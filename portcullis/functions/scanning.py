@@ -10,6 +10,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..plans import sqlfront
+
 
 def _each(scan: Callable[[str], object], kind: T.DataType) -> Callable[[Column], Column]:
     """A scan of one text as a Column function; null gives null."""
@@ -68,6 +70,21 @@ def literals(sql: str) -> list[str]:
     return [m.group() for m in re.finditer(r"'(?:[^']|'')*'|\"(?:[^\"])*\"|(?<![\w.])\d+(?:\.\d+)?(?!\w)", sql)]
 
 
+def without_distinct(sql: str) -> str:
+    """The word DISTINCT goes wherever it is a word of its own: not in strings, quoted names or comments. An unreadable text stays."""
+    try:
+        tokens = sqlfront.tokenize(sql)
+    except sqlfront.Unsupported:
+        return sql
+    out, at = [], 0
+    for t in tokens:
+        if t.up == "DISTINCT":
+            out.append(sql[at : t.at])
+            at = t.end
+    return "".join(out) + sql[at:]
+
+
 uncommented = _each(without_comments, T.StringType())
 unrounded = _each(without_round, T.StringType())
+undistinguished = _each(without_distinct, T.StringType())
 literal_list = _each(literals, T.ArrayType(T.StringType()))

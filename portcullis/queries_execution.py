@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from . import fixtures as fx
 from .functions import scanning
+from .operators import denotation as dn
 from .operators import execution as ex
 from .queries import _registered
 from .sources import records
@@ -40,7 +42,51 @@ def _pair_sql(i: int, predicted: str, gold: str) -> str:
 @_registered("exec_match", " UNION ALL ".join(f"({_pair_sql(i, p, g)})" for i, (p, g) in enumerate(PAIRS)))
 def exec_match(spark: SparkSession, d: str) -> DataFrame:
     session = ex.open_database(spark, {t: f"{d}/{t}.parquet" for t in ("nation", "orders", "customer")})
-    return spark.createDataFrame([(i, ex.exec_match([session], p, g)) for i, (p, g) in enumerate(PAIRS)], "pair int, matches boolean")
+    verdicts = ex.exec_verdicts(spark, [ex.Pair((session,), p, g) for p, g in PAIRS])
+    return spark.createDataFrame([(i, v == "match") for i, v in enumerate(verdicts)], "pair int, matches boolean")
+
+
+#: Cells of a result's row, as SQL that both engines read; numbers of several types, one column twice, and text.
+_CELLS = (
+    "l_orderkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "CAST(l_quantity AS INT)",
+    "l_linenumber + l_quantity", "CASE WHEN l_tax < 0.04 THEN NULL ELSE l_returnflag END",
+)
+#: What the prediction's result has of the gold's, by case_id % 8: a changed cell, rows lost, rows twice, two cells of one row exchanged, or all of it.
+_LOST, _TWICE, _CHANGED, _EXCHANGED = "k % 8 = 1 AND l_linenumber = 1", "k % 8 = 2 AND l_linenumber = 2", "k % 8 = 3 AND l_linenumber = 1", "k % 8 = 4"
+
+
+def _denotation_sql() -> str:
+    """All rotations of the prediction's columns, each compared as a bag with the gold: one that is equal makes a match."""
+    n = len(_CELLS)
+    number = lambda c: f"COALESCE(CAST({c} AS VARCHAR), '')"
+    shown = ", ".join(f"CAST({c} AS DOUBLE) AS g{i}" if "flag" not in c and "status" not in c else f"{c} AS g{i}" for i, c in enumerate(_CELLS))
+    swapped = [f"CASE WHEN {_EXCHANGED} AND first THEN {{}} ELSE {number(f'g{i}')} END" for i in range(n)]
+    cells = [swapped[i].format(number("g4") if i == 3 else number("g3")) if i in (3, 4) else number(f"g{i}") for i in range(n)]
+    cells[0] = f"CASE WHEN {_CHANGED} THEN '-1.0' ELSE {cells[0]} END"
+    orders = " UNION ALL ".join(f"SELECT k, {r} AS r, CONCAT_WS('|', {', '.join(f'p{(i + r) % n}' for i in range(n))}) AS t FROM q" for r in range(n))
+    return f"""WITH l AS (SELECT l_partkey AS k, l_linenumber, {shown}, ROW_NUMBER() OVER (PARTITION BY l_partkey ORDER BY l_orderkey, l_linenumber) = 1 AS first FROM lineitem),
+ g AS (SELECT k, LIST_SORT(LIST(CONCAT_WS('|', {", ".join(number(f"g{i}") for i in range(n))}))) AS rows FROM l GROUP BY k),
+ q AS (SELECT k, {", ".join(f"{c} AS p{i}" for i, c in enumerate(cells))} FROM (SELECT * FROM l UNION ALL SELECT * FROM l WHERE {_TWICE}) AS t WHERE NOT ({_LOST})), o AS ({orders}), b AS (SELECT k, r, LIST_SORT(LIST(t)) AS rows FROM o GROUP BY k, r),
+ m AS (SELECT DISTINCT g.k FROM g JOIN b ON g.k = b.k AND g.rows = b.rows)
+ SELECT c.k AS case_id, m.k IS NOT NULL OR g.k IS NULL AS matches FROM (SELECT p_partkey AS k FROM part) AS c LEFT JOIN g ON c.k = g.k LEFT JOIN m ON c.k = m.k"""
+
+
+@_registered("denotation_equal", _denotation_sql())
+def denotation_equal(spark: SparkSession, d: str) -> DataFrame:
+    """A case for each part: its rows of lineitem against them with turned columns and, in half of the cases, something else changed."""
+    rows = fx.table(spark, d, "lineitem").withColumn("k", F.col("l_partkey"))
+    width = len(_CELLS)
+    first = F.row_number().over(Window.partitionBy("k").orderBy("l_orderkey", "l_linenumber")) == 1
+    typed = rows.select("k", "l_linenumber", first.alias("first"), *[F.expr(c).alias(f"g{i}") for i, c in enumerate(_CELLS)])
+    cell = [dn.normal_cell(F.col(f.name), f.dataType) for f in typed.schema.fields[3:]]
+    gold = typed.select(F.col("k").alias("case_id"), F.lit(True).alias("gold"), F.lit(None).cast("long").alias("place"), F.array(*cell).alias("cells"))
+    other = typed.unionByName(typed.where(_TWICE)).where(f"not ({_LOST})")
+    cell[0] = F.when(F.expr(_CHANGED), F.lit("n:-1")).otherwise(cell[0])
+    exchanged = F.expr(_EXCHANGED) & F.col("first")
+    cell[3], cell[4] = F.when(exchanged, cell[4]).otherwise(cell[3]), F.when(exchanged, cell[3]).otherwise(cell[4])
+    turned = F.array(*[F.element_at(F.array(*cell), F.pmod(F.lit(i) + F.col("k"), F.lit(width)).cast("int") + 1) for i in range(width)])
+    predicted = other.select(F.col("k").alias("case_id"), F.lit(False).alias("gold"), F.lit(None).cast("long").alias("place"), turned.alias("cells"))
+    return dn.denotation_equal(gold.unionByName(predicted), fx.table(spark, d, "part").select(F.col("p_partkey").alias("case_id")))
 
 
 _LIVE = """p AS (SELECT l_orderkey AS case_id, l_partkey AS cell FROM lineitem WHERE l_orderkey % 5 <> 0 AND (l_orderkey % 3 <> 0 OR l_linenumber > 1)),
@@ -72,7 +118,30 @@ def crud_sample_class(spark: SparkSession, d: str) -> DataFrame:
     return fx.cases(spark, d).select(k, found.alias("r")).select("source_index", "r.*")
 
 
-_registered("read_only_guard", f"WITH {fx.STATEMENTS} SELECT stmt_id, stmt_id % 9 IN (0, 3, 4, 8) AS read_only FROM statements")(lambda spark, d: fx.statements(spark, d).select("stmt_id", ex.is_read_only("sql").alias("read_only")))
+#: Beginnings, middles and ends of statements, and whether each leaves a statement a query that only reads.
+_HEADS = [
+    ("SELECT {a} FROM t", True), ("  select t.* from t", True), ("WITH r AS (SELECT {a} FROM t) SELECT * FROM r", True), ("(SELECT {a} FROM t)", True), ("SELECT REPLACE(name, 'delete', 'x') AS c{a} FROM t", True), ("VALUES ({a})", True),
+    ("INSERT INTO t SELECT {a} FROM t", False), ("update t set a = {a}", False), ("WITH r AS (SELECT {a}) DELETE FROM t", False), ("SELECT {a} INTO u FROM t", False), ("SELECT java_method('java.lang.System', 'exit', '{a}') FROM t", False),
+    ("SELECT UPPER(reflect('a.B', 'c', {a})) FROM t", False), ("CREATE TABLE u{a} AS SELECT 1", False), ("SELECT * FROM parquet.`/data/{a}`", False), ("EXPLAIN SELECT {a}", False),
+]
+_TAILS = [("", True), (";", True), (" -- drop table t", True), (" UNION ALL SELECT LOWER(b) FROM t", True), (" ; DROP TABLE t", False), (" UNION SELECT try_reflect('a.B', 'c') FROM t", False), (" FOR UPDATE", False)]
+
+
+def _guarded_sql() -> str:
+    case = lambda of, k: f"CASE {k} " + " ".join(f"WHEN {i} THEN {str(ok).upper()}" for i, (_, ok) in enumerate(of)) + " END"
+    return f"SELECT o_orderkey AS stmt_id, {case(_HEADS, f'o_orderkey % {len(_HEADS)}')} AND {case(_TAILS, f'(o_orderkey // {len(_HEADS)}) % {len(_TAILS)}')} AS read_only FROM orders"
+
+
+@_registered("read_only_guard", _guarded_sql())
+def read_only_guard(spark: SparkSession, d: str) -> DataFrame:
+    """A statement for each order: one of the beginnings with the customer's number in it, and one of the ends."""
+    k = F.col("o_orderkey")
+    pick = lambda of, i: F.element_at(F.array(*[F.lit(text) for text, _ in of]), i.cast("int") + 1)
+    head = F.replace(pick(_HEADS, k % len(_HEADS)), F.lit("{a}"), F.col("o_custkey").cast("string"))
+    sql = F.concat(head, pick(_TAILS, F.expr(f"o_orderkey div {len(_HEADS)}") % len(_TAILS)))
+    return fx.table(spark, d, "orders").select(k.alias("stmt_id"), ex.is_read_only(sql).alias("read_only"))
+
+
 _registered("value_slots", rf"WITH {fx.STATEMENTS} SELECT stmt_id, ARRAY_TO_STRING(regexp_extract_all(sql, '(^|[^\w.])(\d+)', 2), ',') AS literals FROM statements")(
     lambda spark, d: fx.statements(spark, d).select("stmt_id", F.array_join(scanning.literal_list("sql"), ",").alias("literals"))
 )

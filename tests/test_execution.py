@@ -49,6 +49,49 @@ def test_exec_match(database, predicted, gold, options, want):
     assert ex.exec_match([database], predicted, gold, **options) is want
 
 
+@pytest.mark.parametrize(
+    ("predicted", "gold", "want"),
+    [
+        ("SELECT CAST(id AS BIGINT) FROM t", "SELECT id FROM t", "match"), ("SELECT SUM(id) * 1.0 FROM t", "SELECT SUM(id) FROM t", "match"), ("SELECT id, k FROM t WHERE id < 0", "SELECT id FROM t WHERE id < 0", "match"),
+        ("SELECT 'a distinct b'", "SELECT 'a b'", "differs"), ("SELECT 'a distinct b'", "SELECT  'a distinct b'", "match"), ("SELECT k, k, id, id, name, name, k, id, name FROM t", "SELECT id, id, id, k, k, k, name, name, name FROM t", "match"),
+        ("SELECT id % 2, id % 3, id % 5, id % 7 FROM t", "SELECT id % 7, id % 5, id % 2, id % 3 FROM t", "match"), ("SELECT id, id FROM t", "SELECT id, k FROM t", "differs"), ("SELECT nope FROM t", "SELECT id FROM t", "error"), ("SELECT id FROM t", "SELECT nope FROM t", "gold"),
+        ("SELECT COUNT(*) AS n FROM range(100000000) a JOIN range(1000) b ON a.id + b.id < 0", "SELECT 0 AS n", "timeout"), ("SELECT YEAR(CURDATE())", "SELECT 2020", "match"),
+    ],
+)
+def test_verdicts(spark, database, predicted, gold, want):
+    assert ex.exec_verdicts(spark, [ex.Pair((database,), predicted, gold)], seconds=15.0 if want != "timeout" else 2.0) == [want]
+
+
+@pytest.mark.parametrize(
+    "sql",
+    [
+        "SELECT java_method('java.lang.System', 'getProperty', 'user.home')", "SELECT upper(reflect('java.util.UUID', 'randomUUID'))", "SELECT id FROM t WHERE EXISTS (SELECT try_reflect('a', 'b'))", "SELECT * FROM parquet.`/root/x`",
+        "SELECT * FROM t JOIN csv.`/etc/passwd` c ON true", "SELECT (SELECT max(k) FROM other_view)", "SELECT * FROM global_temp.v", "SELECT TRANSFORM(id) USING 'cat' AS (x) FROM t", "SELECT * FROM IDENTIFIER('other_' || 'view')",
+        "SELECT input_file_name() FROM t", "SELECT read_files('/etc')", "WITH other_view AS (SELECT 1) SELECT * FROM other_view", "SELECT * FROM spark_catalog.default.t", "SELECT version(), current_user()", "SHOW TABLES", "SET spark.x=1",
+    ],
+)
+def test_guard(spark, database, sql):
+    spark.range(3).selectExpr("id AS k").createOrReplaceTempView("other_view")
+    database.range(3).selectExpr("id AS k").createOrReplaceTempView("other_view")  # in the session, but no view of the database
+    assert ex.refusal(database, sql) and ex.execute(database, [sql]).error
+
+
+def test_guard_lets_queries_run(database):
+    for sql in (
+        "WITH a AS (SELECT k, COUNT(*) AS n FROM t GROUP BY k HAVING COUNT(*) > 1), b AS (SELECT * FROM a) SELECT a.k, RANK() OVER (PARTITION BY b.k ORDER BY a.n DESC) FROM a LEFT JOIN b ON a.k = b.k WHERE a.n BETWEEN 1 AND 99 ORDER BY 1 LIMIT 3",
+        "SELECT CASE WHEN name LIKE 'n%' THEN CAST(id AS STRING) ELSE name END, x FROM t LATERAL VIEW explode(array(1, 2)) e AS x WHERE id IN (SELECT id FROM t WHERE k = 1) AND EXISTS (SELECT 1 FROM T u WHERE u.id = t.id)",
+        "SELECT id FROM t UNION SELECT k FROM t EXCEPT SELECT 7", "VALUES (1, 'a'), (2, 'b')", "SELECT transform(array(id), x -> x + 1), EXTRACT(YEAR FROM DATE'2020-01-01'), SUM(id) OVER w, COUNT(*) OVER (ORDER BY k ROWS 1 PRECEDING) FROM t WINDOW w AS (ORDER BY id)",
+    ):
+        assert ex.refusal(database, sql) is None, sql
+        assert ex.execute(database, [sql]).result.collect()
+
+
+def test_candidates_of_many_pairs_together(spark, database):
+    pairs = [ex.Pair((database,), f"SELECT id FROM t WHERE k = {i}", "SELECT id FROM t WHERE k = 1") for i in range(3)] + [ex.Pair((database, database), "SELECT name FROM t ORDER BY id", "SELECT name FROM t ORDER BY id")]
+    assert ex.exec_verdicts(spark, pairs) == ["differs", "match", "differs", "match"]
+    assert ex.exec_verdicts(spark, pairs[:3], plug=True) == ["match"] * 3
+
+
 def test_gold_must_run(database):
     with pytest.raises(ValueError, match="gold"):
         ex.exec_match([database], "SELECT id FROM t", "SELECT nothing FROM t")
