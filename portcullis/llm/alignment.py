@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import hashlib
 import os
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -35,7 +36,7 @@ CHUNK_POSTINGS = 1 << 21
 #: A posting is its document's number in the chunk and a multiplicity of up to 16 bits; a greater one is several postings.
 _MOST = (1 << 16) - 1
 #: Distinct pieces of B kept by a worker.
-KEPT = 1 << 20
+KEPT = 1 << 19
 
 
 class _Plain(Encoder):
@@ -70,11 +71,12 @@ class _Pieces:
         crossing = any("▁" in x.lstrip("▁") for x in names)
         same = " a  bﬁ ½ "
         self.whole = crossing or self.model.decode(self.model.encode(same)) != same
+        self.space = [self.model.piece_to_id("▁")]
         self._empty()
 
     def _empty(self) -> None:
-        self.place: dict[bytes, int] = {b" ": 0}  # at a text's end; asked for alone, the model gives nothing for it
-        self.ids: list[np.ndarray] = [np.array([self.model.piece_to_id("▁")], np.int64)]
+        self.place: dict[int, int] = {}  # by hash, the number of a known piece; its ids are flat[edges[i] : edges[i + 1]]
+        self.edges, self.flat = array("q", [0]), array("i")
 
     def encode(self, block: B.Block) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all rows on end, and how many each has. Each row begins with a space."""
@@ -89,22 +91,26 @@ class _Pieces:
         ends = np.append(at[1:], len(data))
         sums, down = B.prefix(data.astype(np.uint64) + np.uint64(1))
         hashes = B.mix((sums[ends] - sums[at]) * down[at] + (ends - at).astype(np.uint64))
-        _, one, back = np.unique(hashes, return_index=True, return_inverse=True)
+        values, one, back = np.unique(hashes, return_index=True, return_inverse=True)
         if len(self.place) > KEPT:
             self._empty()
         held = data.tobytes()
-        texts = [held[a:b] for a, b in zip(at[one].tolist(), ends[one].tolist(), strict=True)]
-        new = [t for t in texts if t not in self.place]
-        for t, ids in zip(new, self.model.encode([t[1:].decode("utf-8", "replace") for t in new], num_threads=1), strict=True):
-            self.place[t] = len(self.ids)
-            self.ids.append(np.array(ids, np.int64))
-        mine = [self.ids[self.place[t]] for t in texts]
-        counts = np.array([len(x) for x in mine], np.int64)
-        flat = np.concatenate(mine) if mine else np.zeros(0, np.int64)
-        first = np.cumsum(counts) - counts
+        new = [(i, h) for i, h in enumerate(values.tolist()) if h not in self.place]
+        if new:
+            places = one[[i for i, _ in new]]
+            texts = [held[a + 1 : b].decode("utf-8", "replace") for a, b in zip(at[places].tolist(), ends[places].tolist(), strict=True)]
+            for (_, h), text, ids in zip(new, texts, self.model.encode(texts, num_threads=1), strict=True):
+                self.place[h] = len(self.edges) - 1
+                self.flat.extend(ids if text else self.space)  # asked for nothing, the model leaves out the space
+                self.edges.append(len(self.flat))
+        mine = np.array([self.place[h] for h in values.tolist()], np.int64)
+        known, kept = np.frombuffer(self.edges, np.int64), np.frombuffer(self.flat, np.int32)
+        first, counts = known[mine], known[mine + 1] - known[mine]
         each = counts[back]
+        flat = kept[np.repeat(first[back], each) + B.ragged(each)].astype(np.int64)
+        del known, kept  # the arrays grow again
         row = np.searchsorted(edges, at, side="right") - 1
-        return flat[np.repeat(first[back], each) + B.ragged(each)], np.bincount(row, each, block.rows).astype(np.int64)
+        return flat, np.bincount(row, each, block.rows).astype(np.int64)
 
 
 class _Lengths:
