@@ -26,11 +26,12 @@ MARKS = {"user": ("[INST] ", " [/INST]"), "system": ("[SYS] ", " [/SYS]"), "assi
 ROLE, NAMED, END = "[ROLE] ", " [/ROLE] ", "</s>"
 LEARNED = "assistant"
 
+# Each pattern begins with a plain character or set, so that most places of a text fail at once.
 _TAILS = (("<", "/?s>"), (r"\[", r"/?(?:INST|SYS|ROLE)\]"))
 _BARE = "|".join(f"{lead}{tail}" for lead, tail in _TAILS)
-_ESCAPABLE = "|".join(rf"{lead}(?=\\*{tail})" for lead, tail in _TAILS)
-_ESCAPED = "|".join(rf"(?<={lead})\\(?=\\*{tail})" for lead, tail in _TAILS)
-_CLOSED = r"(?<=\[/INST\]|\[/SYS\]|</s>)"
+_ESCAPABLE = r"[<\[](?:" + "|".join(rf"(?<={lead})(?=\\*{tail})" for lead, tail in _TAILS) + ")"
+_ESCAPED = r"\\(?:" + "|".join(rf"(?<={lead}\\)(?=\\*{tail})" for lead, tail in _TAILS) + ")"
+_CLOSED = r"(?<=[\]>])(?<=\[/INST\]|\[/SYS\]|</s>)"
 
 
 def escaped(text: Column) -> Column:
