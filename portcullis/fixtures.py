@@ -99,3 +99,35 @@ STATEMENTS = """statements AS (SELECT o_orderkey AS stmt_id, CASE o_orderkey % 9
  WHEN 2 THEN 'update t /* note */ set a = 1; delete from u' WHEN 3 THEN '(SELECT a FROM t) UNION (SELECT b FROM u)' WHEN 4 THEN 'SELECT a FROM t UNION SELECT b FROM u'
  WHEN 5 THEN 'EXPLAIN SELECT 1' WHEN 6 THEN '' WHEN 7 THEN CONCAT('CREATE TABLE z_', CAST(o_orderkey AS VARCHAR(20)), ' AS SELECT t1.x, t2.y FROM t t1 JOIN u AS t2 ON t1.id < = t2.id')
  ELSE 'WITH r AS (SELECT a FROM t) SELECT YEAR(CURDATE()) FROM r' END AS sql FROM orders)"""
+
+
+def policies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """CRUD policies from the grants: wildcards, names in other case, whole tables, tables that no schema knows, DDL, managers and admins."""
+    k = F.col("role_ord")
+    role = F.when(k % 13 == 0, "SystemManager").when(k % 17 == 0, F.concat("role", F.lit(" Admin"))).otherwise(F.col("role"))
+    g = grants(spark, sf_dir).withColumn("role", role)
+    row = lambda rows, op, t, c: rows.select("db_id", "role", F.lit(op).alias("operation"), t.alias("table_name"), c.alias("column_name"))
+    t, c, none = F.col("table_name"), F.col("column_name"), F.lit(None).cast("string")
+    parts = [
+        row(g, "SELECT", t, F.when((k % 7 == 0) & t.endswith("3"), "*").otherwise(c)), row(g.where(F.length("column_name") % 3 == 0), "UPDATE", F.upper(t), c), row(g.where(k % 3 == 0), "INSERT", t, none),
+        row(g.where((k % 4 == 1) & t.rlike("[12]$")), "DELETE", F.lower(t), none), row(g.where(k % 5 == 0), "INSERT", F.lit("Extra"), none), row(g.where(k % 11 == 0), "DDL", none, none),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out.distinct()
+
+
+def schema(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns that each database lists: those of every other role."""
+    return grants(spark, sf_dir).where("role_ord % 2 = 1").select("db_id", "table_name", "column_name").distinct()
+
+
+POLICIES = f"""{GRANTS}, g AS (SELECT *, CASE WHEN role_ord % 13 = 0 THEN 'SystemManager' WHEN role_ord % 17 = 0 THEN role || ' Admin' ELSE role END AS r FROM grants),
+ policies AS (SELECT db_id, r AS role, 'SELECT' AS operation, LOWER(table_name) AS t, CASE WHEN role_ord % 7 = 0 AND table_name LIKE '%3' THEN '*' ELSE LOWER(column_name) END AS c FROM g
+ UNION SELECT db_id, r, 'UPDATE', LOWER(table_name), LOWER(column_name) FROM g WHERE LENGTH(column_name) % 3 = 0 UNION SELECT db_id, r, 'INSERT', LOWER(table_name), NULL FROM g WHERE role_ord % 3 = 0
+ UNION SELECT db_id, r, 'DELETE', LOWER(table_name), NULL FROM g WHERE role_ord % 4 = 1 AND (table_name LIKE '%1' OR table_name LIKE '%2') UNION SELECT db_id, r, 'INSERT', 'extra', NULL FROM g WHERE role_ord % 5 = 0
+ UNION SELECT db_id, r, 'DDL', NULL, NULL FROM g WHERE role_ord % 11 = 0),
+ schema_ AS (SELECT DISTINCT db_id, LOWER(table_name) AS t, LOWER(column_name) AS c FROM grants WHERE role_ord % 2 = 1),
+ perms AS (SELECT db_id, role, operation, t, c FROM policies WHERE operation IN ('SELECT', 'UPDATE') AND c <> '*' UNION SELECT p.db_id, role, operation, p.t, s.c FROM policies p JOIN schema_ s ON s.db_id = p.db_id AND s.t = p.t WHERE p.c = '*' OR operation IN ('INSERT', 'DELETE')
+ UNION SELECT db_id, role, operation, t, '*' FROM policies p WHERE operation IN ('INSERT', 'DELETE') AND NOT EXISTS (SELECT 1 FROM schema_ s WHERE s.db_id = p.db_id AND s.t = p.t))"""

@@ -78,15 +78,6 @@ def policy_counts(grants: DataFrame, by: str = "db_id", role: str = "role_ord")
     return counts.withColumn("place", F.row_number().over(Window.partitionBy(by).orderBy(F.desc("n_columns"), role)).cast("long"))
 
 
-def crud_coverage(shares: DataFrame, by: str = "db_id", role: str = "role", digits: int = 6) -> DataFrame:
-    """Weighted coverage over the operations: ``shares`` has operation and share for each role."""
-    weight = F.lit(0.0)
-    for op, w in OPERATION_WEIGHTS.items():
-        weight = F.when(F.col("operation") == op, w).otherwise(weight)
-    own = shares.groupBy(by, role).agg(F.sum(weight * F.col("share")).alias("c"))
-    return own.groupBy(by).agg(F.count("*").cast("long").alias("roles"), F.round(F.avg("c"), digits).alias("avg_coverage"), F.round(spread(F.col("c")), digits).alias("std_coverage"))
-
-
 def semantic_alignment(vectors: DataFrame, label: str = "label", vector: str = "embedding", digits: int = 4) -> DataFrame:
     """Similarity of each vector to the mean vector of its label: average, least and greatest a label."""
     at = vectors.select(label, F.posexplode(vector).alias("i", "x")).groupBy(label, "i").agg(F.avg(F.col("x").cast("double")).alias("m"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from . import fixtures as fx
 from .functions import numeric, text
-from .operators import access, analytics, datagen, equivalence, outcome, quality, trials
+from .operators import access, analytics, bitsets, datagen, equivalence, outcome, quality, trials
 from .plans import lineage
 from .streaming import live
 
@@ -297,17 +297,45 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return quality.policy_counts(fx.grants(spark, d))
 
 
-_WEIGHT = "CASE operation WHEN 'SELECT' THEN 0.7609 WHEN 'UPDATE' THEN 0.1304 WHEN 'INSERT' THEN 0.0761 ELSE 0.0326 END"
+_OPS = tuple(quality.OPERATION_WEIGHTS)
+_SHARES = ", ".join(f"COALESCE(COUNT(*) FILTER (operation = '{op}' {'' if op in bitsets.COLUMN_OPERATIONS else 'AND first'}), 0) AS n_{op}" for op in _OPS)
+_DIVIDED = ", ".join(f"CASE WHEN {(of := 'columns' if op in bitsets.COLUMN_OPERATIONS else 'tables')} > 0 THEN CAST(COALESCE(n_{op}, 0) AS DOUBLE) / {of} ELSE 0.0 END AS {op}_" for op in _OPS)
+_AVERAGED = ", ".join([*(f"ROUND(AVG({op}_), 6) AS avg_{op.lower()}_coverage" for op in _OPS), *(f"ROUND(STDDEV_POP({op}_), 6) AS {op.lower()}_coverage_std" for op in _OPS)])
+_SPREAD = " + ".join(f"{w} * STDDEV_POP({op}_)" for op, w in quality.OPERATION_WEIGHTS.items())
 
-
-@_registered(
+_registered(
     "crud_coverage",
-    f"""WITH {fx.CASES}, s AS (SELECT db_id, role, operation, CAST(COUNT(*) FILTER (gold_allowed) AS DOUBLE) / COUNT(*) AS share FROM cases GROUP BY 1, 2, 3), c AS (SELECT db_id, role, SUM(CAST({_WEIGHT} AS DOUBLE) * share) AS c FROM s GROUP BY 1, 2)
- SELECT db_id, COUNT(*) AS roles, ROUND(AVG(c), 6) AS avg_coverage, ROUND(STDDEV_POP(c), 6) AS std_coverage FROM c GROUP BY 1""",
-)
-def _(spark: SparkSession, d: str) -> DataFrame:
-    shares = fx.cases(spark, d).groupBy("db_id", "role", "operation").agg((F.count_if("gold_allowed") / F.count("*")).alias("share"))
-    return quality.crud_coverage(shares)
+    f"""WITH {fx.POLICIES}, roles AS (SELECT db_id, role, BOOL_OR(operation = 'DDL') AS ddl FROM policies GROUP BY 1, 2),
+ totals AS (SELECT db_id, COUNT(DISTINCT t) AS tables, COUNT(*) AS columns FROM schema_ GROUP BY 1),
+ marked AS (SELECT *, c <> '*' AND ROW_NUMBER() OVER (PARTITION BY db_id, role, operation, t ORDER BY c) = 1 AS first FROM perms),
+ held AS (SELECT db_id, role, COUNT(*) AS permissions, {_SHARES} FROM marked GROUP BY 1, 2),
+ own AS (SELECT r.db_id, COALESCE(permissions, 0) AS permissions, {_DIVIDED} FROM roles r LEFT JOIN held h ON h.db_id = r.db_id AND h.role = r.role LEFT JOIN totals t ON t.db_id = r.db_id WHERE LOWER(r.role) <> 'systemmanager'),
+ stats AS (SELECT db_id, ROUND(AVG(permissions), 6) AS avg_permissions, {_AVERAGED}, ROUND({_SPREAD}, 6) AS coverage_std FROM own GROUP BY 1),
+ heads AS (SELECT db_id, COUNT(*) AS roles, BOOL_OR(ddl) AS has_ddl FROM roles GROUP BY 1)
+ SELECT h.db_id, COALESCE(tables, 0) AS tables, COALESCE(columns, 0) AS columns, roles, has_ddl, COALESCE(avg_permissions, 0.0) AS avg_permissions, {", ".join(f"COALESCE(avg_{op.lower()}_coverage, 0.0) AS avg_{op.lower()}_coverage, COALESCE({op.lower()}_coverage_std, 0.0) AS {op.lower()}_coverage_std" for op in _OPS)},
+ COALESCE(coverage_std, 0.0) AS coverage_std FROM heads h LEFT JOIN totals t ON t.db_id = h.db_id LEFT JOIN stats s ON s.db_id = h.db_id""",
+)(lambda spark, d: bitsets.crud_coverage(fx.policies(spark, d), fx.schema(spark, d)))
+
+_registered(
+    "select_coverage",
+    f"""WITH {fx.POLICIES}, roles AS (SELECT DISTINCT db_id, role FROM policies), totals AS (SELECT db_id, COUNT(*) AS columns FROM schema_ GROUP BY 1), n AS (SELECT db_id, role, COUNT(*) AS n FROM perms WHERE operation = 'SELECT' GROUP BY 1, 2)
+ SELECT r.db_id, r.role, COALESCE(n, 0) AS selected, ROUND(CASE WHEN columns > 0 THEN CAST(COALESCE(n, 0) AS DOUBLE) / columns ELSE 0.0 END, 6) AS coverage
+ FROM roles r LEFT JOIN n ON n.db_id = r.db_id AND n.role = r.role LEFT JOIN totals t ON t.db_id = r.db_id""",
+)(lambda spark, d: bitsets.select_coverage(fx.policies(spark, d), fx.schema(spark, d)))
+
+
+def _overlap_sql(members: str, empty: float) -> str:
+    return f"""WITH {fx.POLICIES}, m AS ({members}), roles AS (SELECT DISTINCT db_id, role FROM policies WHERE LOWER(role) <> 'systemmanager' AND LOWER(role) NOT LIKE '%admin%'), n AS (SELECT db_id, role, COUNT(*) AS n FROM m GROUP BY 1, 2),
+ p AS (SELECT a.db_id, a.role AS a, b.role AS b FROM roles a JOIN roles b ON a.db_id = b.db_id AND a.role < b.role),
+ i AS (SELECT x.db_id, x.role AS a, y.role AS b, COUNT(*) AS n FROM m x JOIN m y ON x.db_id = y.db_id AND x.role < y.role AND x.operation = y.operation AND x.t IS NOT DISTINCT FROM y.t AND x.c IS NOT DISTINCT FROM y.c GROUP BY 1, 2, 3),
+ j AS (SELECT p.db_id, p.a, p.b, CASE WHEN COALESCE(u.n, 0) + COALESCE(v.n, 0) = 0 THEN {empty} ELSE COALESCE(i.n, 0) / CAST(COALESCE(u.n, 0) + COALESCE(v.n, 0) - COALESCE(i.n, 0) AS DOUBLE) END AS o
+ FROM p LEFT JOIN i ON i.db_id = p.db_id AND i.a = p.a AND i.b = p.b LEFT JOIN n u ON u.db_id = p.db_id AND u.role = p.a LEFT JOIN n v ON v.db_id = p.db_id AND v.role = p.b),
+ f AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY db_id ORDER BY ROUND(o, 6) DESC, a, b) AS r FROM j)
+ SELECT db_id, COUNT(*) AS pairs, ROUND(SUM(o) / COUNT(*), 6) AS avg_overlap, ROUND(MAX(o), 6) AS max_overlap, MAX(a) FILTER (r = 1) AS role_a, MAX(b) FILTER (r = 1) AS role_b FROM f GROUP BY 1"""
+
+
+_registered("crud_overlap", _overlap_sql("SELECT * FROM perms UNION SELECT db_id, role, operation, t, c FROM policies WHERE operation = 'DDL'", 1.0))(lambda spark, d: bitsets.overlaps(fx.policies(spark, d), fx.schema(spark, d)))
+_registered("select_overlap", _overlap_sql("SELECT * FROM perms WHERE operation = 'SELECT'", 0.0))(lambda spark, d: bitsets.overlaps(fx.policies(spark, d), fx.schema(spark, d), ("SELECT",), empty=0.0))
 
 
 @_registered(
