@@ -5,7 +5,7 @@ k(x, y) = |G(x) & G(y)| / sqrt(|G(x)| |G(y)|), with G hashed to a fixed number o
 give phi(x) = k(x, landmarks) K^(-1/2), and one ridge regression a language (one against the rest) is solved on
 phi. As k is linear in the normalised presence vectors, landmarks and weights fold into one matrix, and a batch is
 scored by one matrix product. The fit takes a bounded sample of labelled rows (``per_language`` rows at most for
-each language, those of least hash); only their feature bits reach the driver.
+each language, those of least hash of id and text); only their feature bits reach the driver.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from . import blocks as B
 
@@ -78,12 +79,16 @@ def solve(x: np.ndarray, labels: list[str], landmarks: int = LANDMARKS, ridge: f
 
 
 def fit(docs: DataFrame, train: Column, text: str = "text", lang: str = "lang", key: str = "doc_id", per_language: int = PER_LANGUAGE) -> tuple[list[str], np.ndarray] | None:
-    """Learn from the rows where ``train`` holds, whose language is known and whose text has a letter; None without any."""
-    rows = docs.where(train & F.col(lang).isNotNull() & has_letter(text)).select(F.col(text).alias("_text"), F.col(lang).cast("string").alias("_lang"), F.xxhash64(F.col(key), F.lit(9)).alias("_h"))
-    counts = {r["_lang"]: r["n"] for r in rows.groupBy("_lang").agg(F.count("*").alias("n")).collect()}
-    if not counts:
-        return None
-    share = F.create_map(*[x for k, n in counts.items() for x in (F.lit(k), F.lit(min(1.0, 1.2 * per_language / n)))])
+    """Learn from the rows where ``train`` holds, whose language is known and whose text has a letter; None without any.
+
+    The sample of a language is the ``per_language`` least hashes of id and text among its rows, so it does not depend on
+    how rows are dealt to tasks. Ids may be null or repeat: rows equal in both are one, other rows each have a hash of their
+    own. The driver gets the feature bits of the sample, ``per_language`` a language at most.
+    """
+    hashed = F.xxhash64(F.col(f"`{key}`").cast("string"), F.col(f"`{text}`"), F.lit(9))
+    rows = docs.where(train & F.col(f"`{lang}`").isNotNull() & has_letter(text)).select(F.col(f"`{text}`").alias("_text"), F.col(f"`{lang}`").cast("string").alias("_lang"), hashed.alias("_h"))
+    place = F.row_number().over(Window.partitionBy("_lang").orderBy("_h"))  # Spark keeps the least of each task before it shuffles
+    least = rows.select("_lang", "_h").distinct().withColumn("_i", place).where(F.col("_i") <= per_language).select("_lang", "_h")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -91,10 +96,8 @@ def fit(docs: DataFrame, train: Column, text: str = "text", lang: str = "lang",
                 own = batch.slice(first, len(x))
                 yield pa.RecordBatch.from_arrays([own.column("_lang"), own.column("_h"), pa.array([np.packbits(r).tobytes() for r in x], pa.binary())], names=["lang", "h", "bits"])
 
-    some = rows.where(F.pmod("_h", F.lit(1 << 30)) < share[F.col("_lang")] * F.lit(1 << 30))
-    got = sorted((r["lang"], r["h"], r["bits"]) for r in some.mapInArrow(run, "lang string, h long, bits binary").collect())
-    taken: dict[str, int] = {}
-    kept = [r for r in got if taken.setdefault(r[0], 0) < per_language and not taken.update({r[0]: taken[r[0]] + 1})]
+    some = rows.join(F.broadcast(least), ["_lang", "_h"], "left_semi").select("_text", "_lang", "_h")  # per_language short rows a language
+    kept = sorted((r["lang"], r["h"], r["bits"]) for r in some.mapInArrow(run, "lang string, h long, bits binary").groupBy("lang", "h").agg(F.first("bits").alias("bits")).collect())
     if not kept:
         return None
     x = np.unpackbits(np.stack([np.frombuffer(r[2], np.uint8) for r in kept]), axis=1)[:, :FEATURES]

@@ -259,3 +259,32 @@ def test_clashing_names(spark):
     found = html.main_text(docs.withColumnRenamed("text", "page"), "page")
     assert found.columns == ["doc_id", "page", "lang", "_letters", "letters", "row", "_html", "html", "score", "blocks", "text"]
     assert sorted(r.text for r in found.collect()) == ["", "", "Some words of an article that is long enough."]
+
+
+def test_language_model_equals_direct_kernel_ridge():
+    """With every row a landmark, the folded matrix gives what the kernel system gives that ridge regression solves directly."""
+    r = np.random.default_rng(2)
+    x = (r.random((60, 400)) < r.random((60, 1)) * 0.5).astype(np.uint8)
+    x[:, 7] = 1
+    labels = ["a"] * 10 + ["b"] * 30 + ["c"] * 20
+    names, matrix = langid.solve(x, labels, landmarks=60, ridge=0.05)
+    unit = x / np.sqrt(x.sum(1, keepdims=True))
+    kernel, n = unit @ unit.T, len(labels)
+    weight = np.array([1 / labels.count(lab) for lab in labels])
+    y = np.where(np.array(labels)[:, None] == np.array(names), 1.0, -1.0)
+    # minimise sum w (y - K a - b)^2 + ridge a'Ka: ridge a = w (y - K a - b), and the a of a language add up to 0
+    system = np.block([[weight[:, None] * kernel + 0.05 * np.eye(n), weight[:, None]], [np.ones((1, n)), np.zeros((1, 1))]])
+    solved = np.linalg.solve(system, np.vstack([weight[:, None] * y, np.zeros((1, len(names)))]))
+    assert np.allclose(unit @ matrix[:-1] + matrix[-1], kernel @ solved[:-1] + solved[-1], atol=1e-3)
+
+
+@pytest.mark.parametrize("key", ["doc_id", "text"])
+def test_language_sample_of_repeated_and_null_ids(spark, monkeypatch, key):
+    sizes = []
+    monkeypatch.setattr(langid, "solve", lambda x, labels, solve=langid.solve: sizes.append(sorted(Counter(labels).items())) or solve(x, labels))
+    rows = [(None if i % 2 else 7, f"the {i} and of", "en") for i in range(900)] + [(7, f"und der {i}", "de") for i in range(90)] + [(7, "die das", "de")] * 3000 + [(1, "x", None), (2, None, "en"), (3, "1 2", "en")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(5)
+    model = langid.fit(docs, F.lit(True), key=key, per_language=100)
+    assert sizes == [[("de", 91), ("en", 100)]]
+    assert np.allclose(model[1], langid.fit(docs.repartition(2), F.lit(True), key=key, per_language=100)[1], atol=1e-4)
+    assert {(r.text[0], r.lang_pred) for r in langid.identify(docs.where("lang is not null and doc_id = 7 or doc_id is null"), model).collect()} == {("t", "en"), ("u", "de"), ("d", "de")}
