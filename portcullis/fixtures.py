@@ -131,3 +131,47 @@ POLICIES = f"""{GRANTS}, g AS (SELECT *, CASE WHEN role_ord % 13 = 0 THEN 'Syste
  schema_ AS (SELECT DISTINCT db_id, LOWER(table_name) AS t, LOWER(column_name) AS c FROM grants WHERE role_ord % 2 = 1),
  perms AS (SELECT db_id, role, operation, t, c FROM policies WHERE operation IN ('SELECT', 'UPDATE') AND c <> '*' UNION SELECT p.db_id, role, operation, p.t, s.c FROM policies p JOIN schema_ s ON s.db_id = p.db_id AND s.t = p.t WHERE p.c = '*' OR operation IN ('INSERT', 'DELETE')
  UNION SELECT db_id, role, operation, t, '*' FROM policies p WHERE operation IN ('INSERT', 'DELETE') AND NOT EXISTS (SELECT 1 FROM schema_ s WHERE s.db_id = p.db_id AND s.t = p.t))"""
+
+
+#: Three tables whose columns have names of their own.
+BUILT_SCHEMA = {f"t{a}": [f"x{a}{i}" for i in range(5)] for a in range(3)}
+#: Numbers of an order from which its statement is put together: form, two tables and three columns.
+_PIECES = {"f": "o_orderkey % 6", "a": "o_orderkey % 3", "b": "(o_orderkey + 1) % 3", "i": "o_custkey % 5", "j": "CAST(FLOOR(o_orderkey / 7) AS BIGINT) % 5", "m": "CAST(FLOOR(o_custkey / 3) AS BIGINT) % 5"}
+#: The forms, with {ai} for column i of table a, and the resources of each as (operation, table, column).
+BUILT_FORMS = [
+    ("SELECT {ai} FROM {a} WHERE {aj} > {n}", [("SELECT", "a", ""), ("SELECT", "a", "i"), ("SELECT", "a", "j")]),
+    ("SELECT p.{ai}, COUNT(*) FROM {a} p JOIN {b} AS q ON p.{aj} = q.{bm} GROUP BY p.{ai} -- {n}", [("SELECT", "a", ""), ("SELECT", "b", ""), ("SELECT", "a", "i"), ("SELECT", "a", "j"), ("SELECT", "b", "m")]),
+    ("UPDATE {a} SET {ai} = {n} WHERE {aj} = 'x;y'", [("UPDATE", "a", "i"), ("SELECT", "a", "j")]),
+    ("DELETE FROM {a} WHERE {ai} IN (SELECT {bj} FROM {b} WHERE {bm} < {n})", [("DELETE", "a", ""), ("SELECT", "a", "i"), ("SELECT", "b", ""), ("SELECT", "b", "j"), ("SELECT", "b", "m")]),
+    ("INSERT INTO {a} ({ai}) SELECT {bj} FROM {b} WHERE {bm} <> {n}", [("INSERT", "a", ""), ("SELECT", "b", ""), ("SELECT", "b", "j"), ("SELECT", "b", "m")]),
+    ("WITH r AS (SELECT {ai} AS v FROM {a}) SELECT v FROM r UNION SELECT {bj} FROM {b} WHERE {bm} = {n}", [("SELECT", "a", ""), ("SELECT", "a", "i"), ("SELECT", "b", ""), ("SELECT", "b", "j"), ("SELECT", "b", "m")]),
+]
+
+
+def built_statements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A statement for each order (stmt_id, sql), put together from its numbers, so that most are unlike; and a policy as JSON."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", *[F.expr(e).cast("string").alias(k) for k, e in _PIECES.items()])
+    sql = F.element_at(F.array(*[F.lit(text) for text, _ in BUILT_FORMS]), F.col("f").cast("int") + 1)
+    for t in "ab":
+        for c in "ijm":
+            sql = F.replace(sql, F.lit(f"{{{t}{c}}}"), F.concat(F.lit("x"), F.col(t), F.col(c)))
+        sql = F.replace(sql, F.lit(f"{{{t}}}"), F.concat(F.lit("t"), F.col(t)))
+    sql = F.replace(sql, F.lit("{n}"), F.col("o_custkey").cast("string"))
+    few, more = (", ".join(f'"x{{}}{i}"' for i in range(n)) for n in (3, 4))
+    tables = ", ".join(f'"t{a}": {{"SELECT": [{few if a else more}], "UPDATE": ["x{a}0"]}}'.replace("x{}", f"x{a}") for a in range(3))
+    policy = f'{{"tables": {{{tables}}}, "INSERT": ["t1"], "DELETE": ["t0", "t2"], "DDL": false}}'
+    return o.select(F.col("o_orderkey").alias("stmt_id"), sql.alias("sql"), F.lit(policy).alias("policy"))
+
+
+def _built_resources() -> str:
+    parts = []
+    for f, (_, found) in enumerate(BUILT_FORMS):
+        for op, t, c in found:
+            column = f"'x' || {t} || {c}" if c else "''"
+            parts.append(f"SELECT stmt_id, '{op}' AS op, 't' || {t} AS table_name, {column} AS column_name FROM pieces WHERE f = {f}")
+    return " UNION ".join(parts)
+
+
+BUILT = f"""pieces AS (SELECT o_orderkey AS stmt_id, {", ".join(f"{e} AS {k}" for k, e in _PIECES.items())} FROM orders), resources AS ({_built_resources()}),
+ lacking AS (SELECT * FROM resources WHERE (op = 'SELECT' AND column_name <> '' AND CAST(RIGHT(column_name, 1) AS INT) >= CASE table_name WHEN 't0' THEN 4 ELSE 3 END) OR (op = 'UPDATE' AND column_name NOT LIKE '%0')
+ OR (op = 'INSERT' AND table_name <> 't1') OR (op = 'DELETE' AND table_name = 't1'))"""

@@ -43,9 +43,22 @@ def policy_check(df: DataFrame, schema: dict[str, list[str]], sql: str = "sql",
     return df.join(_distinct(df, [sql, policy], "status string; n_resources long; missing string; not_checked long", rows), [sql, policy], "left")
 
 
+def resource_rows(schema: dict[str, list[str]], sql: str, crud: bool, dialect: str) -> list[tuple]:
+    """(op, table_name, column_name) of one script, in order."""
+    return sorted(Analyser(schema, (), dialect).script(sql, crud)[0].resources)
+
+
+def permission_rows(schema: dict[str, list[str]], sql: str, dialect: str) -> list[tuple]:
+    """(kind, table_name, column_name) of one script, in order; ambiguous columns go to all candidate tables."""
+    found, _ = Analyser(schema, (), dialect).script(sql, True)
+    own = {(KINDS[o], t, c) for o, t, c in found.resources if c or o != "SELECT"}
+    own |= {(KINDS[o], t, c) for o, tables, c in found.ambiguous for t in tables}
+    return sorted(own)
+
+
 def resources(df: DataFrame, schema: dict[str, list[str]], sql: str = "sql", crud: bool = True, dialect: str = "sqlite") -> DataFrame:
     """(sql, op, table_name, column_name) of each distinct statement; table-level access has an empty column."""
-    return _distinct(df, [sql], "op string; table_name string; column_name string", lambda key: sorted(Analyser(schema, (), dialect).script(key[0], crud)[0].resources))
+    return _distinct(df, [sql], "op string; table_name string; column_name string", lambda key: resource_rows(schema, key[0], crud, dialect))
 
 
 KINDS = {"SELECT": "read", "UPDATE": "write", "INSERT": "insert", "DELETE": "delete", "DDL": "ddl"}
@@ -53,14 +66,7 @@ KINDS = {"SELECT": "read", "UPDATE": "write", "INSERT": "insert", "DELETE": "del
 
 def required_permissions(df: DataFrame, schema: dict[str, list[str]], sql: str = "sql", dialect: str = "postgres") -> DataFrame:
     """(sql, kind, table_name, column_name) as the CRUD checks take them; ambiguous columns go to all candidate tables."""
-
-    def rows(key: tuple) -> list[tuple]:
-        found, _ = Analyser(schema, (), dialect).script(key[0], True)
-        own = {(KINDS[o], t, c) for o, t, c in found.resources if c or o != "SELECT"}
-        own |= {(KINDS[o], t, c) for o, tables, c in found.ambiguous for t in tables}
-        return sorted(own)
-
-    return _distinct(df, [sql], "kind string; table_name string; column_name string", rows)
+    return _distinct(df, [sql], "kind string; table_name string; column_name string", lambda key: permission_rows(schema, key[0], dialect))
 
 
 def query_columns(df: DataFrame, schema: dict[str, list[str]], sql: str = "sql", dialect: str = "sqlite") -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,7 +11,8 @@ from pyspark.sql import functions as F
 from . import fixtures as fx
 from .functions import numeric, text
 from .operators import access, analytics, bitsets, datagen, equivalence, outcome, quality, trials
-from .plans import lineage
+from .plans import lineage, tablefunctions
+from .sources import catalogs
 from .streaming import live
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -338,6 +340,20 @@ _registered("crud_overlap", _overlap_sql("SELECT * FROM perms UNION SELECT db_id
 _registered("select_overlap", _overlap_sql("SELECT * FROM perms WHERE operation = 'SELECT'", 0.0))(lambda spark, d: bitsets.overlaps(fx.policies(spark, d), fx.schema(spark, d), ("SELECT",), empty=0.0))
 
 
+_registered(
+    "schema_catalog",
+    f"""WITH {fx.GRANTS}, s AS (SELECT DISTINCT db_id, table_name AS t, column_name AS c FROM grants WHERE role_ord % 2 = 1), o AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY db_id, t ORDER BY c) - 1 AS ordinal FROM s),
+ j AS (SELECT db_id, LOWER(t) AS t, STRING_AGG('"' || LOWER(c) || '":"TEXT"', ',' ORDER BY LOWER(c)) AS j FROM s GROUP BY 1, 2), w AS (SELECT db_id, sha256('{{' || STRING_AGG('"' || t || '":{{' || j || '}}', ',' ORDER BY t) || '}}') AS digest FROM j GROUP BY 1)
+ SELECT CAST(o.db_id AS VARCHAR) AS db_id, t AS table_name, 'table' AS kind, c AS column_name, CAST(ordinal AS INT) AS ordinal, 'TEXT' AS data_type, FALSE AS not_null, CASE WHEN ordinal = 0 THEN 1 ELSE 0 END AS key_place, digest
+ FROM o JOIN w ON w.db_id = o.db_id""",
+)(lambda spark, d: catalogs.catalog_of(catalogs.built(fx.schema(spark, d), F.col("db_id"))).drop("ref_table", "ref_column"))
+_registered(
+    "schema_digest",
+    f"""WITH {fx.GRANTS}, s AS (SELECT DISTINCT db_id, LOWER(table_name) AS t, LOWER(column_name) AS c FROM grants WHERE role_ord % 2 = 1), j AS (SELECT db_id, t, STRING_AGG('"' || c || '":"TEXT"', ',' ORDER BY c) AS j FROM s GROUP BY 1, 2)
+ SELECT db_id, sha256('{{' || STRING_AGG('"' || t || '":{{' || j || '}}', ',' ORDER BY t) || '}}') AS schema_sha256 FROM j GROUP BY 1""",
+)(lambda spark, d: catalogs.schema_digest(fx.schema(spark, d)))
+
+
 @_registered(
     "semantic_alignment",
     """WITH e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), u AS (SELECT vec_id, label, UNNEST(v) AS x, GENERATE_SUBSCRIPTS(v, 1) AS i FROM e), m AS (SELECT label, i, AVG(x) AS m FROM u GROUP BY 1, 2),
@@ -586,6 +602,29 @@ _registered("sql_resources")(lambda spark, d: lineage.count_by(_golden(spark, d)
 _registered("sql_permissions")(lambda spark, d: lineage.count_by(_golden(spark, d).join(lineage.required_permissions(_golden(spark, d), SCHEMA), "sql"), "kind", "table_name", "column_name"))
 _registered("sql_columns")(lambda spark, d: lineage.count_by(_golden(spark, d).join(lineage.query_columns(_golden(spark, d), SCHEMA), "sql"), "table_name", "columns"))
 _registered("column_exposure")(lambda spark, d: lineage.count_by(lineage.exposure(_golden(spark, d), SCHEMA, {"t": ["id", "x"], "u": ["id", "y"]}), "exposure"))
+
+
+def _lateral(spark: SparkSession, d: str, call: str) -> DataFrame:
+    """The built statements beside a table function's rows, by SQL."""
+    tablefunctions.register(spark)
+    given = fx.built_statements(spark, d)
+    return spark.sql("SELECT s.stmt_id, r.* FROM {given} s, LATERAL " + call.replace("{", "{{").replace("}", "}}") + " r", given=given)
+
+
+_BUILT_SCHEMA = json.dumps(fx.BUILT_SCHEMA)
+_registered("sql_lineage", f"WITH {fx.BUILT} SELECT * FROM resources")(lambda spark, d: _lateral(spark, d, f"sql_lineage(s.sql, '{_BUILT_SCHEMA}')"))
+_registered(
+    "sql_needs",
+    f"WITH {fx.BUILT} SELECT stmt_id, CASE op WHEN 'SELECT' THEN 'read' WHEN 'UPDATE' THEN 'write' WHEN 'INSERT' THEN 'insert' ELSE 'delete' END AS kind, table_name, column_name FROM resources WHERE op <> 'SELECT' OR column_name <> ''",
+)(lambda spark, d: _lateral(spark, d, f"sql_permissions(s.sql, '{_BUILT_SCHEMA}', 'sqlite')"))
+_registered(
+    "sql_verdict", f"WITH {fx.BUILT} SELECT p.stmt_id, CASE WHEN COUNT(l.op) > 0 THEN 'BLOCK' ELSE 'PASS' END AS status FROM pieces p LEFT JOIN lacking l ON l.stmt_id = p.stmt_id GROUP BY 1"
+)(lambda spark, d: _lateral(spark, d, f"sql_verdict(s.sql, '{_BUILT_SCHEMA}', s.policy, true)").select("stmt_id", "status"))
+_registered(
+    "policy_verdicts",
+    f"""WITH {fx.BUILT}, m AS (SELECT stmt_id, STRING_AGG(op || ' ' || table_name || CASE WHEN column_name <> '' THEN '.' || column_name ELSE '' END, '; ' ORDER BY op, table_name, column_name) AS missing FROM lacking GROUP BY 1), n AS (SELECT stmt_id, COUNT(*) AS n_resources FROM resources GROUP BY 1)
+ SELECT p.stmt_id, CASE WHEN missing IS NULL THEN 'PASS' ELSE 'BLOCK' END AS status, n_resources, COALESCE(missing, '') AS missing FROM pieces p LEFT JOIN m ON m.stmt_id = p.stmt_id LEFT JOIN n ON n.stmt_id = p.stmt_id""",
+)(lambda spark, d: lineage.policy_check(fx.built_statements(spark, d), fx.BUILT_SCHEMA, crud=True).select("stmt_id", "status", "n_resources", "missing"))
 _registered(
     "windowed_outcomes",
     f"""WITH cases AS (SELECT ts, user_id % 3 <> 0 AS gold_allowed, event_id % 5 = 0 AS refusal, CASE WHEN event_id % 5 = 0 THEN 'NOT_APPLICABLE' WHEN event_id % 7 = 0 THEN 'BLOCK' ELSE 'PASS' END AS access_status,
