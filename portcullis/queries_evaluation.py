@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from . import fixtures as fx
 from .functions import roles
 from .operators import evaluation as ev
-from .operators import quality
+from .operators import quality, textmetrics
 from .queries import _registered
 
 _CACHE = "cache AS (SELECT o_orderkey AS source_index, CASE WHEN o_orderkey % 6 = 0 THEN NULL ELSE o_orderkey % 4 = 0 END AS execution_correct, CASE WHEN o_orderkey % 10 = 0 THEN 'x' ELSE o_orderpriority END AS difficulty FROM orders WHERE o_orderkey % 3 = 0)"
@@ -140,3 +140,28 @@ _JSON = '```json\n[{"role": "Writer", "description": "writes", "columns": {"orde
 _registered("parse_column_roles", "SELECT o_orderkey, 'Reader' AS role, 'reads things' AS description, t.table_name, t.column_name FROM orders, (VALUES ('orders', 'id'), ('orders', 'total'), ('parts', '*')) t(table_name, column_name) WHERE o_orderkey % 3 = 0 UNION ALL SELECT o_orderkey, 'Writer', 'writes', 'orders', 'id' FROM orders WHERE o_orderkey % 3 = 1")(
     lambda spark, d: roles.exploded(fx.table(spark, d, "orders").select("o_orderkey", F.when(F.col("o_orderkey") % 3 == 0, _TEXT.replace(" {k}", "")).when(F.col("o_orderkey") % 3 == 1, _JSON).otherwise("[ no json").alias("text")), "o_orderkey", "text")
 )
+
+
+def _text_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """For each document a text to judge against it: of even ones the text without every seventh word, of odd ones the one before."""
+    docs = fx.table(spark, d, "documents").select("doc_id", "text")
+    words = F.filter(F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)), lambda w, i: i % 7 != 3)
+    before = docs.select((F.col("doc_id") + 1).alias("doc_id"), F.col("text").alias("other"))
+    return docs.join(before, "doc_id", "left").select("doc_id", F.when(F.col("doc_id") % 2 == 0, F.array_join(words, " ")).otherwise(F.col("other")).alias("prediction"), F.col("text").alias("reference"))
+
+
+_registered("text_generation_metrics")(lambda spark, d: textmetrics.text_metrics(_text_pairs(spark, d), "doc_id"))
+_ROUGE = " ".join(
+    f""", a{n} AS (SELECT doc_id, g, COUNT(*) AS n FROM (SELECT doc_id, UNNEST(LIST_TRANSFORM(RANGE(1, LEN(p) - {n - 2}), lambda i: ARRAY_TO_STRING(p[i : i + {n - 1}], ' '))) AS g FROM w) AS t GROUP BY 1, 2),
+ b{n} AS (SELECT doc_id, g, COUNT(*) AS n FROM (SELECT doc_id, UNNEST(LIST_TRANSFORM(RANGE(1, LEN(r) - {n - 2}), lambda i: ARRAY_TO_STRING(r[i : i + {n - 1}], ' '))) AS g FROM w) AS t GROUP BY 1, 2),
+ s{n} AS (SELECT a.doc_id, SUM(LEAST(a.n, b.n)) AS s FROM a{n} a JOIN b{n} b ON a.doc_id = b.doc_id AND a.g = b.g GROUP BY 1),
+ f{n} AS (SELECT w.doc_id, CASE WHEN LEN(p) < {n} OR LEN(r) < {n} THEN 0.0 ELSE COALESCE(s, 0) / CAST(LEN(p) - {n - 1} AS DOUBLE) END AS p, CASE WHEN LEN(p) < {n} OR LEN(r) < {n} THEN 0.0 ELSE COALESCE(s, 0) / CAST(LEN(r) - {n - 1} AS DOUBLE) END AS r
+ FROM w LEFT JOIN s{n} s ON s.doc_id = w.doc_id)"""
+    for n in (1, 2)
+)
+_registered(
+    "rouge_n",
+    rf"""WITH d AS (SELECT doc_id, regexp_extract_all(COALESCE(text, ''), '[^\x20\x09-\x0D]+') AS r FROM documents),
+ w AS (SELECT d.doc_id, d.r, CASE WHEN d.doc_id % 2 = 0 THEN LIST_FILTER(d.r, lambda x, i: (i - 1) % 7 <> 3) ELSE COALESCE(e.r, []) END AS p FROM d LEFT JOIN d e ON e.doc_id + 1 = d.doc_id) {_ROUGE}
+ SELECT f1.doc_id, ROUND(100 * 2 * (f1.p * f1.r) / (f1.p + f1.r + 1e-8), 4) AS rouge_1, ROUND(100 * 2 * (f2.p * f2.r) / (f2.p + f2.r + 1e-8), 4) AS rouge_2 FROM f1 JOIN f2 ON f1.doc_id = f2.doc_id""",
+)(lambda spark, d: textmetrics.text_metrics(_text_pairs(spark, d), "doc_id").select("doc_id", "rouge_1", "rouge_2"))
