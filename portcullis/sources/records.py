@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..plans.sqlfront import Unsupported, tokenize
+from . import arrays
 
 #: Column-level cases; policies stay JSON text because their keys are table names.
 CASE = T.StructType(
@@ -20,28 +21,28 @@ CASE = T.StructType(
 
 
 def _lines(spark: SparkSession, path: str) -> DataFrame:
-    """(source_index, line) of one file, blank lines included; a byte-order mark is dropped.
+    """(source_index, line) of a file, a folder or a pattern, blank lines included; a file's byte-order mark is dropped.
 
-    The file is read in splits. A split's lines are numbered within it, and the splits' counts, one row each, say where
-    each begins, so that a file of any length needs neither one task nor a sort.
+    Files are read in splits. A split's lines are numbered within it, and the splits' counts, one row each, say where
+    each begins, so that a file of any length needs neither one task nor a sort. Numbered parts go by number, other files by name.
     """
-    read = spark.read.text(path).select(F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("m"), "value")
-    blocks = read.groupBy("at").agg(F.count("*").alias("n"), F.min("m").alias("first"))
-    before = F.sum("n").over(Window.orderBy("at").rowsBetween(Window.unboundedPreceding, -1))  # one row a split
-    starts = blocks.select("at", (F.coalesce(before, F.lit(0)) - F.col("first")).alias("shift"))
-    line = F.when((F.col("at") == 0) & (F.col("m") + F.col("shift") == 0), F.regexp_replace("value", "^\ufeff", "")).otherwise(F.col("value"))
-    return read.join(starts, "at").select((F.col("m") + F.col("shift")).alias("source_index"), line.alias("line"))
+    read = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("m"), "value")
+    name = F.element_at(F.split("file", "/"), -1)
+    part = F.coalesce(F.expr("try_cast(regexp_extract(element_at(split(file, '/'), -1), '^part-([0-9]+)', 1) as bigint)"), F.lit(-1))
+    blocks = read.groupBy("file", "at").agg(F.count("*").alias("n"), F.min("m").alias("first"))
+    before = F.sum("n").over(Window.orderBy(part, name, "file", "at").rowsBetween(Window.unboundedPreceding, -1))  # one row a split
+    starts = blocks.select("file", "at", "first", (F.coalesce(before, F.lit(0)) - F.col("first")).alias("shift"))
+    line = F.when((F.col("at") == 0) & (F.col("m") == F.col("first")), F.regexp_replace("value", "^\ufeff", "")).otherwise(F.col("value"))
+    return read.join(starts, ["file", "at"]).select((F.col("m") + F.col("shift")).alias("source_index"), line.alias("line"))
 
 
 def read_records(spark: SparkSession, path: str, schema: T.StructType = CASE) -> DataFrame:
-    """A JSON array (``.json``) or JSON lines (``.jsonl``) with the record's number; anything else is an error."""
+    """JSON arrays (``.json``) or JSON lines (``.jsonl``), a file, folder or pattern, with the record's number; anything else is an error. Both are read in splits."""
     if path.endswith(".jsonl"):
         rows = _lines(spark, path).where(F.trim("line") != "")
         parsed = rows.select("source_index", F.from_json("line", schema).alias("r"))
     elif path.endswith(".json"):
-        whole = spark.read.text(path, wholetext=True).select(F.regexp_replace("value", "^﻿", "").alias("v"))
-        checked = whole.select(F.when(F.ltrim("v").startswith("["), F.col("v")).otherwise(F.raise_error(F.lit("a JSON array expected"))).alias("v"))
-        parsed = checked.select(F.posexplode(F.from_json("v", T.ArrayType(schema))).alias("source_index", "r")).withColumn("source_index", F.col("source_index").cast("long"))
+        parsed = arrays.read_array(spark, path).select("source_index", F.from_json("record", schema).alias("r"))
     else:
         raise ValueError(f"neither .json nor .jsonl: {path}")
     return parsed.select("source_index", "r.*")
