@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import fixtures as fx
+from . import steps
 from .functions import scanning
 from .operators import denotation as dn
 from .operators import execution as ex
 from .queries import _registered
 from .sources import records
+from .streaming import resume
 
 #: Pairs of statements over the base tables: equal, with columns or rows in another order, with other rows, repeated rows or an order.
 PAIRS = [
@@ -164,3 +168,29 @@ def saved_predictions(spark: SparkSession, d: str) -> DataFrame:
     }
     rows = fx.table(spark, d, "orders").select(k.alias("source_index"), *[given.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in records.SAVED.fields])
     return records.harmonised(rows).select("source_index", "pred_sql", "prediction", "is_allowed", "input")
+
+
+def _predicted(cases: DataFrame) -> DataFrame:
+    return cases.select("source_index", F.concat(F.lit("SELECT "), F.col("question")).alias("prediction"))
+
+
+@_registered("resumed_predictions", "SELECT o_orderkey AS source_index, 'SELECT ' || o_orderpriority AS prediction FROM orders")
+def resumed_predictions(spark: SparkSession, d: str) -> DataFrame:
+    """A third of the cases is committed by one run; a stream over all of them adds the rest."""
+    as_case = [F.col("o_orderkey").alias("source_index"), F.col("o_orderpriority").alias("question")]
+    path = f"{steps.shared_folder(spark)}/{uuid.uuid4().hex}"
+    log = resume.PredictionLog(spark, path, "source_index long, prediction string")
+    rows = fx.table(spark, d, "orders")
+    log.commit(rows.where("o_orderkey % 3 = 0").select(*as_case), _predicted, "first", 0)
+    every = spark.readStream.schema(rows.schema).parquet(f"{d}/orders.parquet*").select(*as_case)
+    log.stream(every, _predicted, "second", f"{path}-checkpoint").awaitTermination()
+    return log.committed()
+
+
+_registered(
+    "case_batches",
+    "WITH b AS (SELECT o_orderkey AS source_index, CAST(FLOOR((ROW_NUMBER() OVER (ORDER BY o_orderkey) - 1) / 1000) AS BIGINT) AS batch FROM orders) SELECT batch, COUNT(*) AS n, MIN(source_index) AS first, MAX(source_index) AS last FROM b GROUP BY 1",
+)(
+    lambda spark, d: resume.batches_of(fx.table(spark, d, "orders").select(F.col("o_orderkey").alias("source_index")), 1000)
+    .groupBy("batch").agg(F.count("*").cast("long").alias("n"), F.min("source_index").alias("first"), F.max("source_index").alias("last"))
+)
