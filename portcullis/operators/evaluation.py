@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions import digests
 from ..functions.numeric import ratio, spread
 
 #: The role that holds everything, and limits of the role-set comparison and of the strict deny audit.
@@ -33,6 +34,39 @@ def cache_problems(cache: DataFrame, cases: DataFrame, bound: list[str], key: st
     return joined.select(key, problem.alias("problem")).where("problem is not null").distinct()
 
 
+#: The digests by which a cached result is bound to a case.
+BOUND = ("row_sha256", "prediction_sha256", "gold_sql_sha256")
+
+
+def bindings(rows: DataFrame, predictions: DataFrame, key: str = "source_index", record: str = "record", prediction: str = "prediction") -> DataFrame:
+    """key and the three digests that a cached result of each case must carry: of its JSON record, its exact prediction and its gold statement."""
+    said = predictions.select(F.col(key).alias("_k"), F.sha2(F.coalesce(prediction, F.lit("")), 256).alias("prediction_sha256"))
+    named = rows.select(key, digests.digest(F.col(record)).alias("row_sha256"), F.sha2(digests.canonical_gold(F.col(record)), 256).alias("gold_sql_sha256"))
+    return named.join(said, F.col(key) == F.col("_k")).select(key, *BOUND)
+
+
+def binding_problems(cache: DataFrame, bound: DataFrame, key: str = "source_index", value: str = "execution_correct") -> DataFrame:
+    """key and problem of cached results that must not be used: 'repeated', 'out of range' (no such case), or the digest that differs.
+
+    Digests that a cached result lacks differ. ``value`` may be true, false or null; its type is the schema's affair.
+    """
+    times = cache.groupBy(F.col(key).alias("_c")).agg(F.count("*").alias("_n"))
+    other = bound.select(F.col(key).alias("_k"), *[F.col(c).alias(f"_{c}") for c in BOUND])
+    joined = cache.select(key, *BOUND).join(times, F.col(key).eqNullSafe(F.col("_c"))).join(other, F.col(key) == F.col("_k"), "left")
+    problem = F.when(F.col("_n") > 1, "repeated").when(F.col("_k").isNull(), "out of range")
+    for c in BOUND:
+        problem = problem.when(~F.col(c).eqNullSafe(F.col(f"_{c}")), c)
+    return joined.select(key, problem.alias("problem")).where("problem is not null").distinct()
+
+
+def bound_results(cache: DataFrame, bound: DataFrame, key: str = "source_index", value: str = "execution_correct") -> DataFrame:
+    """key and value of the cached results; any problem is an error that names the first."""
+    first = binding_problems(cache, bound, key, value).orderBy(F.asc_nulls_first(key)).first()
+    if first is not None:
+        raise ValueError(f"cached results do not fit the cases: {first['problem']} at {first[key]}")
+    return cache.select(key, value)
+
+
 def needed(trials: DataFrame, key: str = "source_index") -> DataFrame:
     """Each case that any trial draws, once."""
     return trials.select(key).distinct()

@@ -165,3 +165,33 @@ _registered(
  w AS (SELECT d.doc_id, d.r, CASE WHEN d.doc_id % 2 = 0 THEN LIST_FILTER(d.r, lambda x, i: (i - 1) % 7 <> 3) ELSE COALESCE(e.r, []) END AS p FROM d LEFT JOIN d e ON e.doc_id + 1 = d.doc_id) {_ROUGE}
  SELECT f1.doc_id, ROUND(100 * 2 * (f1.p * f1.r) / (f1.p + f1.r + 1e-8), 4) AS rouge_1, ROUND(100 * 2 * (f2.p * f2.r) / (f2.p + f2.r + 1e-8), 4) AS rouge_2 FROM f1 JOIN f2 ON f1.doc_id = f2.doc_id""",
 )(lambda spark, d: textmetrics.text_metrics(_text_pairs(spark, d), "doc_id").select("doc_id", "rouge_1", "rouge_2"))
+
+
+def _records(spark: SparkSession, d: str) -> DataFrame:
+    """A JSON record for each order, its keys in no order, and what was predicted for it."""
+    gold = F.concat(F.lit("SELECT "), F.col("o_orderkey").cast("string"))
+    meta = F.struct((F.col("o_orderkey") % 2 == 0).alias("permission"), F.when(F.col("o_orderkey") % 3 != 0, gold).alias("gold_sql"))
+    record = F.struct(F.col("o_orderpriority").alias("input"), meta.alias("metadata"), F.array(F.lit(2), F.lit(1)).alias("deep"), F.when(F.col("o_orderkey") % 3 == 0, F.lit("")).alias("gold_sql"), F.lit("é \"x\"").alias("output"), F.col("o_orderkey").alias("db_id"))
+    return fx.table(spark, d, "orders").select(F.col("o_orderkey").alias("source_index"), F.to_json(record).alias("record"), F.col("o_orderstatus").alias("prediction"))
+
+
+_RECORDS = """r AS (SELECT o_orderkey AS k, '{"db_id":' || o_orderkey || ',"deep":[2,1]' || CASE WHEN o_orderkey % 3 = 0 THEN ',"gold_sql":""' ELSE '' END || ',"input":"' || o_orderpriority || '","metadata":{' ||
+ CASE WHEN o_orderkey % 3 <> 0 THEN '"gold_sql":"SELECT ' || o_orderkey || '",' ELSE '' END || '"permission":' || CASE WHEN o_orderkey % 2 = 0 THEN 'true' ELSE 'false' END || '},"output":"é \\"x\\""}' AS j,
+ CASE WHEN o_orderkey % 3 <> 0 THEN 'SELECT ' || o_orderkey ELSE 'é "x"' END AS gold, o_orderstatus AS p FROM orders)"""
+_registered("record_digests", f"WITH {_RECORDS} SELECT k AS source_index, sha256(j) AS row_sha256, sha256(p) AS prediction_sha256, sha256(gold) AS gold_sql_sha256 FROM r")(lambda spark, d: ev.bindings(_records(spark, d), _records(spark, d)))
+
+
+@_registered(
+    "cache_binding",
+    f"""WITH {_RECORDS}, c AS (SELECT k, sha256(j) AS a, CASE WHEN k % 5 = 0 THEN sha256(p || 'x') ELSE sha256(p) END AS b, CASE WHEN k % 7 = 0 THEN NULL ELSE sha256(gold) END AS g FROM r
+ UNION ALL SELECT k, sha256(j), sha256(p), sha256(gold) FROM r WHERE k % 11 = 0 UNION ALL SELECT -k, 'x', 'x', 'x' FROM r WHERE k % 13 = 0),
+ m AS (SELECT c.*, COUNT(*) OVER (PARTITION BY c.k) AS n, r.k AS rk, sha256(r.p) AS rp, sha256(r.gold) AS rg FROM c LEFT JOIN r ON c.k = r.k)
+ SELECT DISTINCT k AS source_index, CASE WHEN n > 1 THEN 'repeated' WHEN rk IS NULL THEN 'out of range' WHEN b <> rp THEN 'prediction_sha256' ELSE 'gold_sql_sha256' END AS problem FROM m WHERE n > 1 OR rk IS NULL OR b <> rp OR g IS NULL""",
+)
+def cache_binding(spark: SparkSession, d: str) -> DataFrame:
+    """Cached results of all orders, some bound to another prediction, without a digest, repeated, or of no case."""
+    k, rows = F.col("source_index"), _records(spark, d)
+    right = ev.bindings(rows, rows)
+    wrong = ev.bindings(rows, rows.withColumn("prediction", F.when(k % 5 == 0, F.concat("prediction", F.lit("x"))).otherwise(F.col("prediction")))).withColumn("gold_sql_sha256", F.when(k % 7 != 0, F.col("gold_sql_sha256")))
+    none = right.where(k % 13 == 0).select((-k).alias("source_index"), *[F.lit("x").alias(c) for c in ev.BOUND])
+    return ev.binding_problems(wrong.unionByName(right.where(k % 11 == 0)).unionByName(none), right)
