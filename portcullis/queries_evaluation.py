@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from . import fixtures as fx
 from .functions import roles
 from .operators import evaluation as ev
-from .operators import quality, textmetrics
+from .operators import quality, sampling, textmetrics
 from .queries import _registered
 
 _CACHE = "cache AS (SELECT o_orderkey AS source_index, CASE WHEN o_orderkey % 6 = 0 THEN NULL ELSE o_orderkey % 4 = 0 END AS execution_correct, CASE WHEN o_orderkey % 10 = 0 THEN 'x' ELSE o_orderpriority END AS difficulty FROM orders WHERE o_orderkey % 3 = 0)"
@@ -195,3 +195,43 @@ def cache_binding(spark: SparkSession, d: str) -> DataFrame:
     wrong = ev.bindings(rows, rows.withColumn("prediction", F.when(k % 5 == 0, F.concat("prediction", F.lit("x"))).otherwise(F.col("prediction")))).withColumn("gold_sql_sha256", F.when(k % 7 != 0, F.col("gold_sql_sha256")))
     none = right.where(k % 13 == 0).select((-k).alias("source_index"), *[F.lit("x").alias(c) for c in ev.BOUND])
     return ev.binding_problems(wrong.unionByName(right.where(k % 11 == 0)).unionByName(none), right)
+
+
+#: How a role is written and what is read of it, by a number: the heading's form, what stands between the lines, and the end.
+_ROLE_FORMS = [
+    ("ROLE: {n}\nDESCRIPTION: does {d}\nTABLES: {t}\n\n", "{n}", True), ("**Role:** *{n}* - all\nDescription: does {d}\n\nTables: {t}, extra\n\n", "{n}", True),
+    ("1. ROLE\uff1a {n} \u2013 x\n  TABLES: `{t}`\n  DESCRIPTION: does   {d}\n", "{n}", True), ("ROLE: {n}\nof the firm\nDESCRIPTION: old\nDESCRIPTION: does {d}\nTABLES: [{t}]\n\n", "{n} of the firm", True),
+    ("ROLE: {n}\nDESCRIPTION: does {d}\n\n", None, False), ("ROLE: - {n}\nDESCRIPTION: does {d}\nTABLES: {t}\n\n", None, False), ("no role here\n\n", None, False),
+]
+
+
+def _roles_sql() -> str:
+    n = len(_ROLE_FORMS)
+    name = "CASE {f} " + " ".join(f"WHEN {i} THEN {'NULL' if kept is None else chr(39) + kept.replace('{n}', chr(39) + ' || name || ' + chr(39)) + chr(39)}" for i, (_, kept, _) in enumerate(_ROLE_FORMS)) + " END"
+    extra = "CASE WHEN {f} = 1 THEN ', extra' ELSE '' END"
+    # a role that the next heading closes is not marked: the third form has no blank line behind it, and is followed by one in the first place
+    unknown = "CASE WHEN {f} = 2 AND {closed} THEN '' ELSE CASE WHEN {f} = 1 AND t <> 't1' AND t <> 't2' THEN ' NEED HUMAN VERIFICATION (Invalid tables: extra, ' || t || ')' WHEN {f} = 1 THEN ' NEED HUMAN VERIFICATION (Invalid tables: extra)' WHEN t <> 't1' AND t <> 't2' THEN ' NEED HUMAN VERIFICATION (Invalid tables: ' || t || ')' ELSE '' END END"
+    one = lambda f, ordinal, closed: f"SELECT k, {ordinal} AS ordinal, {name.format(f=f)} AS role, 'does ' || p AS description, t || {extra.format(f=f)} || {unknown.format(f=f, closed=closed)} AS tables FROM o"
+    closed = f"b IN ({', '.join(str(i) for i, (text, _, _) in enumerate(_ROLE_FORMS) if 'role' in text.lower() and i < n - 1)})"
+    base = f"o AS (SELECT o_orderkey AS k, o_orderkey % {n} AS a, (o_orderkey // {n}) % {n} AS b, 'r' || (o_custkey % 9) AS name, o_orderpriority AS p, 't' || (o_custkey % 4) AS t FROM orders)"
+    return f"WITH {base}, both_roles AS ({one('a', 0, closed)} UNION ALL {one('b', 1, 'FALSE')}) SELECT k AS answer_id, role, description, tables FROM both_roles WHERE role IS NOT NULL"
+
+
+@_registered("parse_table_roles", _roles_sql())
+def parse_table_roles(spark: SparkSession, d: str) -> DataFrame:
+    """Two written roles an order, each in one of seven forms, read against two known tables."""
+    n = len(_ROLE_FORMS)
+    o = fx.table(spark, d, "orders").select(F.col("o_orderkey").alias("answer_id"), "o_custkey", "o_orderpriority")
+    written = F.array(*[F.lit(text) for text, _, _ in _ROLE_FORMS])
+    text = F.concat(F.element_at(written, (F.col("answer_id") % n).cast("int") + 1), F.element_at(written, (F.expr(f"answer_id div {n}") % n).cast("int") + 1))
+    for mark, value in (("{n}", F.concat(F.lit("r"), (F.col("o_custkey") % 9).cast("string"))), ("{d}", F.col("o_orderpriority")), ("{t}", F.concat(F.lit("t"), (F.col("o_custkey") % 4).cast("string")))):
+        text = F.replace(text, F.lit(mark), value)
+    read = o.select("answer_id", F.explode(roles.table_roles(text, F.array(F.lit("t1"), F.lit("t2")))).alias("r"))
+    return read.select("answer_id", "r.role", "r.description", "r.tables")
+
+
+_registered(
+    "query_sample",
+    f"""WITH {fx.CASES}, n AS (SELECT db_id, operation, source_index, CAST('0x' || SUBSTR(sha256('42:' || source_index), 1, 15) AS BIGINT) AS number FROM cases),
+ r AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY db_id, operation ORDER BY number, source_index) AS place FROM n) SELECT db_id, operation, source_index FROM r WHERE place <= 20""",
+)(lambda spark, d: sampling.bottom_k(fx.cases(spark, d).select("db_id", "operation", "source_index"), ["db_id", "operation"], ["source_index"], 20))
