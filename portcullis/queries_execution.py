@@ -14,7 +14,7 @@ from .functions import scanning
 from .operators import denotation as dn
 from .operators import execution as ex
 from .queries import _registered
-from .sources import records
+from .sources import items, records
 from .streaming import resume
 
 #: Pairs of statements over the base tables: equal, with columns or rows in another order, with other rows, repeated rows or an order.
@@ -194,3 +194,32 @@ _registered(
     lambda spark, d: resume.batches_of(fx.table(spark, d, "orders").select(F.col("o_orderkey").alias("source_index")), 1000)
     .groupBy("batch").agg(F.count("*").cast("long").alias("n"), F.min("source_index").alias("first"), F.max("source_index").alias("last"))
 )
+
+
+def _written_records(spark: SparkSession, d: str) -> DataFrame:
+    """A JSON record for each order, in one of three layouts by o_orderkey % 3, some fields missing, null or under their other name."""
+    k, gold = F.col("o_orderkey"), F.concat(F.lit("select "), F.col("o_orderkey").cast("string"))
+    level = F.struct(F.col("o_orderpriority").alias("input"), F.when(k % 5 != 0, F.col("o_orderstatus")).alias("db_id"), F.lit("other").alias("database"), F.struct(F.when(k % 4 == 0, "denied").when(k % 4 == 1, "allowed").alias("permission"), gold.alias("gold_sql")).alias("metadata"), F.struct(F.array(F.lit("c")).alias("t")).alias("policy"))
+    crud = F.struct(k.alias("id"), F.col("o_orderpriority").alias("input"), F.col("o_orderstatus").alias("db_id"), F.when(k % 4 != 0, k % 4 == 1).alias("allowed"), F.when(k % 7 != 0, F.upper(gold)).alias("gold_sql"), F.lit("drop x").alias("gold_output"), F.lit("c'q").alias("category"))
+    return fx.table(spark, d, "orders").select(k.alias("source_index"), F.when(k % 3 == 2, F.to_json(crud)).otherwise(F.to_json(level)).alias("record"))
+
+
+@_registered(
+    "load_items",
+    """SELECT o_orderkey AS source_index, CASE o_orderkey % 3 WHEN 0 THEN 'spider_' || o_orderkey WHEN 1 THEN 'bird_' || o_orderkey ELSE CAST(o_orderkey AS VARCHAR) END AS id, o_orderpriority AS input,
+ CASE WHEN o_orderkey % 3 = 2 OR o_orderkey % 5 <> 0 THEN o_orderstatus ELSE 'other' END AS database, CASE WHEN o_orderkey % 3 <> 2 THEN 'select ' || o_orderkey WHEN o_orderkey % 7 = 0 THEN 'drop x' ELSE 'SELECT ' || o_orderkey END AS gold_sql,
+ CASE WHEN o_orderkey % 3 = 2 AND o_orderkey % 7 = 0 THEN 'DROP' ELSE 'SELECT' END AS operation, CASE WHEN o_orderkey % 3 = 2 THEN o_orderkey % 4 IN (0, 1) ELSE o_orderkey % 4 <> 0 END AS is_allowed,
+ CASE WHEN o_orderkey % 3 = 2 THEN '{}' ELSE '{"t":["c"]}' END AS policy, CASE WHEN o_orderkey % 3 = 2 THEN 'c''q' END AS category FROM orders""",
+)
+def load_items(spark: SparkSession, d: str) -> DataFrame:
+    """Three layouts from one reader."""
+    texts, out = _written_records(spark, d), None
+    for i, name in enumerate(items.LAYOUTS):
+        one = items.items(texts.where(F.col("source_index") % 3 == i), items.layout(name))
+        out = one if out is None else out.unionByName(one)
+    return out.select("source_index", "id", "input", "database", "gold_sql", "operation", "is_allowed", "policy", "category")
+
+
+@_registered("ground_truth", "SELECT CAST(o_orderkey AS VARCHAR) AS instance_id, CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE 'SELECT ' || o_orderkey END AS gold_sql FROM orders WHERE o_orderkey % 3 = 2")
+def ground_truth(spark: SparkSession, d: str) -> DataFrame:
+    return items.ground_truth(_written_records(spark, d).where(F.col("source_index") % 3 == 2), sql_key="gold_sql")

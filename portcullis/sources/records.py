@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import csv
+import io
 import re
 import sqlite3
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -149,14 +153,40 @@ def schema_rows(spark: SparkSession, schemas: dict[str, dict[str, list[str]]]) -
     return spark.createDataFrame(rows, "db_id string, table_name string, column_name string, ordinal int")
 
 
-def descriptions(spark: SparkSession, path: str, encoding: str = "UTF-8") -> DataFrame:
-    """A column-description CSV; its five columns are required."""
-    wanted = ("original_column_name", "column_name", "column_description", "data_format", "value_description")
-    out = spark.read.csv(path, header=True, encoding=encoding, multiLine=True)
-    lacking = [c for c in wanted if c not in out.columns]
-    if lacking:
-        raise ValueError(f"missing columns: {', '.join(lacking)}")
-    return out.select(*wanted)
+# The columns that a description file must have, and encodings in the order in which they are tried.
+DESCRIBED = ("original_column_name", "column_name", "column_description", "data_format", "value_description")
+ENCODINGS = ("utf-8", "latin-1", "cp1252")
+
+
+def descriptions(spark: SparkSession, path: str, encodings: tuple[str, ...] = ENCODINGS) -> DataFrame:
+    """Rows of column-description CSVs (a file, folder or pattern): file, table_name (the file's stem), place, encoding and the five columns.
+
+    Each file is decoded strictly by the first encoding that fits all its bytes. A file without all five columns, or that
+    no encoding fits, is an error that names it; empty cells are null, and a byte-order mark is dropped.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, body in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
+                for encoding in encodings:
+                    try:
+                        text = body.decode(encoding)
+                        break
+                    except UnicodeDecodeError:
+                        continue
+                else:
+                    raise ValueError(f"no encoding fits {name}")
+                rows = list(csv.reader(io.StringIO(text.removeprefix("\ufeff"), newline="")))
+                head = [x.strip() for x in rows[0]] if rows else []
+                if lacking := [c for c in DESCRIBED if c not in head]:
+                    raise ValueError(f"missing columns in {name}: {', '.join(lacking)}")
+                found = [[name, name.rsplit("/", 1)[-1].removesuffix(".csv"), i, encoding, *[(r[head.index(c)] if head.index(c) < len(r) else "") or None for c in DESCRIBED]] for i, r in enumerate(x for x in rows[1:] if x)]
+                columns = list(zip(*found, strict=True)) if found else [()] * (4 + len(DESCRIBED))
+                kinds = [pa.string(), pa.string(), pa.int32(), *[pa.string()] * (1 + len(DESCRIBED))]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["file", "table_name", "place", "encoding", *DESCRIBED])
+
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.csv").option("recursiveFileLookup", True).load(path).select(F.url_decode(F.replace("path", F.lit("+"), F.lit("%2B"))).alias("path"), "content")
+    return files.mapInArrow(run, "file string, table_name string, place int, encoding string, " + ", ".join(f"{c} string" for c in DESCRIBED))
 
 
 def parse_file_name(name: str | F.Column) -> list:
