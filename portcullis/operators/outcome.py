@@ -86,11 +86,17 @@ def score(cases: DataFrame, dimensions: tuple[str, ...] = ()) -> DataFrame:
     return with_metrics(grouped.select(name.alias("dimension"), value.alias("value"), *[c for c in grouped.columns if c not in (*dimensions, "_g")]))
 
 
-def buckets(cases: DataFrame, by: str) -> DataFrame:
-    """The older bucket metrics by one dimension: access control, SQL and execution figures to four digits."""
+def all_and_each(cases: DataFrame, *dimensions: str) -> DataFrame:
+    """Each case once for all cases and once for each dimension, under (dimension, category): what ``buckets`` groups in one pass."""
+    marks = [F.struct(F.lit("all").alias("dimension"), F.lit("all").alias("category")), *[F.struct(F.lit(d).alias("dimension"), F.coalesce(F.col(d).cast("string"), F.lit("unknown")).alias("category")) for d in dimensions]]
+    return cases.withColumn("_m", F.explode(F.array(*marks))).select("*", "_m.dimension", "_m.category").drop("_m")
+
+
+def buckets(cases: DataFrame, by: str, *more: str) -> DataFrame:
+    """The older bucket metrics by one dimension (and more columns): access control, SQL and execution figures to four digits."""
     rows = classified(cases.where(F.col("execution_correct").isNotNull() | F.col("refusal")))
     c = F.col
-    counted = rows.groupBy(F.col(by).alias("category")).agg(F.count("*").cast("long").alias("total"), *[_count(c("classification") == k).alias(k) for k in CATEGORIES[:6]])
+    counted = rows.groupBy(F.col(by).alias("category"), *more).agg(F.count("*").cast("long").alias("total"), *[_count(c("classification") == k).alias(k) for k in CATEGORIES[:6]])
     tp, fp, fn, tn = c("correct") + c("wrong"), c("violation_correct") + c("violation_wrong"), c("incorrect_refusal"), c("correct_refusal")
     answerable = F.greatest(F.lit(0), c("total") - tn - fp)
     return counted.withColumns(

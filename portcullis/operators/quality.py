@@ -107,3 +107,30 @@ def strict_audit(deny: DataFrame, overlap: DataFrame, cover: DataFrame, by: str
     out = deny.select(by, "deny_rate").join(overlap.select(by, "max_overlap"), by, "left").join(cover.select(by, "std_coverage"), by, "left")
     bad = (F.col("deny_rate") > STRICT["deny_high"]) | F.coalesce(F.col("max_overlap") > STRICT["overlap"], F.lit(False)) | F.coalesce(F.col("std_coverage") < STRICT["std"], F.lit(False))
     return out.withColumn("verdict", F.when(bad, "WARN").otherwise("OK"))
+
+
+def report(metrics: DataFrame, databases: DataFrame, by: str = "db_id", limits: dict[str, float] = LIMITS) -> DataFrame:
+    """A row for each database: its issues in the order of the metrics, and whether it has any; and one for all (``by`` null) with the pass rate.
+
+    metrics has deny_rate, max_overlap, std_coverage and avg_coverage where they are known; databases without any pass.
+    """
+    found = issues(metrics, limits).select(F.col(by).alias("_d"), "issues")
+    each = databases.select(by).distinct().join(found, F.col(by) == F.col("_d"), "left").select(by, F.coalesce("issues", F.lit("")).alias("issues"))
+    rows = each.groupingSets([[F.col(by), F.col("issues")], []], by, "issues").agg(F.grouping_id().alias("g"), F.count("*").cast("long").alias("databases"), F.count_if(F.col("issues") != "").cast("long").alias("with_issues"))
+    return rows.select(by, F.when(F.col("g") == 0, F.col("issues")).alias("issues"), "databases", "with_issues", F.round(ratio(F.col("databases") - F.col("with_issues"), F.col("databases")), 6).alias("pass_rate"))
+
+
+def manager_validation(cases: DataFrame, role: str = "role", manager: str = "SystemManager") -> DataFrame:
+    """Whether the managing role is allowed everything: one row, valid without any of its cases."""
+    own = F.col(role) == manager
+    out = cases.agg(F.count_if(own).cast("long").alias("cases"), F.count_if(own & F.col("gold_allowed")).cast("long").alias("allowed"))
+    return out.withColumn("share", F.round(ratio(F.col("allowed"), F.col("cases")), 6)).withColumn("valid", F.col("allowed") == F.col("cases"))
+
+
+def plot_data(points: DataFrame, digits: int = 4) -> DataFrame:
+    """Chart points of ``covered``, ``total`` and ``similarity``: coverage held to 0..1, the marker's size by it, and similarity scaled to 0..1 over all points (0.5 where they agree)."""
+    share = F.least(F.lit(1.0), F.greatest(F.lit(0.0), ratio(F.col("covered"), F.col("total"))))
+    ends = points.agg(F.min("similarity").alias("_lo"), F.max("similarity").alias("_hi"))
+    wide = points.crossJoin(F.broadcast(ends))  # one row beside
+    scaled = F.when(F.col("_hi") > F.col("_lo"), (F.col("similarity") - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))).otherwise(0.5)
+    return wide.select(*points.columns, F.round(share, digits).alias("coverage"), F.round(90 + 220 * share, digits).alias("marker"), F.round(scaled, digits).alias("scaled"))

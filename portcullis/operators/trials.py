@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import random
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SEEDS = (42, 43, 44, 45, 46)
@@ -42,3 +42,15 @@ def pick(cases: DataFrame, group: str, first: str = "SystemManager", role: str =
     """One case a question: the first of a favoured role, else the first allowed one, else the first."""
     order = F.struct(F.when(F.col(role) == first, 0).when(F.col("gold_allowed"), 1).otherwise(2).alias("p"), F.col(index))
     return cases.groupBy(group).agg(F.min(order).alias("m")).select(group, F.col("m")[index].alias(index), F.col("m.p").cast("long").alias("priority"))
+
+
+def listed(trials: DataFrame, metrics: list[str], by: list[str], order: str = "seed", digits: int = 6) -> DataFrame:
+    """``across`` with each metric's values in the order of the trials as text: one value a trial."""
+
+    def values_of(m: str) -> Column:
+        return F.concat_ws(",", F.transform(F.array_sort(F.collect_list(F.struct(order, m))), lambda x: F.format_string("%.4f", x[m]))).alias(f"{m}_trials")
+
+    values = [values_of(m) for m in metrics]
+    names = [F.col(b).alias(f"_{b}") for b in by]
+    same = [F.col(b).eqNullSafe(F.col(f"_{b}")) for b in by]
+    return across(trials, metrics, by, digits).join(trials.groupBy(*names).agg(*values), same).drop(*[f"_{b}" for b in by])

@@ -631,4 +631,4 @@ _registered(
  CASE event_type WHEN 'view' THEN TRUE WHEN 'click' THEN FALSE ELSE NULL END AS execution_correct FROM events), {_CLASS} SELECT strftime(date_trunc('day', ts), '%Y-%m-%d %H:%M') AS start, classification, COUNT(*) AS n FROM classified GROUP BY 1, 2""",
 )(lambda spark, d: live.windowed_outcomes(live.as_cases(fx.table(spark, d, "events"))))
 
-from . import queries_evaluation, queries_execution  # noqa: E402, F401  they register their queries here
+from . import queries_evaluation, queries_execution, queries_reports  # noqa: E402, F401  they register their queries here
