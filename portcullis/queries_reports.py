@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from . import fixtures as fx
 from .functions import text
-from .operators import datagen, outcome, quality, trials
+from .operators import access, datagen, outcome, quality, trials
 from .queries import _CLASS, _QUALITY, _SAMPLED, _bucket_sql, _quality_frames, _r, _registered
 from .sources import records, sinks
 
@@ -118,3 +118,32 @@ _registered("policy_rows", f"WITH {fx.GRANTS} SELECT DISTINCT db_id, role, table
 _registered("report_lines", "SELECT LPAD(COALESCE(CAST(c_custkey AS VARCHAR), '-'), 8, ' ') || ' | ' || RPAD(COALESCE(c_mktsegment, '-'), 12, ' ') || ' | ' || LPAD(COALESCE(CAST(c_nationkey AS VARCHAR), '-'), 4, ' ') AS line FROM customer")(
     lambda spark, d: sinks.fixed_width(fx.table(spark, d, "customer"), {"c_custkey": 8, "c_mktsegment": 12, "c_nationkey": 4})
 )
+
+# ---- labels of a dataset
+
+_NEED = """need AS (SELECT l_orderkey AS case_id, s_nationkey AS db_id, CASE WHEN l_orderkey % 8 = 2 THEN 'UPDATE' ELSE 'SELECT' END AS operation,
+ CASE WHEN l_orderkey % 17 = 0 AND l_linenumber = 2 THEN 'ddl' WHEN l_linenumber > 1 OR l_orderkey % 4 = 0 THEN 'read' WHEN l_orderkey % 4 = 1 THEN 'insert' WHEN l_orderkey % 4 = 2 THEN 'write' ELSE 'delete' END AS kind,
+ CASE WHEN l_linenumber = 4 THEN 'cte' ELSE p_brand END AS table_name, CASE WHEN l_linenumber = 1 AND l_orderkey % 5 = 0 THEN '' ELSE p_type END AS column_name
+ FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN part ON l_partkey = p_partkey WHERE l_linenumber <= 4)"""
+
+
+@_registered(
+    "dataset_labels",
+    f"""WITH {fx.POLICIES}, {_NEED}, roles AS (SELECT DISTINCT db_id, role FROM policies), n AS (SELECT DISTINCT case_id, db_id, kind, LOWER(table_name) AS t, LOWER(column_name) AS c FROM need WHERE kind <> 'write' OR operation = 'UPDATE'),
+ x AS (SELECT n.*, r.role, CASE kind WHEN 'ddl' THEN 0 WHEN 'insert' THEN 1 WHEN 'delete' THEN 2 WHEN 'write' THEN 3 ELSE 4 END AS i, CASE kind WHEN 'ddl' THEN 'DDL' WHEN 'insert' THEN 'INSERT' WHEN 'delete' THEN 'DELETE' WHEN 'write' THEN 'UPDATE' ELSE 'SELECT' END AS op FROM n JOIN roles r ON r.db_id = n.db_id),
+ k AS (SELECT x.* FROM x WHERE kind = 'ddl' OR EXISTS (SELECT 1 FROM schema_ s WHERE s.db_id = x.db_id AND s.t = x.t) OR EXISTS (SELECT 1 FROM policies p WHERE p.db_id = x.db_id AND p.role = x.role AND p.t = x.t)),
+ l AS (SELECT k.* FROM k WHERE NOT EXISTS (SELECT 1 FROM policies p WHERE p.db_id = k.db_id AND p.role = k.role AND p.operation = k.op AND (k.op = 'DDL' OR p.t = k.t AND (k.op IN ('INSERT', 'DELETE') OR p.c = '*' OR p.c = k.c AND k.c <> '')))),
+ f AS (SELECT case_id, db_id, role, MIN(i) AS i FROM l GROUP BY 1, 2, 3)
+ SELECT c.case_id, c.db_id, c.role, f.i IS NULL AS allowed, CASE f.i WHEN 0 THEN 'ddl_not_allowed' WHEN 1 THEN 'insert_not_allowed' WHEN 2 THEN 'delete_not_allowed' WHEN 3 THEN 'write_not_allowed' WHEN 4 THEN 'read_not_allowed' END AS denial_reason
+ FROM (SELECT DISTINCT case_id, need.db_id, role FROM need JOIN roles ON roles.db_id = need.db_id) AS c LEFT JOIN f ON f.case_id = c.case_id AND f.db_id = c.db_id AND f.role = c.role""",
+)
+def dataset_labels(spark: SparkSession, d: str) -> DataFrame:
+    k, n = F.col("l_orderkey"), F.col("l_linenumber")
+    kind = F.when((k % 17 == 0) & (n == 2), "ddl").when((n > 1) | (k % 4 == 0), "read").when(k % 4 == 1, "insert").when(k % 4 == 2, "write").otherwise("delete")
+    li, s, p = (fx.table(spark, d, t) for t in ("lineitem", "supplier", "part"))
+    rows = li.where("l_linenumber <= 4").join(s, li["l_suppkey"] == s["s_suppkey"]).join(p, li["l_partkey"] == p["p_partkey"])
+    need = rows.select(
+        k.alias("case_id"), F.col("s_nationkey").alias("db_id"), F.when(k % 8 == 2, "UPDATE").otherwise("SELECT").alias("operation"), kind.alias("kind"), F.when(n == 4, "cte").otherwise(F.col("p_brand")).alias("table_name"),
+        F.when((n == 1) & (k % 5 == 0), "").otherwise(F.col("p_type")).alias("column_name"),
+    )
+    return access.dataset_labels(need, fx.policies(spark, d), fx.schema(spark, d))
