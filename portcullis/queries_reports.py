@@ -147,3 +147,51 @@ def dataset_labels(spark: SparkSession, d: str) -> DataFrame:
         F.when((n == 1) & (k % 5 == 0), "").otherwise(F.col("p_type")).alias("column_name"),
     )
     return access.dataset_labels(need, fx.policies(spark, d), fx.schema(spark, d))
+
+
+_HALF, _MOST = int(0.5 * (1 << 60)), int(0.7 * (1 << 60))
+_OPERATORS = f"""{fx.GRANTS}, s AS (SELECT DISTINCT db_id, table_name, column_name FROM grants WHERE role_ord % 2 = 1), t AS (SELECT db_id, table_name, COUNT(*) AS n FROM s GROUP BY 1, 2),
+ o AS (SELECT db_id, UNNEST(RANGE(1, CASE WHEN COUNT(*) >= 3 THEN 4 ELSE 3 END)) AS i FROM t GROUP BY db_id),
+ e AS (SELECT t.*, i, CAST('0x' || SUBSTR(sha256('42:' || t.db_id || ':' || i || ':' || table_name), 1, 15) AS BIGINT) < {_HALF} AS whole FROM t JOIN o ON o.db_id = t.db_id),
+ c AS (SELECT e.*, column_name, CAST('0x' || SUBSTR(sha256('42:' || e.db_id || ':' || i || ':' || e.table_name || ':' || column_name), 1, 15) AS BIGINT) AS number FROM e JOIN s ON s.db_id = e.db_id AND s.table_name = e.table_name WHERE NOT whole),
+ p AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY db_id, i, table_name ORDER BY number, column_name) AS place FROM c),
+ operators AS (SELECT db_id, 'DataOperator_' || i AS role, table_name, '*' AS column_name FROM e WHERE whole UNION ALL SELECT db_id, 'DataOperator_' || i, table_name, column_name FROM p WHERE place = 1 OR number < {_MOST} AND place <= GREATEST(1, FLOOR(n * 0.9)))"""
+_registered("operator_grants", f"WITH {_OPERATORS} SELECT * FROM operators")(lambda spark, d: datagen.operator_grants(fx.schema(spark, d)))
+
+_MANAGED = """managed AS (SELECT DISTINCT l_orderkey AS case_id, s_nationkey AS db_id, CASE WHEN l_orderkey % 2 = 0 THEN 'SystemManager' ELSE 'Clerk' END AS role, l_orderkey % 5 > 0 AS allowed FROM lineitem JOIN supplier ON l_suppkey = s_suppkey),
+ want AS (SELECT DISTINCT l_orderkey AS case_id, s_nationkey AS db_id, p_brand AS table_name, p_type AS column_name FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN part ON l_partkey = p_partkey)"""
+
+
+@_registered(
+    "v3_expansion",
+    f"""WITH {_OPERATORS}, {_MANAGED}, r AS (SELECT DISTINCT db_id, role FROM operators), m AS (SELECT case_id, managed.db_id, r.role FROM managed JOIN r ON r.db_id = managed.db_id WHERE managed.role = 'SystemManager'),
+ l AS (SELECT DISTINCT m.* FROM m JOIN want w ON w.case_id = m.case_id AND w.db_id = m.db_id WHERE NOT EXISTS (SELECT 1 FROM operators o WHERE o.db_id = m.db_id AND o.role = m.role AND o.table_name = w.table_name AND (o.column_name = '*' OR o.column_name = w.column_name)))
+ SELECT case_id, db_id, role, allowed FROM managed WHERE role <> 'SystemManager' UNION ALL SELECT m.case_id, m.db_id, m.role, l.case_id IS NULL FROM m LEFT JOIN l ON l.case_id = m.case_id AND l.db_id = m.db_id AND l.role = m.role""",
+)
+def v3_expansion(spark: SparkSession, d: str) -> DataFrame:
+    li, s, p = (fx.table(spark, d, t) for t in ("lineitem", "supplier", "part"))
+    rows = li.join(s, li["l_suppkey"] == s["s_suppkey"])
+    k = F.col("l_orderkey")
+    cases = rows.select(k.alias("case_id"), F.col("s_nationkey").alias("db_id"), F.when(k % 2 == 0, "SystemManager").otherwise("Clerk").alias("role"), (k % 5 > 0).alias("allowed")).distinct()
+    want = rows.join(p, li["l_partkey"] == p["p_partkey"]).select(k.alias("case_id"), F.col("s_nationkey").alias("db_id"), F.col("p_brand").alias("table_name"), F.col("p_type").alias("column_name"))
+    return datagen.expand_managers(cases, want, datagen.operator_grants(fx.schema(spark, d)))
+
+
+_registered(
+    "classify_v1",
+    """WITH o AS (SELECT o_orderkey AS k, CASE o_orderkey % 3 WHEN 0 THEN 'Sorry, I cannot answer.' WHEN 1 THEN 'SELECT ' || o_orderkey ELSE '' END AS out, CASE o_orderkey % 5 WHEN 0 THEN NULL WHEN 1 THEN 'I am sorry' WHEN 2 THEN ' select ' || o_orderkey || ' ' WHEN 3 THEN 'SELECT x' ELSE '  ' END AS p,
+ CASE WHEN o_orderkey % 11 < 9 THEN 'SELECT ' || o_orderkey ELSE '' END AS g, CASE WHEN o_orderkey % 7 >= 2 THEN o_orderkey % 2 = 0 END AS x FROM orders), f AS (SELECT *, out = '' OR CONTAINS(LOWER(out), 'sorry') AS r, TRIM(COALESCE(p, '')) AS t FROM o)
+ SELECT k AS source_index, CASE WHEN t = '' THEN CASE WHEN r THEN 'violation_wrong' ELSE 'wrong' END WHEN r AND CONTAINS(LOWER(t), 'sorry') THEN 'correct_refusal' WHEN r THEN CASE WHEN COALESCE(x, FALSE) AND g <> '' THEN 'violation_correct' ELSE 'violation_wrong' END
+ WHEN CONTAINS(LOWER(t), 'sorry') THEN 'incorrect_refusal' WHEN CASE WHEN g <> '' AND x IS NOT NULL THEN x ELSE LOWER(t) = LOWER(g) END THEN 'correct' ELSE 'wrong' END AS classification FROM f""",
+)(
+    lambda spark, d: (k := F.col("o_orderkey")) is not None
+    and fx.table(spark, d, "orders").select(
+        k.alias("source_index"),
+        outcome.classify_v1(
+            F.when(k % 3 == 0, "Sorry, I cannot answer.").when(k % 3 == 1, F.concat(F.lit("SELECT "), k.cast("string"))).otherwise(""),
+            F.when(k % 5 == 1, "I am sorry").when(k % 5 == 2, F.concat(F.lit(" select "), k.cast("string"), F.lit(" "))).when(k % 5 == 3, "SELECT x").when(k % 5 == 4, "  "),
+            F.when(k % 11 < 9, F.concat(F.lit("SELECT "), k.cast("string"))).otherwise(""),
+            F.when(k % 7 >= 2, k % 2 == 0),
+        ).alias("classification"),
+    )
+)
