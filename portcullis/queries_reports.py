@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from . import fixtures as fx
 from .functions import text
-from .operators import access, datagen, outcome, quality, trials
+from .operators import access, datagen, outcome, quality, rendering, trials
 from .queries import _CLASS, _QUALITY, _SAMPLED, _bucket_sql, _quality_frames, _r, _registered
 from .sources import records, sinks
 
@@ -195,3 +196,50 @@ _registered(
         ).alias("classification"),
     )
 )
+
+# ---- schemas as text
+
+_SHOWN = f"""WITH {fx.GRANTS}, s AS (SELECT DISTINCT db_id, table_name AS t, column_name AS c FROM grants WHERE role_ord % 2 = 1),
+ x AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY db_id, t ORDER BY c) AS place, CASE WHEN LENGTH(c) % 3 = 0 THEN 'text' WHEN LENGTH(c) % 3 = 1 THEN 'nan' END AS f, CASE WHEN LENGTH(c) % 4 > 1 THEN 'the ' || LOWER(c) END AS d,
+ CASE WHEN LENGTH(c) % 5 = 0 THEN REPEAT(c || ' ', 8) WHEN LENGTH(c) % 5 = 1 THEN '  ' END AS v FROM s), n AS (SELECT db_id, COUNT(DISTINCT t) AS n_tables, COUNT(*) AS n_columns FROM x GROUP BY 1)"""
+_SPACED = "c || CASE WHEN f <> 'nan' THEN ' (' || f || ')' ELSE '' END"
+
+
+def _shown(spark: SparkSession, d: str) -> DataFrame:
+    """The columns that each database lists, with formats, descriptions, keys and references from their names."""
+    c, n = F.col("column_name"), F.length("column_name")
+    rows = fx.schema(spark, d).withColumn("place", F.row_number().over(Window.partitionBy("db_id", "table_name").orderBy("column_name")))
+    return rows.withColumns(
+        {
+            "data_format": F.when(n % 3 == 0, "text").when(n % 3 == 1, "nan"), "column_description": F.when(n % 4 > 1, F.concat(F.lit("the "), F.lower(c))),
+            "value_description": F.when(n % 5 == 0, F.repeat(F.concat(c, F.lit(" ")), F.lit(8))).when(n % 5 == 1, "  "),
+            "key_place": F.when(F.col("place") <= F.when(F.col("table_name").endswith("1"), 1).when(F.col("table_name").endswith("2"), 2).otherwise(0), F.col("place")).otherwise(0),
+            "ref_table": F.when(n % 7 == 0, "Brand#11"), "ref_column": F.when(n % 7 == 0, "id"),
+        }
+    )
+
+
+_registered("schema_text_simple", f"{_SHOWN}, l AS (SELECT db_id, t, 'Table ' || t || ' has columns: ' || STRING_AGG(c, ', ' ORDER BY place) || '.' AS line FROM x GROUP BY 1, 2) SELECT db_id, 'Database: ' || db_id || chr(10) || STRING_AGG(line, chr(10) ORDER BY t) AS text FROM l GROUP BY db_id")(
+    lambda spark, d: rendering.simple_text(_shown(spark, d))
+)
+_registered(
+    "schema_text_sentences",
+    f"""{_SHOWN}, l AS (SELECT db_id, t, 'Table ' || t || ' has columns such as ' || STRING_AGG(c, ', ' ORDER BY place) || '.' || CASE WHEN t LIKE '%1' OR t LIKE '%2' AND COUNT(*) = 1 THEN chr(10) || MIN(c) FILTER (place = 1) || ' is the primary key.'
+ WHEN t LIKE '%2' THEN chr(10) || 'The combination of (' || STRING_AGG(c, ', ' ORDER BY place) FILTER (place <= 2) || ') are the primary key.' ELSE '' END AS line FROM x GROUP BY 1, 2),
+ r AS (SELECT db_id, STRING_AGG(chr(10) || 'The ' || c || ' of ' || t || ' is the foreign key of id of Brand#11.', '' ORDER BY t, place) AS refs FROM x WHERE LENGTH(c) % 7 = 0 GROUP BY 1)
+ SELECT l.db_id, l.db_id || ' contains tables such as ' || STRING_AGG(t, ', ' ORDER BY t) || '.' || chr(10) || STRING_AGG(line, chr(10) ORDER BY t) || COALESCE(MAX(refs), '') AS text FROM l LEFT JOIN r ON r.db_id = l.db_id GROUP BY l.db_id""",
+)(lambda spark, d: rendering.sentences(_shown(spark, d)))
+_registered(
+    "schema_text_compact",
+    f"{_SHOWN}, l AS (SELECT db_id, t, t || '[' || STRING_AGG(c || CASE WHEN f <> 'nan' THEN '(' || f || ')' ELSE '' END, ', ' ORDER BY place) || ']' AS line FROM x GROUP BY 1, 2) SELECT db_id, 'Database: ' || db_id || chr(10) || 'Tables: ' || STRING_AGG(line, '; ' ORDER BY t) AS text FROM l GROUP BY db_id",
+)(lambda spark, d: rendering.described(_shown(spark, d), "compact"))
+_registered(
+    "schema_text_summary",
+    f"""{_SHOWN}, l AS (SELECT db_id, t, 'Table: ' || t || ' (' || COUNT(*) || ' columns)' || chr(10) || '  Key columns: ' || STRING_AGG({_SPACED}, ', ' ORDER BY place) FILTER (place <= 5) || chr(10) || CASE WHEN COUNT(*) > 5 THEN '  ... and ' || (COUNT(*) - 5) || ' more columns' || chr(10) ELSE '' END AS line FROM x GROUP BY 1, 2)
+ SELECT l.db_id, 'Database: ' || l.db_id || chr(10) || 'Tables: ' || MAX(n_tables) || ', Columns: ' || MAX(n_columns) || chr(10) || chr(10) || STRING_AGG(line, chr(10) ORDER BY t) AS text FROM l JOIN n ON n.db_id = l.db_id GROUP BY l.db_id""",
+)(lambda spark, d: rendering.described(_shown(spark, d), "summary"))
+_registered(
+    "schema_text_detailed",
+    f"""{_SHOWN}, l AS (SELECT db_id, t, 'Table: ' || t || ' (' || COUNT(*) || ' columns)' AS title, STRING_AGG('• ' || {_SPACED} || COALESCE(': ' || d, '') || CASE WHEN TRIM(v) <> '' THEN chr(10) || '  Values: ' || CASE WHEN LENGTH(TRIM(v)) > 100 THEN LEFT(TRIM(v), 100) || '...' ELSE TRIM(v) END ELSE '' END, chr(10) ORDER BY place) AS body FROM x GROUP BY 1, 2)
+ SELECT l.db_id, 'Database: ' || l.db_id || chr(10) || 'Total Tables: ' || MAX(n_tables) || chr(10) || 'Total Columns: ' || MAX(n_columns) || chr(10) || chr(10) || 'Table Schemas:' || chr(10) || STRING_AGG(chr(10) || title || chr(10) || REPEAT('-', LENGTH(title)) || chr(10) || body, chr(10) ORDER BY t) AS text FROM l JOIN n ON n.db_id = l.db_id GROUP BY l.db_id""",
+)(lambda spark, d: rendering.described(_shown(spark, d), "detailed"))
