@@ -243,3 +243,27 @@ _registered(
     f"""{_SHOWN}, l AS (SELECT db_id, t, 'Table: ' || t || ' (' || COUNT(*) || ' columns)' AS title, STRING_AGG('• ' || {_SPACED} || COALESCE(': ' || d, '') || CASE WHEN TRIM(v) <> '' THEN chr(10) || '  Values: ' || CASE WHEN LENGTH(TRIM(v)) > 100 THEN LEFT(TRIM(v), 100) || '...' ELSE TRIM(v) END ELSE '' END, chr(10) ORDER BY place) AS body FROM x GROUP BY 1, 2)
  SELECT l.db_id, 'Database: ' || l.db_id || chr(10) || 'Total Tables: ' || MAX(n_tables) || chr(10) || 'Total Columns: ' || MAX(n_columns) || chr(10) || chr(10) || 'Table Schemas:' || chr(10) || STRING_AGG(chr(10) || title || chr(10) || REPEAT('-', LENGTH(title)) || chr(10) || body, chr(10) ORDER BY t) AS text FROM l JOIN n ON n.db_id = l.db_id GROUP BY l.db_id""",
 )(lambda spark, d: rendering.described(_shown(spark, d), "detailed"))
+
+# ---- answers of hosted models
+
+#: Answers with {n} for a number, and the SQL of each (None: too short to be any).
+_ANSWERS = [
+    ("SELECT a{n} FROM t; Note: it is so", "SELECT a{n} FROM t;"), ("```sql\nSELECT {n};\n```\nexplanation: x", "SELECT {n};"), ("I am SORRY {n}", "Sorry, I cannot answer."), ("Error: timeout {n}", "Error: timeout {n}"), ("  ", "Sorry, I cannot answer."), ("ab", None),
+    ("Look: nothing {n}", "Sorry, I cannot answer."), ("SELECT {n}; thanks a lot", "SELECT {n};"), ("SELECT {n}; select 2 from t", "SELECT {n}; select 2 from t"), ("SQL: delete from t{n};assistant I am", "delete from t{n};"), ("set x = {n}", "set x = {n}"),
+    ("- update teaching_assistant set a = {n} here is why", "update teaching_assistant set a = {n}"), ("PRAGMA x{n}", "Sorry, I cannot answer."),
+]
+
+
+def _answer(k: str, forms: list[str | None]) -> str:
+    quoted = lambda t: "NULL" if t is None else "'" + t.replace("'", "''").replace("{n}", f"' || {k} || '").replace("\n", "' || chr(10) || '") + "'"
+    return f"CASE {k} % {len(forms)} " + " ".join(f"WHEN {i} THEN {quoted(t)}" for i, t in enumerate(forms)) + " END"
+
+
+_registered(
+    "cloud_sql",
+    f"WITH a AS (SELECT o_orderkey, {_answer('o_orderkey', [t for t, _ in _ANSWERS])} AS t, {_answer('o_orderkey', [w for _, w in _ANSWERS])} AS w FROM orders) SELECT o_orderkey, w AS cleaned, COALESCE(w, TRIM(t)) AS answer, CONTAINS(LOWER(t), 'sorry') AS refused FROM a",
+)(
+    lambda spark, d: fx.table(spark, d, "orders")
+    .select("o_orderkey", F.replace(F.element_at(F.array(*[F.lit(t) for t, _ in _ANSWERS]), (F.col("o_orderkey") % len(_ANSWERS)).cast("int") + 1), F.lit("{n}"), F.col("o_orderkey").cast("string")).alias("t"))
+    .select("o_orderkey", text.cloud_sql(F.col("t")).alias("cleaned"), text.answer_sql(F.col("t")).alias("answer"), text.sql_and_refusal(F.col("t"))["refused"].alias("refused"))
+)
