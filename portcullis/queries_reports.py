@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import fixtures as fx
-from .functions import text
+from .functions import prompts, text
 from .operators import access, datagen, outcome, quality, rendering, trials
 from .queries import _CLASS, _QUALITY, _SAMPLED, _bucket_sql, _quality_frames, _r, _registered
 from .sources import records, sinks
@@ -267,3 +267,49 @@ _registered(
     .select("o_orderkey", F.replace(F.element_at(F.array(*[F.lit(t) for t, _ in _ANSWERS]), (F.col("o_orderkey") % len(_ANSWERS)).cast("int") + 1), F.lit("{n}"), F.col("o_orderkey").cast("string")).alias("t"))
     .select("o_orderkey", text.cloud_sql(F.col("t")).alias("cleaned"), text.answer_sql(F.col("t")).alias("answer"), text.sql_and_refusal(F.col("t"))["refused"].alias("refused"))
 )
+
+# ---- prompts
+
+_N = "chr(10)"
+_INSTRUCTED = f"""i AS (SELECT o_orderkey AS k, o_orderpriority AS q, CASE WHEN o_orderkey % 5 = 4 THEN 'bare ' || o_orderkey ELSE '##Instruction:' || {_N} || ' S' || o_orderkey || {_N} || 'more ' || CASE WHEN o_orderkey % 5 < 2 THEN {_N} || '##Evidence:' || {_N} || 'E ' || o_orderpriority ELSE '' END || {_N} || '##Role Access Policy:' || {_N} || 'p' END AS c,
+ '# Database Schema:' || {_N} || 'S' || o_orderkey || CASE WHEN o_orderkey % 3 = 0 THEN {_N} || '# Column Meanings:' || {_N} || 'M' ELSE '' END || CASE WHEN o_orderkey % 2 = 0 THEN {_N} || '# External Knowledge:' || {_N} || 'K ' ELSE '' END || {_N} || '## Your Role: r' AS d FROM orders)"""
+
+
+def _instructed(spark: SparkSession, d: str) -> DataFrame:
+    k, text_of = F.col("o_orderkey"), F.col("o_orderkey").cast("string")
+    evidence = F.when(k % 5 < 2, F.concat(F.lit("\n##Evidence:\nE "), F.col("o_orderpriority"))).otherwise("")
+    c = F.when(k % 5 == 4, F.concat(F.lit("bare "), text_of)).otherwise(F.concat(F.lit("##Instruction:\n S"), text_of, F.lit("\nmore "), evidence, F.lit("\n##Role Access Policy:\np")))
+    crud = F.concat(F.lit("# Database Schema:\nS"), text_of, F.when(k % 3 == 0, "\n# Column Meanings:\nM").otherwise(""), F.when(k % 2 == 0, "\n# External Knowledge:\nK ").otherwise(""), F.lit("\n## Your Role: r"))
+    return fx.table(spark, d, "orders").select(k.alias("k"), F.col("o_orderpriority").alias("q"), c.alias("c"), crud.alias("d"))
+
+
+_registered(
+    "prompt_sections",
+    f"""WITH {_INSTRUCTED} SELECT k, CASE WHEN k % 5 = 4 THEN c ELSE 'S' || k || {_N} || 'more' END AS schema, CASE WHEN k % 5 < 2 THEN 'E ' || q END AS evidence, '# Database Schema:' || {_N} || 'S' || k AS crud_schema, CASE WHEN k % 3 = 0 THEN 'M' END AS column_meanings, CASE WHEN k % 2 = 0 THEN 'K' END AS external_knowledge,
+ 'sys' || {_N} || {_N} || CASE WHEN k % 5 = 4 THEN c ELSE 'S' || k || {_N} || 'more' END || {_N} || '###Input:' || {_N} || q || {_N} || {_N} || '###Response:' AS baseline FROM i""",
+)(
+    lambda spark, d: _instructed(spark, d)
+    .select("k", prompts.column_sections(F.col("c")).alias("a"), prompts.crud_sections(F.col("d")).alias("b"), prompts.baseline_prompt("sys", F.col("c"), F.col("q")).alias("baseline"))
+    .select("k", "a.schema", "a.evidence", F.col("b.schema").alias("crud_schema"), "b.column_meanings", "b.external_knowledge", "baseline")
+)
+_registered(
+    "policy_prompts",
+    f"""WITH o AS (SELECT o_orderkey AS k, o_orderstatus AS r, o_orderkey % 3 AS x FROM orders) SELECT k, 'Role: ' || r || {_N} || 'Accessible Columns:' || {_N} || '  - t: a, b' || {_N} || '  - u: ' || CASE x WHEN 0 THEN 'ALL COLUMNS' ELSE 'c' || k END AS column_policy,
+ 'Role: ' || r || CASE WHEN x = 1 THEN {_N} || 'Description: d' || k ELSE '' END || {_N} || {_N} || 'Permissions:' || {_N} || '  - DDL (CREATE/DROP/ALTER): ' || CASE WHEN x = 2 THEN 'YES' ELSE 'NO' END || {_N} || CASE WHEN x = 0 THEN '  - INSERT allowed on: t, u' ELSE '  - INSERT: NOT ALLOWED' END || {_N} || '  - DELETE: NOT ALLOWED'
+ || CASE WHEN x < 2 THEN {_N} || {_N} || 'Table Column Access:' || {_N} || '  - t:' || {_N} || '      SELECT: a, c' || k || {_N} || '      UPDATE: NONE' ELSE '' END AS crud_policy,
+ 'sys' || {_N} || {_N} || '### Example 1:' || {_N} || 'i' || {_N} || '###Input:' || {_N} || 'q' || {_N} || {_N} || '###Response:' || {_N} || 'a' || {_N} || {_N} || '### Now answer the following:' || {_N} || r || CASE WHEN x = 0 THEN '' ELSE {_N} || '###Input:' || {_N} || k || {_N} END || CASE WHEN x = 0 THEN {_N} ELSE '' END || {_N} || '###Response:' AS prompt FROM o""",
+)(
+    lambda spark, d: fx.table(spark, d, "orders")
+    .select(F.col("o_orderkey").alias("k"), F.col("o_orderstatus").alias("r"), (F.col("o_orderkey") % 3).alias("x"), F.col("o_orderkey").cast("string").alias("n"))
+    .select(
+        "k", prompts.column_policy(F.col("r"), F.concat(F.lit('{"t": ["a", "b"], "u": ["'), F.when(F.col("x") == 0, "*").otherwise(F.concat(F.lit("c"), F.col("n"))), F.lit('"]}'))).alias("column_policy"),
+        prompts.crud_policy(
+            F.col("r"),
+            F.concat(
+                F.when(F.col("x") == 1, F.concat(F.lit('{"description": "d'), F.col("n"), F.lit('"'))).when(F.col("x") == 2, '{"DDL": true').otherwise('{"INSERT": ["t", "u"]'),
+                F.when(F.col("x") < 2, F.concat(F.lit(', "tables": {"t": {"SELECT": ["a", "c'), F.col("n"), F.lit('"], "UPDATE": []}}}'))).otherwise(', "DELETE": []}'),
+            ),
+        ).alias("crud_policy"),
+        prompts.prompt("sys", F.col("r"), F.when(F.col("x") > 0, F.col("n")), prompts.few_shot([{"instruction": "i", "input": "q", "response": "a"}, {"instruction": "2", "input": "2", "response": "2"}], 1)).alias("prompt"),
+    )
+)
