@@ -45,8 +45,8 @@ _K1, _K2, _K3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93), np
 _WHITE = " \t\n\r\x0b\x0c"
 _POSTING = np.dtype([("hi", "<u4"), ("lo", "<u2"), ("line", "<u8"), ("bits", "<u8"), ("n", "<u2")])
 _BUCKET_BYTES, _BUCKETS = 16 << 20, 8  # input to a partition of postings, and buckets to a partition
-_FLUSH = 1 << 20
-_HELD = 1 << 21
+_FLUSH = 1 << 19
+_HELD = 1 << 20
 _CELLS = 1 << 22
 
 
