@@ -7,7 +7,7 @@ however long a single document is.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -203,6 +203,16 @@ def sliding_argmin(values: np.ndarray, width: int) -> np.ndarray:
     return best
 
 
+def released(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run`` over a partition, after which Arrow's free memory goes back to the system, so that idle workers stay small."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+
+    return whole
+
+
 def ragged(counts: np.ndarray) -> np.ndarray:
     """0..c-1 for each count c, on end."""
     total = int(counts.sum())

@@ -212,7 +212,7 @@ def _read(docs: DataFrame) -> DataFrame:
             own = batch.drop_columns(["text"]).take(pa.array(row, pa.int64()))
             yield pa.RecordBatch.from_arrays([*own.columns, pa.array(number, pa.int32()), pa.array(B.signed(np.array(names, np.uint64)))], names=["id", "th", "number", "line"])
 
-    return docs.mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, th long, number int, line long")
+    return docs.mapInArrow(B.released(run), f"id {docs.schema['id'].dataType.simpleString()}, th long, number int, line long")
 
 
 def _posted(docs: DataFrame, buckets: int, part: int, whole: int) -> DataFrame:
@@ -266,7 +266,7 @@ def _posted(docs: DataFrame, buckets: int, part: int, whole: int) -> DataFrame:
         if held:
             yield from flush()
 
-    return docs.select("text").mapInArrow(run, "bucket int, held binary")
+    return docs.select("text").mapInArrow(B.released(run), "bucket int, held binary")
 
 
 def _runs(own: np.ndarray) -> np.ndarray:
@@ -362,7 +362,7 @@ def _met(posted: DataFrame, size: int, part: int, whole: int) -> DataFrame:
             yield from close()
 
     dealt = posted.repartition(size, "bucket").sortWithinPartitions("bucket")
-    return dealt.mapInArrow(run, "pair long, id long, bits long, n int")
+    return dealt.mapInArrow(B.released(run), "pair long, id long, bits long, n int")
 
 
 def near(part: int, whole: int) -> tuple[Column, Column]:
@@ -410,7 +410,7 @@ def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                     ids, own = [], []
         yield from send(ids, own)
 
-    found = docs.select("text").mapInArrow(run, f"id long, body binary, n long, {', '.join(f'b{i} long' for i in range(WORDS))}")
+    found = docs.select("text").mapInArrow(B.released(run), f"id long, body binary, n long, {', '.join(f'b{i} long' for i in range(WORDS))}")
     return found.join(wanted, "id", "left_semi").dropDuplicates(["id"])
 
 
@@ -440,7 +440,7 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, part: int, whole: int) -> Dat
                 yield batch.select(["a", "b"]).filter(pa.array(np.concatenate(keep)))
 
     both = pairs.join(texts.select(F.col("id").alias("a"), F.col("body").alias("ta")), "a").join(texts.select(F.col("id").alias("b"), F.col("body").alias("tb")), "b")
-    return both.mapInArrow(run, "a long, b long")
+    return both.mapInArrow(B.released(run), "a long, b long")
 
 
 def _tokens(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:

@@ -97,7 +97,7 @@ def _sketch(docs: DataFrame, size: int) -> DataFrame:
                     names=["id", "n", "s1", "s2", "sig", *PARITY],
                 )
 
-    return docs.mapInArrow(run, f"id long, n long, s1 long, s2 long, sig array<long>, {', '.join(f'{b} long' for b in PARITY)}")
+    return docs.mapInArrow(B.released(run), f"id long, n long, s1 long, s2 long, sig array<long>, {', '.join(f'{b} long' for b in PARITY)}")
 
 
 def _sets(docs: DataFrame, size: int, wanted: DataFrame) -> DataFrame:
@@ -114,7 +114,7 @@ def _sets(docs: DataFrame, size: int, wanted: DataFrame) -> DataFrame:
                 flat, counts = shingle_sets(block, size)
                 yield pa.RecordBatch.from_arrays([batch.column("id").slice(block.first, block.rows), B.lists(B.signed(flat), counts, pa.int64())], names=["id", "shingles"])
 
-    found = docs.select("id", "text", F.xxhash64("id").alias("h")).mapInArrow(run, "id long, shingles array<long>")
+    found = docs.select("id", "text", F.xxhash64("id").alias("h")).mapInArrow(B.released(run), "id long, shingles array<long>")
     return found.join(wanted, "id", "left_semi")
 
 
