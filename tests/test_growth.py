@@ -1,6 +1,9 @@
 """Steps whose work must not grow with the square of their input."""
 
-from portcullis.operators import access
+import itertools
+import random
+
+from portcullis.operators import access, overlap, quality
 
 
 def _plan(df):
@@ -26,3 +29,29 @@ def test_dataset_labels_over_blocks_of_roles(spark):
     assert sorted(map(tuple, df.collect()), key=repr) == sorted(want, key=repr)
     plan = _plan(df)
     assert "Generate explode" in plan and plan.index("Generate explode") < plan.index("Exchange")
+
+
+def _brute(sets, digits=6):
+    """pairs, mean and greatest overlap and the first pair of the greatest; a null member equals no other."""
+    out = []
+    for (a, x), (b, y) in itertools.combinations(sorted(sets.items()), 2):
+        both = len({m for m in x & y if None not in m})
+        out.append((round(both / (len(x) + len(y) - both), digits), a, b))
+    o, a, b = min((-o, a, b) for o, a, b in out)
+    return len(out), round(sum(x[0] for x in out) / len(out), 3), -o, a, b
+
+
+def test_policy_overlap_by_blocks(spark, monkeypatch):
+    """All pairs of roles by a loop, over many blocks, with copies, null names and roles that share nothing; no join of roles with roles."""
+    monkeypatch.setattr(overlap, "BLOCK_SETS", 5)
+    rng = random.Random(7)
+    sets = {i: {(rng.choice("tuv"), str(rng.randrange(60))) for _ in range(rng.randrange(1, 30))} for i in range(40)}
+    sets |= {40: sets[3], 41: sets[3], 42: {("t", None), ("t", "1")}, 43: {("t", None), ("t", "1")}, 44: {("z", "alone")}}
+    alone = {1: {("t", "1")}, 2: {("t", "2")}, 3: {("t", "3")}}
+    rows = [(d, r, *m) for d, s in ((1, sets), (2, alone), (3, {9: sets[0]})) for r, ms in s.items() for m in ms]
+    df = spark.createDataFrame(rows, "db_id int, role_ord long, table_name string, column_name string")
+    got = {r.db_id: (r.pairs, round(r.avg_overlap, 3), r.max_overlap, r.role_a, r.role_b) for r in quality.policy_overlap(df).collect()}
+    assert got == {1: _brute(sets), 2: (3, 0.0, 0.0, 1, 2)}
+    del sets[40], sets[41]
+    df = df.where("role_ord not in (40, 41)")
+    assert tuple(quality.policy_overlap(df).where("db_id = 1").collect()[0])[3:] == _brute(sets)[2:]
