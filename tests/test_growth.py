@@ -3,7 +3,7 @@
 import itertools
 import random
 
-from portcullis.operators import access, overlap, quality
+from portcullis.operators import access, bitsets, overlap, quality
 
 
 def _plan(df):
@@ -55,3 +55,17 @@ def test_policy_overlap_by_blocks(spark, monkeypatch):
     del sets[40], sets[41]
     df = df.where("role_ord not in (40, 41)")
     assert tuple(quality.policy_overlap(df).where("db_id = 1").collect()[0])[3:] == _brute(sets)[2:]
+
+
+def test_permission_overlaps_by_blocks(spark, monkeypatch):
+    """Roles' permission sets over many blocks as a loop compares them; no column's holders are gathered in one row."""
+    monkeypatch.setattr(overlap, "BLOCK_SETS", 4)
+    rng = random.Random(3)
+    sets = {f"r{i:02}": {(rng.choice(["SELECT", "UPDATE"]), "t", f"c{rng.randrange(150)}") for _ in range(rng.randrange(1, 40))} | ({("DDL", "", "")} if i % 4 == 0 else set()) for i in range(30)}
+    sets["r30"] = sets["r07"]
+    rows = [(1, r, o, t or None, c or None) for r, ms in sets.items() for o, t, c in ms] + [(1, "SystemManager", "SELECT", "t", "c1"), (1, "An Admin", "SELECT", "t", "c1")]
+    policies = spark.createDataFrame(rows, "db_id int, role string, operation string, table_name string, column_name string")
+    schema = spark.createDataFrame([(1, "t", f"c{i}") for i in range(70)], "db_id int, table_name string, column_name string")
+    got = bitsets.overlaps(policies, schema).collect()[0]
+    assert (got.pairs, round(got.avg_overlap, 3), got.max_overlap, got.role_a, got.role_b) == _brute(sets)
+    assert "collect_set" not in _plan(bitsets.permission_words(policies, schema))
