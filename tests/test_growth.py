@@ -3,6 +3,9 @@
 import itertools
 import random
 
+from pyspark.sql import functions as F
+
+from portcullis.functions import text
 from portcullis.operators import access, bitsets, overlap, quality
 
 
@@ -69,3 +72,10 @@ def test_permission_overlaps_by_blocks(spark, monkeypatch):
     got = bitsets.overlaps(policies, schema).collect()[0]
     assert (got.pairs, round(got.avg_overlap, 3), got.max_overlap, got.role_a, got.role_b) == _brute(sets)
     assert "collect_set" not in _plan(bitsets.permission_words(policies, schema))
+
+
+def test_cloud_sql_reads_an_answer_once(spark):
+    """An answer is cut at its fences once, not once for each use of what is found."""
+    df = spark.createDataFrame([("Here: ```sql\nSELECT a FROM t; thanks\n```",), (None,)], "t string").select(text.cloud_sql(F.col("t")).alias("c"))
+    assert df._jdf.queryExecution().analyzed().toString().count("split(") <= 3  # fences, their number, lines
+    assert [r.c for r in df.collect()] == ["SELECT a FROM t;", text.REFUSAL_TEXT]
