@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import blocks as B
-from .lineage import cut, parts
+from .lineage import cut, parts, small_batches
 
 MIX = 0.2
 BITS_EACH, PROBES = 12, 4
@@ -34,13 +34,15 @@ CHUNK = 1 << 20
 END, START = (B.mix(np.array([x], np.uint64))[0] for x in (0x656E64, 0x7374617274))
 #: Steps of the quantised logarithm to each doubling: words are finer than pairs.
 STEPS = {1: 2, 2: 1}
+#: Bytes of text hashed at once, and bytes of packed n-grams handed on at once.
+_BYTES, _SENT = (1 << 18) - 1, 1 << 20
 #: How a sorted hash is packed: bits let go from its low end, and bytes of its distance from the one before.
 _PACKED = {1: (0, 6), 2: (16, 4)}
 
 
 def tokens(block: B.Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Word hashes of the rows with an end after each row, the pairs' hashes of 48 bits, and the rows' bounds."""
-    found = B.words(block, B.SPACED, B.LOWER)
+    found = B.words(block, B.SPACED, B.LOWER, _BYTES)
     own = np.insert(found.hashes, found.bounds[1:], END)
     bounds = found.bounds + np.arange(block.rows + 1)
     before = np.empty_like(own)
@@ -180,37 +182,64 @@ def _folded(rows: pa.RecordBatch) -> bytes:
     return out.getvalue().to_pybytes()
 
 
+def _counted(flagged: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct pairs, sorted, and their occurrences in training rows, which have the lowest bit set; ``flagged`` is used up."""
+    flagged.sort()
+    counts = (flagged & np.uint64(1)).astype(np.int64)
+    flagged &= ~np.uint64(1)
+    first = np.flatnonzero(np.concatenate([[True], flagged[1:] != flagged[:-1]]))
+    return flagged[first], np.add.reduceat(counts, first)
+
+
 def _asked(batches: Iterator[pa.RecordBatch], buckets: int, size: int) -> Iterator[pa.RecordBatch]:
-    kept: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    chunk = -1
+    words: list[tuple[np.ndarray, np.ndarray]] = []  # distinct ones of a block, and their counts
+    pairs: list[np.ndarray] = []
+    held, chunk = 0, -1
+    least = np.array([-(-(b << 32) // buckets) << 32 for b in range(buckets)], np.uint64)  # of each bucket's hashes
 
     def flush() -> Iterator[pa.RecordBatch]:
-        own, pairs, train = (np.concatenate(x) for x in zip(*kept, strict=True))
-        kept.clear()
-        held: dict[int, dict[int, bytes]] = {1: {}, 2: {}}
-        for gram, x in ((1, own), (2, pairs)):
-            hashes, counts = _merged([(x, train)])
-            where = bucket_of(hashes, buckets)
-            edges = [*np.flatnonzero(np.diff(where, prepend=-1)).tolist(), len(hashes)]
-            for lo, hi in zip(edges[:-1], edges[1:], strict=True):
-                held[gram][int(where[lo])] = _pack(hashes[lo:hi], counts[lo:hi], gram)
-        none = {gram: _pack(own[:0], train[:0], gram) for gram in held}
-        some = sorted(held[1].keys() | held[2].keys())
-        yield _rows(some, [chunk] * len(some), words=[held[1].get(b, none[1]) for b in some], pairs=[held[2].get(b, none[2]) for b in some])
+        made = {1: _merged(words)}
+        words.clear()
+        flagged = np.concatenate(pairs)
+        pairs.clear()
+        made[2] = _counted(flagged)
+        del flagged
+        edges = {gram: [*np.searchsorted(hashes, least).tolist(), len(hashes)] for gram, (hashes, _) in made.items()}
+        some: list[int] = []
+        packed: dict[int, list[bytes]] = {1: [], 2: []}
+        waiting = 0
+        for bucket in range(buckets):
+            spans = {gram: slice(*edges[gram][bucket : bucket + 2]) for gram in made}
+            if all(x.start == x.stop for x in spans.values()):
+                continue
+            some.append(bucket)
+            for gram, (hashes, counts) in made.items():
+                packed[gram].append(_pack(hashes[spans[gram]], counts[spans[gram]], gram))
+                waiting += len(packed[gram][-1])
+            if waiting >= _SENT:
+                yield _rows(some, [chunk] * len(some), words=packed[1], pairs=packed[2])
+                some, packed, waiting = [], {1: [], 2: []}, 0
+        if some:
+            yield _rows(some, [chunk] * len(some), words=packed[1], pairs=packed[2])
 
     for batch in batches:
         for block in B.blocks(batch.column("text")):
             mine = batch.slice(block.first, block.rows)
-            if not kept:
+            if not held:
                 chunk = mine.column("rid")[0].as_py()
-            own, pairs, bounds = tokens(block)
-            train = pc.fill_null(pc.invert(mine.column("held_out")), False).to_numpy(zero_copy_only=False)
-            kept.append((own, pairs, np.repeat(train.astype(np.int64), np.diff(bounds))))
+            own, two, bounds = tokens(block)
+            held += len(own)
+            train = np.repeat(pc.fill_null(pc.invert(mine.column("held_out")), False).to_numpy(zero_copy_only=False), np.diff(bounds))
+            words.append(_merged([(own, train.astype(np.int64))]))
+            two |= train.astype(np.uint64)
+            pairs.append(two)
             at = int(B.mix(np.array([chunk], np.uint64))[0] % np.uint64(buckets))
             yield _rows([at], [chunk], docs=[_folded(mine.select(["id", "held_out", "text"]))])
-            if sum(len(x) for x, _, _ in kept) >= size:
+            del own, two, train, mine
+            if held >= size:
                 yield from flush()
-    if kept:
+                held = 0
+    if held:
         yield from flush()
 
 
@@ -298,13 +327,14 @@ def score(docs: DataFrame, held_out: Column, key: str = "doc_id", text: str = "t
     Learns from the rows where ``held_out`` is false. Without any, all words are unknown. Rows are kept apart even
     where keys repeat or are null. An empty table gives no rows. A chunk has ``chunk`` tokens, and its last document's more.
     """
+    small_batches(docs.sparkSession)
     body = docs.select(F.col(f"`{key}`").alias("id"), held_out.alias("held_out"), F.col(f"`{text}`").alias("text"))
     kind = body.schema["id"].dataType.simpleString()
     buckets = parts(docs, 8 << 20)
-    asked = body.select(F.monotonically_increasing_id().alias("rid"), "id", "held_out", "text").mapInArrow(lambda b: _asked(b, buckets, chunk), _ROW)
-    table = cut(asked.repartition(buckets, "bucket").mapInArrow(lambda b: _answered(b, bits_each), _MET))
+    asked = body.select(F.monotonically_increasing_id().alias("rid"), "id", "held_out", "text").mapInArrow(B.released(lambda b: _asked(b, buckets, chunk)), _ROW)
+    table = cut(asked.repartition(buckets, "bucket").mapInArrow(B.released(lambda b: _answered(b, bits_each)), _MET))
     sums = table.where("chunk < 0").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("v"), F.coalesce(F.sum("total"), F.lit(0)).alias("n")).first()
     total, distinct = int(sums["n"]), int(sums["v"])
     met = table.where("chunk >= 0").drop("n", "total").repartition(buckets, "chunk").sortWithinPartitions("chunk", "bucket")
-    done = met.mapInArrow(lambda b: _finished(b, total, distinct), f"id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    done = met.mapInArrow(B.released(lambda b: _finished(b, total, distinct)), f"id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
     return done.withColumnRenamed("id", key)

@@ -1,10 +1,12 @@
 import hashlib
 import math
+import tracemalloc
 import zlib
 from collections import Counter
 
 import brute
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -288,3 +290,23 @@ def test_language_sample_of_repeated_and_null_ids(spark, monkeypatch, key):
     assert sizes == [[("de", 91), ("en", 100)]]
     assert np.allclose(model[1], langid.fit(docs.repartition(2), F.lit(True), key=key, per_language=100)[1], atol=1e-4)
     assert {(r.text[0], r.lang_pred) for r in langid.identify(docs.where("lang is not null and doc_id = 7 or doc_id is null"), model).collect()} == {("t", "en"), ("u", "de"), ("d", "de")}
+
+
+def test_ngrams_ask_in_small_memory():
+    words = np.array([f"w{i}" for i in range(50_000)])
+    r = np.random.default_rng(3)
+    texts = [" ".join(words[r.integers(0, 50_000, 300)]) for _ in range(2000)]
+    rows = pa.RecordBatch.from_pydict({"rid": pa.array(range(2000)), "id": pa.array(range(2000)), "held_out": pa.array([i % 10 == 0 for i in range(2000)]), "text": pa.array(texts)})
+    tracemalloc.start()
+    largest, hashes = 0, []
+    for out in ngrams._asked(iter([rows]), 40, 1 << 19):
+        largest = max(largest, out.nbytes)
+        for bucket, held in zip(out.column("bucket").to_pylist(), out.column("pairs").to_pylist(), strict=True):
+            if held is not None:
+                own, counts = ngrams._unpack(held, 2)
+                assert (ngrams.bucket_of(own, 40) == bucket).all() and counts.max() >= 1
+                hashes.append(len(own))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sum(hashes) > 590_000  # all pairs of the texts, which hardly repeat
+    assert largest < 2 << 20 and peak < 40 << 20, (largest, peak)
