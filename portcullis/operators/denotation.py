@@ -26,6 +26,8 @@ from pyspark.sql.window import Window
 
 from .. import steps
 
+#: Rows of a case, of both results, up to which its rows are brought together; of larger ones only the sums of each task's rows are.
+LARGE = 1 << 17
 #: Times colours are refined after a column got its own.
 ROUNDS = 2
 
@@ -85,6 +87,22 @@ def _columns(rows: DataFrame, key: list[str], row_colour: Column) -> DataFrame:
     return summed.groupBy(*key).agg(F.array_sort(F.collect_list(one)).alias("columns"))
 
 
+def _first(rows: DataFrame) -> DataFrame:
+    """(case_id, g, p): each side's columns with their first colours, its number of rows, their bag and their least and most cells.
+
+    Nothing is shuffled where rows are dealt by case_id; else the sums of each task's rows are.
+    """
+    kept = rows.select("case_id", "gold", "place", "_row", F.coalesce(F.size("cells"), F.lit(0)).alias("width"), F.xxhash64(F.array_sort("cells"), "place").cast("decimal(38,0)").alias("hash"), F.posexplode_outer("cells").alias("col", "cell"))
+    first = kept.groupBy("case_id", "gold", "col").agg(
+        _bag(F.col("cell"), F.col("place")).alias("colour"), _bag(F.col("cell"), F.col("_row")).alias("content"),
+        F.count("*").alias("n"), F.sum("hash").alias("bag"), F.min("width").alias("least"), F.max("width").alias("most"),
+    )
+    columns = F.array_sort(F.collect_list(F.struct("col", "colour", "content"))).cast(_COLUMNS).alias("columns")
+    one = first.groupBy("case_id", "gold").agg(columns, F.max("n").alias("n"), F.max("bag").alias("bag"), F.min("least").alias("least"), F.max("most").alias("most"))
+    side = lambda gold: F.max(F.when(F.col("gold") == F.lit(gold), F.struct("columns", "n", "bag", "least", "most")))
+    return one.groupBy("case_id").agg(side(True).alias("g"), side(False).alias("p"))
+
+
 def _refined(rows: DataFrame, state: DataFrame) -> DataFrame:
     """state (case_id, branch, g, p: the columns of both sides) with each side's colours refined ``ROUNDS`` times."""
     sides = state.select("case_id", "branch", F.explode(F.array(F.struct(F.lit(True).alias("gold"), F.col("g").alias("columns")), F.struct(F.lit(False).alias("gold"), F.col("p").alias("columns")))).alias("s")).select("case_id", "branch", "s.*")
@@ -158,20 +176,17 @@ def denotation_equal(rows: DataFrame, cases: DataFrame) -> DataFrame:
     cells equal each other.
     """
     rows = steps.written(rows.select("case_id", "gold", "place", "cells", F.monotonically_increasing_id().alias("_row")))
-    signed = lambda c: F.sum(F.when(F.col("gold"), c).otherwise(-c))
-    sizes = rows.groupBy("case_id").agg(
-        (signed(F.lit(1)) == 0).alias("as_many"), (F.min(F.size("cells")) == F.max(F.size("cells"))).alias("as_wide"),
-        (signed(F.xxhash64(F.array_sort("cells"), "place").cast("decimal(38,0)")) == 0).alias("alike"),
-    )
-    cells = rows.select("case_id", "gold", F.posexplode("cells").alias("col", "cell"), "place", "_row")
-    first = cells.groupBy("case_id", "gold", "col").agg(_bag(F.col("cell"), F.col("place")).alias("colour"), _bag(F.col("cell"), F.col("_row")).alias("content"))
-    sides = first.groupBy("case_id", "gold").agg(F.array_sort(F.collect_list(F.struct("col", "colour", "content"))).cast(_COLUMNS).alias("columns"))
-    pairs = _paired(sides, ["case_id"]).join(sizes.where("as_many and as_wide and alike").select("case_id"), "case_id")
-    state = steps.written(pairs.where(_colours("g") == _colours("p")).select("case_id", F.array().cast("array<bigint>").alias("branch"), "g", "p"))
+    large = steps.written(rows.groupBy("case_id").agg(F.count("*").alias("n")).where(F.col("n") > LARGE).select("case_id"))
+    few = F.broadcast(large)  # at most a row for each LARGE rows
+    small_sides = _first(rows.join(few, "case_id", "left_anti").repartition("case_id"))
+    sides = small_sides if large.isEmpty() else small_sides.unionByName(_first(rows.join(few, "case_id", "left_semi")))
+    like = "g.n = p.n and g.bag = p.bag and g.least > 0 and g.least = g.most and g.least = p.least and p.least = p.most"
+    pairs = sides.where(like).select("case_id", F.array().cast("array<bigint>").alias("branch"), F.col("g.columns").alias("g"), F.col("p.columns").alias("p"))
+    state = steps.written(pairs.where(_colours("g") == _colours("p")))
     # refined once where needed, before any column is given a colour
     rest = state.where(f"not ({_SETTLED})")
     good = _verified(rows, state.where(_SETTLED))
-    made = [rows, state]
+    made = [rows, large, state]
     if not rest.isEmpty():
         refined = steps.written(_refined(rows, rest).where(_colours("g") == _colours("p")))
         good = good.unionByName(_verified(rows, refined.where(_SETTLED)))

@@ -94,3 +94,18 @@ def test_places(spark):
     rows = dn.result_rows(df, True).withColumn("k", F.lit(1))
     got = dn.ranked_places(rows, "k").orderBy("place").collect()
     assert [(r.place, r.cells) for r in got] == [(i, [f"n:{39 - i}"]) for i in range(40)]
+
+
+def test_large_cases_are_summed_by_task(spark, monkeypatch):
+    monkeypatch.setattr(dn, "LARGE", 6)
+    gold = [(i % 3, i, 7) for i in range(9)]
+    turned = [(r[2], r[0], r[1]) for r in reversed(gold)]
+    cases = [(gold, turned, False), (gold, [*turned[1:], (7, 0, 99)], False), (gold[:2], turned[-2:], False), (gold[:2], turned[:2], False), (gold, turned[:-1], False), (gold, turned, True), (gold, turned[::-1], True)]
+    assert judged(spark, cases) == {i: brute(*c) for i, c in enumerate(cases)}
+
+
+def test_first_colours_shuffle_rows_once_and_no_cells(spark):
+    rows = spark.range(20).select((F.col("id") % 4).alias("case_id"), (F.col("id") % 2 == 0).alias("gold"), F.lit(None).cast("long").alias("place"), F.array(F.lit("n:1"), F.lit("n:2")).alias("cells"), F.col("id").alias("_row"))
+    plan = dn._first(rows.repartition("case_id"))._jdf.queryExecution().sparkPlan().toString()
+    done = dn._first(rows.repartition("case_id"))._jdf.queryExecution().executedPlan().toString()
+    assert "Generate posexplode" in plan and done.count("Exchange hashpartitioning") == 1
