@@ -283,8 +283,9 @@ def collide(own: np.ndarray, part: int, whole: int) -> tuple[np.ndarray, np.ndar
     or is taken. If two lines of a list are near, one at least is taken, so a list in which none is has no near pair.
     """
     key = own["key"].copy()
-    cell = ((key ^ key >> np.uint64(23)) & np.uint64(_CELLS - 1)).astype(np.int64)
-    met = (np.bincount(cell, minlength=_CELLS) > 1)[cell]  # a key that has no other in its cell is alone
+    cells = min(_CELLS, 4 << len(own).bit_length())  # four to eight times the rows: few keys meet by chance
+    cell = ((key ^ key >> np.uint64(23)) & np.uint64(cells - 1)).astype(np.int64)
+    met = (np.bincount(cell, minlength=cells) > 1)[cell]  # a key that has no other in its cell is alone
     alone, own = own[~met], own[met]
     own = own[np.lexsort((own["line"], own["key"]))]
     same = np.zeros(len(own), bool)

@@ -254,17 +254,19 @@ def _answered(batches: Iterator[pa.RecordBatch], bits_each: int) -> Iterator[pa.
         own = batch.filter(batch.column("words").is_valid())
         for bucket, *rest in zip(*(own.column(n).to_pylist() for n in ("bucket", "chunk", "words", "pairs")), strict=True):
             got.setdefault(bucket, []).append(tuple(rest))
+        del plain, own
     for bucket in sorted(got):
         chunks, *held = zip(*got.pop(bucket), strict=True)
-        asked = {gram: [_unpack(x, gram) for x in held[gram - 1]] for gram in (1, 2)}
         grams = {}
-        for gram in asked:
-            hashes, counts = _merged(asked[gram])
+        for gram in (1, 2):  # unpacked here and again for the probes, so that it need not be held meanwhile
+            hashes, counts = _merged([_unpack(x, gram) for x in held[gram - 1]])
             grams[gram] = hashes[counts > 0], counts[counts > 0]
+        del hashes, counts
         segment = Segment(grams, bits_each)
         answers: dict[int, list[bytes]] = {1: [], 2: []}
-        for gram in asked:
-            for hashes, _ in asked[gram]:
+        for gram in answers:
+            for x in held[gram - 1]:
+                hashes, _ = _unpack(x, gram)
                 answer = segment.levels(hashes, gram).tobytes()
                 if gram == 1:
                     at = _found(grams[1][0], hashes)

@@ -310,3 +310,12 @@ def test_ngrams_ask_in_small_memory():
     tracemalloc.stop()
     assert sum(hashes) > 590_000  # all pairs of the texts, which hardly repeat
     assert largest < 2 << 20 and peak < 40 << 20, (largest, peak)
+
+
+def test_batches_are_small_by_bytes(spark):
+    from portcullis.llm.lineage import small_batches
+
+    small_batches(spark)
+    rows = spark.range(0, 30, 1, 1).select(F.rpad(F.lit("x"), 1_000_000, "y").alias("t"))
+    sizes = rows.mapInArrow(lambda batches: (pa.RecordBatch.from_pydict({"n": [b.nbytes]}) for b in batches), "n long").collect()
+    assert len(sizes) > 4 and max(r.n for r in sizes) < 6 << 20
