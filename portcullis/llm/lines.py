@@ -227,7 +227,7 @@ def _posted(docs: DataFrame, buckets: int, part: int, whole: int) -> DataFrame:
             held.clear()
             at = (own["hi"].astype(np.int64) * buckets) >> 32
             order = np.argsort(at.astype(np.uint16) if buckets <= 1 << 16 else at, kind="stable")  # few buckets: a radix sort
-            own, at = own[order], at[order]
+            own, at = own.view("<u8").reshape(-1, 3)[order].view(_POSTING).ravel(), at[order]  # a posting is three words
             edge = np.flatnonzero(np.diff(at, prepend=-1, append=-1))
             packed = [own[lo:hi].tobytes() for lo, hi in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(at[edge[:-1]].astype(np.int32)), pa.array(packed, pa.binary())], names=["bucket", "held"])

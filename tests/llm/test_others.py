@@ -319,3 +319,9 @@ def test_batches_are_small_by_bytes(spark):
     rows = spark.range(0, 30, 1, 1).select(F.rpad(F.lit("x"), 1_000_000, "y").alias("t"))
     sizes = rows.mapInArrow(lambda batches: (pa.RecordBatch.from_pydict({"n": [b.nbytes]}) for b in batches), "n long").collect()
     assert len(sizes) > 4 and max(r.n for r in sizes) < 6 << 20
+
+
+def test_freed_native_memory_goes_back(spark):
+    from portcullis.llm import lineage
+
+    assert lineage.trim(spark)
