@@ -2,7 +2,7 @@
 
 A payload is the bytes of a text with 255s up to a positive multiple of 576. It is cut into planes of 48 columns
 and at most 48 rows, one byte a pixel; the files of a payload lie on end in one binary value. Working memory is
-bounded by ``GROUP`` planes at a time, however long a text is.
+bounded by ``GROUP`` planes read and ``ENCODED`` planes written at a time, however long a text is.
 """
 
 from __future__ import annotations
@@ -20,6 +20,7 @@ from . import webp
 PAD = 255
 PLANE = webp.SIDE * webp.SIDE
 GROUP = 4096
+ENCODED = 512  # planes encoded at once
 _BLOCK = 1 << 23
 
 
@@ -28,8 +29,8 @@ def _payload_sizes(n: np.ndarray) -> np.ndarray:
 
 
 def _runs(sizes: np.ndarray) -> Iterator[slice]:
-    for lo in range(0, len(sizes), GROUP):
-        yield slice(lo, lo + GROUP)
+    for lo in range(0, len(sizes), ENCODED):
+        yield slice(lo, lo + ENCODED)
 
 
 def _joined(parts: list[np.ndarray], kind: type = np.uint8) -> np.ndarray:

@@ -9,12 +9,13 @@ transforms are inverted afterwards.
 
 from __future__ import annotations
 
-import heapq
 import struct
 from functools import cache
 
 import numpy as np
 
+from . import blocks as B
+
 # Fixed values of the format.
 CODE_LENGTH_ORDER = (17, 18, 0, 1, 2, 3, 4, 5, 16, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15)
 #: Neighbours (x to the left, y up) that distance codes 1 to 120 stand for.
@@ -48,33 +49,49 @@ class Bits:
         return value
 
 
-def _reversed(code: int, n: int) -> int:
-    return int(format(code, f"0{n}b")[::-1], 2) if n else 0
+@cache
+def _reversals() -> list[int]:
+    """Each number below 2**15 with its fifteen bits the other way round."""
+    out = [0]
+    for k in range(14, -1, -1):
+        out += [x | 1 << k for x in out]
+    return out
+
+
+def _coded(lengths: list[int]) -> list[tuple[int, int, int]]:
+    """Symbol, bit-reversed canonical code and its length, of the symbols that have a code."""
+    turned, code, before, out = _reversals(), 0, 0, []
+    for n, s in sorted([(n, s) for s, n in enumerate(lengths) if n]):
+        code <<= n - before
+        out.append((s, turned[code & 0x7FFF] >> 15 - n, n))
+        code, before = code + 1, n
+    return out
 
 
 def canonical(lengths: list[int]) -> list[int]:
     """Bit-reversed canonical codes of the given lengths (0: no code)."""
-    code, out = 0, [0] * len(lengths)
-    for n in range(1, 16):
-        for s, m in enumerate(lengths):
-            if m == n:
-                out[s] = _reversed(code, n)
-                code += 1
-        code <<= 1
+    out = [0] * len(lengths)
+    for s, code, _ in _coded(lengths):
+        out[s] = code
     return out
 
 
+@cache
+def _lone(symbol: int) -> tuple[np.ndarray, int]:
+    return np.array([symbol << 4], np.uint32), 0
+
+
 def lookup(lengths: list[int]) -> tuple[np.ndarray, int]:
     """Table from the next ``bits`` bits to ``symbol << 4 | length``; a lone symbol takes no bits."""
-    used = [s for s, n in enumerate(lengths) if n]
+    used = _coded(lengths)
     if len(used) == 1:
-        return np.array([used[0] << 4], np.uint32), 0
-    if not used or sum(1 << 15 - n for n in lengths if n) != 1 << 15:
+        return _lone(used[0][0])
+    if not used or sum(1 << 15 - n for _, _, n in used) != 1 << 15:
         raise ValueError("an incomplete prefix code")
-    bits, codes = max(lengths), canonical(lengths)
+    bits = used[-1][2]
     table = np.zeros(1 << bits, np.uint32)
-    for s in used:
-        table[codes[s] :: 1 << lengths[s]] = s << 4 | lengths[s]
+    for s, code, n in used:
+        table[code :: 1 << n] = s << 4 | n
     return table, bits
 
 
@@ -92,9 +109,12 @@ def _read_code(src: Bits, size: int) -> tuple[np.ndarray, int]:
     lengths = [0] * size
     if src.read(1):
         two = src.read(1)
-        lengths[src.read(8 if src.read(1) else 1)] = 1
-        if two:
-            lengths[src.read(8)] = 1
+        first = src.read(8 if src.read(1) else 1)
+        if not two:
+            if first >= size:
+                raise ValueError("a symbol past the alphabet")
+            return _lone(first)
+        lengths[first] = lengths[src.read(8)] = 1
         return lookup(lengths)
     of_lengths = [0] * 19
     for i in range(4 + src.read(4)):
@@ -258,7 +278,7 @@ def _lockstep(heads: list[Coded], data: np.ndarray, starts: np.ndarray, stops: n
         if t in wake or len(act) and act[-1] >= n:
             at[act] = b
             fresh = True
-            act = np.union1d(act, np.array(wake.pop(t, []), np.int64))
+            act = np.sort(np.concatenate([act, np.array(wake.pop(t, []), np.int64)]))
             act = act[: np.searchsorted(act, n)]
             b = at[act]
         if not len(act):
@@ -425,31 +445,40 @@ SIDE = 48
 UNIT = 576  # twelve rows
 _HEAD = 25  # bytes before the transforms
 
-#: Prefix-code profiles: characters by falling frequency; each has a weight 6/7 of the one before it, all other bytes 1.
-PROFILES = (
-    " etanioshrdlucmfwygpb,vk.\nqxjz\xc3",
-    "EATNIOSHRDLUC MFWYGPBVK!,.\nQXJZ0123456789\xc3",
-    "",
-)
+#: Longest code of a plane, which bounds a file's table in the decoder; bytes that a match begins with, and the shortest match.
+LIMIT, GRAM, SHORTEST = 10, 8, 5
 
 
 def huffman(weights: list[int], limit: int = 15) -> list[int]:
     """Code lengths for the weights, none over the limit (small weights are raised until that holds)."""
-    floor = 1
+    lengths = [0] * len(weights)
+    leaves = sorted((w, i) for i, w in enumerate(weights) if w)
+    n, floor = len(leaves), 1
+    if n < 2:
+        for _, i in leaves:
+            lengths[i] = 1
+        return lengths
     while True:
-        heap = [(max(w, floor), i, (i,)) for i, w in enumerate(weights) if w]
-        heapq.heapify(heap)
-        lengths, n = [0] * len(weights), len(weights)
-        if len(heap) == 1:
-            lengths[heap[0][1]] = 1
-            return lengths
-        while len(heap) > 1:
-            a, b = heapq.heappop(heap), heapq.heappop(heap)
-            for s in a[2] + b[2]:
-                lengths[s] += 1
-            n += 1
-            heapq.heappush(heap, (a[0] + b[0], n, a[2] + b[2]))
-        if max(lengths) <= limit:
+        # leaves by weight and inner nodes as they are made are two queues in order
+        total = [max(w, floor) for w, _ in leaves]
+        above = [0] * (2 * n - 1)
+        leaf, node = 0, n
+        for new in range(n, 2 * n - 1):
+            both = 0
+            for _ in range(2):
+                if leaf < n and (node >= new or total[leaf] <= total[node]):
+                    k, leaf = leaf, leaf + 1
+                else:
+                    k, node = node, node + 1
+                above[k] = new
+                both += total[k]
+            total.append(both)
+        depth = [0] * (2 * n - 1)
+        for k in range(2 * n - 3, -1, -1):
+            depth[k] = depth[above[k]] + 1
+        if max(depth[:n]) <= limit:
+            for (_, i), d in zip(leaves, depth[:n], strict=True):
+                lengths[i] = d
             return lengths
         floor *= 2
 
@@ -463,7 +492,7 @@ class Writer:
         self.at += n
 
     def code(self, lengths: list[int]) -> None:
-        """Write code lengths: a simple code for one symbol or two, else the plain form without repeats."""
+        """Write code lengths: a simple code for one symbol or two, else with runs of zeros."""
         used = [s for s, n in enumerate(lengths) if n]
         if len(used) <= 2 and max(used, default=0) < 256:
             used = used or [0]
@@ -474,47 +503,36 @@ class Writer:
                 self.put(s, 8)
             return
         self.put(0, 1)
-        own = huffman([lengths.count(n) for n in range(16)] + [0, 0, 0], 7)
-        if sum(map(bool, own)) == 1:
-            own[1 if own[0] else 0] = 1
-            own = [min(n, 1) for n in own]
+        runs: list[tuple[int, int, int]] = []  # symbol, what follows it, and its bits
+        last = -1
+        for s in [*used, len(lengths)]:
+            zeros = s - last - 1
+            while zeros > 2:
+                n = min(zeros, 138)
+                runs.append((17, n - 3, 3) if n < 11 else (18, n - 11, 7))
+                zeros -= n
+            runs += [(0, 0, 0)] * zeros
+            if s < len(lengths):
+                runs.append((lengths[s], 0, 0))
+            last = s
+        counts = [0] * 19
+        for s, _, _ in runs:
+            counts[s] += 1
+        own = huffman(counts, 7)
         self.put(15, 4)
         for s in CODE_LENGTH_ORDER:
             self.put(own[s], 3)
         codes = canonical(own)
+        if sum(map(bool, own)) == 1:
+            own = [0] * 19  # a lone symbol takes no bits
         self.put(0, 1)
-        for n in lengths:
-            self.put(codes[n], own[n])
+        for s, more, n in runs:
+            self.put(codes[s] | more << own[s], own[s] + n)
 
     def bytes(self) -> bytes:
         return self.value.to_bytes((self.at + 7) // 8, "little")
 
 
-@cache
-def _profiles() -> list[tuple[np.ndarray, np.ndarray, bytes, int]]:
-    """Of each profile: code lengths and codes of the green alphabet, the header's bytes and its bits."""
-    out = []
-    for text in PROFILES:
-        order = text.encode("latin-1")
-        weights = [16] * (256 + LENGTH_CODES)
-        for r, b in enumerate(order):
-            weights[b] = max(16, round(2_000_000 * (6 / 7) ** r))
-        if order:
-            weights[256:] = [2000] * LENGTH_CODES
-        lengths = huffman(weights)
-        head = Writer()
-        head.put(1, 1)
-        head.put(SUBTRACT_GREEN, 2)
-        head.put(0, 1)  # no more transforms
-        head.put(0, 1)  # no colour cache
-        head.put(0, 1)  # one group of codes
-        head.code(lengths)
-        for symbol in (0, 0, 255, 1):  # red, blue, alpha; distance code 2: the pixel to the left
-            head.code([int(s == symbol) for s in range(256)])
-        out.append((np.array(lengths, np.int64), np.array(canonical(lengths), np.int64), head.bytes(), head.at))
-    return out
-
-
 def _length_symbol(n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Symbol, extra bits and their number for run lengths."""
     v = np.maximum(n - 1, 0)
@@ -526,70 +544,120 @@ def _length_symbol(n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 @cache
-def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of all profiles on end, with a symbol of no bits after each: code << 4 | length. The lengths by byte; the headers' bits."""
-    width = 256 + LENGTH_CODES + 1
-    both = np.zeros((len(PROFILES), width), np.uint32)
-    for k, (lens, codes, _, _) in enumerate(_profiles()):
-        both[k, :-1] = codes << 4 | lens
-    return both.ravel(), np.stack([p[0][:256] for p in _profiles()], 1).astype(np.float32), np.array([p[3] for p in _profiles()])
+def _distances() -> np.ndarray:
+    """Distance code of each distance within a plane: the first neighbour's that lies so far back, or the plain one."""
+    out = np.arange(SIDE * SIDE + 1) + len(NEIGHBOURS)
+    for code, (x, y) in reversed(list(enumerate(NEIGHBOURS, 1))):
+        if x + y * SIDE > 0:
+            out[x + y * SIDE] = code
+    return out
+
+
+def _matches(samples: np.ndarray, ends: np.ndarray, plane: np.ndarray, tails: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Place, length and distance of the back-references, in order: where GRAM bytes occurred before in the plane, as far as they go."""
+    n = len(samples)
+    padded = np.zeros(n + GRAM, np.uint64)
+    padded[:n] = samples
+    gram = padded[:n].copy()
+    for k in range(1, GRAM):
+        gram |= padded[k : n + k] << np.uint64(8 * k)
+    whole = np.flatnonzero(np.arange(n) + GRAM <= (ends - np.maximum(tails - 1, 0))[plane])  # the alike bytes at the end are a reference anyway
+    place = np.uint64(max(1, n).bit_length())
+    keys = B.mix(gram[whole] ^ (plane[whole].astype(np.uint64) << np.uint64(40))) >> place << place | whole.astype(np.uint64)
+    keys.sort()
+    at = (keys & np.uint64((1 << int(place)) - 1)).astype(np.int64)
+    same = (gram[at[1:]] == gram[at[:-1]]) & (plane[at[1:]] == plane[at[:-1]])
+    back = np.zeros(n, np.int64)
+    back[at[1:][same]] = (at[1:] - at[:-1])[same]
+    some = np.flatnonzero(back)
+    first = np.flatnonzero((np.diff(some, prepend=-2) != 1) | (np.diff(back[some], prepend=0) != 0))
+    start, distance = some[first], back[some[first]]
+    length = np.diff(np.append(first, len(some))) + GRAM - 1
+    long = np.flatnonzero(tails > 1)
+    start, distance, length = (np.concatenate(x) for x in ((start, ends[long] - tails[long] + 1), (distance, np.ones(len(long), np.int64)), (length, tails[long] - 1)))
+    order = np.argsort(start, kind="stable")
+    out, end = [], 0
+    for at_, m, d in zip(start[order].tolist(), length[order].tolist(), distance[order].tolist(), strict=True):
+        lo = max(at_, end)
+        if at_ + m - lo >= SHORTEST or lo == at_ and d == 1:
+            end = at_ + m
+            out.append((lo, end - lo, d))
+    found = np.array(out, np.int64).reshape(-1, 3)
+    return found[:, 0], found[:, 1], found[:, 2]
+
+
+def _fitted(counts: list[int]) -> tuple[list[int], np.ndarray]:
+    """Code lengths of the symbols that occur, and code << 4 | length of each; a lone symbol takes no bits."""
+    used = [s for s, n in enumerate(counts) if n]
+    lengths = [0] * len(counts)
+    if len(used) < 2:
+        for s in used:
+            lengths[s] = 1
+        return lengths, np.zeros(len(counts), np.uint64)
+    for s, n in zip(used, huffman([counts[s] for s in used], LIMIT), strict=True):
+        lengths[s] = n
+    return lengths, np.array(canonical(lengths), np.uint64) << np.uint64(4) | np.array(lengths, np.uint64)
 
 
 def encode_planes(samples: np.ndarray, sizes: np.ndarray, tails: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """WebP files, on end, and their sizes: one for each run of ``sizes`` bytes (multiples of 48, at most 48 * 48).
 
-    The last ``tails`` bytes of a run are alike and written as one literal and a back-reference.
+    Each file has prefix codes fitted to its own literals, lengths and distances. The last ``tails`` bytes of a run are
+    alike, so that no search is needed there.
     """
-    flat, lens, heads = _tables()
-    width = 256 + LENGTH_CODES + 1
     ends = np.cumsum(sizes)
-    long = tails > 1
-    gone = np.where(long, tails - 1, 0)
-    drop = np.repeat(ends - gone, gone) + _ramp(gone)
-    counts = np.bincount(np.repeat(np.arange(len(sizes)) * 256, sizes) + samples, minlength=256 * len(sizes)).reshape(-1, 256)
-    last = samples[ends - 1]
-    counts[np.arange(len(sizes)), last] -= gone
-    cost = (counts.astype(np.float32) @ lens).astype(np.int64)
-    use = np.argmin(cost + heads, 1)
-    symbol, extra, count = _length_symbol(np.maximum(gone, 1))
-    ref = flat[use * width + 256 + symbol]
-    ref_len = (ref & 15).astype(np.int64)
-    tail_bits = np.where(long, ref_len + count, 0)
-    bits = heads[use] + cost[np.arange(len(use)), use] + tail_bits
-    body_bytes = 5 + (bits + 7) // 8
+    plane = np.repeat(np.arange(len(sizes)), sizes)
+    ref, length, distance = _matches(samples, ends, plane, tails)
+    size_symbol, size_extra, size_bits = _length_symbol(length)
+    far_symbol, far_extra, far_bits = _length_symbol(_distances()[distance])
+    symbol = samples.astype(np.int64)
+    symbol[ref] = 256 + size_symbol
+    kept = np.ones(len(samples), bool)
+    kept[np.repeat(ref + 1, length - 1) + _ramp(length - 1)] = False
+    width = 256 + LENGTH_CODES
+    index = plane * width + symbol
+    counts = np.bincount(index[kept], minlength=width * len(sizes)).reshape(-1, width)
+    far_index = plane[ref] * DISTANCE_CODES + far_symbol
+    far_counts = np.bincount(far_index, minlength=DISTANCE_CODES * len(sizes)).reshape(-1, DISTANCE_CODES)
+    heads, codes, far_codes = [], [], []
+    for own, far in zip(counts.tolist(), far_counts.tolist(), strict=True):
+        lengths, code = _fitted(own)
+        far_lengths, far_code = _fitted(far)
+        head = Writer()
+        head.put(1 | SUBTRACT_GREEN << 1, 6)  # one transform; no colour cache, one group of codes
+        head.code(lengths)
+        for s in (0, 0, 255):  # red, blue and alpha: simple codes of one symbol
+            head.put(0b101 | s << 3, 11)
+        head.code(far_lengths)
+        heads.append(head)
+        codes.append(code)
+        far_codes.append(far_code)
+    # the bits of each token: a code, or for a reference two of them with what follows each
+    entry = np.concatenate(codes)[index]
+    value, n = entry >> np.uint64(4), entry & np.uint64(15)
+    far_entry = np.concatenate(far_codes)[far_index]
+    v, m = value[ref], n[ref]
+    for part, bits in ((size_extra, size_bits), (far_entry >> np.uint64(4), far_entry & np.uint64(15)), (far_extra, far_bits)):
+        v |= part.astype(np.uint64) << m
+        m += bits.astype(np.uint64)
+    value[ref], n[ref] = v, m
+    value, n, of = value[kept], n[kept].astype(np.int64), plane[kept]
+    body = np.bincount(of, n, len(sizes)).astype(np.int64)
+    head_bits = np.array([h.at for h in heads])
+    body_bytes = 5 + (head_bits + body + 7) // 8
     file_bytes = 20 + body_bytes + (body_bytes & 1)
     file_start = np.cumsum(file_bytes) - file_bytes
     total = int(file_bytes.sum())
-    zero = 8 * (file_start + _HEAD)
-    # codes of four literals on end in one word, each word at its bit; then the back-references
-    index = np.repeat((use * width).astype(np.int32), sizes) + samples
-    index[drop] = width - 1
-    entry = flat[index]
-    n = entry & np.uint32(15)
-    value = (entry >> np.uint32(4)).astype(np.uint64)
-    for _ in range(2):
-        value = value[0::2] | value[1::2] << n[0::2].astype(np.uint64)
-        n = n[0::2] + n[1::2]
-    n = n.astype(np.int64)
-    at = np.cumsum(n) - n
-    words = sizes // 4
-    at += np.repeat(zero + heads[use] - at[np.cumsum(words) - words], words)
-    some = np.flatnonzero(long)
-    at = np.concatenate([at, (zero + bits - tail_bits)[some]])
-    value = np.concatenate([value, (ref >> np.uint32(4)).astype(np.uint64)[some] | (extra << ref_len).astype(np.uint64)[some]])
+    at = np.cumsum(n) - n + (8 * (file_start + _HEAD) + head_bits - (np.cumsum(body) - body))[of]
     out = np.zeros(total // 8 + 3, np.uint64)
     where, shift = at >> 6, (at & 63).astype(np.uint64)
     for place, part in ((where, value << shift), (where + 1, np.where(shift > 0, value >> (np.uint64(64) - np.maximum(shift, np.uint64(1))), np.uint64(0)))):
-        for lo, hi in ((0, len(at) - len(some)), (len(at) - len(some), len(at))):
-            if hi > lo:
-                cut = np.flatnonzero(np.diff(place[lo:hi], prepend=-1))
-                out[place[lo:hi][cut]] |= np.bitwise_or.reduceat(part[lo:hi], cut)
+        cut = np.flatnonzero(np.diff(place, prepend=-1))
+        out[place[cut]] |= np.bitwise_or.reduceat(part, cut)
     out = out.view(np.uint8)[:total]
-    for k, p in enumerate(_profiles()):
-        mine = np.flatnonzero(use == k)
-        if len(mine):
-            held = np.frombuffer(p[2], np.uint8)
-            out[(file_start[mine] + _HEAD)[:, None] + np.arange(len(held))] |= held
+    for lo, head in zip((file_start + _HEAD).tolist(), heads, strict=True):
+        held = np.frombuffer(head.bytes(), np.uint8)
+        out[lo : lo + len(held)] |= held
     fields = np.zeros((len(sizes), _HEAD), np.uint8)
     fields[:] = np.frombuffer(b"RIFF\0\0\0\0WEBPVP8L\0\0\0\0\x2f\0\0\0\0", np.uint8)
     fields[:, 4:8] = (file_bytes - 8).astype("<u4").view(np.uint8).reshape(-1, 4)
@@ -613,41 +681,15 @@ def file_spans(data: bytes) -> list[tuple[int, int]]:
     return out
 
 
-_SEEN: list[tuple[bytes, bytes, list, int, bool]] = []
-
-
-def _known(data: bytes) -> tuple[int, int, Coded] | None:
-    """Width, height and codes of a file whose bits after the size were parsed before (no images among them)."""
-    for whole, mask, file in _SEEN:
-        part = data[_HEAD : _HEAD + len(whole)]
-        if part[:-1] == whole[:-1] and len(part) == len(whole) and part[-1] & mask == whole[-1]:
-            return file
-    return None
-
-
 def decode_planes(data: np.ndarray, spans: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
     """Grey samples of the files at ``spans``, on end in the files' order, and the samples of each file."""
     heads, shapes, general = [], [], {}
     for k, (lo, hi) in enumerate(spans):
-        head = bytes(data[lo : lo + _HEAD])
-        size = struct.unpack("<I", head[21:25])[0]
-        width, height = (size & 0x3FFF) + 1, (size >> 14 & 0x3FFF) + 1
-        file = _known(bytes(data[lo : lo + 256]))
-        if file is None:
-            parsed = File(bytes(data[lo:hi]))
-            if [t[0] for t in parsed.transforms] != [SUBTRACT_GREEN] or parsed.coded.meta is not None:
-                general[k] = bytes(data[lo:hi])
-                continue
-            bits = parsed.coded.at - 40
-            whole = bytearray(data[lo + _HEAD : lo + _HEAD + (bits + 8) // 8])
-            mask = (1 << (bits & 7)) - 1
-            whole[-1] &= mask
-            file = parsed.coded
-            if len(_SEEN) < 64:
-                _SEEN.append((bytes(whole), mask, file))
-        own = object.__new__(Coded)
-        own.__dict__ = {**file.__dict__, "width": width, "height": height}
-        heads.append(own)
+        parsed = File(bytes(data[lo:hi]))
+        if [t[0] for t in parsed.transforms] != [SUBTRACT_GREEN] or parsed.coded.meta is not None:
+            general[k] = bytes(data[lo:hi])
+            continue
+        heads.append(parsed.coded)
         shapes.append((k, lo + 20, hi))
     flat: list[np.ndarray] = [np.zeros(0, np.uint8)] * len(spans)
     for k, file in general.items():

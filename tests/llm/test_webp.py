@@ -214,3 +214,18 @@ def test_planes():
     assert (got == data).all() and (counts == sizes).all() and lengths.sum() == len(files)
     whole = w.decode([files[a:b].tobytes() for a, b in w.file_spans(files.tobytes())])
     assert (np.concatenate([x.ravel() >> 8 & 255 for x in whole]) == data).all() and {x >> 24 for i in whole for x in i.ravel().tolist()} == {255}
+
+
+def test_planes_have_codes_and_references_of_their_own():
+    r = np.random.default_rng(5)
+    phrase = r.integers(97, 123, 48, dtype=np.uint8)
+    data = np.concatenate([r.integers(97, 101, 576, dtype=np.uint8), r.integers(160, 168, 528, dtype=np.uint8), phrase, np.tile(phrase, 12)])
+    sizes = np.array([576, 576, 576])
+    files, lengths = w.encode_planes(data, sizes, np.array([0, 0, 0]))
+    parsed = [w.File(files[a:b].tobytes()) for a, b in w.file_spans(files.tobytes())]
+    green = [{int(e) >> 4 for e in f.coded.codes[0][0][0]} for f in parsed]
+    assert {x for x in green[0] if x < 256} == set(data[:576].tolist())
+    assert {x for x in green[1] if x < 256} == set(data[576:1152].tolist())
+    assert any(x >= 256 for x in green[2]) and lengths[2] < 200  # the phrase once, then references
+    got, _ = w.decode_planes(files, w.file_spans(files.tobytes()))
+    assert (got == data).all()
