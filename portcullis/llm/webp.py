@@ -95,16 +95,6 @@ def lookup(lengths: list[int]) -> tuple[np.ndarray, int]:
     return table, bits
 
 
-def _read_symbol(src: Bits, code: tuple[np.ndarray, int]) -> int:
-    table, bits = code
-    lo = src.at >> 3
-    entry = int(table[int.from_bytes(src.data[lo : lo + 4], "little") >> (src.at & 7) & ((1 << bits) - 1)])
-    src.at += entry & 15
-    if src.at > 8 * len(src.data):
-        raise ValueError("the image data end too early")
-    return entry >> 4
-
-
 def _read_code(src: Bits, size: int) -> tuple[np.ndarray, int]:
     lengths = [0] * size
     if src.read(1):
@@ -122,19 +112,30 @@ def _read_code(src: Bits, size: int) -> tuple[np.ndarray, int]:
     code = lookup(of_lengths)
     left = 2 + src.read(2 + 2 * src.read(3)) if src.read(1) else size
     at, last = 0, 8
+    table, mask, data, bit = code[0].tolist(), (1 << code[1]) - 1, src.data, src.at
     while at < size and left:
         left -= 1
-        s = _read_symbol(src, code)
+        lo = bit >> 3
+        window = int.from_bytes(data[lo : lo + 4], "little") >> (bit & 7)
+        entry = table[window & mask]
+        s, n = entry >> 4, entry & 15
+        bit += n
         if s < 16:
-            lengths[at] = s
+            if s:
+                lengths[at] = last = s
             at += 1
-            last = s or last
-        else:
-            value, n = (last, 3 + src.read(2)) if s == 16 else (0, 3 + src.read(3)) if s == 17 else (0, 11 + src.read(7))
-            if at + n > size:
-                raise ValueError("code lengths past the alphabet")
-            lengths[at : at + n] = [value] * n
-            at += n
+            continue
+        more = (2, 3, 7)[s - 16]
+        n = (window >> n & ((1 << more) - 1)) + (11 if s == 18 else 3)
+        bit += more
+        if at + n > size:
+            raise ValueError("code lengths past the alphabet")
+        if s == 16:
+            lengths[at : at + n] = [last] * n
+        at += n
+    src.at = bit
+    if bit > 8 * len(data):
+        raise ValueError("the image data end too early")
     return lookup(lengths)
 
 
@@ -446,7 +447,7 @@ UNIT = 576  # twelve rows
 _HEAD = 25  # bytes before the transforms
 
 #: Longest code of a plane, which bounds a file's table in the decoder; bytes that a match begins with, and the shortest match.
-LIMIT, GRAM, SHORTEST = 10, 8, 5
+LIMIT, GRAM, SHORTEST = 10, 8, 8
 
 
 def huffman(weights: list[int], limit: int = 15) -> list[int]:
@@ -526,8 +527,11 @@ class Writer:
         if sum(map(bool, own)) == 1:
             own = [0] * 19  # a lone symbol takes no bits
         self.put(0, 1)
+        value = at = 0
         for s, more, n in runs:
-            self.put(codes[s] | more << own[s], own[s] + n)
+            value |= (codes[s] | more << own[s]) << at
+            at += own[s] + n
+        self.put(value, at)
 
     def bytes(self) -> bytes:
         return self.value.to_bytes((self.at + 7) // 8, "little")
