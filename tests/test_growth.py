@@ -79,3 +79,32 @@ def test_cloud_sql_reads_an_answer_once(spark):
     df = spark.createDataFrame([("Here: ```sql\nSELECT a FROM t; thanks\n```",), (None,)], "t string").select(text.cloud_sql(F.col("t")).alias("c"))
     assert df._jdf.queryExecution().analyzed().toString().count("split(") <= 3  # fences, their number, lines
     assert [r.c for r in df.collect()] == ["SELECT a FROM t;", text.REFUSAL_TEXT]
+
+
+def test_dataset_labels_works_reasons_out_once_a_set(spark, monkeypatch):
+    """Kinds that lack together, cases of one set shared out, and no bits put together after cases met their sets."""
+    monkeypatch.setattr(access, "SHARE", 3, raising=False)
+    rng = random.Random(5)
+    kinds = list(access.DATASET_NEEDS)
+    held = [("d", f"r{i}", rng.choice(["SELECT", "UPDATE", "INSERT", "DELETE", "DDL"]), rng.choice("TU"), rng.choice("ab*")) for i in range(40) for _ in range(4)]
+    held = [(d, r, o, *((None, None) if o == "DDL" else g)) for d, r, o, *g in held]
+    forms = [[(rng.choice(kinds), rng.choice("tuv"), rng.choice(["a", "b", ""])) for _ in range(rng.randrange(5))] for _ in range(12)]
+    asked = [(n, "d", "UPDATE", *need) for n in range(60) for need in forms[n % 12] or [("none", "", "")]]
+    policies = spark.createDataFrame(held, "db_id string, role string, operation string, table_name string, column_name string")
+    required = spark.createDataFrame(asked, "case_id long, db_id string, operation string, kind string, table_name string, column_name string")
+    df = access.dataset_labels(required, policies, spark.createDataFrame([("d", "T")], "db_id string, table_name string"))
+    want = []
+    for role in {r for _, r, *_ in held}:
+        mine = [(o, (t or "").lower(), c) for _, r, o, t, c in held if r == role]
+        for n in range(60):
+            lacks = []
+            for kind, t, c in forms[n % 12]:
+                op = access.DATASET_NEEDS[kind][0]
+                known = kind == "ddl" or t == "t" or any(o != "DDL" and x == t for o, x, _ in mine)
+                has = any(o == op and (op == "DDL" or x == t and (op in ("INSERT", "DELETE") or y == "*" or y == c)) for o, x, y in mine)
+                lacks += [kinds.index(kind)] if known and not has else []
+            why = access.DATASET_NEEDS[kinds[min(lacks)]][1] if lacks else None
+            want.append((n, "d", role, why is None, why))
+    assert sorted(map(tuple, df.collect()), key=repr) == sorted(want, key=repr)
+    plan = _plan(df)
+    assert "aggregate(" not in plan[: plan.index("Exchange")]
