@@ -28,6 +28,8 @@ from .. import steps
 
 #: Rows of a case, of both results, up to which its rows are brought together; of larger ones only the sums of each task's rows are.
 LARGE = 1 << 17
+#: Hashes of cases by which their rows are counted first.
+COUNTED = 1 << 16
 #: Times colours are refined after a column got its own.
 ROUNDS = 2
 
@@ -76,7 +78,12 @@ def ranked_places(rows: DataFrame, key: str) -> DataFrame:
 
 def _bag(*parts: Column) -> Column:
     """Sum over rows of a hash of the parts: the same for the same bag of rows."""
-    return F.xxhash64(F.sum(F.xxhash64(*parts).cast("decimal(38,0)")))
+    return _summed(F.xxhash64(*parts))
+
+
+def _summed(h: Column) -> Column:
+    """A hash of the sums of a hash's three pieces, which 2^41 rows do not overflow."""
+    return F.xxhash64(F.sum(F.shiftright(h, 42)), F.sum(F.shiftright(h, 21).bitwiseAND(0x1FFFFF)), F.sum(h.bitwiseAND(0x1FFFFF)))
 
 
 def _columns(rows: DataFrame, key: list[str], row_colour: Column) -> DataFrame:
@@ -92,10 +99,12 @@ def _first(rows: DataFrame) -> DataFrame:
 
     Nothing is shuffled where rows are dealt by case_id; else the sums of each task's rows are.
     """
-    kept = rows.select("case_id", "gold", "place", "_row", F.coalesce(F.size("cells"), F.lit(0)).alias("width"), F.xxhash64(F.array_sort("cells"), "place").cast("decimal(38,0)").alias("hash"), F.posexplode_outer("cells").alias("col", "cell"))
+    # what is a row's own is worked out below the explode, so not once for each cell
+    own = rows.select("case_id", "gold", "place", "_row", "cells", F.coalesce(F.size("cells"), F.lit(0)).alias("width"), F.xxhash64(F.sort_array("cells"), "place").alias("hash"))
+    kept = own.select("case_id", "gold", "place", "_row", "width", "hash", F.posexplode_outer("cells").alias("col", "cell"))
     first = kept.groupBy("case_id", "gold", "col").agg(
         _bag(F.col("cell"), F.col("place")).alias("colour"), _bag(F.col("cell"), F.col("_row")).alias("content"),
-        F.count("*").alias("n"), F.sum("hash").alias("bag"), F.min("width").alias("least"), F.max("width").alias("most"),
+        F.count("*").alias("n"), _summed(F.col("hash")).alias("bag"), F.min("width").alias("least"), F.max("width").alias("most"),
     )
     columns = F.array_sort(F.collect_list(F.struct("col", "colour", "content"))).cast(_COLUMNS).alias("columns")
     one = first.groupBy("case_id", "gold").agg(columns, F.max("n").alias("n"), F.max("bag").alias("bag"), F.min("least").alias("least"), F.max("most").alias("most"))
@@ -125,6 +134,8 @@ def _colours(side: str) -> Column:
 
 #: Whether every colour of a side stands for one column, or for columns with the same cells.
 _SETTLED = " and ".join(f"size(array_distinct(transform({s}, c -> c.colour))) = size(array_distinct(transform({s}, c -> struct(c.colour, c.content))))" for s in "gp")
+#: Whether the sides have as many rows and columns, and the same bag of rows but for the order of cells.
+_LIKE = "g.n = p.n and g.bag = p.bag and g.least > 0 and g.least = g.most and g.least = p.least and p.least = p.most"
 #: The least colour of the gold that stands for different columns.
 _OPEN = "array_min(transform(filter(g, x -> exists(g, y -> y.colour = x.colour and y.content <> x.content)), x -> x.colour))"
 
@@ -167,26 +178,87 @@ def _searched(rows: DataFrame, open_: DataFrame, every: bool) -> DataFrame:
     return out
 
 
-def denotation_equal(rows: DataFrame, cases: DataFrame) -> DataFrame:
+def _large(rows: DataFrame) -> DataFrame | None:
+    """The cases of more than ``LARGE`` rows, written; None without any. Cases are counted one by one only where their hashes crowd."""
+    place = F.pmod(F.xxhash64("case_id"), F.lit(COUNTED))
+    crowded = steps.written(rows.groupBy(place.alias("_at")).agg(F.count("*").alias("n")).where(F.col("n") > LARGE).select("_at"))
+    large = None
+    if not crowded.isEmpty():
+        few = rows.select("case_id").withColumn("_at", place).join(F.broadcast(crowded), "_at", "left_semi")
+        large = steps.written(few.groupBy("case_id").agg(F.count("*").alias("n")).where(F.col("n") > LARGE).select("case_id"))
+        if large.isEmpty():
+            steps.release(large)
+            large = None
+    steps.release(crowded)
+    return large
+
+
+def _told(rows: DataFrame) -> DataFrame:
+    """(case_id, open, good) of each case, by first colours alone: whether they leave it open, and whether it matches.
+
+    rows are dealt by case_id. They are read twice where they are, first for the colours and then, laid out by them, for the
+    exact comparison, so nothing but what deals them is shuffled. The colours' side is hashed, so no rows are sorted.
+    """
+    sides = _first(rows.withColumn("_row", F.monotonically_increasing_id()))
+    pairs = sides.select("case_id", F.coalesce(F.expr(_LIKE), F.lit(False)).alias("like"), F.col("g.columns").alias("g"), F.col("p.columns").alias("p"))
+    agreed = F.col("like") & (_colours("g") == _colours("p"))
+    sure = pairs.select("case_id", F.when(agreed, F.expr(_SETTLED)).alias("sure"), "g", "p")  # null where colours differ
+    ranked = lambda side: F.transform(F.array_sort(F.transform(side, lambda c: F.struct(c["colour"], c["col"]))), lambda c: c["col"])
+    partners = F.transform(F.array_sort(F.zip_with(ranked("g"), ranked("p"), lambda g, p: F.struct(g.alias("g"), p.alias("p")))), lambda z: z["p"])
+    state = sure.select("case_id", F.coalesce(F.col("sure"), F.lit(False)).alias("check"), F.coalesce(~F.col("sure"), F.lit(False)).alias("open"), F.when(F.col("sure"), partners).alias("partners"))
+    met = rows.join(state.hint("shuffle_hash"), "case_id")
+    laid = F.when(F.col("gold"), F.col("cells")).otherwise(F.transform("partners", lambda i: F.element_at("cells", i + 1)))
+    sign = F.when(F.col("gold"), 1).otherwise(-1).alias("sign")
+    # the rows of a case that is not compared count as one
+    counts = met.select("case_id", "check", "open", F.when(F.col("check"), F.col("place")).alias("place"), F.when(F.col("check"), laid).alias("cells"), sign).groupBy("case_id", "check", "open", "place", "cells").agg(F.sum("sign").alias("n"))
+    return counts.groupBy("case_id").agg(F.bool_or("open").alias("open"), F.bool_and(F.col("check") & (F.col("n") == 0)).alias("good"))
+
+
+def denotation_equal(rows: DataFrame, cases: DataFrame, dealt: bool = False) -> DataFrame:
     """(case_id, matches) for each row of ``cases``: whether the case's two results have the same denotation.
 
     rows has a row for each row of a result: case_id, gold (whether it is of the gold's result), place (its number where
     order counts, else null) and cells (``normal_cell``). Both results empty match, however many columns they have; one
     empty does not. Different numbers of rows or columns do not match. Cases without rows on either side match; null
-    cells equal each other.
+    cells equal each other. With ``dealt`` the plan of rows has already brought each case's rows together by case_id (a
+    window over it, say), and they are not dealt again.
+
+    Rows are written only of large cases and of those that the first colours leave open.
     """
-    rows = steps.written(rows.select("case_id", "gold", "place", "cells", F.monotonically_increasing_id().alias("_row")))
-    large = steps.written(rows.groupBy("case_id").agg(F.count("*").alias("n")).where(F.col("n") > LARGE).select("case_id"))
-    few = F.broadcast(large)  # at most a row for each LARGE rows
-    small_sides = _first(rows.join(few, "case_id", "left_anti").repartition("case_id"))
-    sides = small_sides if large.isEmpty() else small_sides.unionByName(_first(rows.join(few, "case_id", "left_semi")))
-    like = "g.n = p.n and g.bag = p.bag and g.least > 0 and g.least = g.most and g.least = p.least and p.least = p.most"
-    pairs = sides.where(like).select("case_id", F.array().cast("array<bigint>").alias("branch"), F.col("g.columns").alias("g"), F.col("p.columns").alias("p"))
+    rows = rows.select("case_id", "gold", "place", "cells").where("case_id is not null")
+    large = _large(rows)
+    small = rows if large is None else rows.join(F.broadcast(large), "case_id", "left_anti")  # at most a row for each LARGE rows
+    told = steps.written(_told(small if dealt else small.repartition("case_id")))
+    verdicts, made = told.select("case_id", "good"), [told]
+    left = told.where("open").select("case_id")
+    if large is not None:
+        left = left.unionByName(large)
+        verdicts = verdicts.unionByName(large.withColumn("good", F.lit(False)))
+        made.append(large)
+    if not left.isEmpty():
+        held = steps.written(rows.join(left, "case_id", "left_semi").withColumn("_row", F.monotonically_increasing_id()))
+        good = _found(held, large)
+        verdicts = verdicts.unionByName(good.withColumn("good", F.lit(True)))
+        made += [held, good]
+    best = verdicts.groupBy("case_id").agg(F.bool_or("good").alias("good"))
+    out = steps.written(cases.select("case_id").join(best, "case_id", "left").select("case_id", F.coalesce("good", F.lit(True)).alias("matches")))
+    steps.release(*made)
+    return out
+
+
+def _found(rows: DataFrame, large: DataFrame | None) -> DataFrame:
+    """The cases of written rows that match; those of ``large`` are not brought together."""
+    if large is None:
+        sides = _first(rows.repartition("case_id"))
+    else:
+        few = F.broadcast(large)
+        sides = _first(rows.join(few, "case_id", "left_anti").repartition("case_id")).unionByName(_first(rows.join(few, "case_id", "left_semi")))
+    pairs = sides.where(_LIKE).select("case_id", F.array().cast("array<bigint>").alias("branch"), F.col("g.columns").alias("g"), F.col("p.columns").alias("p"))
     state = steps.written(pairs.where(_colours("g") == _colours("p")))
     # refined once where needed, before any column is given a colour
     rest = state.where(f"not ({_SETTLED})")
     good = _verified(rows, state.where(_SETTLED))
-    made = [rows, large, state]
+    made = [state]
     if not rest.isEmpty():
         refined = steps.written(_refined(rows, rest).where(_colours("g") == _colours("p")))
         good = good.unionByName(_verified(rows, refined.where(_SETTLED)))
@@ -201,8 +273,6 @@ def denotation_equal(rows: DataFrame, cases: DataFrame) -> DataFrame:
                 every = _searched(rows, left, every=True)
                 good = good.unionByName(every)
                 made.append(every)
-    full = rows.select("case_id").distinct().withColumn("_some", F.lit(True))
-    out = cases.select("case_id").join(full, "case_id", "left").join(good.withColumn("_good", F.lit(True)), "case_id", "left")
-    out = steps.written(out.select("case_id", (F.col("_some").isNull() | F.col("_good").isNotNull()).alias("matches")))
+    out = steps.written(good)
     steps.release(*made)
     return out

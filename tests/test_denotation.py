@@ -7,6 +7,7 @@ from itertools import permutations
 import pytest
 from pyspark.sql import functions as F
 
+from portcullis import queries_execution
 from portcullis.operators import denotation as dn
 
 
@@ -109,3 +110,32 @@ def test_first_colours_shuffle_rows_once_and_no_cells(spark):
     plan = dn._first(rows.repartition("case_id"))._jdf.queryExecution().sparkPlan().toString()
     done = dn._first(rows.repartition("case_id"))._jdf.queryExecution().executedPlan().toString()
     assert "Generate posexplode" in plan and done.count("Exchange hashpartitioning") == 1
+
+
+def test_rows_are_shuffled_once_and_not_written(spark, sf_dir, monkeypatch):
+    """No table with cells is written, and what deals the rows by case serves the colours and the comparison."""
+    made, written = [], dn.steps.written
+
+    def seen(df, *args):
+        df.collect()
+        made.append((df.columns, df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]))
+        return written(df, *args)
+
+    monkeypatch.setattr(dn.steps, "written", seen)
+    assert queries_execution.denotation_equal(spark, sf_dir).count() == 200
+    assert not any("cells" in columns for columns, _ in made)
+    plan = next(plan for columns, plan in made if columns == ["case_id", "open", "good"])
+    assert plan.count("ReusedExchange") == 1 and plan.count("Exchange hashpartitioning") == 2  # the one, and where it is read again
+
+
+@pytest.mark.parametrize("dealt", [False, True])
+def test_open_large_and_null_cases_together(spark, monkeypatch, dealt):
+    monkeypatch.setattr(dn, "LARGE", 10)
+    ring = graph({(0, 1), (1, 2), (2, 3), (3, 0)}, 4)
+    big = [(i % 3, i, 7) for i in range(9)]
+    cases = {1: (ring, ring[::-1]), 2: (big, [(c, a, b) for a, b, c in big]), 3: (big, [(c, a, a) for a, b, c in big]), 4: ([(1, 2)], [(2, 1)]), 5: ([(1, 2)], [(2, 2)]), None: ([(1,)], [(2,)])}
+    rows = [(case, side, None, [f"n:{x}" for x in r]) for case, both in cases.items() for side, t in zip((True, False), both, strict=True) for r in t]
+    table = spark.createDataFrame(rows, "case_id int, gold boolean, place long, cells array<string>")
+    table = table.repartition(1) if dealt else table.repartition(3)
+    got = dn.denotation_equal(table, spark.createDataFrame([(c,) for c in [*cases, 6]], "case_id int"), dealt=dealt)
+    assert {r.case_id: r.matches for r in got.collect()} == {1: True, 2: True, 3: False, 4: True, 5: False, None: True, 6: True}
